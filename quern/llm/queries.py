@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, mixing, secrets, url_filters, warc
+from quern.llm import chat, mixing, near_dedup, secrets, url_filters, warc
 from quern.storage import Scratch
 
 #: The rule list of ``op1_url_filters``: host, path, verdict.
@@ -35,6 +35,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, seed=MIX_SEED).withColumn("rate", F.round("rate", 9))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op5")
     path = scratch.path("archives")
