@@ -20,7 +20,7 @@ from pyspark.taskcontext import TaskContext
 from quern.llm.near_dedup import mixed
 from quern.storage import Scratch
 
-K, TUPLE, SKETCHES = 6, 2, 24
+K, TUPLE, SKETCHES = 6, 2, 48
 _BLOCK = 4096
 _rng = np.random.default_rng(19770604)
 _A = _rng.integers(0, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
