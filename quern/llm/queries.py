@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, mixing, near_dedup, order_minhash, secrets, toxicity, url_filters, warc
+from quern.llm import bpe, chat, mixing, near_dedup, order_minhash, secrets, toxicity, url_filters, warc
 from quern.storage import Scratch
 
 #: The rule list of ``op1_url_filters``: host, path, verdict.
@@ -83,8 +83,21 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    """The byte-level vocabulary file that ``op9_bpe`` and the pipeline use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = bpe.encode_documents(docs, tokenizer_path(), keep_ids=False, keep_text=False)
+    return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def queries() -> dict:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return {k: v for k, v in globals().items() if k[:2] == "op" and k[2:3].isdigit()}
 
 
 def _quoted(text: str) -> str:

@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
 from quern.storage import Scratch
 
@@ -203,17 +204,11 @@ def score_documents(docs: DataFrame, weights: dict[str, float], threshold: float
                 }
             )
 
-    judge = F.pandas_udf(run, SCORED, _iterator_kind())
+    judge = F.pandas_udf(run, SCORED, PandasUDFType.SCALAR_ITER)
     kept = [c for c in docs.columns if c not in {"score", "predicted", "offending"}]
     return docs.select(*kept, judge("text").alias("_q")).select(*kept, "_q.score", "_q.predicted", "_q.offending")
 
 
-def _iterator_kind():
-    from pyspark.sql.functions import PandasUDFType
-
-    return PandasUDFType.SCALAR_ITER
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """``score_documents`` with a model fitted on ``labels`` (doc_id, toxic).
 
