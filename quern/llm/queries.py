@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, chat, mixing, near_dedup, order_minhash, secrets, toxicity, url_filters, warc
+from quern.llm import ann, bpe, chat, mixing, near_dedup, order_minhash, secrets, toxicity, url_filters, warc
 from quern.storage import Scratch
 
 #: The rule list of ``op1_url_filters``: host, path, verdict.
@@ -96,6 +96,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:2] == "op" and k[2:3].isdigit()}
 
