@@ -1,7 +1,82 @@
-"""The corpus pipeline (under construction)."""
-STAGES = []
+"""The corpus pipeline: toxicity, near duplicates, secrets, source mixture, token ids.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept;
+its result is written as Parquet and read again. All but the last return the columns
+of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import bpe, mixing, near_dedup, secrets, toxicity
+from quern.llm.queries import MIX_SEED, tokenizer_path
+from quern.storage import Scratch
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model, fitted on the labels, scores below the threshold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.toxicity(docs.select(COLUMNS), labels).where("predicted = 0").select(COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component at five words and similarity 0.8; repeated rows stay once."""
+    docs = docs.select(COLUMNS)
+    judged = near_dedup.near_duplicates(docs, words=5, percent=80)
+    ids = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).where("doc_id is not null")
+    dropped = ids.where("not kept").select(F.col("doc_id").alias("_id"))
+    same = F.col("doc_id") == F.col("_id")
+    kept = docs.join(dropped.hint("shuffle_hash"), same, "left_anti")
+    repeated = ids.where("kept and n > 1").select(F.col("doc_id").alias("_id"))
+    if repeated.isEmpty():
+        return kept
+    again = docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, same, "left_anti").unionByName(again)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts become ``[SECRET:kind]``; n_chars follows where a text changes."""
+    found = secrets.scan(docs.select(COLUMNS))
+    done = found.withColumn("text", secrets.redact(F.col("text"), F.col("spans")))
+    length = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", length).select(COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every source weighs the same; documents repeat by their Poisson draw, in random order."""
+    return mixing.mix(docs.select(COLUMNS), seed=MIX_SEED).select(COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every remaining row (little-endian uint32), with their digests."""
+    done = bpe.encode_documents(docs.select(COLUMNS), tokenizer_path(), keep_text=False)
+    return done.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+#: SQL can express neither the learned model nor MinHash components nor the encoder.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
+    for name, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
+    return docs
