@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from quern.plans import text_queries
+
 
 def queries() -> dict:
-    return {}
+    return {**text_queries.queries()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {**text_queries.oracle_sql()}
