@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quern.plans import text_queries
+from quern.plans import metric_queries, text_queries, vector_queries
+
+PARTS = (text_queries, metric_queries, vector_queries)
 
 
 def queries() -> dict:
-    return {**text_queries.queries()}
+    return {k: v for part in PARTS for k, v in part.queries().items()}
 
 
 def oracle_sql() -> dict:
-    return {**text_queries.oracle_sql()}
+    return {k: v for part in PARTS for k, v in part.oracle_sql().items()}
