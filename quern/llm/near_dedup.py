@@ -6,14 +6,16 @@
    share no band with probability (1 - 0.8^6)^54 = 7e-8.
 3. In each bucket every member is compared with the least one (a star, not pairs).
    A pair is confirmed on the full sets if sizes and one-bit signatures allow it.
-4. Links give components. Buckets that still span several components are searched
-   whole: each member outside the largest component against all members of others.
-   Dense groups are one component by then, so they cost nothing more.
-5. Components of all links.
-
-One-bit signatures (lowest bit of 320 minima) only rule pairs out: at similarity 0.8
-a pair differs in 32 bits on average with deviation 5.4; beyond 64 it is dropped (six
-deviations, chance 1e-9).
+4. Links give components. Buckets that still span several components compare their
+   members outside the largest one with a few of its members, drawn by hash.
+5. Buckets that span several components even then are searched whole: each member
+   outside the largest component against all members of others, in the first bucket
+   that both share. Dense groups are one component by then and cost nothing more.
+6. Components of all links.
+
+One-bit signatures (a bit of each of 2,048 further minima, of sets that share a bucket)
+only rule pairs out: at similarity 0.8 a pair differs in 205 bits on average with
+deviation 13.6; beyond 280 it is dropped (five and a half deviations, chance 2e-8).
 """
 
 from __future__ import annotations
@@ -30,12 +32,15 @@ from quern.llm.components import components
 from quern.storage import Scratch
 
 BANDS, ROWS = 54, 6
-BITS = 320
-MOST_BITS = 64
+BITS, DEVIATIONS = 2048, 5.5
+#: Draws of members of a bucket's largest component.
+DRAWS = 4
 _BLOCK = 4096
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+_A_BITS = _rng.integers(0, 1 << 31, BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B_BITS = _rng.integers(0, 1 << 32, BITS, dtype=np.uint32)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,12 +67,12 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(out)
 
 
-def minima(found: np.ndarray) -> np.ndarray:
-    """The least value of each hash function over a non-empty set."""
+def minima(found: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B, block: int = _BLOCK) -> np.ndarray:
+    """The least value of each hash function a * x + b over a non-empty set."""
     x = (found >> np.uint64(32)).astype(np.uint32)
-    best = np.full(len(_A), 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), _BLOCK):
-        part = _A[:, None] * x[None, at : at + _BLOCK] + _B[:, None]
+    best = np.full(len(a), 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(x), block):
+        part = a[:, None] * x[None, at : at + block] + b[:, None]
         np.minimum(best, part.min(axis=1), out=best)
     return best
 
@@ -80,11 +85,13 @@ def band_keys(best: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def signature(best: np.ndarray) -> np.ndarray:
-    return np.packbits((best[:BITS] & np.uint32(1)).astype(np.uint8)).view(np.int64)
+def signature(found: np.ndarray) -> np.ndarray:
+    """``BITS`` bits, each a mixed bit of another minimum, as longs."""
+    best = minima(found, _A_BITS, _B_BITS, 512) * np.uint32(0x9E3779B1)
+    return np.packbits((best >> np.uint32(31)).astype(np.uint8)).view(np.int64)
 
 
-SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
+SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
 def _sketches(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
@@ -96,17 +103,26 @@ def _sketches(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFr
             if len(found):
                 digest = xxhash.xxh3_128_digest(found.tobytes())
                 a, b = np.frombuffer(digest, np.int64)
-                best = minima(found)
-                rows.append((doc, len(found), a, b, band_keys(best), signature(best)))
+                rows.append((doc, len(found), a, b, band_keys(minima(found))))
             else:
-                rows.append((doc, 0, None, None, None, None))
+                rows.append((doc, 0, None, None, None))
         yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "set_a": "Int64", "set_b": "Int64"})
 
 
+SETS = "node long, size long, bits array<long>, elements binary"
+
+
 def _sets(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        sets = [shingles(t, words).tobytes() for t in batch["text"]]
-        yield pd.DataFrame({"node": batch["doc_id"], "elements": sets})
+        sets = [shingles(t, words) for t in batch["text"]]
+        yield pd.DataFrame(
+            {
+                "node": batch["doc_id"],
+                "size": [len(s) for s in sets],
+                "bits": [signature(s) if len(s) else np.zeros(BITS // 64, np.int64) for s in sets],
+                "elements": [s.tobytes() for s in sets],
+            }
+        )
 
 
 def _confirmed(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
@@ -121,12 +137,17 @@ def _confirmed(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.Dat
 
 def _may_link(percent: int):
     """Sizes and signatures of sides a and b allow the similarity."""
-    sizes = (100 * F.least("a.size", "b.size") >= percent * F.greatest("a.size", "b.size"))
-    apart = sum(
-        (F.bit_count(F.col("a.bits")[i].bitwiseXOR(F.col("b.bits")[i])) for i in range(BITS // 64)), F.lit(0)
-    )
-    most = MOST_BITS + round(3.2 * max(0, 80 - percent))
-    return sizes & (apart <= most)
+    sizes = 100 * F.least("a.size", "b.size") >= percent * F.greatest("a.size", "b.size")
+    share = (1 - percent / 100) / 2
+
+    def within(longs: int):
+        """The first so many longs differ in no more bits than chance explains."""
+        n, apart = 64 * longs, F.lit(0)
+        for i in range(longs):
+            apart = apart + F.bit_count(F.col("a.bits")[i].bitwiseXOR(F.col("b.bits")[i]))
+        return apart <= int(n * share + DEVIATIONS * max(1.0, (n * share * (1 - share)) ** 0.5))
+
+    return sizes & within(8) & within(BITS // 64)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
@@ -151,18 +172,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch:
         named.select(F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), "rep"),
         (F.col("set_a") == F.col("_a")) & (F.col("set_b") == F.col("_b")) & (F.col("doc_id") == F.col("rep")),
         "left_semi",
-    ).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), "bits", "bands")
+    ).select(F.col("doc_id").alias("node"), "bands")
 
     rows = reps.select("node", F.explode("bands").alias("bucket"))
     centres = rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("_last")).where("centre < _last")
     member = rows.join(centres.select(F.col("bucket").alias("_bucket"), "centre"), F.col("bucket") == F.col("_bucket"))
     members = scratch.save(member.select("bucket", "node", "centre"), "members")
-    nodes = scratch.save(
-        reps.drop("bands").join(members.select("node").distinct().withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left_semi"),
-        "nodes",
-    )
-    texts = docs.join(nodes.select(F.col("node").alias("_n")).hint("shuffle_hash"), F.col("doc_id") == F.col("_n"), "left_semi")
-    sets = scratch.save(texts.mapInPandas(lambda it: _sets(it, words), "node long, elements binary"), "sets")
+    asked = members.select(F.col("node").alias("_n")).distinct()
+    texts = docs.join(asked.hint("shuffle_hash"), F.col("doc_id") == F.col("_n"), "left_semi")
+    sets = scratch.save(texts.mapInPandas(lambda it: _sets(it, words), SETS), "sets")
+    may = _may_link(percent)
+
+    def side(name: str) -> DataFrame:
+        return sets.select(F.struct("node", "size", "bits").alias(name))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """Edges of the pairs u, v that reach the threshold on their full sets."""
@@ -171,33 +193,42 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch:
         )
         return full.select("u", "v", "set_u", "set_v").mapInPandas(lambda it: _confirmed(it, percent), "u long, v long")
 
-    may = _may_link(percent)
-    stars = members.where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
-    side = lambda x: nodes.select(F.struct("node", "size", "bits").alias(x))
-    stars = (
-        stars.join(side("a"), F.col("u") == F.col("a.node")).join(side("b"), F.col("v") == F.col("b.node")).where(may).select("u", "v")
-    )
-    star_links = scratch.save(confirm(stars), "star-links")
-    first = components(star_links, scratch, "first")
-
-    placed = members.select("bucket", "node").join(first.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
-    placed = scratch.save(placed.select("bucket", "node", F.coalesce("root", "node").alias("root")), "placed")
-    counted = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    split = (
-        counted.groupBy("bucket")
-        .agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("most"))
-        .where("roots > 1")
-        .select(F.col("bucket").alias("_bucket"), F.col("most.root").alias("main"))
-    )
-    open_ = placed.join(split, F.col("bucket") == F.col("_bucket")).select("bucket", "node", "root", "main")
-    open_ = open_.join(nodes.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"))
-    open_ = scratch.save(open_.select("bucket", "node", "root", "main", "size", "bits"), "open")
+    def likely(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.distinct().join(side("a"), F.col("u") == F.col("a.node")).join(side("b"), F.col("v") == F.col("b.node"))
+        return pairs.where(may).select("u", "v")
+
+    def split(roots: DataFrame, name: str) -> DataFrame:
+        """bucket, node, root, main of buckets that span components; main is the largest one's root."""
+        placed = members.select("bucket", "node").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+        placed = scratch.save(placed.select("bucket", "node", F.coalesce("root", "node").alias("root")), f"placed-{name}")
+        counted = placed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket")
+        mains = counted.agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("most")).where("roots > 1")
+        mains = mains.select(F.col("bucket").alias("_bucket"), F.col("most.root").alias("main"))
+        open_ = placed.join(mains, F.col("bucket") == F.col("_bucket")).select("bucket", "node", "root", "main")
+        return scratch.save(open_, f"open-{name}")
+
+    stars = members.where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v"))
+    links = scratch.save(confirm(likely(stars)), "star-links")
+    roots = components(links, scratch, "first")
+
+    open_ = split(roots, "first")
+    draw = F.xxhash64("node", F.pmod("bucket", F.lit(DRAWS)))
+    drawn = open_.where("root = main").groupBy("bucket").agg(F.min(F.struct(draw.alias("h"), "node")).alias("d"))
+    drawn = drawn.select(F.col("bucket").alias("_bucket"), F.col("d.node").alias("v"))
+    pairs = open_.where("root <> main").join(drawn, F.col("bucket") == F.col("_bucket")).select(F.col("node").alias("u"), "v")
+    links = scratch.save(confirm(likely(pairs)), "drawn-links").union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    roots = components(links, scratch, "second")
+
+    open_ = split(roots, "second").join(sets.select(F.col("node").alias("_n"), "size", "bits"), F.col("node") == F.col("_n")).drop("_n")
+    open_ = open_.join(reps.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n")
+    open_ = scratch.save(open_, "open")
     a, b = open_.where("root <> main").alias("a"), open_.alias("b")
     across = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.root") != F.col("b.root"))
     once = (F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
-    rest = a.join(b, across & once & may).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    first = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.bucket")
+    rest = a.join(b, across & once & may & first).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
     more = scratch.save(confirm(rest), "more-links")
-    roots = components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), scratch, "all")
+    roots = components(more.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), scratch, "all")
 
     renamed = named.join(roots, F.col("rep") == F.col("node"), "left").select(
         F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), F.coalesce("root", "rep").alias("_root")
@@ -210,5 +241,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch:
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
     done = scratch.save(result, "result")
-    scratch.drop("sketches", "members", "nodes", "sets", "star-links", "placed", "open", "more-links", "named")
+    scratch.drop("sketches", "named", "members", "sets", "star-links", "drawn-links", "more-links", "open")
+    scratch.drop("placed-first", "open-first", "placed-second", "open-second")
     return done
