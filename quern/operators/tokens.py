@@ -22,9 +22,15 @@ def word_freq(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(pretokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
 
 
+def _distinct_characters(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in series:
+        yield pd.Series(["".join(set(t or "")) for t in batch], dtype=object)
+
+
 def char_vocab(docs: DataFrame) -> DataFrame:
     """ch, id: distinct characters by code point, ids from 4. Rows give each character once."""
-    distinct = docs.select(F.explode(F.array_distinct(characters(F.col("text")))).alias("ch")).distinct()
+    few = F.pandas_udf(_distinct_characters, "string", PandasUDFType.SCALAR_ITER)
+    distinct = docs.select(few("text").alias("few")).select(F.explode(characters(F.col("few"))).alias("ch")).distinct()
     # The alphabet has at most as many rows as Unicode, so it is ordered in one list.
     listed = distinct.agg(F.array_sort(F.collect_list("ch")).alias("all"))
     return listed.select(F.posexplode("all").alias("pos", "ch")).select("ch", (F.col("pos") + FIRST_ID).alias("id"))
