@@ -8,9 +8,10 @@ encoded anew until a boundary agrees with one of the right chunk. Pieces of the
 tokenizer's pattern are found left to right without looking back, so from an agreed
 boundary on both encodings are equal for certain.
 
-Texts without shared chunks are encoded where they are. Which chunks are shared is
-counted over all texts; a Bloom filter of fixed size tells mappers which texts may
-hold one (a false hit only sends a text the longer way).
+Texts that share no chunk with another text, and of which there is one copy, are
+encoded where they are. Which chunks and texts are shared is counted over all rows; a
+Bloom filter of fixed size tells mappers what may be (a false hit only sends a text
+the longer way). Copies of a text travel under its digest and are encoded once.
 """
 
 from __future__ import annotations
@@ -35,6 +36,9 @@ WINDOW, CUT_BITS = 16, 9
 LEAST_CHUNK, MOST_CHUNK = 128, 8192
 #: A piece this near to the end of what was seen may still change with what follows.
 LOOKAHEAD = 4
+#: Marks the digest of a whole text among those of chunks.
+_COPY = "\x00whole\x00"
+_REMEMBERED = 100_000
 #: Bits of the Bloom filter: 2 MiB.
 FILTER_POWER = 24
 FILTER_BITS = 1 << FILTER_POWER
@@ -169,6 +173,47 @@ def join_chunks(tok: Tokenizer, parts: list[tuple[str, tuple]]) -> np.ndarray:
     return np.concatenate([*done, tail_ids]) if done else tail_ids
 
 
+def doc_chunks(tok: Tokenizer, text: str) -> Iterator[str]:
+    """The chunks between the special tokens of a text, in order."""
+    for part, special in tok.segments(text):
+        if special is None:
+            yield from chunks(part)
+
+
+def assembled(tok: Tokenizer, text: str, known: dict[int, tuple]) -> np.ndarray:
+    """Ids of a text of which chunks ``known`` by their place have been encoded before."""
+    if not known:
+        return tok.encode(text)
+    out, seq = [], 0
+    for part, special in tok.segments(text):
+        if special is not None:
+            out.append(np.array([special], np.uint32))
+            continue
+        parts: list[tuple[str, tuple]] = []
+        run: list[str] = []  # neighbours that are not shared are encoded as one
+        for chunk in [*chunks(part), None]:
+            found = known.get(seq) if chunk is not None else ()
+            if found is not None and run:
+                parts.append(("".join(run), tok.pieces("".join(run))))
+                run = []
+            if chunk is None:
+                break
+            if found is None:
+                run.append(chunk)
+            else:
+                parts.append((chunk, found))
+            seq += 1
+        out.append(join_chunks(tok, parts))
+    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+
+
+def _remember(seen: set, item: bytes) -> None:
+    """A bounded memory: what it forgets is only repeated."""
+    if len(seen) >= _REMEMBERED:
+        seen.clear()
+    seen.add(item)
+
+
 def _digest(text: str) -> bytes:
     return hashlib.blake2b(text.encode(), digest_size=16).digest()
 
@@ -206,13 +251,22 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, keep_tex
     docs = docs.select(*kept)
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tok = Tokenizer.of(path)
         for batch in batches:
-            found = [_short(c) for t in batch["text"] if t for c in chunks(t)]
-            yield pd.DataFrame({"chunk": np.array(found, np.int64)})
-
-    counted = docs.select("text").mapInPandas(digests, "chunk long").groupBy("chunk").agg(F.count("*").alias("n"))
+            hashes, owners, whole = [], [], []
+            for text in batch["text"]:
+                own = [_short(c) for c in doc_chunks(tok, text or "")]
+                name = _short(_COPY + (text or ""))
+                hashes += [name, *own]
+                owners += [name] * (1 + len(own))
+                whole += [True] + [False] * len(own)
+            yield pd.DataFrame({"chunk": np.array(hashes, np.int64), "owner": np.array(owners, np.int64), "whole": np.array(whole, bool)})
+
+    # A chunk is shared if two different texts hold it, a text if two rows do.
+    seen = docs.select("text").mapInPandas(digests, "chunk long, owner long, whole boolean")
+    seen = seen.groupBy("chunk").agg(F.count("*").alias("n"), F.min("owner").alias("a"), F.max("owner").alias("b"), F.bool_or("whole").alias("whole"))
     slots = F.explode(F.array(F.col("chunk") % FILTER_BITS, F.shiftright("chunk", FILTER_POWER) % FILTER_BITS))
-    slots = counted.where("n > 1").select(slots.alias("slot"))
+    slots = seen.where("(whole and n > 1) or a <> b").select(slots.alias("slot"))
     words = slots.groupBy(F.floor(F.col("slot") / 32).cast("int").alias("word")).agg(
         F.expr("bit_or(shiftleft(1L, cast(slot % 32 as int)))").alias("mask")
     )
@@ -221,6 +275,10 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, keep_tex
     mask[found["word"].to_numpy()] = found["mask"].to_numpy().astype(np.uint32)
     shared = spark.sparkContext.broadcast(mask)
 
+    def may(short: int) -> bool:
+        bits = shared.value
+        return all(bits[s >> 5] >> np.uint32(s & 31) & np.uint32(1) for s in _slots(short))
+
     fields = docs.schema.fields
     names = [f"c{i}" for i in range(len(fields))]
     plain = docs.select(*(F.col(f"`{f.name}`").alias(n) for f, n in zip(fields, names, strict=True)))
@@ -229,16 +287,12 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, keep_tex
     plain = plain.select(body.alias("body"), F.col(text_name).alias("text"))
 
     def settle(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        tok, bits = Tokenizer.of(path), shared.value
-
-        def may(short: int) -> bool:
-            return all(bits[s >> 5] >> np.uint32(s & 31) & np.uint32(1) for s in _slots(short))
-
+        tok = Tokenizer.of(path)
         for batch in series:
             out = []
             for text in batch:
                 text = text or ""
-                if any(may(_short(c)) for c in chunks(text)):
+                if may(_short(_COPY + text)) or any(may(_short(c)) for c in doc_chunks(tok, text)):
                     out.append((None, None, None, None, hashlib.sha256(text.encode()).digest()))
                 else:
                     out.append((*_row(tok, tok.encode(text), keep_ids), None))
@@ -250,23 +304,25 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, keep_tex
     if not keep_text:
         judged = judged.withColumn("text", F.when(F.col("key").isNotNull(), F.col("text")))
     first = scratch.save(judged, "settled")
-    away = first.where("key is not null").select("key", "text")
-    # One row of each text; a hot one is thinned out before it is dealt.
-    texts = away.groupBy("key", "text").agg(F.lit(1).alias("_1")).select("key", "text")
+    away = first.where("key is not null").select("key", F.coalesce("text", F.lit("")).alias("text"))
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = Tokenizer.of(path)
+    def references(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The shared chunks of each text, once for each task; a chunk's own text at its first mention."""
+        tok, texts, told = Tokenizer.of(path), set(), set()
         for batch in batches:
             out = []
             for key, text in zip(batch["key"], batch["text"], strict=True):
-                seq = 0
-                for part, special in tok.segments(text):
-                    for chunk in [part] if special is not None else chunks(part):
-                        out.append((key, seq, special, _digest(chunk), chunk))
-                        seq += 1
-            yield pd.DataFrame(out, columns=["key", "seq", "special", "digest", "chunk"]).astype({"special": "Int64"})
-
-    refs = scratch.save(texts.mapInPandas(split, "key binary, seq int, special long, digest binary, chunk string"), "refs")
+                if key in texts:
+                    continue
+                _remember(texts, key)
+                for seq, chunk in enumerate(doc_chunks(tok, text)):
+                    if may(_short(chunk)):
+                        digest = _digest(chunk)
+                        out.append((key, seq, digest, None if digest in told else chunk))
+                        _remember(told, digest)
+            yield pd.DataFrame(out, columns=["key", "seq", "digest", "chunk"])
+
+    refs = scratch.save(away.mapInPandas(references, "key binary, seq int, digest binary, chunk string"), "refs")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = Tokenizer.of(path)
@@ -281,43 +337,48 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, keep_tex
                 }
             )
 
-    once = refs.where("special is null").groupBy("digest", "chunk").agg(F.lit(1).alias("_1")).select("digest", "chunk")
+    once = refs.where("chunk is not null").groupBy("digest", "chunk").agg(F.lit(1).alias("_1")).select("digest", "chunk")
     table = scratch.save(once.mapInPandas(encode, "digest binary, ends binary, counts binary, ids binary"), "chunks")
+    known = refs.groupBy("key", "seq", "digest").agg(F.lit(1).alias("_1")).join(table.withColumnRenamed("digest", "_digest"), F.col("digest") == F.col("_digest"))
 
-    def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok, now, parts, ids = Tokenizer.of(path), None, [], []
+    def thinned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each text once for each task, so that copies do not meet in one."""
+        texts: set = set()
+        for batch in batches:
+            fresh = []
+            for key in batch["key"]:
+                fresh.append(key not in texts)
+                _remember(texts, key)
+            yield batch.loc[np.array(fresh, bool)]
 
-        def flush() -> None:
-            if parts:
-                ids.append(join_chunks(tok, parts))
-                parts.clear()
+    def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of a key: its text (seq -1, maybe again), then its shared chunks by seq."""
+        tok, now, text, known = Tokenizer.of(path), None, "", {}
 
         def close() -> tuple:
-            flush()
-            whole = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-            ids.clear()
-            return (now, *_row(tok, whole, keep_ids))
+            return (now, *_row(tok, assembled(tok, text, known), keep_ids))
 
         for batch in batches:
             out = []
-            for key, special, chunk, ends, counts, own in zip(*(batch[c] for c in ("key", "special", "chunk", "ends", "counts", "ids")), strict=True):
-                if now is not None and key != now:
-                    out.append(close())
-                now = key
-                if ends is None:
-                    flush()
-                    ids.append(np.array([special], np.uint32))
-                else:
-                    parts.append((chunk, (np.frombuffer(ends, np.uint16).astype(np.uint32), np.frombuffer(counts, np.uint16).astype(np.uint32), np.frombuffer(own, "<u4"))))
+            for key, seq, own, ends, counts, ids in batch.itertuples(index=False, name=None):
+                if key != now:
+                    if now is not None:
+                        out.append(close())
+                    now, text, known = key, own, {}
+                elif seq >= 0:
+                    known[seq] = tuple(np.frombuffer(x, t).astype(np.uint32) for x, t in ((ends, np.uint16), (counts, np.uint16), (ids, "<u4")))
             if out:
                 yield pd.DataFrame(out, columns=["key", *results])
         if now is not None:
             yield pd.DataFrame([close()], columns=["key", *results])
 
-    pairs = refs.join(table.withColumnRenamed("digest", "_digest"), F.col("digest") == F.col("_digest"), "left")
-    pairs = pairs.select("key", "seq", "special", "chunk", "ends", "counts", "ids")
-    pairs = pairs.repartition("key").sortWithinPartitions("key", "seq")
-    joined = scratch.save(pairs.mapInPandas(put_together, f"key binary, {ENCODED}"), "joined")
+    nothing = F.lit(None).cast("binary")
+    rows = away.mapInPandas(thinned, "key binary, text string").select(
+        "key", F.lit(-1).alias("seq"), "text", nothing.alias("ends"), nothing.alias("counts"), nothing.alias("ids")
+    )
+    rows = rows.unionByName(known.select("key", "seq", F.lit(None).cast("string").alias("text"), "ends", "counts", "ids"))
+    rows = rows.repartition("key").sortWithinPartitions("key", "seq")
+    joined = scratch.save(rows.mapInPandas(put_together, f"key binary, {ENCODED}"), "joined")
 
     back = [
         F.col(f"body.{n}").alias(f.name) if f.name != "text" else F.col("text")
