@@ -164,15 +164,16 @@ def _router(model: dict, asked: int):
     return F.pandas_udf(run, "array<int>", PandasUDFType.SCALAR_ITER)
 
 
-HIT = "qkey long, vec_id long, score double"
+#: Hits as (-score, vec_id), best first: one row for each query and block.
+HIT = "part int, qkey long, hits array<struct<s:double,vec_id:long>>"
 
 
 def _compare(queries: pd.DataFrame, rows: pd.DataFrame, keep: int) -> pd.DataFrame:
     """The ``keep`` best vec_ids of a block of rows for each query of a block."""
-    out: list[tuple[int, int, float]] = []
+    out: list[tuple[int, int, list[dict]]] = []
     if len(queries) and len(rows):
         q, x = np.array(queries["embedding"].tolist(), np.float64), np.array(rows["embedding"].tolist(), np.float64)
-        ids, keys = rows["ids"].tolist(), queries["qkey"].tolist()
+        ids, keys, part = rows["ids"].tolist(), queries["qkey"].tolist(), int(queries["part"].iloc[0])
         first = np.array([i[0] for i in ids])
         norms = np.sqrt((x**2).sum(axis=1)).max() * np.sqrt((q**2).sum(axis=1))
         for at in range(0, len(q), 256):
@@ -185,8 +186,8 @@ def _compare(queries: pd.DataFrame, rows: pd.DataFrame, keep: int) -> pd.DataFra
                     score += a * b
                 best = np.lexsort((first[near], -score))[:keep]
                 hits = sorted((-score[b], v) for b in best for v in ids[near[b]])[:keep]
-                out += [(keys[at + i], int(v), -s_) for s_, v in hits]
-    return pd.DataFrame(out, columns=["qkey", "vec_id", "score"])
+                out.append((part, keys[at + i], [{"s": float(s_), "vec_id": int(v)} for s_, v in hits]))
+    return pd.DataFrame(out, columns=["part", "qkey", "hits"])
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -258,9 +259,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 3)
     )
     keys = ["part", "i", "j"]
     hits = sent.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(lambda q, x: _compare(q, x, keep), HIT)
-    order = [F.col("score").desc(), F.col("vec_id")]
-    best = hits.withColumn("_n", F.row_number().over(Window.partitionBy("qkey").orderBy(*order))).where(F.col("_n") <= keep)
-    lists = best.groupBy("qkey").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id")).alias("hits"))
+
+    def merged(rows: DataFrame, *by: str) -> DataFrame:
+        """The ``keep`` best of several lists: first by part, whose blocks may be many, then by query."""
+        return rows.groupBy(*by).agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, keep).alias("hits"))
+
+    lists = merged(merged(hits, "qkey", "part"), "qkey")
     keyed = scratch.save(asked.select("qkey", "embedding").dropDuplicates(["qkey"]).join(lists, "qkey"), "lists")
     found = asked_rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_e")).join(
         keyed, F.col("_e") == F.col("embedding")
