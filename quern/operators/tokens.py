@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from quern.functions.text import PRETOKEN, characters, pretokens
 
@@ -53,6 +55,31 @@ def char_encoder(vocab: DataFrame):
     return F.pandas_udf(encode, "array<int>", PandasUDFType.SCALAR_ITER)
 
 
+#: Texts that are encoded at a time: their ids take four bytes a character.
+TEXTS = 64
+
+
+def encode_texts(docs: DataFrame, vocab: DataFrame, text: str = "txt", lay: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """``docs`` with ids, an array<int>, in place of ``text``: whole texts by a table over code points, then ``lay``."""
+    points = {ord(r["ch"]): r["id"] for r in vocab.collect()}
+    table = np.full(max(points, default=0) + 2, UNK, np.int32)
+    table[list(points)] = list(points.values())
+    kept = [c for c in docs.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                few = batch.slice(at, TEXTS)
+                ids = [table[np.minimum(np.frombuffer((t or "").encode("utf-32-le"), np.uint32), len(table) - 1)] for t in few.column(text).to_pylist()]
+                ids = [lay(x) for x in ids] if lay else ids
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([*(few.column(c) for c in kept), listed], names=[*kept, "ids"])
+
+    schema = StructType([*(docs.schema[c] for c in kept), StructField("ids", ArrayType(IntegerType()))])
+    return docs.mapInArrow(run, schema)
+
+
 def pair_counts(words: DataFrame) -> DataFrame:
     """a, b, cnt: adjacent symbol pairs of words (word, freq), every position counted."""
     chars = characters(F.col("word"))

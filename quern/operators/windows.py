@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -129,14 +130,51 @@ def repack(records: DataFrame, length: int, order: str = "ord", key: str | None
     rows = records.select(*keys, order, cut.alias("ids"), "trust_score").where(F.size("ids") >= 2)
     sizes = rows.select(*keys, order, F.size("ids").cast("long").alias("n"))
     placed = rows.join(starts(sizes, [*keys], order), [*keys, order])
-    first, last = F.floor(F.col("start") / width), F.floor((F.col("start") + F.size("ids") - 1) / width)
-    parts = placed.withColumn("window", F.explode(F.sequence(first, last)))
-    begin = F.greatest(F.col("window") * width - F.col("start"), F.lit(0)).cast("int")
-    end = F.least((F.col("window") + 1) * width - F.col("start"), F.size("ids").cast("long")).cast("int")
-    pieces = parts.select(*keys, "window", (F.col("start") + begin).alias("at"), F.slice("ids", begin + 1, end - begin).alias("piece"), "trust_score")
-    listed = pieces.groupBy(*keys, "window").agg(F.array_sort(F.collect_list(F.struct("at", "piece", "trust_score"))).alias("p"))
-    whole = listed.select(*keys, "window", F.flatten(F.transform("p", lambda x: x["piece"])).alias("tokens"), F.col("p")[0]["trust_score"].alias("trust"))
-    return whole.where(F.size("tokens") == width)
+    return cut_stream(placed, length, keys)
+
+
+def cut_stream(placed: DataFrame, length: int, keys: list[str]) -> DataFrame:
+    """window, tokens, trust of whole records (ids, trust_score) from their start in the stream.
+
+    A window within one record is complete at once; only pieces at the ends of records
+    are grouped.
+    """
+    width = length + 1
+    size = F.size("ids").cast("long")
+    first, last = F.floor(F.col("start") / width), F.floor((F.col("start") + size - 1) / width)
+
+    def piece(w: Column) -> Column:
+        begin = F.greatest(w * width - F.col("start"), F.lit(0)).cast("int")
+        end = F.least((w + 1) * width - F.col("start"), size).cast("int")
+        return F.struct(w.alias("window"), (F.col("start") + begin).alias("at"), F.slice("ids", begin + 1, end - begin).alias("piece"))
+
+    def pieces(at: Column) -> DataFrame:
+        parts = placed.select(*keys, "trust_score", F.explode(F.transform(at, piece)).alias("_p"))
+        return parts.select(*keys, "_p.window", "_p.at", "_p.piece", "trust_score")
+
+    inner = pieces(F.sequence(first, last)).where(F.size("piece") == width)
+    ends = pieces(F.array_distinct(F.array(first, last))).where(F.size("piece") < width)
+    listed = ends.groupBy(*keys, "window").agg(F.array_sort(F.collect_list(F.struct("at", "piece", "trust_score"))).alias("p"))
+    joined = listed.select(*keys, "window", F.flatten(F.transform("p", lambda x: x["piece"])).alias("tokens"), F.col("p")[0]["trust_score"].alias("trust"))
+    inner = inner.select(*keys, "window", F.col("piece").alias("tokens"), F.col("trust_score").alias("trust"))
+    return inner.unionByName(joined.where(F.size("tokens") == width))
+
+
+def laid(ids: np.ndarray, length: int) -> np.ndarray:
+    """The input_ids of the ``token_windows`` of one text, end to end."""
+    body = length - 2
+    out = np.full((windows_of(len(ids), length), length), PAD, np.int32)
+    flat = np.full(len(out) * body, PAD, np.int32)
+    flat[: len(ids)] = ids[: len(flat)]
+    out[:, 0], out[:, 1:-1] = BOS, flat.reshape(-1, body)
+    return out.ravel()
+
+
+def windows_of(n, length: int):
+    """How many ``token_windows`` n ids give; ``n`` is a number or a column."""
+    body = length - 2
+    rest = n % body
+    return (n - rest) / body + (rest + 1 >= MIN_TOKENS).cast("int") if isinstance(n, Column) else n // body + (rest + 1 >= MIN_TOKENS)
 
 
 def batches(windows: DataFrame, batch: int, length: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def joined_ids(ids: Column) -> Column:
-    return F.md5(F.array_join(F.transform(ids, lambda x: x.cast("string")), " "))
+    return F.md5(F.array_join(ids.cast("array<string>"), " "))
 
 
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,8 +278,15 @@ def reservoir_sample(spark, sf_dir):
 
 
 def repack(spark, sf_dir):
-    rows = encoded(spark, sf_dir).select(F.col("doc_id").alias("ord"), F.col("ids").alias("input_ids"), trust_of(F.col("grp")).alias("trust_score"))
-    packed = windows.batches(windows.repack(rows, REPACK), BATCH, REPACK)
+    """The rows of windowed(), laid end to end by doc_id and window; none is cut, so a text's windows travel as one record."""
+    texts = Scratch(spark, "repack").save(base(spark, sf_dir), "texts")  # stripped once, read by each pass
+    docs = texts.where(F.length("txt") >= T.MIN_CHARS)
+    docs = docs.select("doc_id", F.substring("txt", 1, T.MAX_CHARS).alias("txt"), trust_of(F.col("grp")).alias("trust_score"))
+    n = windows.windows_of(F.length("txt"), LENGTH) * LENGTH  # one id a character
+    placed = docs.join(windows.starts(docs.select("doc_id", n.cast("long").alias("n")), [], "doc_id"), "doc_id")
+    vocab = tokens.char_vocab(texts.select(F.col("txt").alias("text")))
+    placed = tokens.encode_texts(placed, vocab, lay=partial(windows.laid, length=LENGTH))
+    packed = windows.batches(windows.cut_stream(placed, LENGTH, []), BATCH, LENGTH)
     return packed.select("batch_id", "slot", joined_ids(F.col("input_ids")).alias("ids"), joined_ids(F.col("labels")).alias("labels"), "trust")
 
 
