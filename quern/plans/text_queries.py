@@ -56,6 +56,13 @@ def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "grp", encode(F.substring("txt", 1, T.MAX_CHARS)).alias("ids"))
 
 
+def whole_texts(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, ids of every text, whole; and the vocabulary. Texts are stripped once."""
+    texts = Scratch(spark, name).save(base(spark, sf_dir).select("doc_id", "txt"), "texts")
+    vocab = tokens.char_vocab(texts.select(F.col("txt").alias("text")))
+    return tokens.encode_texts(texts, vocab), vocab
+
+
 def windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, grp, window, input_ids, labels, trust_score, source."""
     rows = windows.token_windows(encoded(spark, sf_dir), LENGTH)
@@ -201,16 +208,17 @@ def encode_bpe(spark, sf_dir):
 
 
 def encode_char(spark, sf_dir):
-    ids = encoded(spark, sf_dir).select("doc_id", tokens.with_marks(F.col("ids"), True, True).alias("ids"))
+    rows, _ = whole_texts(spark, sf_dir, "encode")
+    ids = rows.select("doc_id", tokens.with_marks(F.col("ids"), True, True).alias("ids"))
     return ids.select("doc_id", F.size("ids").alias("n_tokens"), joined_ids(F.col("ids")).alias("digest"))
 
 
 def decode_roundtrip(spark, sf_dir):
-    vocab = char_vocab(spark, sf_dir)
+    ids, vocab = whole_texts(spark, sf_dir, "decode")
     names = vocab.agg(F.array_sort(F.collect_list(F.struct("id", "ch"))).alias("v")).select(
         F.concat(F.array_repeat(F.lit(""), tokens.FIRST_ID), F.transform("v", lambda x: x["ch"])).alias("names")
     )
-    rows = encoded(spark, sf_dir).crossJoin(F.broadcast(names))  # one row, one name for each character
+    rows = ids.crossJoin(F.broadcast(names))  # one row, one name for each character
     return rows.select("doc_id", F.md5(tokens.decode(F.col("ids"), F.col("names"))).alias("digest"))
 
 

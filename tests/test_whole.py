@@ -32,3 +32,23 @@ def test_repack_lays_every_window_into_the_stream(spark, tables):
         want[n] = (text(t[:-1]), text([-100 if x == 0 else x for x in t[1:]]), trusts[n * width])
     got = {r["batch_id"] * Q.BATCH + r["slot"]: (r["ids"], r["labels"], r["trust"]) for r in Q.repack(spark, SF).collect()}
     assert got == want and len(want) > 1_000
+
+
+@pytest.fixture
+def short_and_long(spark, tmp_path):
+    texts = ["", " ab ", "x" * 49, "yz" * 40_000 + "end"]
+    rows = [(i, t, "source1") for i, t in enumerate([*texts, None])]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path), dict(enumerate([*(t.strip() for t in texts), ""]))
+
+
+def test_encode_char_takes_every_text_whole(spark, short_and_long):
+    path, texts = short_and_long
+    ids = {c: 4 + i for i, c in enumerate(sorted(set("".join(texts.values()))))}
+    want = {d: (len(t) + 2, hashlib.md5(" ".join(map(str, [2, *(ids[c] for c in t), 3])).encode()).hexdigest()) for d, t in texts.items()}
+    assert {r["doc_id"]: (r["n_tokens"], r["digest"]) for r in Q.encode_char(spark, path).collect()} == want
+
+
+def test_decode_roundtrip_gives_every_text_whole(spark, short_and_long):
+    path, texts = short_and_long
+    assert {r["doc_id"]: r["digest"] for r in Q.decode_roundtrip(spark, path).collect()} == {d: hashlib.md5(t.encode()).hexdigest() for d, t in texts.items()}
