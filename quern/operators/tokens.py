@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -121,15 +122,21 @@ def train_bpe(freqs: dict[str, int], vocab_size: int) -> tuple[dict[str, int], l
             counts[pair] += n
             where[pair].add(i)
     merges: list[tuple[str, str]] = []
-    while size < vocab_size and counts:
-        best = max(counts, key=lambda p: (counts[p], p))
-        if counts[best] < 2:
+    queue = [_queued(p, n) for p, n in counts.items()]
+    heapq.heapify(queue)
+    while size < vocab_size and queue:
+        n, _, best = heapq.heappop(queue)
+        if counts.get(best) != -n:  # its count has changed since
+            continue
+        if -n < 2:
             break
         merges.append(best)
         vocab["".join(best)] = size
         size += 1
+        changed: set[tuple[str, str]] = set()
         for i in list(where[best]):  # only words that hold the pair change their counts
             symbols, n = words[i]
+            changed.update(zip(symbols, symbols[1:]))  # noqa: B905
             for pair in zip(symbols, symbols[1:]):  # noqa: B905
                 counts[pair] -= n
                 if counts[pair] <= 0:
@@ -140,9 +147,18 @@ def train_bpe(freqs: dict[str, int], vocab_size: int) -> tuple[dict[str, int], l
             for pair in zip(symbols, symbols[1:]):  # noqa: B905
                 counts[pair] += n
                 where[pair].add(i)
+                changed.add(pair)
+        for pair in changed:
+            if pair in counts:
+                heapq.heappush(queue, _queued(pair, counts[pair]))
     return vocab, merges, size
 
 
+def _queued(pair: tuple[str, str], n: int) -> tuple:
+    """Sorts before pairs of a smaller count, and of equal ones before smaller pairs."""
+    return -n, tuple((*(-ord(c) for c in s), 1) for s in pair), pair
+
+
 def merge_pair(symbols: list[str], pair: tuple[str, str]) -> list[str]:
     """Left to right, without overlaps."""
     out, i = [], 0

@@ -14,6 +14,8 @@ from quern.storage import Scratch
 
 LENGTH = 128
 VOCAB = 40
+#: Fixed value: the vocabulary that the tokenizer is trained to.
+TRAINED = 32_768
 SEED = 42
 QUOTA = 1_000
 SUBSET = 200
@@ -188,10 +190,9 @@ def tokenizer_sample(spark, sf_dir):
     return _sample(spark, sf_dir, QUOTA).select("doc_id", "grp", F.md5("text").alias("digest"))
 
 
-def _trained(spark, sf_dir, merges=60):
+def _trained(spark, sf_dir):
     freqs = {r["word"]: r["freq"] for r in tokens.word_freq(_sample(spark, sf_dir, catalog.tokenizer_texts(1_000_000))).collect()}
-    chars = {c for w in freqs for c in w}
-    return tokens.train_bpe(freqs, len(chars) + tokens.FIRST_ID + merges)
+    return tokens.train_bpe(freqs, TRAINED)
 
 
 def bpe_merges(spark, sf_dir):

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from quern.operators import tokens as K
 from quern.plans import text_queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +53,20 @@ def test_encode_char_takes_every_text_whole(spark, short_and_long):
 def test_decode_roundtrip_gives_every_text_whole(spark, short_and_long):
     path, texts = short_and_long
     assert {r["doc_id"]: r["digest"] for r in Q.decode_roundtrip(spark, path).collect()} == {d: hashlib.md5(t.encode()).hexdigest() for d, t in texts.items()}
+
+
+def test_bpe_is_trained_as_far_as_the_word_table_allows(spark):
+    rows = Q.bpe_merges(spark, SF).orderBy("rank").collect()
+    assert len(rows) > 60 and [r["rank"] for r in rows] == [*range(len(rows))]
+    freqs = {r["word"]: r["freq"] for r in K.word_freq(Q._sample(spark, SF, 500_000)).collect()}
+    merged = {K.FIRST_ID + len({c for w in freqs for c in w}) + r["rank"] for r in rows}
+    assert {r["id"] for r in rows} <= merged and max(merged) < 32_768
+    if max(merged) < 32_767:  # no pair is left that occurs twice
+        ranks, left, pairs = {}, {}, [(r["a"], r["b"]) for r in rows]
+        for r in rows:
+            ranks.setdefault((r["a"], r["b"]), []).append(r["rank"])
+        for w, n in freqs.items():
+            symbols = K.encode_word(w, pairs, ranks) if len(w) > 1 else [w]
+            for pair in zip(symbols, symbols[1:]):  # noqa: B905
+                left[pair] = left.get(pair, 0) + n
+        assert max(left.values(), default=0) < 2
