@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Fixed value: a metrics line of the training log.
 LOG_LINE = (
@@ -19,28 +21,33 @@ LOG_FORMAT = "Step %6d | LR=%.2e | CE=%.4f | PPL=%.2f | GGR-aux=%.4f | VRAM=%.2f
 LOG_FIELDS = ("step", "lr", "ce", "ppl", "aux", "vram", "vram_total", "tok_s", "delta")
 
 
-def folded(df: DataFrame, key: str, order: str, value: str, start: Callable, step: Callable, schema: str) -> DataFrame:
-    """A recurrence over each key's rows in order: ``step(state, value) -> (state, outputs)``.
+def folded(df: DataFrame, key: str, order: str, value: str, start: Callable, step: Callable, outputs: str) -> DataFrame:
+    """key, order, value, outputs: a recurrence ``step(state, value) -> (state, outputs)`` over each key's rows in order.
 
-    Rows are dealt by key, sorted, and streamed with one state at a time, so a long
-    series needs no more memory than a short one. ``schema`` names key, order, value
-    and the outputs.
+    Rows are dealt by key, sorted (null orders first, equal ones by value), and streamed
+    with one state at a time, so a long series needs no more memory than a short one.
+    Keys and orders pass through as they are; null keys are a series. A key is one task,
+    because a step may depend on all steps before it.
     """
-    names = [x.split()[0] for x in schema.replace(", ", ",").split(",")]
+    rows = df.select(key, order, F.col(value).cast("double").alias(value))
+    made = StructType.fromDDL(outputs)
+    arrow = to_arrow_schema(made)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = object(), None
         for batch in batches:
-            rows = []
-            for k, o, v in zip(batch[key], batch[order], batch[value], strict=True):
-                if state is None or k != now:
+            found = []
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if k != now:
                     now, state = k, start()
                 state, out = step(state, v)
-                rows.append((k, o, v, *out))
-            yield pd.DataFrame(rows, columns=names)
+                found.append(out)
+            columns = zip(*found, strict=True) if found else [()] * len(arrow)
+            told = [pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *told], names=[key, order, value, *made.names])
 
-    dealt = df.select(key, order, value).repartition(key).sortWithinPartitions(key, order)
-    return dealt.mapInPandas(run, schema)
+    dealt = rows.repartition(key).sortWithinPartitions(key, order, value)
+    return dealt.mapInArrow(run, StructType([*rows.schema, *made]))
 
 
 def gated_ema(df: DataFrame, key: str, order: str, value: str, alpha: float = 0.02, factor: float | None = 3.0) -> DataFrame:
@@ -58,9 +65,7 @@ def gated_ema(df: DataFrame, key: str, order: str, value: str, alpha: float = 0.
         ema = (1 - alpha) * ema + alpha * v
         return ema, (ema, 0)
 
-    types = dict(df.dtypes)
-    schema = f"{key} {types[key]}, {order} {types[order]}, {value} double, ema double, rejected int"
-    return folded(sound, key, order, value, tuple, step, schema)
+    return folded(sound, key, order, value, tuple, step, "ema double, rejected int")
 
 
 def linear_scan(df: DataFrame, key: str, order: str, value: str, decay: float) -> DataFrame:
@@ -72,14 +77,12 @@ def linear_scan(df: DataFrame, key: str, order: str, value: str, decay: float) -
     import math
 
     keep = math.exp(decay)
-    types = dict(df.dtypes)
-    schema = f"{key} {types[key]}, {order} {types[order]}, {value} double, h double"
 
     def step(h, v):
         h = keep * h + v
         return h, (h,)
 
-    return folded(df.where(F.col(value).isNotNull()), key, order, value, float, step, schema)
+    return folded(df.where(F.col(value).isNotNull()), key, order, value, float, step, "h double")
 
 
 def with_interval(df: DataFrame, step: str, every: int) -> DataFrame:
@@ -133,7 +136,5 @@ def baseline_delta(df: DataFrame, key: str, order: str, value: str, alpha: float
             base = (1 - alpha) * base + alpha * v
         return (ema, base), (ema, base, (base - ema) / (base + 1e-8) * 100)
 
-    types = dict(df.dtypes)
-    schema = f"{key} {types[key]}, {order} {types[order]}, {value} double, ema double, baseline double, delta double"
     sound = df.where(F.col(value).isNotNull() & ~F.isnan(value))
-    return folded(sound, key, order, value, tuple, step, schema)
+    return folded(sound, key, order, value, tuple, step, "ema double, baseline double, delta double")

@@ -25,37 +25,14 @@ def word_freq(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(pretokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
 
 
-def _distinct_characters(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in series:
-        yield pd.Series(["".join(set(t or "")) for t in batch], dtype=object)
-
-
 def char_vocab(docs: DataFrame) -> DataFrame:
     """ch, id: distinct characters by code point, ids from 4. Rows give each character once."""
-    few = F.pandas_udf(_distinct_characters, "string", PandasUDFType.SCALAR_ITER)
-    distinct = docs.select(few("text").alias("few")).select(F.explode(characters(F.col("few"))).alias("ch")).distinct()
+    distinct = docs.where("text <> ''").select(F.explode(F.array_distinct(F.split("text", ""))).alias("ch")).distinct()
     # The alphabet has at most as many rows as Unicode, so it is ordered in one list.
     listed = distinct.agg(F.array_sort(F.collect_list("ch")).alias("all"))
     return listed.select(F.posexplode("all").alias("pos", "ch")).select("ch", (F.col("pos") + FIRST_ID).alias("id"))
 
 
-def char_encoder(vocab: DataFrame):
-    """A column function text -> array<int> by a table over code points; unknown ones are UNK."""
-    rows = vocab.collect()
-    points = {ord(r["ch"]): r["id"] for r in rows}
-    table = np.full(max(points, default=0) + 2, UNK, np.int32)
-    table[list(points)] = list(points.values())
-
-    def encode(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        last = len(table) - 1
-        for batch in series:
-            yield pd.Series(
-                [table[np.minimum(np.frombuffer((t or "").encode("utf-32-le"), np.uint32), last)] for t in batch]
-            )
-
-    return F.pandas_udf(encode, "array<int>", PandasUDFType.SCALAR_ITER)
-
-
 #: Texts that are encoded at a time: their ids take four bytes a character.
 TEXTS = 64
 

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quern.operators.tokens import BOS, EOS, IGNORE, PAD
 from quern.storage import Scratch
 
 MIN_TOKENS = 16
 PREFIX = 64
+#: Row counts that may be sorted in one list, and offset tables that may be broadcast.
+LIST_ROWS, BROADCAST_ROWS = 10_000, 100_000
 
 
 def token_windows(docs: DataFrame, length: int, ids: str = "ids") -> DataFrame:
@@ -45,8 +51,14 @@ def dedup_prefix(windows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def take_first(df: DataFrame, order: list[str], n: int) -> DataFrame:
-    """The first n rows by ``order``, kept distributed."""
-    return df.orderBy(*order).limit(n)
+    """The first n rows by ``order`` (nulls first; equal ones by content).
+
+    Up to ``LIST_ROWS`` rows are merged from each task's first n; more are numbered
+    where they are, so no task holds them all.
+    """
+    if n <= LIST_ROWS:
+        return df.orderBy(*order, F.xxhash64(*df.columns)).limit(n)
+    return with_ordinal(df, [], order, "_n").where(F.col("_n") < n).drop("_n")
 
 
 def difficulty(ids: Column) -> Column:
@@ -56,43 +68,40 @@ def difficulty(ids: Column) -> Column:
 
 
 def quota_mix(windows: DataFrame, targets: list[tuple[str, int]], order: list[str], scratch: Scratch) -> DataFrame:
-    """Windows of each source in turn up to its target, without prefixes emitted before.
+    """Windows of each source in turn up to its target, without prefixes emitted before, plus ``_step``.
 
     A window that is not emitted because its source's quota is full does not count as
     seen: a later source may still emit it. Emitted prefixes grow by source, so each
-    step reads the steps before it, as written tables.
+    step reads the steps before it, as written tables. ``windows`` is computed once.
     """
     spark, done = windows.sparkSession, None
+    kept = windows.columns
+    windows.withColumn("_by", F.col("source")).write.mode("overwrite").partitionBy("_by").parquet(scratch.path("windows"))
+    written = spark.read.schema(windows.withColumn("_by", F.col("source")).schema).parquet(scratch.path("windows"))
     for i, (source, target) in enumerate(targets):
-        fresh = dedup_prefix(windows.where(F.col("source") == source), order).withColumn("_p", prefix(F.col("input_ids")))
+        fresh = dedup_prefix(written.where(F.col("_by") == source).select(*kept), order).withColumn("_p", prefix(F.col("input_ids")))
         if done is not None:
             fresh = fresh.join(done.select(F.col("_p").alias("_seen")), F.col("_p") == F.col("_seen"), "left_anti")
         step = scratch.save(take_first(fresh, order, target).withColumn("_step", F.lit(i)), f"quota-{i}")
         done = step if done is None else done.unionByName(step)
-    return done.drop("_p") if done is not None else spark.createDataFrame([], windows.schema)
+    return done.drop("_p") if done is not None else windows.limit(0).withColumn("_step", F.lit(0))
 
 
 def seeded_key(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)))
 
 
-def interleave(records: DataFrame, seed: int) -> DataFrame:
-    """Columns of ``records`` plus slot: sources shuffled into each other, each in its own order.
+def interleave(records: DataFrame, seed: int, order: str | list[str] = "k") -> DataFrame:
+    """Columns of ``records`` plus k and slot: sources shuffled into each other, each in its own order.
 
-    ``records`` has source and k (0-based within its source). Every record draws a
-    slot; a source's slots, in order, are filled with its records, in order. A slot's
-    rank in its source is its rank in a bucket of slots plus the sizes of the buckets
-    before, so no task sorts a whole source.
+    ``records`` has source; k is a record's 0-based place by ``order`` in its source
+    (equal ones by content, null sources are a source). Every place draws a slot; a
+    source's slots, in order, are filled with its records, in order.
     """
-    slots = records.select("source", seeded_key(seed, "source", "k").alias("slot"))
-    slots = slots.withColumn("_b", F.substring("slot", 1, 3))
-    sizes = slots.groupBy("source", "_b").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(W.partitionBy("source").orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
-    offsets = sizes.select(F.col("source").alias("_s"), F.col("_b").alias("_c"), F.coalesce(before, F.lit(0)).alias("_before"))
-    near = F.row_number().over(W.partitionBy("source", "_b").orderBy("slot"))
-    ranked = slots.withColumn("_n", near).join(offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_c")))
-    ranked = ranked.select(F.col("source").alias("_s"), (F.col("_n") + F.col("_before") - 1).alias("_k"), "slot")
-    return records.join(ranked, F.col("source").eqNullSafe(F.col("_s")) & (F.col("k") == F.col("_k"))).drop("_s", "_k")
+    numbered = with_ordinal(records, ["source"], order, "_n").drop("k").withColumnRenamed("_n", "k")
+    slots = numbered.select("source", seeded_key(seed, "source", "k").alias("slot"))
+    ranked = with_ordinal(slots, ["source"], "slot", "_k").withColumnRenamed("source", "_s")
+    return numbered.join(ranked, F.col("source").eqNullSafe(F.col("_s")) & (F.col("k") == F.col("_k"))).drop("_s", "_k")
 
 
 def reservoir_sample(df: DataFrame, k: int, seed: int, key: str) -> DataFrame:
@@ -100,36 +109,63 @@ def reservoir_sample(df: DataFrame, k: int, seed: int, key: str) -> DataFrame:
     return df.withColumn("_h", seeded_key(seed, key)).orderBy("_h", key).limit(k).drop("_h")
 
 
-def starts(sizes: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """keys, order, start: the sum of n over the rows before, by key.
+def _running(batches: Iterator[pa.RecordBatch], size: str) -> Iterator[pa.RecordBatch]:
+    """Adds ``_near``: the sum of ``size`` over the rows of the partition before."""
+    total = 0
+    for batch in batches:
+        n = batch.column(size).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = total + np.cumsum(n)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - n)], names=[*batch.schema.names, "_near"])
+        total = int(ends[-1]) if len(ends) else total
+
+
+def starts(df: DataFrame, keys: list[str], order: str | list[str], size: str | None = None, name: str = "start") -> DataFrame:
+    """``df`` plus ``name``: the sum of column ``size`` (1 without it) over the rows before by ``order``, within ``keys``.
 
-    Rows are range-partitioned; sums over partitions are shifted first, then sums run
-    within partitions. Nothing but one row for each partition and key meets in a task.
+    Null keys are keys; null orders come first; rows of equal order go by a hash of
+    their content. Rows are range-partitioned by all of that and written with their
+    place in the partition, so each is kept exactly once and no task sees a whole key.
+    Only the sums of each partition and key, at most as many as both together, are
+    joined to them.
     """
-    scratch = Scratch(sizes.sparkSession, "starts")
-    dealt = scratch.save(sizes.repartitionByRange(*keys, order).withColumn("_p", F.spark_partition_id()), "dealt")
-    past = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = dealt.groupBy(*keys, "_p").agg(F.sum("n").alias("n"))
-    sums = sums.select(*keys, "_p", past(W.partitionBy(*keys).orderBy("_p")).alias("_before"))
-    near = dealt.select(*keys, order, "_p", past(W.partitionBy(*keys, "_p").orderBy(order)).alias("_near"))
-    return near.join(F.broadcast(sums) if not keys else sums, [*keys, "_p"]).select(*keys, order, (F.col("_before") + F.col("_near")).alias("start"))
+    order = [order] if isinstance(order, str) else [*order]
+    scratch = Scratch(df.sparkSession, "starts")
+    by = [*keys, *order, "_tie"]
+    dealt = df.withColumn("_tie", F.xxhash64(*df.columns)).repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie")
+    if size is None:
+        at = F.monotonically_increasing_id()  # the partition, then the place in it in 33 bits
+        dealt = dealt.withColumn("_at", at).select("*", F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_near"))
+        dealt, n = dealt.drop("_at"), F.lit(1).cast("long")
+    else:
+        schema = StructType([*dealt.schema, StructField("_near", LongType())])
+        dealt = dealt.mapInArrow(lambda it: _running(it, size), schema).withColumn("_part", F.spark_partition_id().cast("long"))
+        n = F.col(size).cast("long")
+    dealt = scratch.save(dealt, "dealt")
+    sums = dealt.groupBy(*keys, "_part").agg(F.sum(n).alias("_sum"), F.min("_near").alias("_first"))
+    before = F.sum("_sum").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    named = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
+    offsets = scratch.save(sums.select(*named, F.col("_part").alias("_q"), (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift")), "offsets")
+    same = F.col("_part") == F.col("_q")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    small = offsets.count() <= BROADCAST_ROWS
+    return dealt.join(F.broadcast(offsets) if small else offsets, same).select(*df.columns, (F.col("_near") + F.col("_shift")).alias(name))
 
 
 def repack(records: DataFrame, length: int, order: str = "ord", key: str | None = None) -> DataFrame:
     """window, tokens, trust: records laid end to end and cut every ``length`` + 1 tokens.
 
     ``records`` has ``order``, input_ids and trust_score; each gives its first
-    ``length`` + 1 ids if there are at least two. The trust is that of the first token.
+    ``length`` + 1 ids if there are at least two. Records of equal or null order all
+    stay (null first, equal ones by content). The trust is that of the first token.
     The incomplete rest is left out. Positions are prefix sums over record sizes; a
     record is then cut where windows end, so no window ever runs over tokens. With
-    ``key`` every key is a stream of its own.
+    ``key`` every key is a stream of its own, the null key too.
     """
-    width = length + 1
     keys = [key] if key else []
-    cut = F.slice("input_ids", 1, width)
-    rows = records.select(*keys, order, cut.alias("ids"), "trust_score").where(F.size("ids") >= 2)
-    sizes = rows.select(*keys, order, F.size("ids").cast("long").alias("n"))
-    placed = rows.join(starts(sizes, [*keys], order), [*keys, order])
+    cut = F.slice("input_ids", 1, length + 1)
+    rows = records.select(*keys, order, cut.alias("ids"), "trust_score").where(F.size("input_ids") >= 2)
+    placed = starts(rows.withColumn("_n", F.size("ids").cast("long")), keys, order, "_n")
     return cut_stream(placed, length, keys)
 
 
@@ -137,24 +173,21 @@ def cut_stream(placed: DataFrame, length: int, keys: list[str]) -> DataFrame:
     """window, tokens, trust of whole records (ids, trust_score) from their start in the stream.
 
     A window within one record is complete at once; only pieces at the ends of records
-    are grouped.
+    are grouped. All pieces are written once.
     """
     width = length + 1
     size = F.size("ids").cast("long")
-    first, last = F.floor(F.col("start") / width), F.floor((F.col("start") + size - 1) / width)
+    first, last = F.expr(f"start div {width}"), F.expr(f"(start + size(ids) - 1) div {width}")
 
     def piece(w: Column) -> Column:
         begin = F.greatest(w * width - F.col("start"), F.lit(0)).cast("int")
         end = F.least((w + 1) * width - F.col("start"), size).cast("int")
         return F.struct(w.alias("window"), (F.col("start") + begin).alias("at"), F.slice("ids", begin + 1, end - begin).alias("piece"))
 
-    def pieces(at: Column) -> DataFrame:
-        parts = placed.select(*keys, "trust_score", F.explode(F.transform(at, piece)).alias("_p"))
-        return parts.select(*keys, "_p.window", "_p.at", "_p.piece", "trust_score")
-
-    inner = pieces(F.sequence(first, last)).where(F.size("piece") == width)
-    ends = pieces(F.array_distinct(F.array(first, last))).where(F.size("piece") < width)
-    listed = ends.groupBy(*keys, "window").agg(F.array_sort(F.collect_list(F.struct("at", "piece", "trust_score"))).alias("p"))
+    parts = placed.where(F.size("ids") > 0).select(*keys, "trust_score", F.explode(F.transform(F.sequence(first, last), piece)).alias("_p"))
+    parts = Scratch(placed.sparkSession, "repack").save(parts.select(*keys, "_p.*", "trust_score"), "pieces")
+    inner = parts.where(F.size("piece") == width)
+    listed = parts.where(F.size("piece") < width).groupBy(*keys, "window").agg(F.array_sort(F.collect_list(F.struct("at", "piece", "trust_score"))).alias("p"))
     joined = listed.select(*keys, "window", F.flatten(F.transform("p", lambda x: x["piece"])).alias("tokens"), F.col("p")[0]["trust_score"].alias("trust"))
     inner = inner.select(*keys, "window", F.col("piece").alias("tokens"), F.col("trust_score").alias("trust"))
     return inner.unionByName(joined.where(F.size("tokens") == width))
@@ -177,6 +210,13 @@ def windows_of(n, length: int):
     return (n - rest) / body + (rest + 1 >= MIN_TOKENS).cast("int") if isinstance(n, Column) else n // body + (rest + 1 >= MIN_TOKENS)
 
 
+def sizes(n: Column, length: int) -> Column:
+    """The ids but PAD of each of the ``token_windows`` of n ids: a piece and BOS."""
+    body = length - 2
+    starts_ = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(body))).otherwise(F.array().cast("array<int>"))
+    return F.filter(F.transform(starts_, lambda s: F.least(n - s, F.lit(body)) + 1), lambda m: m >= MIN_TOKENS)
+
+
 def batches(windows: DataFrame, batch: int, length: int) -> DataFrame:
     """batch_id, slot, input_ids, labels (PAD ignored), trust of repacked windows."""
     labels = F.transform(F.slice("tokens", 2, length), lambda t: F.when(t == PAD, IGNORE).otherwise(t))
@@ -189,21 +229,22 @@ def batches(windows: DataFrame, batch: int, length: int) -> DataFrame:
     )
 
 
-def validate(records: DataFrame, vocab: int) -> DataFrame:
-    """Columns of ``records`` plus ``problem``: null where a record is sound."""
+def validate(records: DataFrame, vocab: int, length: int | None = None) -> DataFrame:
+    """Columns of ``records`` plus ``problem``: null where a record is sound; with ``length`` all must have it."""
     ids = F.forall("input_ids", lambda x: (x == PAD) | ((x >= 0) & (x < vocab)))
     labels = F.forall("labels", lambda x: (x == IGNORE) | ((x >= 0) & (x < vocab)))
     problem = (
         F.when(F.col("input_ids").isNull() | F.col("labels").isNull() | F.col("source").isNull() | F.col("trust_score").isNull(), "missing")
         .when(F.size("input_ids") != F.size("labels"), "lengths")
         .when(F.size("input_ids") == 0, "empty")
+        .when(F.size("input_ids") != (F.size("input_ids") if length is None else F.lit(length)), "length")
+        .when(F.exists("input_ids", lambda x: x.isNull()) | F.exists("labels", lambda x: x.isNull()), "null id")
         .when(~ids, "input id out of range")
         .when(~labels, "label out of range")
     )
     return records.withColumn("problem", problem)
 
 
-def with_ordinal(df: DataFrame, keys: list[str], order: str, name: str = "k") -> DataFrame:
-    """``df`` plus its 0-based place by ``order`` within ``keys``; no task sees a whole key."""
-    ones = df.select(*keys, order, F.lit(1).cast("long").alias("n"))
-    return df.join(starts(ones, keys, order).withColumnRenamed("start", name), [*keys, order])
+def with_ordinal(df: DataFrame, keys: list[str], order: str | list[str], name: str = "k") -> DataFrame:
+    """``df`` plus its 0-based place by ``order`` within ``keys``: see ``starts``."""
+    return starts(df, keys, order, None, name)

@@ -17,10 +17,10 @@ VOCAB = 40
 #: Fixed value: the vocabulary that the tokenizer is trained to.
 TRAINED = 32_768
 SEED = 42
-QUOTA = 1_000
+#: Fixed value: records that a build aims at.
+QUOTA = 1_000_000
 SUBSET = 200
 SAMPLE = 256
-REPACK = 64
 BATCH = 4
 GROUPS = list(catalog.GROUPS)
 
@@ -30,12 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def group_of(source: Column) -> Column:
-    n = F.regexp_extract(source, r"(\d+)", 1).cast("int") % 4
-    return F.element_at(F.array(*(F.lit(g) for g in GROUPS)), n + 1)
+    """A group by the first number in a source's name; ``other`` where there is none."""
+    n = F.regexp_extract(source, r"(\d+)", 1).try_cast("int") % 4
+    return F.coalesce(F.element_at(F.array(*(F.lit(g) for g in GROUPS)), n + 1), F.lit("other"))
 
 
 def trust_of(group: Column) -> Column:
-    out = F.lit(None).cast("double")
+    out = F.lit(jsonl.DEFAULT_TRUST)
     for name, trust in catalog.GROUP_TRUST.items():
         out = F.when(group == name, F.lit(trust)).otherwise(out)
     return out
@@ -51,18 +52,35 @@ def joined_ids(ids: Column) -> Column:
     return F.md5(F.array_join(ids.cast("array<string>"), " "))
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """``base``, stripped once and written, for queries that read it more than once."""
+    return Scratch(spark, name).save(base(spark, sf_dir), "texts")
+
+
+def cut_texts(docs: DataFrame) -> DataFrame:
+    """Texts of at least 50 characters, cut to what the window builder reads."""
+    return docs.where(F.length("txt") >= T.MIN_CHARS).withColumn("txt", F.substring("txt", 1, T.MAX_CHARS))
+
+
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, grp, ids: character ids of the texts of at least 50 characters."""
-    docs = base(spark, sf_dir).where(F.length("txt") >= T.MIN_CHARS)
-    encode = tokens.char_encoder(tokens.char_vocab(base(spark, sf_dir).select(F.col("txt").alias("text"))))
-    return docs.select("doc_id", "grp", encode(F.substring("txt", 1, T.MAX_CHARS)).alias("ids"))
+    docs = texts(spark, sf_dir, "encoded")
+    vocab = tokens.char_vocab(docs.select(F.col("txt").alias("text")))
+    return tokens.encode_texts(cut_texts(docs), vocab)
 
 
 def whole_texts(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, DataFrame]:
     """doc_id, ids of every text, whole; and the vocabulary. Texts are stripped once."""
-    texts = Scratch(spark, name).save(base(spark, sf_dir).select("doc_id", "txt"), "texts")
-    vocab = tokens.char_vocab(texts.select(F.col("txt").alias("text")))
-    return tokens.encode_texts(texts, vocab), vocab
+    docs = texts(spark, sf_dir, name).select("doc_id", "txt")
+    vocab = tokens.char_vocab(docs.select(F.col("txt").alias("text")))
+    return tokens.encode_texts(docs, vocab), vocab
+
+
+def window_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, trust_score, n of each row of ``windowed``: its ids but PAD. A character is an id, so lengths are enough."""
+    docs = base(spark, sf_dir).select("grp", F.least(F.length("txt"), F.lit(T.MAX_CHARS)).alias("_n")).where(F.col("_n") >= T.MIN_CHARS)
+    rows = docs.select("grp", F.explode(windows.sizes(F.col("_n"), LENGTH)).alias("n"))
+    return rows.select(F.col("grp").alias("source"), trust_of(F.col("grp")).alias("trust_score"), F.col("n").cast("long").alias("n"))
 
 
 def windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,12 +162,17 @@ def valid_subset(spark, sf_dir):
 
 
 def source_stats(spark, sf_dir):
-    real = F.size(F.filter("input_ids", lambda x: x != 0)).cast("long")
-    return windowed(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n_records"), F.sum(real).alias("n_tokens"), F.round(F.avg(real), 6).alias("mean_tokens"))
+    n = F.col("n")
+    return window_sizes(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n_records"), F.sum(n).alias("n_tokens"), F.round(F.avg(n), 6).alias("mean_tokens"))
+
+
+def build_totals(spark, sf_dir):
+    n = F.col("n")
+    return window_sizes(spark, sf_dir).agg(F.count("*").alias("n_records"), F.coalesce(F.sum(n), F.lit(0)).alias("n_tokens"), F.round(F.avg(n), 6).alias("mean_tokens"))
 
 
 def group_mix(spark, sf_dir):
-    counts = windowed(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
+    counts = window_sizes(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
     fixed = spark.createDataFrame([(i, g) for i, g in enumerate([*GROUPS, "other"])], "ord int, source string")
     rows = fixed.join(counts, "source", "left").select("ord", "source", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     total = rows.agg(F.sum("n").alias("all_n"))
@@ -179,19 +202,20 @@ def bpe_best_pair(spark, sf_dir):
 
 def _sample(spark, sf_dir, n):
     """The first int(n * share) texts of each group, cut to what the tokenizer reads."""
-    docs = windows.with_ordinal(base(spark, sf_dir).where(F.length("txt") >= T.MIN_CHARS), ["grp"], "doc_id")
+    docs = base(spark, sf_dir).where(F.length("txt") >= T.MIN_CHARS).select("doc_id", "grp", F.substring("txt", 1, T.TOKENIZER_CHARS).alias("text"))
+    docs = windows.with_ordinal(docs, ["grp"], "doc_id")
     most = F.lit(0)
     for group, share in catalog.GROUPS.items():
         most = F.when(F.col("grp") == group, F.lit(int(n * share))).otherwise(most)
-    return docs.where(F.col("k") < most).select("doc_id", "grp", F.substring("txt", 1, T.TOKENIZER_CHARS).alias("text"))
+    return docs.where(F.col("k") < most).select("doc_id", "grp", "text")
 
 
 def tokenizer_sample(spark, sf_dir):
-    return _sample(spark, sf_dir, QUOTA).select("doc_id", "grp", F.md5("text").alias("digest"))
+    return _sample(spark, sf_dir, catalog.tokenizer_texts(QUOTA)).select("doc_id", "grp", F.md5("text").alias("digest"))
 
 
 def _trained(spark, sf_dir):
-    freqs = {r["word"]: r["freq"] for r in tokens.word_freq(_sample(spark, sf_dir, catalog.tokenizer_texts(1_000_000))).collect()}
+    freqs = {r["word"]: r["freq"] for r in tokens.word_freq(_sample(spark, sf_dir, catalog.tokenizer_texts(QUOTA))).collect()}
     return tokens.train_bpe(freqs, TRAINED)
 
 
@@ -229,9 +253,7 @@ def pretokenize(spark, sf_dir):
 
 
 def length_stats(spark, sf_dir):
-    n = F.size(F.filter("input_ids", lambda x: x != 0)).cast("long")
-    rows = windowed(spark, sf_dir).select("source", "trust_score", n.alias("n"))
-    return rows.groupBy("source").agg(
+    return window_sizes(spark, sf_dir).groupBy("source").agg(
         F.count("*").alias("rows"),
         F.round(F.avg("n"), 6).alias("mean_n"),
         F.round(F.stddev_samp("n"), 6).alias("std_n"),
@@ -272,14 +294,14 @@ def quota_mix(spark, sf_dir):
 
 
 def skip_take(spark, sf_dir):
-    docs = windows.with_ordinal(base(spark, sf_dir), [], "doc_id").where("k >= 100")
-    sound = docs.where(F.length("txt") >= T.MIN_CHARS).select("doc_id", "grp")
+    docs = base(spark, sf_dir).select("doc_id", "grp", F.length("txt").alias("n"))
+    sound = windows.with_ordinal(docs, [], "doc_id").where((F.col("k") >= 100) & (F.col("n") >= T.MIN_CHARS)).select("doc_id", "grp")
     return windows.take_first(sound, ["doc_id"], SUBSET)
 
 
 def interleave(spark, sf_dir):
-    rows = base(spark, sf_dir).select(F.col("grp").alias("source"), "doc_id")
-    return windows.interleave(windows.with_ordinal(rows, ["source"], "doc_id"), SEED).select("source", "k", "doc_id", "slot")
+    rows = table(spark, sf_dir, "documents").select(group_of(F.col("source")).alias("source"), "doc_id")
+    return windows.interleave(rows, SEED, "doc_id").select("source", "k", "doc_id", "slot")
 
 
 def reservoir_sample(spark, sf_dir):
@@ -288,12 +310,11 @@ def reservoir_sample(spark, sf_dir):
 
 def repack(spark, sf_dir):
     """The rows of windowed(), laid end to end by doc_id and window; none is cut, so a text's windows travel as one record."""
-    texts = Scratch(spark, "repack").save(base(spark, sf_dir), "texts")  # stripped once, read by each pass
-    docs = texts.where(F.length("txt") >= T.MIN_CHARS)
-    docs = docs.select("doc_id", F.substring("txt", 1, T.MAX_CHARS).alias("txt"), trust_of(F.col("grp")).alias("trust_score"))
+    docs = texts(spark, sf_dir, "repack")  # stripped once, read by each pass
+    vocab = tokens.char_vocab(docs.select(F.col("txt").alias("text")))
     n = windows.windows_of(F.length("txt"), LENGTH) * LENGTH  # one id a character
-    placed = docs.join(windows.starts(docs.select("doc_id", n.cast("long").alias("n")), [], "doc_id"), "doc_id")
-    vocab = tokens.char_vocab(texts.select(F.col("txt").alias("text")))
+    cut = cut_texts(docs).select("doc_id", "txt", trust_of(F.col("grp")).alias("trust_score"))
+    placed = windows.starts(cut.withColumn("_n", n.cast("long")), [], "doc_id", "_n").drop("_n")
     placed = tokens.encode_texts(placed, vocab, lay=partial(windows.laid, length=LENGTH))
     packed = windows.batches(windows.cut_stream(placed, LENGTH, []), BATCH, LENGTH)
     return packed.select("batch_id", "slot", joined_ids(F.col("input_ids")).alias("ids"), joined_ids(F.col("labels")).alias("labels"), "trust")
@@ -317,7 +338,7 @@ def jsonl_scan(spark, sf_dir):
 NAMES = [
     "source_texts", "extract_text", "extract_magicoder", "extract_problem_solution", "extract_math_instruct",
     "extract_conversations", "score_filter", "vocab_range", "validate_records", "valid_subset", "source_stats",
-    "group_mix", "word_freq", "char_vocab", "bpe_pair_counts", "bpe_best_pair", "bpe_merges", "encode_bpe",
+    "build_totals", "group_mix", "word_freq", "char_vocab", "bpe_pair_counts", "bpe_best_pair", "bpe_merges", "encode_bpe",
     "encode_char", "decode_roundtrip", "pretokenize", "tokenizer_sample", "length_stats", "missing_tags",
     "dedup_prefix", "quota_mix", "skip_take", "interleave", "difficulty_sort", "reservoir_sample", "token_windows",
     "repack", "jsonl_scan",
@@ -335,24 +356,26 @@ def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_GRP = "[" + ", ".join(f"'{g}'" for g in GROUPS) + "][1 + regexp_extract(source, '(\\d+)', 1)::INT % 4]"
-_TRUST = "CASE grp " + " ".join(f"WHEN '{g}' THEN {t}::DOUBLE" for g, t in catalog.GROUP_TRUST.items()) + " END"
+_GRP = "coalesce([" + ", ".join(f"'{g}'" for g in GROUPS) + "][1 + TRY_CAST(regexp_extract(source, '(\\d+)', 1) AS INT) % 4], 'other')"
+_TRUST = "CASE grp " + " ".join(f"WHEN '{g}' THEN {t}::DOUBLE" for g, t in catalog.GROUP_TRUST.items()) + f" ELSE {jsonl.DEFAULT_TRUST}::DOUBLE END"
 _STRIP = _q(T.STRIP)
 _BASE = f"""b AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), {_STRIP}, '', 'g') AS txt, {_GRP} AS grp FROM documents)"""
-_ENC = (
+_CHARS = (
     _BASE
     + f""",
 v AS (
   SELECT ch, row_number() OVER (ORDER BY unicode(ch)) + 3 AS id
   FROM (SELECT DISTINCT unnest(regexp_extract_all(txt, '(?s).')) AS ch FROM b)),
-m AS (SELECT map_from_entries(list((ch, id))) AS m FROM v),
+m AS (SELECT map_from_entries(list((ch, id))) AS m FROM v)"""
+)
+_ENC = (
+    _CHARS
+    + f""",
 n AS (
-  SELECT doc_id, grp, txt, list_transform(regexp_extract_all(txt[1:{T.MAX_CHARS}], '(?s).'), lambda c: (SELECT m FROM m)[c]::INT) AS ids
-  FROM b WHERE length(txt) >= {T.MIN_CHARS})"""
+  SELECT doc_id, grp, txt, list_transform(regexp_extract_all(txt[1:{T.MAX_CHARS}], '(?s).'), lambda c: m[c]::INT) AS ids
+  FROM b, m WHERE length(txt) >= {T.MIN_CHARS})"""
 )
-# The map is joined in rather than looked up in a lambda's subquery.
-_ENC = _ENC.replace("(SELECT m FROM m)[c]", "m[c]").replace("FROM b WHERE", "FROM b, m WHERE")
 _BODY = LENGTH - 2
 _WIN = (
     _ENC
@@ -414,7 +437,7 @@ _PRE = f"unnest(regexp_extract_all(txt, {_q(T.PRETOKEN)}))"
 _FREQ = f"{_BASE}, wf AS (SELECT word, count(*)::BIGINT AS freq FROM (SELECT {_PRE} AS word FROM b) GROUP BY word)"
 _PAIRS = f"""{_FREQ}, c AS (SELECT regexp_extract_all(word, '(?s).') AS s, freq FROM wf),
 pc AS (SELECT s[i] AS a, s[i + 1] AS b, sum(freq)::BIGINT AS cnt FROM c, unnest(range(1, len(s))) AS u(i) GROUP BY ALL)"""
-_QUOTAS = " ".join(f"WHEN '{g}' THEN {int(QUOTA * s)}" for g, s in catalog.GROUPS.items())
+_QUOTAS = " ".join(f"WHEN '{g}' THEN {int(catalog.tokenizer_texts(QUOTA) * s)}" for g, s in catalog.GROUPS.items())
 
 
 def oracle_sql() -> dict[str, str]:
@@ -438,6 +461,8 @@ WHERE coalesce(quality, 0) >= 1 AND length(txt) >= 50""",
 ORDER BY doc_id, win LIMIT {SUBSET}""",
         "source_stats": f"""WITH {_WIN} SELECT source, count(*)::BIGINT AS n_records, sum({real})::BIGINT AS n_tokens,
   round(avg({real}), 6) AS mean_tokens FROM w GROUP BY source""",
+        "build_totals": f"""WITH {_WIN} SELECT count(*)::BIGINT AS n_records, coalesce(sum({real}), 0)::BIGINT AS n_tokens,
+  round(avg({real}), 6) AS mean_tokens FROM w""",
         "group_mix": f"""WITH {_WIN}, c AS (SELECT source, count(*)::BIGINT AS n FROM w GROUP BY source),
 r AS (SELECT ord, source, coalesce(n, 0)::BIGINT AS n FROM (VALUES {groups}) AS f(ord, source) LEFT JOIN c USING (source))
 SELECT ord::INT AS ord, source, n, round(n * 100.0::DOUBLE / sum(n) OVER (), 6) AS pct FROM r""",
@@ -445,8 +470,10 @@ SELECT ord::INT AS ord, source, n, round(n * 100.0::DOUBLE / sum(n) OVER (), 6)
         "char_vocab": f"WITH {_ENC} SELECT ch, id::INT AS id FROM v",
         "bpe_pair_counts": f"WITH {_PAIRS} SELECT a, b, cnt FROM pc",
         "bpe_best_pair": f"WITH {_PAIRS} SELECT a, b, cnt FROM pc WHERE cnt >= 2 ORDER BY cnt DESC, a DESC, b DESC LIMIT 1",
-        "encode_char": f"WITH {_ENC} SELECT doc_id, (len(ids) + 2)::INT AS n_tokens, {_ids('[2] || ids || [3]')} AS digest FROM n",
-        "decode_roundtrip": f"WITH {_ENC} SELECT doc_id, md5(txt[1:{T.MAX_CHARS}]) AS digest FROM n",
+        "encode_char": f"""WITH {_CHARS}, a AS (
+  SELECT doc_id, list_transform(regexp_extract_all(txt, '(?s).'), lambda c: m[c]::INT) AS ids FROM b, m)
+SELECT doc_id, (len(ids) + 2)::INT AS n_tokens, {_ids('[2] || ids || [3]')} AS digest FROM a""",
+        "decode_roundtrip": f"WITH {_BASE} SELECT doc_id, md5(txt) AS digest FROM b",
         "pretokenize": f"""WITH {_BASE}, t AS (SELECT doc_id, regexp_extract_all(txt, {_q(T.PRETOKEN)}) AS p FROM b)
 SELECT doc_id, len(p)::INT AS n, md5(array_to_string(p, '|')) AS digest FROM t""",
         "tokenizer_sample": f"""WITH {_BASE}, k AS (
@@ -470,12 +497,11 @@ SELECT source, k::BIGINT AS k, doc_id, slot FROM r JOIN t USING (source, k)""",
   round(len(list_distinct(list_filter(input_ids, lambda x: x <> 0)))::DOUBLE / len(input_ids), 9) AS difficulty FROM uq""",
         "reservoir_sample": f"""WITH {_BASE} SELECT doc_id, grp FROM b ORDER BY md5('{SEED}:' || doc_id), doc_id LIMIT {SAMPLE}""",
         "token_windows": f'WITH {_WIN} SELECT doc_id, win AS "window", {_ids("input_ids")} AS ids, {_ids("labels")} AS labels FROM w',
-        "repack": f"""WITH {_ENC}, r AS (SELECT doc_id, {_TRUST} AS trust, ids[1:{REPACK + 1}] AS c FROM n WHERE len(ids) >= 2),
-z AS (SELECT doc_id, trust, c, coalesce(sum(len(c)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM r),
-tk AS (SELECT trust, c[j] AS t, (s + j - 1)::BIGINT AS pos FROM z, unnest(range(1, len(c) + 1)) AS u(j)),
-l AS (SELECT pos // {REPACK + 1} AS win, list(t ORDER BY pos) AS t, arg_min(trust, pos) AS trust FROM tk GROUP BY 1 HAVING count(*) = {REPACK + 1})
-SELECT (win // {BATCH})::BIGINT AS batch_id, (win % {BATCH})::BIGINT AS slot, {_ids(f"t[1:{REPACK}]")} AS ids,
-  {_ids(f"list_transform(t[2:{REPACK + 1}], lambda x: CASE WHEN x = 0 THEN -100 ELSE x END)")} AS labels, trust FROM l""",
+        "repack": f"""WITH {_WIN}, z AS (SELECT trust_score AS trust, input_ids AS c, (row_number() OVER (ORDER BY doc_id, win) - 1) * {LENGTH} AS s FROM w),
+tk AS (SELECT trust, c[j] AS t, (s + j - 1)::BIGINT AS pos FROM z, unnest(range(1, {LENGTH + 1})) AS u(j)),
+l AS (SELECT pos // {LENGTH + 1} AS win, list(t ORDER BY pos) AS t, arg_min(trust, pos) AS trust FROM tk GROUP BY 1 HAVING count(*) = {LENGTH + 1})
+SELECT (win // {BATCH})::BIGINT AS batch_id, (win % {BATCH})::BIGINT AS slot, {_ids(f"t[1:{LENGTH}]")} AS ids,
+  {_ids(f"list_transform(t[2:{LENGTH + 1}], lambda x: CASE WHEN x = 0 THEN -100 ELSE x END)")} AS labels, trust FROM l""",
         "jsonl_scan": """SELECT doc_id, 3 AS n, CASE WHEN doc_id % 6 = 0 THEN 1.0 ELSE 95.5 END::DOUBLE AS trust_score,
   CASE WHEN doc_id % 6 = 0 THEN 'code' ELSE 'math' END AS source FROM documents WHERE doc_id % 6 IN (0, 4, 5)""",
     }

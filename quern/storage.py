@@ -13,20 +13,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where none is set (tests)."""
+    """The session's checkpoint folder. Only a local master, whose tasks share the driver's disk, may go without."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 class Scratch:
-    """Named tables of one operator run, each written once and read back."""
+    """Named tables of one operator run, each written once and read back.
+
+    Tables that a returned DataFrame still reads are deleted when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_root(spark)}/quern/{name}-{uuid.uuid4().hex}"
+        path = self._hadoop(self.base)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _hadoop(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -37,7 +49,6 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+            path = self._hadoop(self.path(name))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
