@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What counts as white space at the ends of a text.
+#: What counts as white space at the ends of a text, as a list and as a class.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SPACE = r"\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 STRIP = rf"^[{SPACE}]+|[{SPACE}]+\z"
 #: Fixed value: ordered alternatives of the pre-tokenizer, in a form that Java and RE2 read alike.
@@ -19,7 +20,8 @@ TOKENIZER_CHARS = 4_096
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, STRIP, "")
+    """``text`` without the white space at its ends; only the ends are looked at."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def first_filled(*columns: Column) -> Column:

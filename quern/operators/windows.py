@@ -46,8 +46,13 @@ def prefix(ids: Column) -> Column:
 
 def dedup_prefix(windows: DataFrame, order: list[str]) -> DataFrame:
     """The first window, by ``order``, of each 64-id prefix."""
-    first = F.row_number().over(W.partitionBy(prefix(F.col("input_ids"))).orderBy(*order))
-    return windows.withColumn("_n", first).where("_n = 1").drop("_n")
+    return _first_by(windows, prefix(F.col("input_ids")), order)
+
+
+def _first_by(rows: DataFrame, key: Column | str, order: list[str]) -> DataFrame:
+    """The first row, by ``order``, of each key; each task sends one row of a key at most."""
+    first = F.row_number().over(W.partitionBy(key).orderBy(*order))
+    return rows.withColumn("_n", first).where("_n = 1").drop("_n")
 
 
 def take_first(df: DataFrame, order: list[str], n: int) -> DataFrame:
@@ -74,17 +79,22 @@ def quota_mix(windows: DataFrame, targets: list[tuple[str, int]], order: list[st
     seen: a later source may still emit it. Emitted prefixes grow by source, so each
     step reads the steps before it, as written tables. ``windows`` is computed once.
     """
-    spark, done = windows.sparkSession, None
-    kept = windows.columns
-    windows.withColumn("_by", F.col("source")).write.mode("overwrite").partitionBy("_by").parquet(scratch.path("windows"))
-    written = spark.read.schema(windows.withColumn("_by", F.col("source")).schema).parquet(scratch.path("windows"))
+    # Steps carry a row's number, order and prefix; whole rows are fetched at the end.
+    rows = scratch.save(windows.select("*", prefix(F.col("input_ids")).alias("_p"), F.monotonically_increasing_id().alias("_row")), "windows")
+    done = None
     for i, (source, target) in enumerate(targets):
-        fresh = dedup_prefix(written.where(F.col("_by") == source).select(*kept), order).withColumn("_p", prefix(F.col("input_ids")))
+        fresh = rows.where(F.col("source") == source).select("_row", *(c for c in order if c != "_row"), "_p")
+        fresh = _first_by(fresh, "_p", order)
         if done is not None:
             fresh = fresh.join(done.select(F.col("_p").alias("_seen")), F.col("_p") == F.col("_seen"), "left_anti")
-        step = scratch.save(take_first(fresh, order, target).withColumn("_step", F.lit(i)), f"quota-{i}")
-        done = step if done is None else done.unionByName(step)
-    return done.drop("_p") if done is not None else windows.limit(0).withColumn("_step", F.lit(0))
+        fresh = scratch.save(fresh.withColumn("_step", F.lit(i)), f"fresh-{i}")
+        if fresh.count() > target:
+            fresh = scratch.save(take_first(fresh, order, target), f"quota-{i}")
+        done = fresh if done is None else done.unionByName(fresh)
+    if done is None:
+        return windows.limit(0).withColumn("_step", F.lit(0))
+    chosen = done.select(F.col("_row").alias("_chosen"), "_step")
+    return rows.join(chosen, F.col("_row") == F.col("_chosen")).drop("_p", "_row", "_chosen")
 
 
 def seeded_key(seed: int, *columns: str) -> Column:
