@@ -6,8 +6,9 @@ many tokens it expands to. The template marks turns with control strings; inside
 texts those are escaped reversibly: a backslash is doubled, and a control string gets
 one after its first character.
 
-Formatted text is kept as one piece per message. Pieces of a conversation stand next
-to each other in order, so readers stream them and never hold a whole conversation.
+Formatted text is kept as one piece per message, numbered within its conversation, so
+messages are formatted wherever they are and a long conversation is dealt out; readers
+sort pieces by number and stream them, and never hold a whole conversation.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.rows import Columns, map_rows
+from quern.operators.windows import with_ordinal
+
 #: What the template writes itself and therefore escapes inside texts.
 CONTROL = ("<|turn|>", "<|end|>", "<|image|>", "<|audio|>", "<|document|>", "<s>", "</s>", "[INST]", "[/INST]")
 _ESCAPE = re.compile(r"\\|" + "|".join(map(re.escape, CONTROL)))
@@ -89,56 +92,57 @@ def parse(text: str) -> tuple[str, str, int, int]:
     return unescape(m[1]), unescape(m[2]), m.start(2), m.end(2)
 
 
-FORMATTED = f"conv_id long, turn long, piece string, loss_start int, loss_end int, attachments array<{ATTACHMENT}>"
+FORMATTED = f"conv_id long, position long, turn long, piece string, loss_start int, loss_end int, attachments array<{ATTACHMENT}>"
 
 
-def _pieces(batches: Iterator[pd.DataFrame], learned: tuple[str, ...]) -> Iterator[pd.DataFrame]:
+def _pieces(batches: Iterator[Columns], learned: tuple[str, ...]) -> Iterator[list[tuple]]:
     for batch in batches:
         rows = []
-        for conv, turn, role, parts in batch.itertuples(index=False, name=None):
+        for conv, position, turn, role, parts in zip(*(batch[c] for c in ("conv_id", "position", "turn", "role", "parts")), strict=True):
             seen = Flattener()
-            for n, part in enumerate(parts if parts is not None else ()):
-                seen.visit(n, part)
-            role, body = role if isinstance(role, str) else "", "".join(seen.out)
+            for n, part in enumerate(parts or ()):
+                if part is not None:
+                    seen.visit(n, part)
+            role, body = role or "", "".join(seen.out)
             text = piece(role, body)
             end = len(text) - len("<|end|>\n")
             start = end - len(body) if role in learned else end
-            rows.append((conv, turn, text, start, end, seen.attachments))
-        frame = pd.DataFrame(rows, columns=["conv_id", "turn", "piece", "loss_start", "loss_end", "attachments"])
-        yield frame.astype({"conv_id": "Int64", "turn": "Int64"})
+            rows.append((conv, position, turn, text, start, end, seen.attachments))
+        yield rows
 
 
 def format_turns(messages: DataFrame, learned: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """Pieces in conversation order: conv_id, turn, piece, loss span in it, attachments.
+    """``FORMATTED``: a piece for each message, its place in the conversation from 0, its loss span, attachments.
 
     ``messages`` has conv_id, turn, role and either ``parts`` (array of ``PART``) or
-    ``text``, one text part. Rows go by turn; equal turns by role, then content. Null
-    roles and texts are empty. Null conv_ids form a conversation. The loss span is
-    the body where the role is learned, else empty. Other columns are not used.
+    ``text``, one text part. Rows go by turn (null first); equal turns by role, then
+    content; repeated rows all count. Null roles, texts and parts are empty. Null
+    conv_ids form a conversation. The loss span is the body where the role is learned,
+    else empty. Other columns are not used; an empty table gives no piece. Rows come
+    in no order: a conversation's pieces, by position, are its text.
     """
     if "parts" in messages.columns:
         parts = F.col("parts").cast(f"array<{PART}>")
     else:
         nothing = F.lit(None)
         parts = F.array(F.struct(F.lit("text").alias("type"), F.coalesce("text", F.lit("")).alias("text"), *(nothing.alias(x) for x in ("ref", "width", "height", "seconds", "pages")))).cast(f"array<{PART}>")
-    rows = messages.select("conv_id", "turn", "role", parts.alias("parts"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "parts")
-    return rows.mapInPandas(lambda it: _pieces(it, learned), FORMATTED)
+    rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", parts.alias("parts"))
+    rows = with_ordinal(rows, ["conv_id"], ["turn", "role", "parts"], "position")
+    return map_rows(rows, lambda it: _pieces(it, learned), FORMATTED)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def _read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read_back(batches: Iterator[Columns]) -> Iterator[list[tuple]]:
     now, state = object(), None
 
-    def row():
+    def row() -> tuple:
         return (now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
 
     for batch in batches:
         out = []
-        for conv, text, start, end in zip(batch["conv_id"], batch["piece"], batch["loss_start"], batch["loss_end"], strict=True):
-            conv = None if conv != conv or conv is None else int(conv)
+        for conv, text, start, end in zip(*(batch[c] for c in ("conv_id", "piece", "loss_start", "loss_end")), strict=True):
             if conv != now:
                 if state:
                     out.append(row())
@@ -150,16 +154,18 @@ def _read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             state[2] += len(loss)
             state[3].update(loss.encode())
             state[4] += len(text)
-        if out:
-            yield _digests(out)
+        yield out
     if state:
-        yield _digests([row()])
-
-
-def _digests(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[x.split()[0] for x in DIGEST.split(", ")]).astype({"conv_id": "Int64"})
+        yield [row()]
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
-    """One row per conversation, parsed from ``format_turns``: see ``DIGEST``. State per row: two digests."""
-    return pieces.select("conv_id", "piece", "loss_start", "loss_end").mapInPandas(_read_back, DIGEST)
+    """One row per conversation, parsed from pieces in any order and of any number of files: see ``DIGEST``.
+
+    Pieces are dealt by conversation and sorted by position here; the state of a
+    conversation is two digests, which run over its text one after the other, so a
+    conversation is read by one task, as a stream. A null conv_id is a conversation;
+    no pieces give no row; a piece that is no formatted turn is an error.
+    """
+    rows = pieces.select("conv_id", "position", "piece", "loss_start", "loss_end")
+    return map_rows(rows.repartition("conv_id").sortWithinPartitions("conv_id", "position"), _read_back, DIGEST)

@@ -1,26 +1,30 @@
 """MinHash near-dedup: banding, signature verification, exact confirmation, components.
 
 1. Every text becomes the set of its distinct word shingles (64-bit hashes). Texts of
-   equal sets collapse to the one with the least doc_id.
-2. 324 universal hash minima per set form 54 bands of 6. Two sets of similarity 0.8
-   share no band with probability (1 - 0.8^6)^54 = 7e-8.
+   equal sets collapse to one node; nodes are numbered by least doc_id.
+2. Universal hash minima form bands, as many and as wide as the threshold needs: at 0.8
+   there are 54 bands of 6, and two sets of that similarity share none of them with
+   probability (1 - 0.8^6)^54 = 7e-8. ``banding`` keeps that below 1e-7 for others.
 3. In each bucket every member is compared with the least one (a star, not pairs).
    A pair is confirmed on the full sets if sizes and one-bit signatures allow it.
 4. Links give components. Buckets that still span several components compare their
    members outside the largest one with a few of its members, drawn by hash.
-5. Buckets that span several components even then are searched whole: each member
-   outside the largest component against all members of others, in the first bucket
-   that both share. Dense groups are one component by then and cost nothing more.
+5. Buckets that span several components even then are searched whole, in blocks: each
+   member outside the largest component against all members of others, in the first
+   bucket that both share. Dense groups are one component by then and cost nothing more.
 6. Components of all links.
 
 One-bit signatures (a bit of each of 2,048 further minima, of sets that share a bucket)
 only rule pairs out: at similarity 0.8 a pair differs in 205 bits on average with
-deviation 13.6; beyond 280 it is dropped (five and a half deviations, chance 2e-8).
+deviation 13.6. Beyond 95 of the first 512 or 293 of all it is dropped (six and a half
+deviations), which befalls a pair at the threshold with probability 2e-9 in all.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -29,21 +33,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
+from quern.llm.rows import Columns, map_rows
+from quern.llm.skew import common_in, common_keys, dealt_join
 from quern.storage import Scratch
 
-BANDS, ROWS = 54, 6
-BITS, DEVIATIONS = 2048, 5.5
+BITS, DEVIATIONS = 2048, 6.5
+#: The chance that two sets at the threshold share no band, at most.
+LOST = 1e-7
 #: Draws of members of a bucket's largest component.
 DRAWS = 4
+#: Members of a bucket that are compared in one task, about, where a bucket is searched whole.
+BLOCK_ROWS = 512
 _BLOCK = 4096
-_rng = np.random.default_rng(20240229)
-_A = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
-_A_BITS = _rng.integers(0, 1 << 31, BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B_BITS = _rng.integers(0, 1 << 32, BITS, dtype=np.uint32)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows of a band: about a quarter of the pairs at the threshold meet in each band."""
+    share = percent / 100
+    if share >= 1:
+        return 1, 6
+    rows = max(1, round(math.log(0.8**6) / math.log(share))) if share > 0 else 1
+    return max(1, math.ceil(math.log(LOST) / math.log1p(-(share**rows)))) if share > 0 else 1, rows
+
+
+@cache
+def _hashes(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and offsets of n universal hash functions."""
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -67,7 +87,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(out)
 
 
-def minima(found: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B, block: int = _BLOCK) -> np.ndarray:
+def minima(found: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = _BLOCK) -> np.ndarray:
     """The least value of each hash function a * x + b over a non-empty set."""
     x = (found >> np.uint64(32)).astype(np.uint32)
     best = np.full(len(a), 0xFFFFFFFF, np.uint32)
@@ -77,52 +97,51 @@ def minima(found: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B, block: int
     return best
 
 
-def band_keys(best: np.ndarray) -> np.ndarray:
-    rows = best.reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for i in range(ROWS):
-        key = mixed(key * _P + rows[:, i])
+def band_keys(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    best = minima(found, *_hashes(bands * rows, 20240229)).reshape(bands, rows).astype(np.uint64)
+    key = np.arange(bands, dtype=np.uint64)
+    for i in range(rows):
+        key = mixed(key * _P + best[:, i])
     return key.view(np.int64)
 
 
 def signature(found: np.ndarray) -> np.ndarray:
     """``BITS`` bits, each a mixed bit of another minimum, as longs."""
-    best = minima(found, _A_BITS, _B_BITS, 512) * np.uint32(0x9E3779B1)
+    best = minima(found, *_hashes(BITS, 29022024), 512) * np.uint32(0x9E3779B1)
     return np.packbits((best >> np.uint32(31)).astype(np.uint8)).view(np.int64)
 
 
-SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+def _digest(found: np.ndarray) -> tuple[int, int]:
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64).tolist())
+
+
+SKETCH = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
-def _sketches(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
-    names = [x.split()[0] for x in SKETCH.split(", ")]
+def _sketches(batches: Iterator[Columns], words: int, bands: int, width: int) -> Iterator[list[tuple]]:
     for batch in batches:
         rows = []
-        for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+        for doc, key, text in zip(batch["doc_id"], batch["text_key"], batch["text"], strict=True):
             found = shingles(text, words)
             if len(found):
-                digest = xxhash.xxh3_128_digest(found.tobytes())
-                a, b = np.frombuffer(digest, np.int64)
-                rows.append((doc, len(found), a, b, band_keys(minima(found))))
+                rows.append((doc, key, len(found), *_digest(found), band_keys(found, bands, width)))
             else:
-                rows.append((doc, 0, None, None, None))
-        yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "set_a": "Int64", "set_b": "Int64"})
+                rows.append((doc, key, 0, None, None, None))
+        yield rows
 
 
 SETS = "node long, size long, bits array<long>, elements binary"
 
 
-def _sets(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
+def _sets(batches: Iterator[Columns], words: int) -> Iterator[list[tuple]]:
+    """The sets of nodes; texts that share a node's doc_id but not its set are passed over."""
     for batch in batches:
-        sets = [shingles(t, words) for t in batch["text"]]
-        yield pd.DataFrame(
-            {
-                "node": batch["doc_id"],
-                "size": [len(s) for s in sets],
-                "bits": [signature(s) if len(s) else np.zeros(BITS // 64, np.int64) for s in sets],
-                "elements": [s.tobytes() for s in sets],
-            }
-        )
+        rows = []
+        for node, a, b, text in zip(batch["node"], batch["set_a"], batch["set_b"], batch["text"], strict=True):
+            found = shingles(text, words)
+            if len(found) and _digest(found) == (a, b):
+                rows.append((node, len(found), signature(found), found.tobytes()))
+        yield rows
 
 
 def _confirmed(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
@@ -150,97 +169,127 @@ def _may_link(percent: int):
     return sizes & within(8) & within(BITS // 64)
 
 
+#: What each row of the input is told.
+RESULT = ("doc_id", "n_shingles", "component_id", "kept", "text_key", "group", "first")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text).
+    """``RESULT``: one row per row of ``docs`` (doc_id, text).
 
     Documents are linked where 100 * |A and B| >= percent * |A or B| over their sets of
-    ``words``-word shingles. component_id is the least doc_id reachable; kept marks
-    it. Null and wordless texts have n_shingles 0 and are linked with nothing. Rows
-    with a null doc_id are counted but not linked: component_id null, kept true. Rows
-    that repeat a doc_id each follow their own text. Other columns are not used.
+    ``words``-word shingles (percent from 1 to 100). component_id is the least doc_id
+    reachable; kept marks it. group names the component among sets, and first marks
+    rows of its least doc_id and that one's least set; text_key is xxhash64 of the text.
+
+    Null and wordless texts have n_shingles 0 and are linked with nothing. Rows with a
+    null doc_id are counted but not linked: component_id null, kept true. Both have no
+    group. Rows that repeat a doc_id each follow their own text: the id links nothing.
+    Other columns are not used. An empty table gives an empty result.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "near-dedup")
+    bands, width = banding(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = scratch.save(docs.mapInPandas(lambda it: _sketches(it, words), SKETCH), "sketches")
-
-    linked = sketched.where("n_shingles > 0 and doc_id is not null")
-    # Equal sets have equal bands, signatures and sizes: any of them will do.
-    named = linked.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    named = scratch.save(named, "named")
-    reps = linked.join(
-        named.select(F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), "rep"),
-        (F.col("set_a") == F.col("_a")) & (F.col("set_b") == F.col("_b")) & (F.col("doc_id") == F.col("rep")),
-        "left_semi",
-    ).select(F.col("doc_id").alias("node"), "bands")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    sketched = scratch.save(map_rows(keyed, lambda it: _sketches(it, words, bands, width), SKETCH), "sketches")
+
+    linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    linked = sketched.where(linkable)
+    # Equal sets have equal bands, signatures and sizes: they are one node, numbered in order of least doc_id.
+    named = linked.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
+    named = scratch.save(named.orderBy("rep", "set_a", "set_b").withColumn("node", F.monotonically_increasing_id()), "named")
+    own = named.select(F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), "rep", "node")
+    same = (F.col("set_a") == F.col("_a")) & (F.col("set_b") == F.col("_b")) & (F.col("doc_id") == F.col("rep"))
+    reps = scratch.save(linked.join(own, same).dropDuplicates(["_a", "_b", "rep"]).select("node", "bands"), "reps")
 
     rows = reps.select("node", F.explode("bands").alias("bucket"))
-    centres = rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("_last")).where("centre < _last")
-    member = rows.join(centres.select(F.col("bucket").alias("_bucket"), "centre"), F.col("bucket") == F.col("_bucket"))
-    members = scratch.save(member.select("bucket", "node", "centre"), "members")
-    asked = members.select(F.col("node").alias("_n")).distinct()
-    texts = docs.join(asked.hint("shuffle_hash"), F.col("doc_id") == F.col("_n"), "left_semi")
-    sets = scratch.save(texts.mapInPandas(lambda it: _sets(it, words), SETS), "sets")
+    centres = rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
+    centres = scratch.save(centres.withColumnRenamed("bucket", "_bucket"), "centres")
+    full = common_keys(centres.withColumnRenamed("_bucket", "bucket"), ["bucket"], "n", bands * reps.count(), scratch, "full-buckets")
+    in_bucket = [("bucket", "_bucket")]
+    members = dealt_join(rows, centres.drop("n"), in_bucket, full, ["node"])
+    members = scratch.save(members.select("bucket", "node", "centre"), "members")
+
+    asked = members.select(F.col("node").alias("_n")).distinct().join(named, F.col("_n") == F.col("node"))
+    asked = scratch.save(asked.select("node", "rep", "set_a", "set_b"), "asked")
+    texts = docs.join(asked.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("node", "set_a", "set_b", "text")
+    sets = scratch.save(map_rows(texts, lambda it: _sets(it, words), SETS), "sets")
+    if sets.count() > asked.count():  # rows repeat both doc_id and text
+        sets = scratch.save(sets.dropDuplicates(["node"]), "sets-once")
     may = _may_link(percent)
 
-    def side(name: str) -> DataFrame:
-        return sets.select(F.struct("node", "size", "bits").alias(name))
+    def links(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs u, v that reach the threshold on their full sets."""
+        pairs = scratch.save(pairs.distinct(), f"{name}-pairs")
+        total = pairs.count()
+        busy = {c: common_in(pairs, [c], total, scratch, f"{name}-busy-{c}") for c in ("u", "v")}
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        """Edges of the pairs u, v that reach the threshold on their full sets."""
-        full = pairs.join(sets.select(F.col("node").alias("u"), F.col("elements").alias("set_u")), "u").join(
-            sets.select(F.col("node").alias("v"), F.col("elements").alias("set_v")), "v"
-        )
-        return full.select("u", "v", "set_u", "set_v").mapInPandas(lambda it: _confirmed(it, percent), "u long, v long")
+        def with_side(rows: DataFrame, end: str, other: str, what, as_: str) -> DataFrame:
+            side = sets.select(F.col("node").alias("_n"), what.alias(as_))
+            return dealt_join(rows, side, [(end, "_n")], busy[end], [other]).drop("_n")
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct().join(side("a"), F.col("u") == F.col("a.node")).join(side("b"), F.col("v") == F.col("b.node"))
-        return pairs.where(may).select("u", "v")
+        brief, elements = F.struct("size", "bits"), F.col("elements")
+        near = with_side(with_side(pairs, "u", "v", brief, "a"), "v", "u", brief, "b").where(may).select("u", "v")
+        whole = with_side(with_side(near, "u", "v", elements, "set_u"), "v", "u", elements, "set_v")
+        found = whole.select("u", "v", "set_u", "set_v").mapInPandas(lambda it: _confirmed(it, percent), "u long, v long")
+        return scratch.save(found, f"{name}-links")
 
     def split(roots: DataFrame, name: str) -> DataFrame:
-        """bucket, node, root, main of buckets that span components; main is the largest one's root."""
+        """bucket, node, root, main, n of buckets that span components; main is the largest one's root."""
         placed = members.select("bucket", "node").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
         placed = scratch.save(placed.select("bucket", "node", F.coalesce("root", "node").alias("root")), f"placed-{name}")
-        counted = placed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket")
-        mains = counted.agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("most")).where("roots > 1")
-        mains = mains.select(F.col("bucket").alias("_bucket"), F.col("most.root").alias("main"))
-        open_ = placed.join(mains, F.col("bucket") == F.col("_bucket")).select("bucket", "node", "root", "main")
-        return scratch.save(open_, f"open-{name}")
+        counted = placed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy(F.col("bucket").alias("_bucket"))
+        mains = counted.agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n")).where("roots > 1")
+        open_ = dealt_join(placed, mains.select("_bucket", F.col("most.root").alias("main"), "n"), in_bucket, full, ["node"])
+        return scratch.save(open_.select("bucket", "node", "root", "main", "n"), f"open-{name}")
+
+    def up(roots: DataFrame) -> DataFrame:
+        return roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
 
     stars = members.where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v"))
-    links = scratch.save(confirm(likely(stars)), "star-links")
-    roots = components(links, scratch, "first")
+    roots = components(links(stars, "star"), scratch, "first")
 
     open_ = split(roots, "first")
     draw = F.xxhash64("node", F.pmod("bucket", F.lit(DRAWS)))
-    drawn = open_.where("root = main").groupBy("bucket").agg(F.min(F.struct(draw.alias("h"), "node")).alias("d"))
-    drawn = drawn.select(F.col("bucket").alias("_bucket"), F.col("d.node").alias("v"))
-    pairs = open_.where("root <> main").join(drawn, F.col("bucket") == F.col("_bucket")).select(F.col("node").alias("u"), "v")
-    links = scratch.save(confirm(likely(pairs)), "drawn-links").union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    roots = components(links, scratch, "second")
-
-    open_ = split(roots, "second").join(sets.select(F.col("node").alias("_n"), "size", "bits"), F.col("node") == F.col("_n")).drop("_n")
-    open_ = open_.join(reps.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n")
-    open_ = scratch.save(open_, "open")
-    a, b = open_.where("root <> main").alias("a"), open_.alias("b")
-    across = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.root") != F.col("b.root"))
+    drawn = open_.where("root = main").groupBy(F.col("bucket").alias("_bucket")).agg(F.min(F.struct(draw.alias("h"), "node")).alias("d"))
+    drawn = drawn.select("_bucket", F.col("d.node").alias("v"))
+    pairs = dealt_join(open_.where("root <> main"), drawn, in_bucket, full, ["node"]).select(F.col("node").alias("u"), "v")
+    roots = components(links(pairs, "drawn").union(up(roots)), scratch, "second")
+
+    brief = sets.select(F.col("node").alias("_n"), "size", "bits").join(reps.withColumnRenamed("node", "_m"), F.col("_n") == F.col("_m"))
+    open_ = split(roots, "second").join(brief, F.col("node") == F.col("_n")).drop("_n", "_m")
+    open_ = open_.withColumn("ways", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
+    open_ = scratch.save(open_.withColumn("slot", F.pmod(F.xxhash64("node"), F.col("ways").cast("long")).cast("int")), "open")
+    all_ways = F.explode(F.sequence(F.lit(0), F.col("ways") - 1))
+    a = open_.where("root <> main").withColumn("other", all_ways).alias("a")
+    b = open_.withColumn("other", all_ways).alias("b")
+    met = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.slot") == F.col("b.other")) & (F.col("a.other") == F.col("b.slot"))
     once = (F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
-    first = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.bucket")
-    rest = a.join(b, across & once & may & first).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    more = scratch.save(confirm(rest), "more-links")
-    roots = components(more.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), scratch, "all")
-
-    renamed = named.join(roots, F.col("rep") == F.col("node"), "left").select(
-        F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), F.coalesce("root", "rep").alias("_root")
-    )
-    result = sketched.select("doc_id", "n_shingles", "set_a", "set_b").join(
-        renamed, (F.col("set_a") == F.col("_a")) & (F.col("set_b") == F.col("_b")), "left"
-    )
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_root", "doc_id"))
-    result = result.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    )
-    done = scratch.save(result, "result")
-    scratch.drop("sketches", "named", "members", "sets", "star-links", "drawn-links", "more-links", "open")
-    scratch.drop("placed-first", "open-first", "placed-second", "open-second")
+    earliest = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.bucket")
+    rest = a.join(b, met & (F.col("a.root") != F.col("b.root")) & once & may & earliest)
+    rest = rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    roots = components(links(rest, "rest").union(up(roots)), scratch, "all")
+
+    busy = common_in(roots, ["root"], roots.count(), scratch, "busy-roots")
+    least = named.select(F.col("node").alias("_n"), F.col("rep").alias("least"))
+    placed = dealt_join(roots, least, [("root", "_n")], busy, ["node"]).select(F.col("node").alias("_m"), "root", "least")
+    renamed = named.join(placed, F.col("node") == F.col("_m"), "left").select(
+        F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), "rep", F.coalesce("root", "node").alias("group"),
+        F.coalesce("least", "rep").alias("component_id"), F.col("root").isNull().alias("_top"),
+    )
+    full_sets = common_keys(named, ["set_a", "set_b"], "rows", linked.count(), scratch, "full-sets")
+    told = dealt_join(linked.drop("bands"), renamed, [("set_a", "_a"), ("set_b", "_b")], full_sets, ["doc_id", "text_key"])
+    told = told.withColumn("kept", F.col("doc_id") == F.col("component_id")).withColumn("first", F.col("_top") & (F.col("doc_id") == F.col("rep")))
+    alone = sketched.where(~linkable).select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "text_key",
+        F.lit(None).cast("long").alias("group"), F.lit(False).alias("first"),
+    )
+    done = scratch.save(told.select(*RESULT).unionByName(alone), "result")
+    scratch.drop("sketches", "named", "reps", "centres", "members", "asked", "sets", "sets-once", "open", "full-buckets", "full-sets", "busy-roots")
+    for name in ("first", "second"):
+        scratch.drop(f"placed-{name}", f"open-{name}")
+    for name in ("star", "drawn", "rest"):
+        scratch.drop(f"{name}-pairs", f"{name}-links", f"{name}-busy-u", f"{name}-busy-v")
     return done

@@ -12,15 +12,15 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from quern.llm.near_dedup import mixed
+from quern.llm.rows import Columns, map_rows
 from quern.storage import Scratch
 
-K, TUPLE, SKETCHES = 6, 2, 48
+K, TUPLE, SKETCHES = 6, 2, 96
 _BLOCK = 4096
 _rng = np.random.default_rng(19770604)
 _A = _rng.integers(0, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -62,9 +62,9 @@ def occurrences(h: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(text: str) -> np.ndarray:
-    """``SKETCHES`` 32-bit tuple hashes; of the empty text all zero."""
+    """``SKETCHES`` 16-bit tuple hashes; of the empty text all zero."""
     if not text:
-        return np.zeros(SKETCHES, np.uint32)
+        return np.zeros(SKETCHES, np.uint16)
     h = kmers(text)
     x = mixed(h + occurrences(h) * _P)
     best = np.full((SKETCHES, TUPLE), _TOP, np.uint64)  # least hashes, and where they stand
@@ -86,11 +86,11 @@ def fingerprint(text: str) -> np.ndarray:
     out = rows.astype(np.uint64)
     for j in range(min(TUPLE, len(x))):
         out = mixed(out * _P + h[where[:, j]])
-    return (out >> np.uint64(32)).astype(np.uint32)
+    return (out >> np.uint64(48)).astype(np.uint16)
 
 
 def written(prints: np.ndarray) -> bytes:
-    return prints.astype(">u4").tobytes()
+    return prints.astype(">u2").tobytes()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -111,7 +111,7 @@ ROW = (
 )
 #: Rows of the first pass: results, and texts that stand at the edges of partitions.
 _PASS = f"{ROW}, partition int, edge string, text string"
-_NAMES = [x.split()[0] for x in _PASS.replace(", ", ",").split(",")]
+_NAMES = [x.split()[0] for x in ROW.replace(", ", ",").split(",")]
 
 
 def _result(doc, text: str, prints: np.ndarray, following: str, next_prints: np.ndarray) -> tuple:
@@ -128,37 +128,28 @@ def _result(doc, text: str, prints: np.ndarray, following: str, next_prints: np.
     )
 
 
-def _sorted_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sorted_pass(batches: Iterator[Columns]) -> Iterator[list[tuple]]:
     """Results of all rows but a partition's last; its first and last text as edges."""
     part = TaskContext.get().partitionId()
     held = None
     for batch in batches:
         out = []
         for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-            doc = None if doc != doc or doc is None else int(doc)
             prints = fingerprint(text)
             if held is None:
                 out.append((doc, *[None] * 6, part, "first", text))
             else:
                 out.append((*_result(*held, text, prints), part, None, None))
             held = (doc, text, prints)
-        yield _frame(out)
+        yield out
     if held is not None:
-        yield _frame([(held[0], *[None] * 6, part, "last", held[1])])
+        yield [(held[0], *[None] * 6, part, "last", held[1])]
 
 
-def _frame(rows: list[tuple], names: list[str] = _NAMES) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=names)
-    return frame.astype({c: "Int64" for c in ("doc_id", "n_chars", "partition") if c in names})
-
-
-def _edge_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _edge_pass(batches: Iterator[Columns]) -> Iterator[list[tuple]]:
     for batch in batches:
-        out = []
-        for doc, text, following in zip(batch["doc_id"], batch["text"], batch["following"], strict=True):
-            doc = None if doc != doc or doc is None else int(doc)
-            out.append(_result(doc, text, fingerprint(text), following, fingerprint(following)))
-        yield _frame(out, _NAMES[:7])
+        rows = zip(batch["doc_id"], batch["text"], batch["following"], strict=True)
+        yield [_result(doc, text, fingerprint(text), following, fingerprint(following)) for doc, text, following in rows]
 
 
 def fingerprint_documents(docs: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -166,17 +157,18 @@ def fingerprint_documents(docs: DataFrame, partitions: int | None = None) -> Dat
 
     Texts follow each other by descending doc_id (null last; equal ones by text); the
     last is followed by the first, a single one by itself. Null texts are empty.
-    Rows are range-partitioned once and streamed in order; the last row of each
-    partition is finished afterwards with the first text of the next one. Columns
-    besides doc_id and text are not used.
+    Rows are range-partitioned once, by id and digest, so that rows of one id or none
+    are dealt out too, and streamed in order; the last row of each partition is
+    finished afterwards with the first text of the next one. Columns besides doc_id
+    and text are not used. Repeated rows follow each other; an empty table gives none.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "order-minhash")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.md5("text").asc()]
     width = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    dealt = rows.repartitionByRange(width, F.col("doc_id").desc_nulls_last()).sortWithinPartitions(*order)
-    passed = scratch.save(dealt.mapInPandas(_sorted_pass, _PASS), "passed")
+    dealt = rows.repartitionByRange(width, *order).sortWithinPartitions(*order)
+    passed = scratch.save(map_rows(dealt, _sorted_pass, _PASS), "passed")
 
     edges = passed.where("edge is not null").select("doc_id", "partition", "edge", "text")
     # One row per partition: these windows see as many rows as there are partitions.
@@ -185,7 +177,7 @@ def fingerprint_documents(docs: DataFrame, partitions: int | None = None) -> Dat
     parts = parts.select("partition", F.coalesce("_after", "_start").alias("_next"))
     first = edges.where("edge = 'first'").select(F.col("partition").alias("_p"), F.col("text").alias("following"))
     last = edges.where("edge = 'last'").join(parts, "partition").join(first, F.col("_next") == F.col("_p"))
-    finished = last.select("doc_id", "text", "following").mapInPandas(_edge_pass, ROW)
-    whole = passed.where("edge is null").select(*_NAMES[:7]).unionByName(finished)
+    finished = map_rows(last.select("doc_id", "text", "following"), _edge_pass, ROW)
+    whole = passed.where("edge is null").select(*_NAMES).unionByName(finished)
     digests = ("edited_sha256", "fingerprint", "edited_fingerprint")
     return whole.withColumns({c: F.lower(F.hex(c)) for c in digests})

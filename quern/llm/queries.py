@@ -40,7 +40,8 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4)
+    judged = near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4)
+    return judged.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-1, 0, "user", CONTROL_TALK), (-1, 1, "assistant", CONTROL_TALK)],
         "conv_id long, turn long, role string, text string",
     )
-    return chat.read_back(chat.format_turns(rows.unionByName(talk)))
+    return chat.read_back(Scratch(spark, "op6").save(chat.format_turns(rows.unionByName(talk)), "pieces"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

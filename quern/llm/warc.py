@@ -12,17 +12,22 @@ that ends a record.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.rows import Columns, map_rows
+from quern.llm.skew import common_keys, dealt_join
+from quern.storage import Scratch
+
 #: Code points of a chunk.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
+DATE = "2024-01-01T00:00:00Z"
+_CHUNKED = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "parts", "chunk", "part")
 #: Payloads of at least this many bytes are stored once.
 LEAST_BYTES = 1000
-SALTS = 16
 END = "\r\n\r\n"
 
 
@@ -36,30 +41,26 @@ def plan_records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
 
     Of rows with equal payloads of ``least_bytes`` or more, those with the largest
     page_id are responses and the others revisit it. Null page_ids come before all
-    others; a null html is an empty payload.
+    others; a null html is an empty payload. Columns besides page_id, url and html are
+    not used; repeated rows stay; an empty table gives an empty result.
     """
-    rows = pages.select("page_id", "url", *payload_columns(F.col("html")))
+    scratch = Scratch(pages.sparkSession, "warc")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", *payload_columns(F.col("html")))
     first = (
-        pages.select("page_id", *payload_columns(F.col("html"))[1:])
+        rows.select("page_id", "payload_bytes", "payload_digest")
         .where(F.col("payload_bytes") >= least_bytes)
-        .groupBy("payload_digest", "payload_bytes")
+        .groupBy(F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"))
         .agg(F.max("page_id").alias("_keeper"), F.count("*").alias("_n"))
         .where("_n > 1")
-        .select(
-            F.col("payload_digest").alias("_digest"),
-            F.col("payload_bytes").alias("_bytes"),
-            "_keeper",
-            F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_slot"),
-        )
-    )
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    same = (
-        (F.col("payload_digest") == F.col("_digest"))
-        & (F.col("payload_bytes") == F.col("_bytes"))
-        & (F.col("_salt") == F.col("_slot"))
     )
+    first = scratch.save(first, "copies")
+    counts = first.select(F.col("_digest").alias("payload_digest"), F.col("_bytes").alias("payload_bytes"), "_n")
+    total = first.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    common = common_keys(counts, ["payload_digest", "payload_bytes"], "_n", total, scratch, "common")
+    on = [("payload_digest", "_digest"), ("payload_bytes", "_bytes")]
+    joined = dealt_join(rows, first.drop("_n").hint("shuffle_hash"), on, common, ["page_id", "url"], "left")
     revisit = F.col("_keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_keeper"))
-    return rows.join(first.hint("shuffle_hash"), same, "left").select(
+    return joined.select(
         "page_id",
         "url",
         "payload",
@@ -80,51 +81,77 @@ def _record(kind: str, fields: list[tuple[str, object]], block: str) -> str:
     return "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head if v is not None) + "\r\n" + block
 
 
-def _known(value) -> bool:
-    return value is not None and value == value
+def chunked(records: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """``plan_records`` as rows (record, chunk from 0): ``part`` in place of ``payload``, and how many ``parts`` there are.
+
+    Chunks of a record follow each other within a partition. A revisit has one chunk, empty.
+    """
+    parts = F.greatest(F.ceil(F.length("payload") / chunk_chars), F.lit(1)).cast("int")
+    rows = records.withColumn("payload", F.when(F.col("record_type") == "response", F.col("payload")).otherwise("")).withColumn("parts", parts)
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    part = F.substring(F.col("payload"), F.col("chunk") * chunk_chars + 1, F.lit(chunk_chars))
+    return rows.select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "parts", "chunk", part.alias("part"))
+
+
+_INFO = "software: chunked record tables\r\nformat: WARC File Format 1.1\r\n"
 
 
-def record_rows(batches: Iterator[pd.DataFrame], chunk_chars: int = CHUNK_CHARS) -> Iterator[pd.DataFrame]:
-    """Rows of the text writer: records, long payloads as segments, each with the digest up to its end."""
+def record_rows(batches: Iterator[Columns], chunk_chars: int = CHUNK_CHARS) -> Iterator[list[tuple]]:
+    """Rows of the text writer: warcinfo, then a record for each chunk, with the digest of the payload up to its end."""
+    told, running, total = False, None, 0
     for batch in batches:
         out, held = [], 0
-        for page, url, payload, size, digest, kind, refers in batch.itertuples(index=False, name=None):
-            name = f"urn:page:{int(page)}" if _known(page) else "urn:page:none"
+        if not told:
+            told = True
+            out.append((_record("warcinfo", [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], _INFO),))
+        for page, url, size, digest, kind, refers, parts, chunk, part in zip(*(batch[c] for c in _CHUNKED), strict=True):
+            name = "urn:page:none" if page is None else f"urn:page:{page}"
             fields = [
                 ("WARC-Record-ID", f"<{name}>"),
-                ("WARC-Date", "2024-01-01T00:00:00Z"),
-                ("WARC-Target-URI", _field(url) if _known(url) else None),
+                ("WARC-Date", DATE),
+                ("WARC-Target-URI", None if url is None else _field(url)),
                 ("WARC-Payload-Digest", f"sha1:{digest}"),
-                ("X-Payload-Length", int(size)),
+                ("X-Payload-Length", size),
+                ("Content-Type", "text/html; charset=utf-8"),
             ]
             if kind == "revisit":
                 fields += [
                     ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-                    ("WARC-Refers-To", f"<urn:page:{int(refers)}>"),
+                    ("WARC-Refers-To", f"<urn:page:{refers}>"),
                 ]
-                out.append(_record("revisit", fields, ""))
-            elif len(payload) <= chunk_chars:
-                out.append(_record("response", fields, payload))
+                out.append((_record("revisit", fields, ""),))
+            elif parts == 1:
+                out.append((_record("response", fields, part),))
             else:
-                running = hashlib.sha1()
-                for n, at in enumerate(range(0, len(payload), chunk_chars), 1):
-                    part = payload[at : at + chunk_chars]
-                    running.update(part.encode())
-                    own = fields if n == 1 else [("WARC-Record-ID", f"<{name}:{n}>"), ("WARC-Segment-Origin-ID", f"<{name}>")]
-                    last = [("WARC-Segment-Total-Length", int(size))] if at + chunk_chars >= len(payload) else []
-                    more = [("WARC-Segment-Number", n), ("X-Running-Digest", f"sha1:{running.hexdigest()}"), *last]
-                    out.append(_record("response" if n == 1 else "continuation", own + more, part))
-            held += len(out[-1])
+                if chunk == 0:
+                    running, total = hashlib.sha1(), 0
+                data = part.encode()
+                running.update(data)
+                total += len(data)
+                own = fields if chunk == 0 else [("WARC-Record-ID", f"<{name}:{chunk + 1}>"), ("WARC-Segment-Origin-ID", f"<{name}>"), ("WARC-Date", DATE)]
+                last = []
+                if chunk + 1 == parts:
+                    if (f"{running.hexdigest()}", total) != (digest, size):
+                        raise ValueError(f"chunks of {name} are not its payload")
+                    last = [("WARC-Segment-Total-Length", size)]
+                more = [("WARC-Segment-Number", chunk + 1), ("X-Running-Digest", f"sha1:{running.hexdigest()}"), *last]
+                out.append((_record("response" if chunk == 0 else "continuation", own + more, part),))
+            held += len(out[-1][0])
             if held > 8 * chunk_chars:
-                yield pd.DataFrame({"value": out})
+                yield out
                 out, held = [], 0
-        if out:
-            yield pd.DataFrame({"value": out})
+        yield out
 
 
 def write_archives(records: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS) -> None:
-    """Write ``plan_records`` as gzipped WARC files below ``path``, one for each partition."""
-    rows = records.mapInPandas(lambda it: record_rows(it, chunk_chars), "value string")
+    """Write ``plan_records`` as gzipped WARC files below ``path``, one for each partition, over what is there.
+
+    Payloads are cut into chunk rows before Python sees them, so a task there holds a
+    batch of chunks, never a whole long payload. Null urls have no target header, null
+    page_ids the name ``none``; repeated rows are repeated records; no rows give an
+    archive without records.
+    """
+    rows = map_rows(chunked(records, chunk_chars), lambda it: record_rows(it, chunk_chars), "value string")
     rows.write.mode("overwrite").option("lineSep", END).option("compression", "gzip").text(path)
 
 
@@ -155,13 +182,18 @@ class _Reader:
                 self.digest, self.size, self.chunk, self.first = hashlib.sha1(), 0, 0, self.fields
             self.parts, self.state = [], "block"
             if not self.left:
-                yield self.close()
+                yield from self.closed()
         else:
             data = line + b"\n"
             self.parts.append(data[: self.left])
             self.left -= min(self.left, len(data))
             if not self.left:
-                yield self.close()
+                yield from self.closed()
+
+    def closed(self) -> Iterator[tuple]:
+        row = self.close()
+        if row[5] != "warcinfo":
+            yield row
 
     def close(self) -> tuple:
         data, self.parts, self.state = b"".join(self.parts), [], "start"
@@ -179,11 +211,11 @@ class _Reader:
         if last and kind == "response" and (f"sha1:{digest}" != head["WARC-Payload-Digest"] or self.size != int(head["X-Payload-Length"])):
             raise ValueError(f"payload of {head['WARC-Record-ID']} does not match its digest")
         return (
-            int(page) if page not in ("", "none") else None,
+            int(page) if page not in ("", "none") and kind != "warcinfo" else None,
             self.chunk,
             data,
-            digest if kind == "response" else head["WARC-Payload-Digest"].removeprefix("sha1:"),
-            self.size if kind == "response" else int(head["X-Payload-Length"]),
+            head["WARC-Payload-Digest"].removeprefix("sha1:") if kind == "revisit" else digest,
+            int(head["X-Payload-Length"]) if kind == "revisit" else self.size,
             kind,
             int(refers) if refers else None,
             last,
@@ -197,27 +229,20 @@ CHUNKS = (
 )
 
 
-def chunk_rows(batches: Iterator[pd.DataFrame], payloads: bool = True) -> Iterator[pd.DataFrame]:
-    names = [x.split()[0] for x in CHUNKS.replace(", ", ",").split(",")]
+def chunk_rows(batches: Iterator[Columns], payloads: bool = True) -> Iterator[list[tuple]]:
     file, reader = None, None
     for batch in batches:
         out, held = [], 0
         for at, line in zip(batch["file"], batch["value"], strict=True):
             if at != file:
                 file, reader = at, _Reader()
-            for row in reader.feed(bytes(line)):
+            for row in reader.feed(line):
                 held += len(row[2])
                 out.append(row if payloads else (*row[:2], None, *row[3:]))
                 if held > 8 * CHUNK_CHARS and payloads:
-                    yield _frame(out, names)
+                    yield out
                     out, held = [], 0
-        if out:
-            yield _frame(out, names)
-
-
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=names)
-    return frame.astype({"page_id": "Int64", "refers_to": "Int64"})
+        yield out
 
 
 def read_chunks(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -225,12 +250,14 @@ def read_chunks(spark: SparkSession, path: str, payloads: bool = True) -> DataFr
 
     A file is read by one task from its start (gzip does not split); its lines pass
     through a parser that holds one chunk. The digest and the number of bytes run on
-    over the chunks of a record and are compared with its header at the last one.
+    over the chunks of a record and are compared with its header at the last one; a
+    record that does not match is an error. warcinfo records are passed over. Page ids
+    and urls that the records do not have are null; without ``payloads`` data is null.
     """
     lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value")
     )
-    return lines.mapInPandas(lambda it: chunk_rows(it, payloads), CHUNKS)
+    return map_rows(lines, lambda it: chunk_rows(it, payloads), CHUNKS)
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
