@@ -18,28 +18,42 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model, fitted on the labels, scores below the threshold."""
+    """Documents that the model, fitted on the labels, scores below the threshold.
+
+    Null, empty and wordless texts score 0 and stay; so do repeated rows and rows
+    without an id, each by its text. An empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.toxicity(docs.select(COLUMNS), labels).where("predicted = 0").select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component at five words and similarity 0.8; repeated rows stay once."""
+    """One row of each component at five words and similarity 0.8, also where rows repeat ids or texts.
+
+    The row that stays has the component's least doc_id. Rows without words or without
+    a doc_id are in no component and all stay. An empty table stays empty.
+    """
     docs = docs.select(COLUMNS)
-    judged = near_dedup.near_duplicates(docs, words=5, percent=80)
-    ids = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).where("doc_id is not null")
-    dropped = ids.where("not kept").select(F.col("doc_id").alias("_id"))
-    same = F.col("doc_id") == F.col("_id")
-    kept = docs.join(dropped.hint("shuffle_hash"), same, "left_anti")
-    repeated = ids.where("kept and n > 1").select(F.col("doc_id").alias("_id"))
-    if repeated.isEmpty():
-        return kept
-    again = docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, same, "left_anti").unionByName(again)
+    judged = near_dedup.near_duplicates(docs, words=5, percent=80).where("first")
+    keys = judged.groupBy("group", "text_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    keepers = keys.groupBy("group").agg(F.min(F.struct("text_key", "doc_id", "n")).alias("k"))
+    keepers = Scratch(spark, "keepers").save(keepers.select("k.*"), "keepers")
+    linkable = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    named = keepers.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "n")
+    kept = docs.where(linkable).join(named.drop("n").hint("shuffle_hash"), same, "left_semi")
+    repeated = named.where("n > 1")
+    if not repeated.isEmpty():
+        again = docs.where(linkable).join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(repeated, same, "left_anti").unionByName(again)
+    return kept.unionByName(docs.where(~linkable))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts become ``[SECRET:kind]``; n_chars follows where a text changes."""
+    """Secrets in texts become ``[SECRET:kind]``; n_chars follows where a text changes.
+
+    Null and empty texts, repeated rows and rows without an id stay as they are.
+    """
     found = secrets.scan(docs.select(COLUMNS))
     done = found.withColumn("text", secrets.redact(F.col("text"), F.col("spans")))
     length = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -47,12 +61,15 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every source weighs the same; documents repeat by their Poisson draw, in random order."""
+    """Every source weighs the same; documents repeat by their Poisson draw, in random order.
+
+    Null sources are a source; repeated rows and rows without an id draw one by one.
+    """
     return mixing.mix(docs.select(COLUMNS), seed=MIX_SEED).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every remaining row (little-endian uint32), with their digests."""
+    """Token ids of every remaining row (little-endian uint32), with their digests; null texts have none."""
     done = bpe.encode_documents(docs.select(COLUMNS), tokenizer_path(), keep_text=False)
     return done.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
