@@ -4,12 +4,12 @@ On a bounded sample the inner-product neighbour graph is built and cut into bala
 parts; a small network learns to tell from a vector where its neighbours are. It then
 places every vector in its likeliest part, and sends every query to several parts,
 whose vectors are all compared with it in double precision. How many parts are asked
-is the least number that finds ``TARGET`` of the sample's true neighbours.
+is the least number that finds ``TARGET`` of the true neighbours of vectors that were
+held out of the fit.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from functools import partial
 
@@ -20,16 +20,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 from pyspark.sql.window import Window
 
+from quern.llm.skew import common_keys, dealt_join
 from quern.storage import Scratch
 
 #: Vectors that the model is fitted on, in expectation; every vector is indexed.
 SAMPLE = 16_000
-#: Vectors of a part, about, and parts at most.
-PART_SIZE, MOST_PARTS = 1_500, 256
+#: Vectors held out of the fit, a share of the sample, to choose how many parts are asked.
+HELD_OUT = 0.15
+#: Vectors of a part, about; parts of a table that has any; vectors of the sample in a part, at least.
+PART_SIZE, LEAST_PARTS, SAMPLE_OF_PART = 1_500, 8, 32
+#: Tables of fewer different vectors are one part.
+LEAST_VECTORS = 256
 #: Rows or queries of a block: no task holds more than one block of each.
 BLOCK = 4_096
 DEGREE = 20
-TARGET = 0.95
+TARGET = 0.96
 HIDDEN, EPOCHS = 128, 25
 
 
@@ -100,9 +105,19 @@ def _forward(model: dict, x: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
+def parts_of(vectors: int, sample: int) -> int:
+    """Parts grow with the table, as far as the sample can teach them."""
+    if vectors < LEAST_VECTORS:
+        return 1
+    return max(LEAST_PARTS, min(round(vectors / PART_SIZE), int(sample * (1 - HELD_OUT)) // SAMPLE_OF_PART))
+
+
 def fit(x: np.ndarray, parts: int, seed: int = 3) -> dict:
-    """The network, and how many parts to ask."""
+    """The network, how many parts to ask, and the share of true neighbours that finds."""
     rng = np.random.default_rng(seed)
+    order = rng.permutation(len(x))
+    held = max(1, int(len(x) * HELD_OUT))
+    queries, x = x[order[:held]], x[order[held:]]
     scale = float(np.sqrt((x**2).mean())) or 1.0
     graph = neighbour_graph(x)
     label = balanced_parts(x, graph, parts, rng)
@@ -138,20 +153,33 @@ def fit(x: np.ndarray, parts: int, seed: int = 3) -> dict:
                 mean[k] += 0.1 * (g - mean[k])
                 square[k] += 0.01 * (g**2 - square[k])
                 model[k] -= rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
-    p = _forward(model, inputs)
-    home = p.argmax(axis=1)
-    place = np.empty_like(p, np.int64)
-    np.put_along_axis(place, np.argsort(-p, axis=1), np.arange(parts)[None, :], axis=1)
-    rank = np.take_along_axis(place, home[graph], axis=1)
-    found = np.array([(rank < m).mean() for m in range(1, parts + 1)])
-    asked = int(np.argmax(found >= TARGET)) + 1 if found[-1] >= TARGET else parts
-    return model | {"scale": scale, "asked": asked, "sample_recall": float(found[asked - 1])}
+    home = _forward(model, inputs).argmax(axis=1)
+    found = np.zeros(parts)  # true neighbours of held-out vectors in the m likeliest parts
+    degree = min(DEGREE, len(x))
+    for at in range(0, held, 512):
+        few = queries[at : at + 512]
+        near = np.argpartition(few @ x.T, len(x) - degree, axis=1)[:, len(x) - degree :]
+        place = np.empty((len(few), parts), np.int64)
+        np.put_along_axis(place, np.argsort(-_forward(model, few / scale), axis=1, kind="stable"), np.arange(parts)[None, :], axis=1)
+        found += np.bincount(np.take_along_axis(place, home[near], axis=1).ravel(), minlength=parts)
+    share = np.cumsum(found) / found.sum()
+    asked = int(np.argmax(share >= min(TARGET, share[-1]))) + 1
+    return model | {"scale": scale, "asked": asked, "recall": float(share[asked - 1])}
+
+
+#: The model as a row: matrices as 64-bit floats, row by row.
+MODEL = "w1 binary, b1 binary, w2 binary, b2 binary, scale double, asked int, recall double"
 
 
 def _fit_task(batches: Iterator[pd.DataFrame], parts: int) -> Iterator[pd.DataFrame]:
     rows = pd.concat([*batches]).sort_values("key")
-    x = np.array(rows["embedding"].tolist(), np.float64)
-    yield pd.DataFrame({"model": [pickle.dumps(fit(x, parts))]})
+    model = fit(np.array(rows["embedding"].tolist(), np.float64), parts)
+    yield pd.DataFrame({k: [v.astype("<f8").tobytes() if isinstance(v, np.ndarray) else v] for k, v in model.items()})
+
+
+def _model(row) -> dict:
+    arrays = {k: np.frombuffer(row[k], "<f8") for k in ("w1", "b1", "w2", "b2")}
+    return arrays | {"w1": arrays["w1"].reshape(-1, HIDDEN), "w2": arrays["w2"].reshape(HIDDEN, -1), "scale": row["scale"], "asked": row["asked"]}
 
 
 def _router(model: dict, asked: int):
@@ -210,7 +238,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 3)
     Both tables have vec_id and embedding; ``queries`` are rows of ``vectors``. Best is
     the largest inner product, ties to the smaller vec_id. Equal vectors are compared
     once: an index row holds the k + 1 least ids of its vector, and a query vector's
-    k + 1 best serve all queries that have it. Fewer candidates give fewer ranks.
+    k + 1 best serve all queries that have it. Fewer candidates give fewer ranks; no
+    queries or no vectors give no rows. Repeated vec_ids are candidates of each other's
+    vectors but not of their own id. See ``usable`` for rows that take no part.
+
+    A query is compared with about asked / parts of the table. Parts grow with it up to
+    what ``SAMPLE`` vectors can teach (425); beyond some 640,000 vectors parts grow
+    instead, so the work of a query grows in proportion to the table from there on.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
@@ -219,19 +253,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 3)
     index = usable(vectors).withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= keep)
     index = index.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     index = scratch.save(index.withColumn("key", F.col("ids")[0]), "index")
-    asked_rows = usable(queries)
-    asked = scratch.save(asked_rows.groupBy("embedding").agg(F.min("vec_id").alias("qkey")), "asked")
+    asked_rows = scratch.save(usable(queries), "queries")
+    asked = asked_rows.groupBy("embedding").agg(F.min("vec_id").alias("qkey"), F.count("*").alias("n"))
+    asked = scratch.save(asked, "asked")
+    common = common_keys(asked.withColumnRenamed("embedding", "_e"), ["_e"], "n", asked_rows.count(), scratch, "common")
+    asked = asked.drop("n")
 
     count = index.count()
-    parts = min(MOST_PARTS, max(1, round(count / PART_SIZE)))
+    parts = parts_of(count, min(count, SAMPLE))
     if parts == 1:
         index = index.withColumn("part", F.lit(0))
         asked = asked.withColumn("part", F.lit(0))
     else:
         unit = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
         sample = index.where(unit < min(1.0, SAMPLE / count)).select("key", "embedding")
-        fitted = sample.repartition(1).mapInPandas(partial(_fit_task, parts=parts), "model binary")
-        model = pickle.loads(scratch.save(fitted, "model").first()["model"])  # our own file
+        fitted = sample.repartition(1).mapInPandas(partial(_fit_task, parts=parts), MODEL)
+        model = _model(scratch.save(fitted, "model").first())
         home, routes = _router(model, 1), _router(model, model["asked"])
         index = scratch.save(index.withColumn("part", home("embedding")[0]), "placed")
         asked = scratch.save(asked.withColumn("part", F.explode(routes("embedding"))), "routed")
@@ -266,9 +303,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 3)
 
     lists = merged(merged(hits, "qkey", "part"), "qkey")
     keyed = scratch.save(asked.select("qkey", "embedding").dropDuplicates(["qkey"]).join(lists, "qkey"), "lists")
-    found = asked_rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_e")).join(
-        keyed, F.col("_e") == F.col("embedding")
-    )
+    found = dealt_join(asked_rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_e")), keyed, [("_e", "embedding")], common, ["query_id"])
     own = F.filter("hits", lambda h: h["vec_id"] != F.col("query_id"))
     ranked = found.select("query_id", F.posexplode(F.slice(F.array_sort(own), 1, k)).alias("pos", "hit"))
-    return ranked.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.s")).alias("score"))
+    done = ranked.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.s")).alias("score"))
+    scratch.drop("index", "asked", "model", "placed", "routed")
+    return done

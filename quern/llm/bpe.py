@@ -10,8 +10,10 @@ boundary on both encodings are equal for certain.
 
 Texts that share no chunk with another text, and of which there is one copy, are
 encoded where they are. Which chunks and texts are shared is counted over all rows; a
-Bloom filter of fixed size tells mappers what may be (a false hit only sends a text
-the longer way). Copies of a text travel under its digest and are encoded once.
+Bloom filter sized by their number tells mappers what may be. A false hit only sends a
+text the longer way; so does a filter at its largest size that is too full, when more
+and more texts travel, up to all. Copies of a text travel under its digest and are
+encoded once. Passages and texts that very many rows share are dealt out in the joins.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 
+from quern.llm.skew import common_in, dealt_join
 from quern.storage import Scratch
 
 WINDOW, CUT_BITS = 16, 9
@@ -39,9 +42,8 @@ LOOKAHEAD = 4
 #: Marks the digest of a whole text among those of chunks.
 _COPY = "\x00whole\x00"
 _REMEMBERED = 100_000
-#: Bits of the Bloom filter: 2 MiB.
-FILTER_POWER = 24
-FILTER_BITS = 1 << FILTER_POWER
+#: Bits of the Bloom filter for each shared chunk or text, and powers of two between which all of them stay (16 MiB).
+FILTER_EACH, FILTER_LEAST, FILTER_MOST = 32, 16, 27
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The white space that the pattern means; other libraries add U+001C to U+001F.
@@ -173,37 +175,41 @@ def join_chunks(tok: Tokenizer, parts: list[tuple[str, tuple]]) -> np.ndarray:
     return np.concatenate([*done, tail_ids]) if done else tail_ids
 
 
-def doc_chunks(tok: Tokenizer, text: str) -> Iterator[str]:
-    """The chunks between the special tokens of a text, in order."""
+def doc_chunks(tok: Tokenizer, text: str) -> Iterator[tuple[int, str]]:
+    """The chunks between the special tokens of a text, each after its start, in order."""
+    at = 0
     for part, special in tok.segments(text):
         if special is None:
-            yield from chunks(part)
+            begin = 0
+            for end in cuts(part):
+                yield at + begin, part[begin:end]
+                begin = end
+        at += len(part)
 
 
 def assembled(tok: Tokenizer, text: str, known: dict[int, tuple]) -> np.ndarray:
-    """Ids of a text of which chunks ``known`` by their place have been encoded before."""
+    """Ids of a text of which chunks ``known`` by their start have been encoded before; what is between them is encoded here."""
     if not known:
         return tok.encode(text)
-    out, seq = [], 0
+    out, at, begins, i = [], 0, sorted(known), 0
     for part, special in tok.segments(text):
         if special is not None:
             out.append(np.array([special], np.uint32))
+            at += len(part)
             continue
         parts: list[tuple[str, tuple]] = []
-        run: list[str] = []  # neighbours that are not shared are encoded as one
-        for chunk in [*chunks(part), None]:
-            found = known.get(seq) if chunk is not None else ()
-            if found is not None and run:
-                parts.append(("".join(run), tok.pieces("".join(run))))
-                run = []
-            if chunk is None:
-                break
-            if found is None:
-                run.append(chunk)
-            else:
-                parts.append((chunk, found))
-            seq += 1
+        done = 0
+        while i < len(begins) and begins[i] < at + len(part):
+            begin = begins[i] - at
+            if begin > done:
+                parts.append((part[done:begin], tok.pieces(part[done:begin])))
+            done = begin + int(known[begins[i]][0][-1])
+            parts.append((part[begin:done], known[begins[i]]))
+            i += 1
+        if done < len(part):
+            parts.append((part[done:], tok.pieces(part[done:])))
         out.append(join_chunks(tok, parts))
+        at += len(part)
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
@@ -222,8 +228,9 @@ def _short(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) & 0x7FFFFFFFFFFFFFFF
 
 
-def _slots(short: int) -> tuple[int, int]:
-    return short % FILTER_BITS, (short >> FILTER_POWER) % FILTER_BITS
+def filter_power(shared: int) -> int:
+    """The filter's size for so many shared chunks and texts, as a power of two."""
+    return min(FILTER_MOST, max(FILTER_LEAST, (FILTER_EACH * shared).bit_length()))
 
 
 ENCODED = "n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
@@ -235,6 +242,10 @@ def _row(tok: Tokenizer, ids: np.ndarray, keep_ids: bool) -> tuple:
     return len(ids), hashlib.sha256(raw).hexdigest(), back, raw if keep_ids else None
 
 
+#: What is noted of a text that may share chunks: its digest, whether its task saw it first, and then its shared chunks.
+_AWAY = "key binary, fresh boolean, starts array<int>, digests array<binary>, chunks array<string>"
+
+
 def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, keep_text: bool = True) -> DataFrame:
     """All columns of ``docs`` plus n_tokens, ids_sha256, decoded_sha256 and ids (little-endian uint32).
 
@@ -242,7 +253,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, keep_tex
     special tokens' strings in a text become their ids. Null texts are empty (no
     tokens). Results depend on the text alone, so repeated rows repeat them. Columns
     already called like a result are replaced. Without ``keep_ids`` the ids are null;
-    without ``keep_text`` the result has no text.
+    without ``keep_text`` the result has no text. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "bpe")
@@ -255,7 +266,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, keep_tex
         for batch in batches:
             hashes, owners, whole = [], [], []
             for text in batch["text"]:
-                own = [_short(c) for c in doc_chunks(tok, text or "")]
+                own = [_short(c) for _, c in doc_chunks(tok, text or "")]
                 name = _short(_COPY + (text or ""))
                 hashes += [name, *own]
                 owners += [name] * (1 + len(own))
@@ -265,19 +276,21 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, keep_tex
     # A chunk is shared if two different texts hold it, a text if two rows do.
     seen = docs.select("text").mapInPandas(digests, "chunk long, owner long, whole boolean")
     seen = seen.groupBy("chunk").agg(F.count("*").alias("n"), F.min("owner").alias("a"), F.max("owner").alias("b"), F.bool_or("whole").alias("whole"))
-    slots = F.explode(F.array(F.col("chunk") % FILTER_BITS, F.shiftright("chunk", FILTER_POWER) % FILTER_BITS))
-    slots = seen.where("(whole and n > 1) or a <> b").select(slots.alias("slot"))
-    words = slots.groupBy(F.floor(F.col("slot") / 32).cast("int").alias("word")).agg(
+    held = scratch.save(seen.where("(whole and n > 1) or a <> b").select("chunk"), "shared")
+    power = filter_power(held.count())
+    slots = F.explode(F.array(F.col("chunk") % (1 << power), F.shiftright("chunk", power) % (1 << power)))
+    words = held.select(slots.alias("slot")).groupBy(F.expr("slot div 32").cast("int").alias("word")).agg(
         F.expr("bit_or(shiftleft(1L, cast(slot % 32 as int)))").alias("mask")
     )
-    mask = np.zeros(FILTER_BITS // 32, np.uint32)  # of fixed size, so this many rows at most
+    mask = np.zeros(1 << power - 5, np.uint32)  # of bounded size, so this many rows at most
     found = words.toArrow()
     mask[found["word"].to_numpy()] = found["mask"].to_numpy().astype(np.uint32)
     shared = spark.sparkContext.broadcast(mask)
+    low = (1 << power) - 1
 
     def may(short: int) -> bool:
         bits = shared.value
-        return all(bits[s >> 5] >> np.uint32(s & 31) & np.uint32(1) for s in _slots(short))
+        return all(bits[s >> 5] >> np.uint32(s & 31) & np.uint32(1) for s in (short & low, short >> power & low))
 
     fields = docs.schema.fields
     names = [f"c{i}" for i in range(len(fields))]
@@ -287,42 +300,36 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, keep_tex
     plain = plain.select(body.alias("body"), F.col(text_name).alias("text"))
 
     def settle(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        tok = Tokenizer.of(path)
+        """Each text encoded, or its digest with its shared chunks: those once for each task, a chunk's own text at its first mention."""
+        tok, texts, told = Tokenizer.of(path), set(), set()
         for batch in series:
             out = []
             for text in batch:
                 text = text or ""
-                if may(_short(_COPY + text)) or any(may(_short(c)) for c in doc_chunks(tok, text)):
-                    out.append((None, None, None, None, hashlib.sha256(text.encode()).digest()))
-                else:
-                    out.append((*_row(tok, tok.encode(text), keep_ids), None))
-            frame = pd.DataFrame(out, columns=[*results, "key"])
-            yield frame.astype({"n_tokens": "Int64"})
-
-    judged = plain.select("body", "text", _iter_udf(settle, f"{ENCODED}, key binary")("text").alias("r"))
-    judged = judged.select("body", F.col("text"), "r.*")
-    if not keep_text:
-        judged = judged.withColumn("text", F.when(F.col("key").isNotNull(), F.col("text")))
-    first = scratch.save(judged, "settled")
-    away = first.where("key is not null").select("key", F.coalesce("text", F.lit("")).alias("text"))
-
-    def references(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The shared chunks of each text, once for each task; a chunk's own text at its first mention."""
-        tok, texts, told = Tokenizer.of(path), set(), set()
-        for batch in batches:
-            out = []
-            for key, text in zip(batch["key"], batch["text"], strict=True):
+                parts = [(at, c) for at, c in doc_chunks(tok, text) if may(_short(c))]
+                if not parts and not may(_short(_COPY + text)):
+                    out.append((*_row(tok, tok.encode(text), keep_ids), None, None, None, None, None))
+                    continue
+                key = hashlib.sha256(text.encode()).digest()
                 if key in texts:
+                    out.append((None, None, None, None, key, False, None, None, None))
                     continue
                 _remember(texts, key)
-                for seq, chunk in enumerate(doc_chunks(tok, text)):
-                    if may(_short(chunk)):
-                        digest = _digest(chunk)
-                        out.append((key, seq, digest, None if digest in told else chunk))
-                        _remember(told, digest)
-            yield pd.DataFrame(out, columns=["key", "seq", "digest", "chunk"])
-
-    refs = scratch.save(away.mapInPandas(references, "key binary, seq int, digest binary, chunk string"), "refs")
+                names, own = [_digest(c) for _, c in parts], []
+                for name, (_, chunk) in zip(names, parts, strict=True):
+                    own.append(None if name in told else chunk)
+                    _remember(told, name)
+                out.append((None, None, None, None, key, True, [at for at, _ in parts], names, own))
+            frame = pd.DataFrame(out, columns=[*results, "key", "fresh", "starts", "digests", "chunks"])
+            yield frame.astype({"n_tokens": "Int64", "fresh": "boolean"})
+
+    judged = plain.select("body", "text", _iter_udf(settle, f"{ENCODED}, {_AWAY}")("text").alias("r"))
+    judged = judged.select("body", F.col("text"), "r.*")
+    if not keep_text:
+        judged = judged.withColumn("text", F.when(F.col("fresh"), F.col("text")))
+    first = scratch.save(judged, "settled")
+    fresh = first.where("fresh")
+    refs = fresh.select("key", F.inline(F.arrays_zip(F.col("starts").alias("seq"), F.col("digests").alias("digest"), F.col("chunks").alias("chunk"))))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = Tokenizer.of(path)
@@ -339,20 +346,12 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, keep_tex
 
     once = refs.where("chunk is not null").groupBy("digest", "chunk").agg(F.lit(1).alias("_1")).select("digest", "chunk")
     table = scratch.save(once.mapInPandas(encode, "digest binary, ends binary, counts binary, ids binary"), "chunks")
-    known = refs.groupBy("key", "seq", "digest").agg(F.lit(1).alias("_1")).join(table.withColumnRenamed("digest", "_digest"), F.col("digest") == F.col("_digest"))
-
-    def thinned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each text once for each task, so that copies do not meet in one."""
-        texts: set = set()
-        for batch in batches:
-            fresh = []
-            for key in batch["key"]:
-                fresh.append(key not in texts)
-                _remember(texts, key)
-            yield batch.loc[np.array(fresh, bool)]
+    mentions = scratch.save(refs.select("key", "seq", "digest").distinct(), "mentions")
+    common = common_in(mentions, ["digest"], mentions.count(), scratch, "common-chunks")
+    known = dealt_join(mentions, table.withColumnRenamed("digest", "_digest"), [("digest", "_digest")], common, ["key", "seq"])
 
     def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows of a key: its text (seq -1, maybe again), then its shared chunks by seq."""
+        """Rows of a key: its text (seq -1, once from each task that saw it), then its shared chunks by start."""
         tok, now, text, known = Tokenizer.of(path), None, "", {}
 
         def close() -> tuple:
@@ -373,12 +372,11 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, keep_tex
             yield pd.DataFrame([close()], columns=["key", *results])
 
     nothing = F.lit(None).cast("binary")
-    rows = away.mapInPandas(thinned, "key binary, text string").select(
-        "key", F.lit(-1).alias("seq"), "text", nothing.alias("ends"), nothing.alias("counts"), nothing.alias("ids")
-    )
+    rows = fresh.select("key", F.lit(-1).alias("seq"), F.coalesce("text", F.lit("")).alias("text"), nothing.alias("ends"), nothing.alias("counts"), nothing.alias("ids"))
     rows = rows.unionByName(known.select("key", "seq", F.lit(None).cast("string").alias("text"), "ends", "counts", "ids"))
     rows = rows.repartition("key").sortWithinPartitions("key", "seq")
     joined = scratch.save(rows.mapInPandas(put_together, f"key binary, {ENCODED}"), "joined")
+    scratch.drop("shared", "chunks", "mentions", "common-chunks")
 
     back = [
         F.col(f"body.{n}").alias(f.name) if f.name != "text" else F.col("text")
@@ -386,9 +384,9 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, keep_tex
         if keep_text or f.name != "text"
     ]
     here = first.where("key is null").select(*back, *results)
-    there = first.where("key is not null").drop(*results).join(
-        joined.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key")
-    )
+    away = first.where("key is not null")
+    copies = common_in(away, ["key"], away.count(), scratch, "common-texts")
+    there = dealt_join(away.select("key", "body", "text"), joined.withColumnRenamed("key", "_key"), [("key", "_key")], copies, ["body"])
     return here.unionByName(there.select(*back, *results))
 
 

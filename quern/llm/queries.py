@@ -128,23 +128,25 @@ FROM parts LEFT JOIN best ON parts.rid = best.rid AND n = 1"""
 
 
 def _sql_op2() -> str:
+    """Of tables where every row has a doc_id of its own."""
+    unit = f"""('0x' || substr(md5('{MIX_SEED}:' || d.doc_id || CASE WHEN i = 0 THEN '' ELSE ':part:' || i END), 1, 12))::BIGINT / 281474976710656.0"""
     return f"""
 WITH RECURSIVE sizes AS (SELECT source, count(*) AS n_docs FROM documents GROUP BY source),
 rates AS (
   SELECT source, (SELECT count(*) FROM documents) / (SELECT count(*) FROM sizes)::DOUBLE / n_docs AS rate FROM sizes),
+split AS (SELECT source, rate, greatest(ceil(rate / {mixing.PART_RATE}), 1)::BIGINT AS parts FROM rates),
 cdf AS (
-  SELECT source, rate, 0 AS k, -rate AS log_p, exp(-rate) AS cum FROM rates
+  SELECT source, rate, parts, rate / parts AS r, 0 AS k, -(rate / parts) AS log_p, exp(-(rate / parts)) AS cum FROM split
   UNION ALL
-  SELECT source, rate, k + 1, log_p + ln(rate) - ln(k + 1), cum + exp(log_p + ln(rate) - ln(k + 1))
-  FROM cdf WHERE k < ceil(rate + 12 * sqrt(rate) + 30)),
-lists AS (SELECT source, any_value(rate) AS rate, list(cum ORDER BY k) AS cums FROM cdf GROUP BY source),
+  SELECT source, rate, parts, r, k + 1, log_p + ln(r) - ln(k + 1), cum + exp(log_p + ln(r) - ln(k + 1))
+  FROM cdf WHERE k < ceil(r + 12 * sqrt(r) + 30)),
+lists AS (SELECT source, any_value(rate) AS rate, any_value(parts) AS parts, list(cum ORDER BY k) AS cums FROM cdf GROUP BY source),
 drawn AS (
-  SELECT d.*, rate,
-    len(list_filter(cums, lambda c: c <= ('0x' || substr(md5('{MIX_SEED}:' || coalesce(d.doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0)) AS copies
+  SELECT d.*, rate, list_sum(list_transform(range(parts), lambda i: len(list_filter(cums, lambda c: c <= {unit})))) AS copies
   FROM documents d JOIN lists l ON d.source IS NOT DISTINCT FROM l.source)
 SELECT doc_id, text, lang, source, n_chars, replica::INTEGER AS replica, round(rate, 9) AS rate,
-  md5('{MIX_SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || replica) AS shuffle_key
-FROM drawn, unnest(range(copies)) AS u(replica)"""
+  md5('{MIX_SEED}:' || doc_id || ':' || replica) AS shuffle_key
+FROM drawn, unnest(range(copies::BIGINT)) AS u(replica)"""
 
 
 def _sql_op5() -> str:

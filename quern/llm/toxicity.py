@@ -6,7 +6,8 @@ document labels by gradient descent through the noisy-or, so sentence scores are
 learned without sentence labels and locate what offends.
 
 The model is fitted on a sample of labelled documents that one task can hold
-(``SAMPLE_DOCS`` expected, chosen by a hash of doc_id); scoring covers every document.
+(``SAMPLE_DOCS`` and ``SAMPLE_CHARS`` expected at most, chosen by hashes of doc_id);
+scoring covers every document.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from quern.storage import Scratch
 
 #: Labelled documents that the model is fitted on, in expectation.
 SAMPLE_DOCS = 12_000
+#: Characters of them at most, in expectation.
+SAMPLE_CHARS = 60_000_000
 #: Features of the model at most: those with the strongest association.
 MAX_FEATURES = 50_000
 THRESHOLD = 0.3
@@ -45,10 +48,39 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def _noisy_or(z: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sentence probabilities, and log(1 - P) of each document (sentences from starts[i] on)."""
-    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    return p, np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-12)), starts) if len(starts) else np.zeros(0)
+class Bags:
+    """Labelled documents as bags of sentences, for the noisy-or.
+
+    ``index`` and ``sentence_of`` say which feature occurs in which sentence, once for
+    each occurrence; ``doc_of`` says which document a sentence belongs to, in order.
+    """
+
+    def __init__(self, index: np.ndarray, sentence_of: np.ndarray, doc_of: np.ndarray, labels: np.ndarray):
+        self.index, self.sentence_of, self.n, self.docs = index, sentence_of, len(doc_of), len(labels)
+        filled = np.unique(doc_of)  # documents without words tell nothing
+        self.starts = np.searchsorted(doc_of, filled)
+        self.truth, self.position = labels[filled], np.searchsorted(filled, doc_of)
+
+    def noisy_or(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of sentences, and log(1 - P) of documents."""
+        z = w[-1] + np.bincount(self.sentence_of, w[self.index], minlength=self.n)
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return p, np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-12)), self.starts) if self.n else np.zeros(0)
+
+    def loss(self, w: np.ndarray) -> float:
+        """Cross-entropy of the document labels, a mean over all documents, and the shrinkage."""
+        _, clean = self.noisy_or(w)
+        likely = np.where(self.truth == 1, np.log(np.maximum(-np.expm1(clean), 1e-300)), clean)
+        return float(-likely.sum() / self.docs + SHRINK / 2 * (w[:-1] ** 2).sum())
+
+    def gradient(self, w: np.ndarray) -> np.ndarray:
+        p, log_clean = self.noisy_or(w)
+        clean = np.exp(log_clean)
+        pull = np.where(self.truth == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0)
+        g = pull[self.position] * p / self.docs
+        grad = np.bincount(self.index, g[self.sentence_of], minlength=len(w)) + SHRINK * w
+        grad[-1] = g.sum()
+        return grad
 
 
 def fit(texts: list[str], labels: list[int]) -> dict[str, float]:
@@ -58,6 +90,7 @@ def fit(texts: list[str], labels: list[int]) -> dict[str, float]:
         return {"": 30.0 if len(y) and y.min() == 1 else -30.0}
     bags: list[list[list[str]]] = []
     frequency = (Counter(), Counter())
+    same: dict[str, str] = {}  # one object for each word
     for text, label in zip(texts, labels, strict=True):
         sentences, now = [], []
         for token in _TOKEN.findall((text or "").lower()):
@@ -66,7 +99,7 @@ def fit(texts: list[str], labels: list[int]) -> dict[str, float]:
                     sentences.append(now)
                 now = []
             else:
-                now.append(token)
+                now.append(same.setdefault(token, token))
         sentences += [now] if now else []
         bags.append(sentences)
         frequency[int(label)].update({f for w in {w for s in sentences for w in s} for f in features(w)})
@@ -91,21 +124,13 @@ def fit(texts: list[str], labels: list[int]) -> dict[str, float]:
                 sentence_of += [n] * len(found)
             doc_of.append(d)
             n += 1
-    index, sentence_of, doc_of = np.array(index, np.int64), np.array(sentence_of, np.int64), np.array(doc_of, np.int64)
-    filled = np.unique(doc_of)
-    starts = np.searchsorted(doc_of, filled)
-    truth = y[filled]
-    position = np.searchsorted(filled, doc_of)
+    bags.clear()
+    data = Bags(np.array(index, np.int64), np.array(sentence_of, np.int64), np.array(doc_of, np.int64), y)
     w = np.zeros(len(vocabulary) + 1)  # the bias is last
     w[-1] = -8.0
     mean, square = np.zeros(len(w)), np.zeros(len(w))
     for step in range(1, STEPS + 1):
-        p, log_clean = _noisy_or(w[-1] + np.bincount(sentence_of, w[index], minlength=n), starts)
-        clean = np.exp(log_clean)
-        pull = np.where(truth == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0)
-        g = pull[position] * p / len(y)
-        grad = np.bincount(index, g[sentence_of], minlength=len(w)) + SHRINK * w
-        grad[-1] = g.sum()
+        grad = data.gradient(w)
         mean += 0.1 * (grad - mean)
         square += 0.01 * (grad**2 - square)
         w -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-10)
@@ -119,19 +144,32 @@ def _fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"feature": [*weights], "weight": [*weights.values()]})
 
 
-def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample_docs: int = SAMPLE_DOCS) -> dict[str, float]:
-    """Fit on labelled rows that are not held out. Null ids, texts and labels are left out."""
+def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, float]:
+    """Fit on a sample of labelled rows that are not held out. Null ids, texts and labels are left out.
+
+    The sample is chosen by hashes of doc_id: ``sample_docs`` labels, of these at most
+    ``sample_chars`` characters, both in expectation. Repeated rows count again.
+    """
     marks = (
         labels.select("doc_id", "toxic")
         .where("doc_id is not null and toxic in (0, 1)")
         .where(~is_held_out(F.col("doc_id")))
     )
     total = marks.count()
-    unit = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
-    marks = marks.where(unit < min(1.0, sample_docs / max(total, 1)))
+
+    def unit(salt: str) -> Column:
+        return F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
+
+    marks = marks.where(unit("toxicity") < min(1.0, sample_docs / max(total, 1)))
     rows = docs.where("text is not null").select("doc_id", "text").join(marks.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "toxic")
+    rows = scratch.save(rows, "sample")
+    chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if chars > sample_chars:
+        rows = rows.where(unit("characters") < sample_chars / chars)
     model = scratch.save(rows.repartition(1).mapInPandas(_fitted, "feature string, weight double"), "model")
-    return {r["feature"]: r["weight"] for r in model.collect()}
+    weights = {r["feature"]: r["weight"] for r in model.collect()}  # MAX_FEATURES and a bias at most
+    scratch.drop("sample", "model")
+    return weights
 
 
 class Scorer:

@@ -13,10 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.skew import common_keys, dealt_join
+from quern.storage import Scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rule tables of at most this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_RULES = 100_000
-#: Ways in which rows of one url, or of one expression, are dealt out in shuffled joins.
+#: Ways in which rows of one expression are dealt out where rules are joined by shuffle.
 SALTS = 16
 
 
@@ -61,8 +64,10 @@ def judge_urls(
     path) wins; of equally long ones that with the longer host, then block. Rows of
     ``rules`` with nulls fit nothing. Urls that no rule fits, null urls and urls
     without ``://`` get ``default`` and a null rule. Repeated rows stay; columns
-    already called like a result are replaced.
+    already called like a result are replaced. Rows of very common urls are dealt out
+    when they meet their decision. No pages, or no rules, are no error.
     """
+    scratch = Scratch(pages.sparkSession, "url-filters")
     rules = rules.select("host", "path", "verdict").dropna().distinct()
     table = rules.select(
         F.concat("host", "path").alias("rule"),
@@ -75,7 +80,8 @@ def judge_urls(
         F.collect_set(F.size(F.split("host", r"\."))).alias("labels"),
         F.collect_set(F.length("path")).alias("lengths"),
     ).first()
-    urls = pages.select("url").where("url is not null").distinct()
+    urls = scratch.save(pages.where("url is not null").groupBy("url").agg(F.count("*").alias("rows")), "urls")
+    common = common_keys(urls, ["url"], "rows", pages.count(), scratch, "common")
     asked = expressions(urls, sorted(shape["labels"]), sorted(shape["lengths"]))
     near = F.col("prefix") == F.col("rule_prefix")
     if shape["n"] <= broadcast_rules:
@@ -87,14 +93,11 @@ def judge_urls(
         )
     best = F.max(F.struct(F.length("rule").alias("chars"), "host_chars", "verdict", "rule"))  # block > allow
     decided = found.where("digest = rule_digest").groupBy("url").agg(best.alias("_best"))
-    decided = decided.select(
-        F.col("url").alias("_url"),
-        "_best",
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_slot"),
-    )
+    decided = decided.withColumnRenamed("url", "_url")
     kept = [c for c in pages.columns if c not in {"host", "path", "rule", "verdict"}]
-    rows = pages.select(*kept, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("_salt"))
-    return rows.join(decided, (rows["url"] == decided["_url"]) & (rows["_salt"] == decided["_slot"]), "left").select(
+    told = dealt_join(pages.select(*kept).where("url is not null"), decided, [("url", "_url")], common, kept, "left")
+    told = told.unionByName(pages.select(*kept).where("url is null"), allowMissingColumns=True)
+    return told.select(
         *kept,
         url_host(F.col("url")).alias("host"),
         url_path(F.col("url")).alias("path"),

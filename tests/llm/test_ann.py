@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 
-from quern.llm import ann
+from quern.llm import ann, skew
 
 
 def brute(rows, k):
@@ -19,6 +19,48 @@ def brute(rows, k):
     return out
 
 
+def recall(spark, x, k=20):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found, hits = {}, 0
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0")).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for q, got in found.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got & set(np.argsort(-s)[:k].tolist()))
+    assert len(found) == -(-len(x) // 20)
+    return hits / (k * len(found))
+
+
+def test_small_tables_go_through_learned_parts(spark):
+    """500 vectors of ten loose clusters, as the supplied tables have: eight parts, at least 0.9 of the neighbours."""
+    assert ann.parts_of(500, 500) == ann.LEAST_PARTS and ann.parts_of(100, 100) == 1
+    assert ann.parts_of(60_000, ann.SAMPLE) == 40 and ann.parts_of(10**9, ann.SAMPLE) == 425
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(10, 64))
+    assert recall(spark, centres[rng.integers(0, 10, 500)] + 0.5 * rng.normal(size=(500, 64))) >= 0.9
+
+
+def test_the_model_is_kept_as_a_row():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 6))
+    model = ann.fit(x, 8)
+    row = {k: v.astype("<f8").tobytes() if isinstance(v, np.ndarray) else v for k, v in model.items()}
+    assert np.array_equal(ann._forward(ann._model(row), x), ann._forward(model, x)) and 1 <= model["asked"] <= 8 and model["recall"] >= ann.TARGET
+
+
+def test_queries_of_one_vector_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(skew, "FLOOR", 5)
+    rows = [(i, [1.0, 2.0] if i % 3 else [float(i), 1.0]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in ann.nearest(df, df).collect()]
+    want = []
+    for i, v in rows:
+        rest = sorted((-(v[0] * w[0] + v[1] * w[1]), j) for j, w in rows if j != i)[:20]
+        want += [(i, n, j, -s) for n, (s, j) in enumerate(rest, 1)]
+    assert sorted(got) == sorted(want)
+
+
 def test_small_tables_are_exact(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(150)]  # many ties
@@ -39,16 +81,7 @@ def test_recall_with_parts(spark, monkeypatch):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(30, 16))
     x = centres[rng.integers(0, 30, 2400)] + 0.3 * rng.normal(size=(2400, 16))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    found = {}
-    for r in ann.nearest(df, df.where("vec_id % 20 = 0")).collect():
-        found.setdefault(r["query_id"], set()).add(r["vec_id"])
-    hits = 0
-    for q, got in found.items():
-        s = x @ x[q]
-        s[q] = -np.inf
-        hits += len(got & set(np.argsort(-s)[:20].tolist()))
-    assert len(found) == 120 and hits / (20 * len(found)) >= 0.9
+    assert recall(spark, x) >= 0.9
 
 
 def test_parts_are_balanced():

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from quern.llm import bpe
+from quern.llm import bpe, skew
 from quern.llm.queries import tokenizer_path
 
 PARTS = ["a", "'s", "'", " ", "  ", "\n", "1", "é", "\x1c", "\x85", "\u2003", "<|endoftext|>", "!", " the", "日本", "😀", "'ve", "'ll", "x" * 40, " " * 70]
@@ -58,3 +58,26 @@ def test_odd_rows(odd, no_docs, library):
     texts = {r["doc_id"]: r["text"] for r in odd.collect()}
     assert len(rows) == odd.count() and all(r["n_tokens"] == expected(library, texts[r["doc_id"]])[0] for r in rows)
     assert bpe.encode_documents(no_docs, tokenizer_path()).count() == 0
+
+
+def test_common_passages_and_thousands_of_copies(spark, library, monkeypatch):
+    """One passage in most texts, one text in most rows, and a filter that is far too small."""
+    monkeypatch.setattr(skew, "FLOOR", 20)
+    rnd = random.Random(11)
+    passage = "".join(rnd.choice(PARTS[:11] + ["word", " more"]) for _ in range(900))
+    texts = [f"{i} begins " * 12 + passage + f" ends {i}" for i in range(120)] + [passage + " copy"] * 2_000 + [None, ""] * 60
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    want = {t: expected(library, t) for t in set(texts)}
+    for least in (bpe.FILTER_LEAST, 5):
+        monkeypatch.setattr(bpe, "FILTER_LEAST", least)
+        monkeypatch.setattr(bpe, "FILTER_MOST", max(least, 16))
+        if least == 5:
+            monkeypatch.setattr(bpe, "FILTER_MOST", 5)
+        rows = bpe.encode_documents(df, tokenizer_path(), keep_text=False).collect()
+        assert len(rows) == len(texts)
+        assert all((r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == want[texts[r["doc_id"]]] for r in rows)
+
+
+def test_the_filter_grows_with_what_it_holds():
+    assert bpe.filter_power(0) == bpe.FILTER_LEAST and bpe.filter_power(10**12) == bpe.FILTER_MOST
+    assert 2 ** bpe.filter_power(100_000) >= bpe.FILTER_EACH * 100_000

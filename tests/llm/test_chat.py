@@ -46,3 +46,21 @@ def test_typed_parts(spark):
 def test_unknown_part():
     with pytest.raises(ValueError, match="unknown type"):
         chat.Flattener().visit(0, {"type": "video"})
+
+
+def test_stored_pieces_are_read_back_in_any_order(spark, tmp_path):
+    rows = [((1 << 60) + i % 50 if i % 7 else None, i // 50, "assistant" if i % 2 else "user", f"text {i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = sorted(map(repr, chat.read_back(chat.format_turns(df)).collect()))
+    chat.format_turns(df).repartition(11).write.parquet(str(tmp_path / "pieces"))
+    stored = spark.read.parquet(str(tmp_path / "pieces"))
+    assert sorted(map(repr, chat.read_back(stored).collect())) == want and len(want) == len({r[0] for r in rows})
+    numbers = {}
+    for r in stored.collect():
+        numbers.setdefault(r["conv_id"], []).append(r["position"])
+    assert all(sorted(v) == [*range(len(v))] for v in numbers.values())
+
+
+def test_null_parts_are_nothing(spark):
+    df = spark.createDataFrame([(1, 0, "user", [None, {"type": None, "text": "a"}, {"type": "text", "text": None}])], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    assert chat.format_turns(df).first()["piece"] == "<|turn|>user\na<|end|>\n"

@@ -49,3 +49,51 @@ def test_documents_follow_each_other(spark, odd, no_docs):
         got = [tuple(r) for r in o.fingerprint_documents(odd, width).collect()]
         assert sorted(map(repr, got)) == sorted(map(repr, expected))
     assert o.fingerprint_documents(no_docs).count() == 0
+
+
+def told(text):
+    """Order MinHash one k-mer at a time, with whole numbers instead of arrays."""
+    top = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & top
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & top
+        return x ^ (x >> 31)
+
+    def value(gram):
+        h = len(gram)
+        for c in gram:
+            h = (h * 0x9E3779B97F4A7C15 + ord(c)) & top
+        return mix(h)
+
+    if not text:
+        return [0] * o.SKETCHES
+    k = min(o.K, len(text))
+    grams, seen, marked = [text[i : i + k] for i in range(len(text) - k + 1)], {}, []
+    for at, gram in enumerate(grams):
+        n = seen.get(gram, 0)
+        seen[gram] = n + 1
+        marked.append((mix((value(gram) + n * 0x9E3779B97F4A7C15) & top), at))
+    out = []
+    for j, (a, b) in enumerate(zip(o._A.tolist(), o._B.tolist(), strict=True)):
+        chosen = sorted(((a * x + b) & top, at) for x, at in marked)[: o.TUPLE]
+        h = j
+        for at in sorted(at for _, at in chosen):
+            h = mix((h * 0x9E3779B97F4A7C15 + value(grams[at])) & top)
+        out.append(h >> 48)
+    return out
+
+
+def test_fingerprints_equal_brute_force():
+    rnd = np.random.default_rng(6)
+    texts = ["", "a", "abc", "abcdef", "aaaaaaaaaaaaaaaa", "é😀" * 9, " ".join(map(str, rnd.integers(0, 40, 120).tolist())), "the same words " * 20]
+    for text in texts:
+        assert o.fingerprint(text).tolist() == told(text)
+
+
+def test_rows_without_ids_are_dealt_out(spark):
+    docs = spark.range(400).selectExpr("cast(null as long) as doc_id", "concat('text number ', id) as text")
+    rows = o.fingerprint_documents(docs, 8).collect()
+    assert len(rows) == 400 and all(r["n_chars"] > 0 for r in rows)
+    big = spark.createDataFrame([((1 << 60) + 1, "x"), (None, "y"), ((1 << 60) + 2, "z")], "doc_id long, text string")
+    assert {r["doc_id"] for r in o.fingerprint_documents(big, 1).collect()} == {(1 << 60) + 1, (1 << 60) + 2, None}

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from quern.llm import secrets as s
 from quern.llm.trigrams import trigram_query
@@ -34,10 +35,47 @@ def test_spans_equal_brute_force(spark):
 
 
 def test_index_loses_no_candidate(spark, odd):
-    found = {r["doc_id"]: set(r["kinds"]) for r in s.candidates(odd).collect()}
+    named = odd.select("doc_id", s.row_key().alias("_k"))
+    found = {r["doc_id"]: set(r["kinds"]) for r in named.join(s.candidates(odd), s.F.col("_k") == s.F.col("key")).collect()}
     assert {"assign", "access"} <= found[7] and 1 not in found
 
 
+def test_many_candidates_come_back_through_the_bit_filter(spark, odd, monkeypatch):
+    more = odd.unionByName(odd.select(*(s.F.lit(None).cast(t).alias(c) if c == "doc_id" else s.F.col(c) for c, t in odd.dtypes)))
+    want = sorted(map(repr, s.scan(more).collect()))
+    monkeypatch.setattr(s, "BROADCAST_ROWS", 0)
+    assert sorted(map(repr, s.scan(more).collect())) == want and len(want) == 2 * odd.count()
+
+
+def test_twenty_thousand_secrets_in_a_text(spark):
+    text = " ".join(f"token=abcdef{i:06d}" for i in range(20_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    s.scan(df).collect()  # compiled
+    began = time.perf_counter()
+    row = s.scan(df).withColumn("clean", s.redact(s.F.col("text"), s.F.col("spans"))).first()
+    assert [tuple(x) for x in row["spans"]] == brute(text) and len(row["spans"]) == 20_000
+    assert row["clean"] == " ".join(["[SECRET:assign]"] * 20_000)
+    assert time.perf_counter() - began < 20  # two seconds on an idle core; quadratic work takes minutes
+
+
+def test_redaction_equals_brute_force(spark):
+    rnd = random.Random(9)
+    bits = ["token=", "AKIA" + "Q" * 20, "a1" * 15, " plain é😀 text ", "\n", "secret: ", "0123456789abcdef" * 3, "x" * 700]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(25))) for _ in range(120)]
+
+    def cleaned(text):
+        out, at = "", 0
+        for start, _, kind, end in brute(text):
+            if start >= at:
+                out += text[at:start] + f"[SECRET:{kind}]"
+            at = max(at, end)
+        return out + text[at:]
+
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["clean"] for r in s.scan(df).withColumn("clean", s.redact(s.F.col("text"), s.F.col("spans"))).collect()}
+    assert got == {i: cleaned(t) for i, t in enumerate(texts)}
+
+
 def test_odd_rows_and_redaction(odd, no_docs):
     rows = s.scan(odd).withColumn("clean", s.redact(s.F.col("text"), s.F.col("spans"))).collect()
     assert len(rows) == odd.count()

@@ -1,4 +1,5 @@
 from quern.llm.queries import URL_RULES
+from quern.llm import skew
 from quern.llm.url_filters import judge_urls
 
 URLS = [
@@ -44,3 +45,12 @@ def test_no_rules_and_no_pages(spark):
     pages = spark.createDataFrame(URLS, "page_id long, url string")
     assert {r["verdict"] for r in judge_urls(pages, rules).collect()} == {"allow"}
     assert judge_urls(pages.limit(0), rules).count() == 0
+
+
+def test_common_urls_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(skew, "FLOOR", 10)
+    rows = [(i, URLS[i % 3 if i % 2 else 3][1]) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    got = judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(repr(tuple(r)) for r in got) == sorted(repr((i, *brute(u))) for i, u in rows)

@@ -48,3 +48,18 @@ def test_empty_table(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_archives(warc.plan_records(pages), str(tmp_path / "a"))
     assert warc.records(spark, str(tmp_path / "a")).count() == 0
+
+
+def test_long_payloads_as_shipped(spark, tmp_path):
+    text = "".join(f"line {i} é\n" for i in range(60_000))  # several chunks
+    ids = [(1 << 60) + 1, (1 << 60) + 2, None]
+    pages = spark.createDataFrame([(i, None, text + "x" * n) for n, i in enumerate(ids)], "page_id long, url string, html string")
+    path = str(tmp_path / "a")
+    warc.write_archives(warc.plan_records(pages), path)
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"]) for r in warc.records(spark, path).collect()}
+    assert got == {i: (len((text + "x" * n).encode()), hashlib.sha1((text + "x" * n).encode()).hexdigest()) for n, i in enumerate(ids)}
+    rows = warc.read_chunks(spark, path).collect()
+    assert len(rows) == 3 * -(-len(text) // warc.CHUNK_CHARS) and max(len(r["data"]) for r in rows) <= 2 * warc.CHUNK_CHARS
+    first = sorted((r["chunk"], bytes(r["data"])) for r in rows if r["page_id"] == ids[0])
+    assert b"".join(x for _, x in first).decode() == text
+    assert "WARC-Type: warcinfo" in "\n".join(r["value"] for r in spark.read.text(path).collect())
