@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -16,16 +17,21 @@ class Source:
     cap: int  # records at 10,000,000 in all; 0: what is left of the group
     skip: int  # leading records at 10,000,000 in all
     min_score: float = 0.0
+    stream: str = ""  # where its records come from; its own name if empty
+
+    @property
+    def read_from(self) -> str:
+        return self.stream or self.name
 
 
 #: The catalogue in processing order.
 SOURCES = (
     Source("magicoder", "code", 95, "magicoder", 75_000, 0),
-    Source("openmath_math", "math", 96, "math_instruct", 500_000, 0),
+    Source("openmath_math", "math", 96, "math_instruct", 500_000, 0, stream="openmath"),
     Source("finemath", "math", 93, "text", 0, 0),
     Source("openthoughts3", "reasoning", 98, "conversations", 1_200_000, 0),
     Source("openr1_math", "reasoning", 95, "problem_solution", 220_000, 0),
-    Source("openmath_reason", "reasoning", 95, "math_instruct", 0, 500_000),
+    Source("openmath_reason", "reasoning", 95, "math_instruct", 0, 500_000, stream="openmath"),
     Source("fineweb_edu", "educational", 88, "text", 0, 0),
 )
 #: Shares of the groups; the last takes what rounding leaves.
@@ -60,10 +66,23 @@ def tokenizer_texts(n_samples: int, n_texts: int = 500_000) -> int:
 
 
 def frame(spark: SparkSession, sources: tuple[Source, ...] = SOURCES) -> DataFrame:
-    rows = [(i, s.name, s.group, float(s.trust), s.fmt, s.cap, s.skip, s.min_score) for i, s in enumerate(sources)]
-    return spark.createDataFrame(rows, "ord int, name string, group string, trust double, fmt string, cap long, skip long, min_score double")
+    rows = [(i, s.name, s.group, float(s.trust), s.fmt, s.cap, s.skip, s.min_score, s.read_from) for i, s in enumerate(sources)]
+    return spark.createDataFrame(rows, "ord int, name string, group string, trust double, fmt string, cap long, skip long, min_score double, stream string")
+
+
+def streams(catalogue: DataFrame) -> DataFrame:
+    """ord, name, stream: the first source of each stream, for sources that share one are read from it alike."""
+    first = catalogue.groupBy("stream").agg(F.min(F.struct("ord", "name")).alias("s"))
+    return first.select("s.ord", "s.name", "stream")
+
+
+def verify(readers: dict[str, DataFrame], sources: tuple[Source, ...] = SOURCES) -> dict[str, bool]:
+    """Whether each source yields a row: one probe for each stream. A stream without a reader yields none."""
+    found = {s: s in readers and not readers[s].isEmpty() for s in dict.fromkeys(x.read_from for x in sources)}
+    return {x.name: found[x.read_from] for x in sources}
 
 
-def verify(readers: dict[str, DataFrame]) -> dict[str, bool]:
-    """Whether each distinct source yields a row."""
-    return {name: not df.isEmpty() for name, df in readers.items()}
+def with_catalogue(rows: DataFrame, sources: tuple[Source, ...] = SOURCES) -> DataFrame:
+    """``rows`` (name, ...) plus ord, group and trust of the source; null for names that are not in the catalogue."""
+    listed = frame(rows.sparkSession, sources).select(F.col("name").alias("_name"), "ord", "group", "trust")  # a row for each source
+    return rows.join(F.broadcast(listed), F.col("name") == F.col("_name"), "left").drop("_name")

@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.operators.windows import with_ordinal
+
 RECORD = T.StructType(
     [
         T.StructField("input_ids", T.ArrayType(T.IntegerType())),
@@ -64,6 +66,52 @@ def read_strict(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("source", F.coalesce(check.cast("string"), F.col("source"))).drop("value", "problem")
 
 
+def first_flaw(spark: SparkSession, path: str) -> tuple[str, int, str] | None:
+    """File, line number from 1 and problem of the first unsound line but a blank one; None if all are sound.
+
+    Lines are numbered within their files by the place of their split and their place
+    in it, so no task reads more than its split. Records of another length than the
+    first file's first record are unsound too.
+    """
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")]
+    rows = parse_records(spark.read.text(path).select("value", *at)).where("coalesce(problem, '') <> 'blank'")
+    rows = rows.select("file", "block", "place", "problem", F.size("input_ids").alias("n"), F.size("labels").alias("n_labels"), "source", "labels")
+    order = F.struct("file", "block", "place")
+    told = rows.where("problem is null").agg(F.min_by("n", order).alias("n")).first()["n"]
+    problem = (
+        F.when(F.col("problem").isNotNull(), F.col("problem"))
+        .when(F.col("labels").isNull() | F.col("source").isNull(), "missing")
+        .when(F.col("n") != F.col("n_labels"), "lengths")
+        .when(F.col("n") != told, "length")
+    )
+    worst = rows.withColumn("problem", problem).where("problem is not null").agg(F.min(F.struct("file", "block", "place", "problem")).alias("w")).first()["w"]
+    if worst is None:
+        return None
+    lines = spark.read.text(path).select(*at).where(F.col("file") == worst["file"])
+    before = lines.where((F.col("block") < worst["block"]) | ((F.col("block") == worst["block"]) & (F.col("place") < worst["place"]))).count()
+    return worst["file"], before + 1, worst["problem"]
+
+
+def check(spark: SparkSession, path: str) -> None:
+    """An error that names the first unsound line, if there is one."""
+    flaw = first_flaw(spark, path)
+    if flaw:
+        raise ValueError(f"invalid record at line {flaw[1]} of {flaw[0]}: {flaw[2]}")
+
+
+def replay(records: DataFrame, order: str, epochs: int, seed: int | None = None) -> DataFrame:
+    """``records`` read ``epochs`` times over, plus epoch and at, which order the stream.
+
+    Each epoch goes through all records once. Without ``seed`` it begins at the first;
+    with it, at a record that the seed and the epoch draw, and wraps around at the end.
+    """
+    numbered = with_ordinal(records, [], order, "_k")
+    n = numbered.count()
+    each = numbered.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    start = F.lit(0) if seed is None else F.pmod(F.xxhash64(F.lit(seed), F.col("epoch")), F.lit(max(n, 1)))
+    return each.withColumn("at", F.col("epoch").cast("long") * n + F.pmod(F.col("_k") - start, F.lit(max(n, 1)))).drop("_k")
+
+
 def write(df: DataFrame, path: str) -> None:
     df.select("input_ids", "labels", "trust_score", "source").write.mode("overwrite").json(path)
 
@@ -84,8 +132,14 @@ def enough(spark: SparkSession, path: str, rows: int) -> bool:
         raise
 
 
-def first_existing(paths: list[str]) -> str | None:
-    return next((p for p in paths if Path(p).exists()), None)
+def exists(spark: SparkSession, path: str) -> bool:
+    """On any file system that Spark knows."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
+    return next((p for p in paths if exists(spark, p)), None)
 
 
 def bootstrap(spark: SparkSession, rows: int, length: int = 512, seed: int = 0) -> DataFrame:
@@ -96,10 +150,6 @@ def bootstrap(spark: SparkSession, rows: int, length: int = 512, seed: int = 0)
     return df.select("input_ids", labels.alias("labels"), F.lit(90.0).alias("trust_score"), F.lit("bootstrap").alias("source"))
 
 
-def as_json(record: Column) -> Column:
-    return F.to_json(record)
-
-
 def save_tokenizer(path: str, vocab: dict[str, int], merges: list[tuple[str, str]], vocab_size: int) -> None:
     Path(path).write_text(json.dumps({"vocab": vocab, "merges": [list(m) for m in merges], "vocab_size": vocab_size}), encoding="utf-8")
 
