@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +29,33 @@ def window_attention(rows: DataFrame, window: int, alpha: float, dim: int) -> Da
     return near.select("seq", "t", V.let(V.softmax(scores), lambda w: V.weighted_sum(w, values, dim)).alias("r"))
 
 
+def memory_read(rows: DataFrame, slots: DataFrame, gate: float) -> DataFrame:
+    """vec_id, r: the softmax of each row's cosines with all slots weighs their sum, times tanh(gate).
+
+    ``slots`` (vec_id, v) is the memory, of a fixed number of rows that every task holds;
+    rows are compared with all of them in batches.
+    """
+    held = np.array([r["v"] for r in slots.orderBy("vec_id").collect()], np.float64)
+    directions = held / np.maximum(np.sqrt((held**2).sum(axis=1, keepdims=True)), V.TINY) if len(held) else held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows if len(held) else 0, 256):
+                few = batch.slice(at, 256)
+                q = np.array(few.column("v").to_pylist(), np.float64)
+                s = q / np.maximum(np.sqrt((q**2).sum(axis=1, keepdims=True)), V.TINY) @ directions.T
+                w = np.exp(s - s.max(axis=1, keepdims=True))
+                read = (w / w.sum(axis=1, keepdims=True)) @ held * math.tanh(gate)
+                yield pa.RecordBatch.from_arrays([few.column("vec_id"), pa.array([*read], pa.list_(pa.float64()))], names=["vec_id", "r"])
+
+    return rows.select("vec_id", "v").mapInArrow(run, "vec_id long, r array<double>")
+
+
+def load_shares(loads):
+    """Loads as shares of their sum, which is kept from zero."""
+    return V.let(V.total(loads), lambda t: F.transform(loads, lambda x: x / (t + 1e-8)))
+
+
 def blended(outputs: list, weights: tuple[float, ...] = (0.5, 0.3, 0.2)):
     """Outputs of several scales, weighted by the softmax of their log weights."""
     total = sum(weights)

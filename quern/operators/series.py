@@ -90,6 +90,20 @@ def with_interval(df: DataFrame, step: str, every: int) -> DataFrame:
     return df.withColumn("interval", (F.ceil(F.col(step) / every) * every).cast("long"))
 
 
+def accumulated(rows: DataFrame, step: str, value: str, low: Column, high: Column, most: float = 1.0) -> DataFrame:
+    """step, n, skipped, mean, scale: the mean of a step's values within bounds, and what its norm is clipped by.
+
+    Values outside the bounds, null or NaN are skipped; a step of which all are makes no
+    update and gives no row. ``scale`` brings the norm of the values down to ``most``.
+    """
+    kept = F.when(~F.isnan(value) & F.col(value).between(low, high), F.col(value))
+    found = rows.groupBy(step).agg(
+        F.count(kept).alias("n"), (F.count("*") - F.count(kept)).alias("skipped"), F.sum(kept).alias("_sum"), F.sqrt(F.sum(kept * kept)).alias("_norm")
+    )
+    scale = F.least(F.lit(1.0), most / (F.col("_norm") + 1e-6))
+    return found.where("n > 0").select(step, "n", "skipped", (F.col("_sum") / F.col("n")).alias("mean"), scale.alias("scale"))
+
+
 def log_line(step: Column, lr: Column, ce: Column, ppl: Column, aux: Column, vram: Column, vram_total: Column, tok_s: Column, delta: Column) -> Column:
     return F.format_string(LOG_FORMAT, step, lr, ce, ppl, aux, vram, vram_total, tok_s, delta)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -12,9 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from quern.functions.text import PRETOKEN, characters, pretokens
+from quern.storage import Scratch
 
 PAD, UNK, BOS, EOS, IGNORE = 0, 1, 2, 3, -100
 FIRST_ID = 4
@@ -78,62 +81,135 @@ def best_pair(pairs: DataFrame) -> DataFrame:
     return best.select("p.a", "p.b", "p.cnt")
 
 
+class _Queued:
+    """A pair in the queue: before pairs of a smaller count, and of equal ones before smaller pairs."""
+
+    __slots__ = ("n", "key", "a", "b")
+
+    def __init__(self, n: int, key: int, a: str, b: str):
+        self.n, self.key, self.a, self.b = n, key, a, b
+
+    def __lt__(self, other: _Queued) -> bool:
+        return (self.n, self.a, self.b) > (other.n, other.a, other.b)
+
+
 def train_bpe(freqs: dict[str, int], vocab_size: int) -> tuple[dict[str, int], list[tuple[str, str]], int]:
     """vocab, merges and vocab_size from word frequencies.
 
     Ids 0 to 3 are special, then come the characters by code point, then merges. Ties
     go to the larger pair. Training stops at ``vocab_size``, without pairs, or when
     the best pair occurs once. Two merges of equal string both count; the later id stays.
+
+    Words are numbers of symbols in one array, four bytes each; a pair knows the words
+    in which it has ever come up, so a merge touches those words alone.
     """
     if vocab_size < FIRST_ID:
         raise ValueError("the vocabulary needs room for four special tokens")
     vocab = {t: i for i, t in enumerate(("<PAD>", "<UNK>", "<BOS>", "<EOS>"))}
-    for ch in sorted({c for w in freqs for c in w}):
+    names = sorted({c for w in freqs for c in w})
+    for ch in names:
         vocab[ch] = len(vocab)
     size = len(vocab)
-    words = [(list(w), n) for w, n in freqs.items()]
-    counts: dict[tuple[str, str], int] = defaultdict(int)
-    where: dict[tuple[str, str], set[int]] = defaultdict(set)
-    for i, (symbols, n) in enumerate(words):
-        for pair in zip(symbols, symbols[1:]):  # noqa: B905
-            counts[pair] += n
-            where[pair].add(i)
+    number = {ch: i for i, ch in enumerate(names)}  # of a string's first symbol; merges of equal string share it
+    begins = np.zeros(len(freqs) + 1, np.int64)
+    np.cumsum([len(w) for w in freqs], out=begins[1:])
+    symbols = array("i", (number[c] for w in freqs for c in w))
+    lengths = array("i", (len(w) for w in freqs))
+    weights = array("q", freqs.values())
+    counts: dict[int, int] = defaultdict(int)
+    where: dict[int, array] = {}
+
+    def noted(key: int, word: int) -> None:
+        own = where.get(key)
+        if own is None:
+            where[key] = array("i", (word,))
+        elif own[-1] != word:
+            own.append(word)
+
+    for i in range(len(weights)):
+        at, n = int(begins[i]), weights[i]
+        for j in range(at, at + lengths[i] - 1):
+            key = symbols[j] << 32 | symbols[j + 1]
+            counts[key] += n
+            noted(key, i)
+
+    def queued(key: int, n: int) -> _Queued:
+        return _Queued(n, key, names[key >> 32], names[key & 0xFFFFFFFF])
+
     merges: list[tuple[str, str]] = []
-    queue = [_queued(p, n) for p, n in counts.items()]
+    queue = [queued(k, n) for k, n in counts.items()]
     heapq.heapify(queue)
     while size < vocab_size and queue:
-        n, _, best = heapq.heappop(queue)
-        if counts.get(best) != -n:  # its count has changed since
+        best = heapq.heappop(queue)
+        if counts.get(best.key) != best.n:  # its count has changed since
             continue
-        if -n < 2:
+        if best.n < 2:
             break
-        merges.append(best)
-        vocab["".join(best)] = size
+        a, b = best.key >> 32, best.key & 0xFFFFFFFF
+        merges.append((best.a, best.b))
+        text = best.a + best.b
+        vocab[text] = size
         size += 1
-        changed: set[tuple[str, str]] = set()
-        for i in list(where[best]):  # only words that hold the pair change their counts
-            symbols, n = words[i]
-            changed.update(zip(symbols, symbols[1:]))  # noqa: B905
-            for pair in zip(symbols, symbols[1:]):  # noqa: B905
-                counts[pair] -= n
-                if counts[pair] <= 0:
-                    del counts[pair]
-                where[pair].discard(i)
-            symbols = merge_pair(symbols, best)
-            words[i] = (symbols, n)
-            for pair in zip(symbols, symbols[1:]):  # noqa: B905
-                counts[pair] += n
-                where[pair].add(i)
-                changed.add(pair)
-        for pair in changed:
-            if pair in counts:
-                heapq.heappush(queue, _queued(pair, counts[pair]))
+        made = number.get(text)
+        if made is None:
+            made = number[text] = len(names)
+            names.append(text)
+        changed: set[int] = set()
+        for i in where.pop(best.key):
+            at, end, n = int(begins[i]), int(begins[i]) + lengths[i], weights[i]
+            own = symbols[at:end]
+            out, j = [], 0
+            while j < len(own):
+                if own[j] == a and j + 1 < len(own) and own[j + 1] == b:
+                    out.append(made)
+                    j += 2
+                else:
+                    out.append(own[j])
+                    j += 1
+            if len(out) == len(own):
+                continue  # the word has lost the pair since
+            for j in range(len(own) - 1):
+                key = own[j] << 32 | own[j + 1]
+                counts[key] -= n
+                changed.add(key)
+            symbols[at : at + len(out)] = array("i", out)
+            lengths[i] = len(out)
+            for j in range(len(out) - 1):
+                key = out[j] << 32 | out[j + 1]
+                counts[key] += n
+                changed.add(key)
+                noted(key, i)
+        for key in changed:
+            if counts[key] <= 0:
+                del counts[key]
+                where.pop(key, None)
+            else:
+                heapq.heappush(queue, queued(key, counts[key]))
     return vocab, merges, size
 
 
-def _queued(pair: tuple[str, str], n: int) -> tuple:
-    """Sorts before pairs of a smaller count, and of equal ones before smaller pairs."""
-    return -n, tuple((*(-ord(c) for c in s), 1) for s in pair), pair
+#: What training comes to, as one row.
+TRAINED = "vocab map<string,int>, merges array<struct<a:string,b:string>>, size int"
+
+
+def train_on(words: DataFrame, vocab_size: int) -> tuple[dict[str, int], list[tuple[str, str]], int]:
+    """``train_bpe`` of a word table (word, freq), in one task; the driver only gets what is learned.
+
+    The word table of the trainer's sample has to fit into a task: see ``catalog.tokenizer_texts``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freqs: dict[str, int] = {}
+        for batch in batches:
+            freqs.update(zip(batch.column("word").to_pylist(), batch.column("freq").to_pylist(), strict=True))
+        vocab, merges, size = train_bpe(dict(sorted(freqs.items())), vocab_size)
+        row = [[[*vocab.items()]], [[{"a": a, "b": b} for a, b in merges]], [size]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, arrow, strict=True)], schema=arrow)
+
+    arrow = to_arrow_schema(StructType.fromDDL(TRAINED))
+    made = Scratch(words.sparkSession, "bpe-train").save(words.select("word", "freq").repartition(1).mapInArrow(run, TRAINED), "learned")
+    row = made.first()
+    return row["vocab"], [tuple(m) for m in row["merges"]], row["size"]
 
 
 def merge_pair(symbols: list[str], pair: tuple[str, str]) -> list[str]:
@@ -161,33 +237,50 @@ def encode_word(word: str, merges: list[tuple[str, str]], ranks: dict[tuple[str,
     return symbols
 
 
-def bpe_encoder(vocab: dict[str, int], merges: list[tuple[str, str]]):
-    """A column function text -> array<int>; each worker encodes a distinct word once."""
-    ranks: dict[tuple[str, str], list[int]] = defaultdict(list)
-    for i, m in enumerate(merges):
-        ranks[tuple(m)].append(i)
+class _Words:
+    """Encodes texts by words; a distinct word is encoded once, of the last half a million."""
 
-    def encode(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         import regex
 
-        pattern, known = regex.compile(PRETOKEN.replace(r"\p{Nd}", r"\p{Nd}")), {}
+        self.vocab, self.merges, self.pattern, self.known = vocab, merges, regex.compile(PRETOKEN), {}
+        self.ranks: dict[tuple[str, str], list[int]] = defaultdict(list)
+        for i, m in enumerate(merges):
+            self.ranks[tuple(m)].append(i)
+
+    def encode(self, text: str | None) -> list[int]:
+        ids: list[int] = []
+        for w in self.pattern.findall(text or ""):
+            found = self.known.get(w)
+            if found is None:
+                if len(self.known) > 500_000:
+                    self.known.clear()
+                found = self.known[w] = [self.vocab.get(s, UNK) for s in encode_word(w, self.merges, self.ranks)]
+            ids += found
+        return ids
+
+
+def encode_text(text: str, vocab: dict[str, int], merges: list[tuple[str, str]]) -> list[int]:
+    return _Words(vocab, merges).encode(text)
+
+
+def bpe_encoder(vocab: dict[str, int], merges: list[tuple[str, str]]):
+    """A column function text -> array<int>."""
+
+    def encode(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        words = _Words(vocab, merges)
         for batch in series:
-            out = []
-            for text in batch:
-                ids: list[int] = []
-                for w in pattern.findall(text or ""):
-                    found = known.get(w)
-                    if found is None:
-                        if len(known) > 500_000:
-                            known.clear()
-                        found = known[w] = [vocab.get(s, UNK) for s in encode_word(w, merges, ranks)]
-                    ids += found
-                out.append(ids)
-            yield pd.Series(out)
+            yield pd.Series([words.encode(text) for text in batch])
 
     return F.pandas_udf(encode, "array<int>", PandasUDFType.SCALAR_ITER)
 
 
+def first_difference(a: Column, b: Column) -> Column:
+    """The 0-based place of the first character in which two texts differ; null for equal ones."""
+    pairs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y))
+    return F.when(a != b, F.array_position(pairs, False).cast("int") - 1)
+
+
 def with_marks(ids: Column, bos: bool, eos: bool) -> Column:
     parts = [F.array(F.lit(BOS))] * bos + [ids] + [F.array(F.lit(EOS))] * eos
     return F.concat(*parts)

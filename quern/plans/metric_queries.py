@@ -127,6 +127,13 @@ def masked_mean(spark, sf_dir):
     return _events(spark, sf_dir).groupBy("event_type").agg(r6(F.avg(kept)).alias("mean_ce"))
 
 
+def accumulated(spark, sf_dir):
+    """Micro-batches of eight: the mean loss of those that are learned from, and how many are skipped."""
+    rows = _events(spark, sf_dir).select(F.floor(F.col("event_id") / 8).alias("step"), (F.col("value") / 5).alias("loss"))
+    found = series.accumulated(rows, "step", "loss", *M.picky_bounds(F.col("step").cast("double")))
+    return found.select("step", "n", "skipped", r6(F.col("mean")).alias("mean"), r6(F.col("scale")).alias("scale"))
+
+
 def linear_scan(spark, sf_dir):
     rows = series.linear_scan(_events(spark, sf_dir), "user_id", "event_id", "value", -0.5)
     return rows.select("user_id", "event_id", r6(F.col("h")).alias("h"))
@@ -135,7 +142,7 @@ def linear_scan(spark, sf_dir):
 NAMES = [
     "fmt_duration", "picky_filter", "ema_spike", "loss_spike", "baseline_delta", "interval_metrics", "log_parse",
     "log_summary", "rolling_history", "events_props", "cosine_lr", "ppl", "throughput", "sparkline",
-    "trust_weighted_mean", "masked_mean", "linear_scan",
+    "trust_weighted_mean", "masked_mean", "accumulated", "linear_scan",
 ]
 
 
@@ -202,6 +209,10 @@ SELECT user_id, event_id, trunc((value - low) / CASE WHEN high <> low THEN high
   least(user_id % 120 / 100.0::DOUBLE, 1.0::DOUBLE) AS w FROM events)
 SELECT event_type, round(sum(ce * w) / (sum(w) + 1e-8), 6) AS mean_ce FROM x GROUP BY event_type""",
         "masked_mean": "SELECT event_type, round(avg(value) FILTER (event_id % 10 <> 0), 6) AS mean_ce FROM events GROUP BY event_type",
+        "accumulated": f"""WITH b AS (SELECT event_id // 8 AS step, value / 5 AS loss, least(1.0::DOUBLE, (event_id // 8) / {warm}.0::DOUBLE) AS t FROM events),
+k AS (SELECT step, loss, loss BETWEEN {_S.low}::DOUBLE * t AND {_S.high}::DOUBLE + (20 - {_S.high}::DOUBLE) * (1 - t) AS ok FROM b),
+g AS (SELECT step, count(*) FILTER (ok) AS n, count(*) FILTER (NOT ok) AS skipped, sum(loss) FILTER (ok) AS s, sqrt(sum(loss * loss) FILTER (ok)) AS norm FROM k GROUP BY step)
+SELECT step::BIGINT AS step, n::BIGINT AS n, skipped::BIGINT AS skipped, round(s / n, 6) AS mean, round(least(1.0::DOUBLE, 1 / (norm + 1e-6)), 6) AS scale FROM g WHERE n > 0""",
         "linear_scan": f"""WITH RECURSIVE {_ORD}, r AS (
   SELECT user_id, event_id, rn, value AS h FROM o WHERE rn = 1
   UNION ALL SELECT o.user_id, o.event_id, o.rn, exp(-0.5::DOUBLE) * r.h + o.value FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1)

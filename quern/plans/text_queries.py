@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import tokens, windows
+from quern.operators import builder, tokens, windows
 from quern.sources import catalog, jsonl
 from quern.storage import Scratch
 
@@ -98,13 +98,19 @@ def extract_text(spark, sf_dir):
     return base(spark, sf_dir).select("doc_id", "txt")
 
 
-def _parts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("t"))
-    at = F.instr("t", "\n")
-    first = F.when(at > 0, F.substring(F.col("t"), F.lit(1), at - 1)).otherwise(F.col("t"))
-    rest = F.when(at > 0, F.substring(F.col("t"), at + 1, F.length("t"))).otherwise("")
+def _solved_parts(docs):
+    """``docs`` plus problem (the first line), solution (the rest) and, for even ids, generated_solution."""
+    text = F.coalesce("text", F.lit(""))
+    at = F.instr(text, "\n")
+    first = F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text)
+    rest = F.when(at > 0, F.substring(text, at + 1, F.length(text))).otherwise("")
     made = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Generated: "), rest))
-    return docs.select("doc_id", "lang", first.alias("problem"), rest.alias("solution"), made.alias("generated_solution"))
+    return docs.withColumns({"problem": first, "solution": rest, "generated_solution": made})
+
+
+def _parts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return _solved_parts(docs).drop("text")
 
 
 def _extracted(spark, sf_dir, fmt):
@@ -215,8 +221,7 @@ def tokenizer_sample(spark, sf_dir):
 
 
 def _trained(spark, sf_dir):
-    freqs = {r["word"]: r["freq"] for r in tokens.word_freq(_sample(spark, sf_dir, catalog.tokenizer_texts(QUOTA))).collect()}
-    return tokens.train_bpe(freqs, TRAINED)
+    return tokens.train_on(tokens.word_freq(_sample(spark, sf_dir, catalog.tokenizer_texts(QUOTA))), TRAINED)
 
 
 def bpe_merges(spark, sf_dir):
@@ -247,6 +252,15 @@ def decode_roundtrip(spark, sf_dir):
     return rows.select("doc_id", F.md5(tokens.decode(F.col("ids"), F.col("names"))).alias("digest"))
 
 
+def round_trip(spark, sf_dir):
+    """Texts against what a tokenizer that knows ASCII only makes of them: the first character that is lost."""
+    docs = base(spark, sf_dir).select("doc_id", "txt")
+    vocab = spark.createDataFrame([(chr(i), i + tokens.FIRST_ID) for i in range(128)], "ch string, id int")
+    names = F.array(*(F.lit("") for _ in range(tokens.FIRST_ID)), *(F.lit(chr(i)) for i in range(128)))
+    ids = tokens.encode_texts(docs.withColumn("whole", F.col("txt")), vocab)
+    return ids.select("doc_id", tokens.first_difference(F.col("whole"), tokens.decode(F.col("ids"), names)).alias("differs"))
+
+
 def pretokenize(spark, sf_dir):
     found = base(spark, sf_dir).select("doc_id", T.pretokens(F.col("txt")).alias("p"))
     return found.select("doc_id", F.size("p").alias("n"), F.md5(F.array_join("p", "|")).alias("digest"))
@@ -293,6 +307,43 @@ def quota_mix(spark, sf_dir):
     return mixed.select("source", "doc_id", "window", joined_ids(F.col("input_ids")).alias("digest"))
 
 
+#: What stands for each stream of the catalogue, by the first number in a document's source.
+STREAMS = list(dict.fromkeys(x.read_from for x in catalog.SOURCES))
+
+
+def _raw(spark, sf_dir) -> dict[str, DataFrame]:
+    """Documents as raw records of the catalogue's streams; a source without a number is of the last one."""
+    docs = table(spark, sf_dir, "documents")
+    n = F.coalesce(F.regexp_extract("source", r"(\d+)", 1).try_cast("int") % len(STREAMS), F.lit(len(STREAMS) - 1))
+    turn = F.struct(F.lit("human").alias("from"), F.col("text").alias("value"), F.lit("").alias("role"), F.lit("").alias("content"))
+    rows = _solved_parts(docs).select(F.col("doc_id").alias("ord"), "text", "lang", "problem", "solution", "generated_solution", n.alias("_stream"), F.array(turn).alias("conversations"))
+    rows = Scratch(spark, "raw").save(rows, "records")
+    return {s: rows.where(F.col("_stream") == i).drop("_stream") for i, s in enumerate(STREAMS)}
+
+
+def build(spark, sf_dir):
+    """The corpus builder over all documents, at its production number of records."""
+    docs = texts(spark, sf_dir, "build")
+    vocab = Scratch(spark, "build-vocab").save(tokens.char_vocab(docs.select(F.col("txt").alias("text"))), "vocab")
+    built = builder.build(_raw(spark, sf_dir), lambda rows: tokens.encode_texts(rows, vocab), QUOTA, TRAINED, LENGTH, SEED)
+    return built.records.select("name", "source", F.col("ord").alias("doc_id"), "window", "k", "slot", joined_ids(F.col("input_ids")).alias("digest"), F.round("difficulty", 9).alias("difficulty"))
+
+
+def sample_mix(spark, sf_dir):
+    return builder.source_mix(windows.reservoir_sample(base(spark, sf_dir).select("doc_id", F.col("grp").alias("source")), SAMPLE, SEED, "doc_id"))
+
+
+def catalogue_lookup(spark, sf_dir):
+    """Records by catalogue source, with its group and trust: names that are not in the catalogue have none."""
+    names = F.array(*(F.lit(x.name) for x in catalog.SOURCES), F.lit("elsewhere"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.element_at(names, (F.col("doc_id") % (len(catalog.SOURCES) + 1) + 1).cast("int")).alias("name"))
+    return catalog.with_catalogue(rows).groupBy("name", "group", "trust").agg(F.count("*").alias("n"))
+
+
+def catalogue_streams(spark, sf_dir):
+    return catalog.streams(catalog.frame(spark))
+
+
 def skip_take(spark, sf_dir):
     docs = base(spark, sf_dir).select("doc_id", "grp", F.length("txt").alias("n"))
     sound = windows.with_ordinal(docs, [], "doc_id").where((F.col("k") >= 100) & (F.col("n") >= T.MIN_CHARS)).select("doc_id", "grp")
@@ -341,7 +392,7 @@ NAMES = [
     "build_totals", "group_mix", "word_freq", "char_vocab", "bpe_pair_counts", "bpe_best_pair", "bpe_merges", "encode_bpe",
     "encode_char", "decode_roundtrip", "pretokenize", "tokenizer_sample", "length_stats", "missing_tags",
     "dedup_prefix", "quota_mix", "skip_take", "interleave", "difficulty_sort", "reservoir_sample", "token_windows",
-    "repack", "jsonl_scan",
+    "repack", "jsonl_scan", "build", "round_trip", "sample_mix", "catalogue_lookup", "catalogue_streams",
 ]
 
 
@@ -433,6 +484,61 @@ def _sql_quota() -> str:
     return f"WITH {_WIN}, {', '.join(ctes)} {union}"
 
 
+def _sql_build() -> str:
+    """Sources in catalogue order, each step reading the ones before it."""
+    stream = f"coalesce(TRY_CAST(regexp_extract(source, '(\\d+)', 1) AS INT) % {len(STREAMS)}, {len(STREAMS) - 1})"
+    strip = lambda x: f"regexp_replace({x}, {_STRIP}, '', 'g')"
+
+    def solved(first: str, second: str, head: str = "''") -> str:
+        told = strip(f"coalesce(nullif({first}, ''), nullif({second}, ''), '')")
+        body = f"{head} || 'Problem: ' || {strip('problem')} || chr(10) || chr(10) || 'Solution:' || chr(10) || {told}"
+        return f"CASE WHEN {strip('problem')} <> '' AND {told} <> '' THEN {body} ELSE '' END"
+
+    made = {
+        "text": strip("t"),
+        "conversations": strip("t"),
+        "magicoder": solved("solution", "''", "CASE WHEN coalesce(lang, '') <> '' THEN '# ' || lang || chr(10) ELSE '' END"),
+        "problem_solution": solved("solution", "generated"),
+        "math_instruct": solved("generated", "solution"),
+    }
+    groups, steps = catalog.group_targets(QUOTA), []
+    before: dict[str, list[int]] = {g: [] for g in groups}
+    seen: list[int] = []
+    for i, x in enumerate(catalog.SOURCES):
+        left = f"{groups[x.group]}" + "".join(f" - (SELECT count(*) FROM q{j})" for j in before[x.group])
+        cap = max(1, int(x.cap * QUOTA / catalog.BASE))
+        target = f"least({cap}, {left})" if x.cap else left
+        unseen = "".join(f" AND input_ids[1:64] NOT IN (SELECT input_ids[1:64] FROM q{j})" for j in seen)
+        steps.append(f"""
+g{i} AS (SELECT greatest(0, {target}) AS n),
+r{i} AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS at FROM y WHERE stream = {STREAMS.index(x.read_from)}),
+t{i} AS (SELECT doc_id, {made[x.fmt]} AS txt FROM r{i} WHERE at >= {catalog.source_skip(x, QUOTA)}),
+l{i} AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS at FROM t{i} WHERE length(txt) >= {T.MIN_CHARS}),
+e{i} AS (
+  SELECT doc_id, list_transform(regexp_extract_all(txt[1:{T.MAX_CHARS}], '(?s).'), lambda c: coalesce(m[c], {tokens.UNK})::INT) AS ids
+  FROM l{i}, m WHERE at <= {catalog.text_bound(x, 1)} * (SELECT n FROM g{i})),
+p{i} AS (SELECT doc_id, w AS win, ids[w * {_BODY} + 1 : (w + 1) * {_BODY}] AS c FROM e{i}, unnest(range(0, (len(ids) + {_BODY} - 1) // {_BODY})) AS u(w)),
+w{i} AS (SELECT doc_id, win::INT AS win, [2] || c || list_transform(range({LENGTH} - 1 - len(c)), lambda x: 0) AS input_ids FROM p{i} WHERE len(c) + 1 >= 16),
+d{i} AS (SELECT *, row_number() OVER (PARTITION BY input_ids[1:64] ORDER BY doc_id, win) AS rn FROM w{i}),
+f{i} AS (SELECT *, row_number() OVER (ORDER BY doc_id, win) AS at FROM d{i} WHERE rn = 1{unseen}),
+q{i} AS (SELECT '{x.name}' AS name, '{x.group}' AS source, doc_id, win, input_ids, at - 1 AS k FROM f{i} WHERE at <= (SELECT n FROM g{i}))""")
+        before[x.group].append(i)
+        seen.append(i)
+    union = " UNION ALL ".join(f"SELECT * FROM q{i}" for i in seen)
+    return f"""
+WITH {_CHARS},
+x AS (SELECT doc_id, lang, {stream} AS stream, coalesce(text, '') AS t, strpos(coalesce(text, ''), chr(10)) AS i FROM documents),
+z AS (SELECT *, CASE WHEN i > 0 THEN t[1:i-1] ELSE t END AS problem, CASE WHEN i > 0 THEN t[i+1:] ELSE '' END AS solution FROM x),
+y AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'Generated: ' || solution END AS generated FROM z),
+{",".join(steps)},
+al AS ({union}),
+sl AS (SELECT name, md5('{SEED}:' || name || ':' || k) AS slot FROM al),
+rk AS (SELECT name, slot, row_number() OVER (PARTITION BY name ORDER BY slot) - 1 AS k FROM sl)
+SELECT name, source, doc_id, win AS "window", k::BIGINT AS k, slot, {_ids("input_ids")} AS digest,
+  round(len(list_distinct(list_filter(input_ids, lambda x: x <> 0)))::DOUBLE / len(input_ids), 9) AS difficulty
+FROM al JOIN rk USING (name, k)"""
+
+
 _PRE = f"unnest(regexp_extract_all(txt, {_q(T.PRETOKEN)}))"
 _FREQ = f"{_BASE}, wf AS (SELECT word, count(*)::BIGINT AS freq FROM (SELECT {_PRE} AS word FROM b) GROUP BY word)"
 _PAIRS = f"""{_FREQ}, c AS (SELECT regexp_extract_all(word, '(?s).') AS s, freq FROM wf),
@@ -443,6 +549,8 @@ _QUOTAS = " ".join(f"WHEN '{g}' THEN {int(catalog.tokenizer_texts(QUOTA) * s)}"
 def oracle_sql() -> dict[str, str]:
     real = "len(list_filter(input_ids, lambda x: x <> 0))::BIGINT"
     groups = ", ".join(f"({i}, '{g}')" for i, g in enumerate([*GROUPS, "other"]))
+    listed = ", ".join(f"({i}, '{x.name}', '{x.group}', {x.trust}::DOUBLE)" for i, x in enumerate(catalog.SOURCES))
+    sources = ", ".join(f"({i}, '{x.name}', '{x.read_from}')" for i, x in enumerate(catalog.SOURCES))
     return {
         "source_texts": f"WITH {_BASE} SELECT doc_id, grp, length(txt)::INT AS n, md5(txt) AS digest FROM b WHERE length(txt) >= 50",
         "extract_text": f"WITH {_BASE} SELECT doc_id, txt FROM b",
@@ -495,6 +603,16 @@ t AS (SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot)
 SELECT source, k::BIGINT AS k, doc_id, slot FROM r JOIN t USING (source, k)""",
         "difficulty_sort": f"""WITH {_UNIQ} SELECT doc_id, win AS "window", source,
   round(len(list_distinct(list_filter(input_ids, lambda x: x <> 0)))::DOUBLE / len(input_ids), 9) AS difficulty FROM uq""",
+        "build": _sql_build(),
+        "round_trip": f"""WITH {_BASE}, o AS (SELECT doc_id, length(regexp_extract(txt, '^[\\x00-\\x7F]*')) AS n, length(txt) AS l FROM b)
+SELECT doc_id, CASE WHEN n < l THEN n::INT END AS differs FROM o""",
+        "sample_mix": f"""WITH {_BASE}, s AS (SELECT grp AS source FROM b ORDER BY md5('{SEED}:' || doc_id), doc_id LIMIT {SAMPLE})
+SELECT source, count(*)::BIGINT AS n FROM s GROUP BY source""",
+        "catalogue_lookup": f"""WITH c(i, name, "group", trust) AS (VALUES {listed}),
+d AS (SELECT doc_id % {len(catalog.SOURCES) + 1} AS i FROM documents)
+SELECT coalesce(name, 'elsewhere') AS name, "group", trust, count(*)::BIGINT AS n FROM d LEFT JOIN c USING (i) GROUP BY ALL""",
+        "catalogue_streams": f"""WITH c(ord, name, stream) AS (VALUES {sources})
+SELECT min(ord)::INT AS ord, arg_min(name, ord) AS name, stream FROM c GROUP BY stream""",
         "reservoir_sample": f"""WITH {_BASE} SELECT doc_id, grp FROM b ORDER BY md5('{SEED}:' || doc_id), doc_id LIMIT {SAMPLE}""",
         "token_windows": f'WITH {_WIN} SELECT doc_id, win AS "window", {_ids("input_ids")} AS ids, {_ids("labels")} AS labels FROM w',
         "repack": f"""WITH {_WIN}, z AS (SELECT trust_score AS trust, input_ids AS c, (row_number() OVER (ORDER BY doc_id, win) - 1) * {LENGTH} AS s FROM w),

@@ -10,10 +10,13 @@ from quern.functions import vectors as V
 from quern.operators import attention as A
 from quern.plans.metric_queries import r6
 from quern.plans.text_queries import table
+from quern.sources import checkpoints
 
 DIM = 64
 EXPERTS, TOP = 4, 2
-SLOTS, GATE = 32, 0.5
+#: Fixed value: slots of the memory.
+SLOTS = 8_192
+GATE = 0.5
 SEQUENCE, WINDOW, STRIDE, ALPHA = 32, 8, 8, 0.5
 FILTER = (0.1, 0.2, 0.3, 0.4)
 THRESHOLDS = (-0.5, 0.5, 1.5)
@@ -89,16 +92,20 @@ def _logits(first: int = 1, n: int = 8) -> Column:
     return V.scaled(F.slice(F.col("v"), first, n), F.lit(5.0))
 
 
+def _whole() -> Column:
+    return V.scaled(F.col("v"), F.lit(5.0))
+
+
 def softmax(spark, sf_dir):
-    return _mapped(spark, sf_dir, V.softmax(_logits()))
+    return _mapped(spark, sf_dir, V.softmax(_whole()))
 
 
 def entropy_probe(spark, sf_dir):
-    return _vectors(spark, sf_dir).select("vec_id", r6(V.let(V.softmax(_logits()), V.entropy_share)).alias("h"))
+    return _vectors(spark, sf_dir).select("vec_id", r6(V.let(V.softmax(_whole()), V.entropy_share)).alias("h"))
 
 
 def entropy_nats(spark, sf_dir):
-    return _vectors(spark, sf_dir).select("vec_id", r6(V.entropy_nats(_logits())).alias("h"))
+    return _vectors(spark, sf_dir).select("vec_id", r6(V.entropy_nats(_whole())).alias("h"))
 
 
 def rms_norm(spark, sf_dir):
@@ -110,11 +117,8 @@ def layer_norm(spark, sf_dir):
 
 
 def memory_read(spark, sf_dir):
-    df = _vectors(spark, sf_dir)
-    slots = df.where(F.col("vec_id") < SLOTS).agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("s"))
-    slots = slots.select(F.transform("s", lambda x: x["v"]).alias("slots"))  # one row of a fixed number of slots
-    read = df.crossJoin(F.broadcast(slots)).select("vec_id", V.memory_read(F.col("v"), F.col("slots"), GATE, DIM).alias("r"))
-    return _spread(read, "vec_id")
+    df = _vectors(spark, sf_dir).select("vec_id", "v")
+    return _spread(A.memory_read(df, df.where(F.col("vec_id") < SLOTS), GATE), "vec_id")
 
 
 def _sequences(spark, sf_dir) -> DataFrame:
@@ -174,6 +178,42 @@ def halting(spark, sf_dir):
     return A.halting(df, THRESHOLDS, 8).select(r6(F.col("ponder")).alias("ponder"), r6(F.col("halted")).alias("halted"))
 
 
+def scale_blend(spark, sf_dir):
+    """Three scales of the same rows, blended by the softmax of their log weights."""
+    parts = [F.col("v"), F.transform("v", lambda x: x * x), F.transform("v", lambda x: F.abs(x))]
+    return _mapped(spark, sf_dir, A.blended(parts))
+
+
+def soft_merge(spark, sf_dir):
+    return _spread(_pairs(spark, sf_dir).select("vec_id", V.merged(F.col("v"), F.col("v2"), F.lit(0.25)).alias("r")), "vec_id")
+
+
+def load_share(spark, sf_dir):
+    gates = _gates(spark, sf_dir).select("vec_id", A.load_shares(V.scaled(F.col("gates"), F.lit(3.0))).alias("r"))
+    return _spread(gates, "vec_id", name="share")
+
+
+def _blocks(spark, sf_dir, lag: int) -> DataFrame:
+    """Vectors as parameters: block is the label, name the id; every seventh has another shape."""
+    v = F.when(F.col("vec_id") % 7 == lag, F.slice(F.col("v"), 1, DIM // 2)).otherwise(F.col("v"))
+    return _vectors(spark, sf_dir).select(F.col("label").alias("block"), F.col("vec_id").alias("name"), v.alias("value"))
+
+
+def shadow_merge(spark, sf_dir):
+    """Parameters drawn towards those of the same block and name where the shapes agree."""
+    main = _blocks(spark, sf_dir, 1)
+    main = main.withColumn("value", V.scaled(F.col("value"), F.lit(2.0))).where(F.col("name") % 5 != 0)
+    return _spread(checkpoints.shadow_merge(_blocks(spark, sf_dir, 0), main, 0.9), "block", "name", column="value")
+
+
+def state_load(spark, sf_dir):
+    """Current values, replaced where the stored state has one."""
+    current = _vectors(spark, sf_dir).select(F.col("vec_id").alias("name"), F.col("v")[0].alias("value"))
+    stored = current.where(F.col("name") % 3 == 0).select("name", (F.col("value") + 1).alias("value"))
+    unknown = stored.select((-F.col("name") - 1).alias("name"), "value")
+    return checkpoints.loaded(current, stored.unionByName(unknown)).select("name", r6(F.col("value")).alias("value"))
+
+
 def window_mask(spark, sf_dir):
     return A.window_mask(spark, SEQUENCE, WINDOW)
 
@@ -195,7 +235,8 @@ NAMES = [
     "vec_norm", "project_ball", "exp_map", "log_map", "mobius_add", "geodesic", "gravity_route", "softmax",
     "entropy_probe", "entropy_nats", "rms_norm", "layer_norm", "memory_read", "window_attention", "causal_pool",
     "causal_conv", "activations", "conformal_factor", "topk_gates", "expert_load", "load_balance", "gsi", "halting",
-    "window_mask", "decay_bias", "segment_bias", "context_efficiency",
+    "window_mask", "decay_bias", "segment_bias", "context_efficiency", "scale_blend", "soft_merge", "load_share",
+    "shadow_merge", "state_load",
 ]
 
 
@@ -280,9 +321,9 @@ p AS (SELECT e.vec_id * 100 + c.c AS vec_id, i, e.x, c.y FROM e JOIN c USING (i)
 n AS (SELECT vec_id // 100 AS v, vec_id % 100 AS c, greatest(sqrt(sum(value * value)), 1e-10) AS n FROM o GROUP BY vec_id),
 x AS (SELECT v, c, exp(-({_ATANH.format(n="n")})) AS x FROM n)
 SELECT v AS vec_id, (row_number() OVER (PARTITION BY v ORDER BY c))::INT AS i, round(x / sum(x) OVER (PARTITION BY v), 6) AS gate FROM x""",
-        "softmax": f"WITH {_E}, {_logit()} SELECT vec_id, i, round(g, 6) AS value FROM g",
-        "entropy_probe": f"WITH {_E}, {_logit()} SELECT vec_id, round(-sum(g * ln(g + 1e-8)) / ln(8.0::DOUBLE), 6) AS h FROM g GROUP BY vec_id",
-        "entropy_nats": f"WITH {_E}, {_logit()} SELECT vec_id, round(-sum(g * ln(g)), 6) AS h FROM g GROUP BY vec_id",
+        "softmax": f"WITH {_E}, {_logit(1, DIM)} SELECT vec_id, i, round(g, 6) AS value FROM g",
+        "entropy_probe": f"WITH {_E}, {_logit(1, DIM)} SELECT vec_id, round(-sum(g * ln(g + 1e-8)) / ln({DIM}.0::DOUBLE), 6) AS h FROM g GROUP BY vec_id",
+        "entropy_nats": f"WITH {_E}, {_logit(1, DIM)} SELECT vec_id, round(-sum(g * ln(g)), 6) AS h FROM g GROUP BY vec_id",
         "rms_norm": f"""WITH {_E}, o AS (SELECT vec_id, i, x / sqrt(avg(x * x) OVER (PARTITION BY vec_id) + 1e-6::DOUBLE) AS value FROM e) {_OUT}""",
         "layer_norm": f"""WITH {_E}, m AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY vec_id) AS c FROM e),
 o AS (SELECT vec_id, i, c / sqrt(avg(c * c) OVER (PARTITION BY vec_id) + 1e-5::DOUBLE) AS value FROM m) {_OUT}""",
@@ -312,6 +353,14 @@ SELECT vec_id, i, round(g / (sum(g) OVER (PARTITION BY vec_id) + 1e-8), 6) AS ga
 SELECT round({EXPERTS} * sum(f * load), 6) AS loss FROM f JOIN ld USING (expert)""",
         "gsi": f"""{loads} SELECT round(CASE WHEN avg(load) < 1e-8 THEN 0 ELSE least(greatest(1 - coalesce(stddev_samp(load), 0) / (avg(load) + 1e-8), 0), 1) END, 6)::DOUBLE AS gsi FROM ld""",
         "halting": _halting(),
+        "scale_blend": f"WITH {_E}, o AS (SELECT vec_id, i, 0.5::DOUBLE * x + 0.3::DOUBLE * x * x + 0.2::DOUBLE * abs(x) AS value FROM e) {_OUT}",
+        "soft_merge": f"WITH {_P}, o AS (SELECT vec_id, i, 0.25::DOUBLE * x + 0.75::DOUBLE * y AS value FROM p) {_OUT}",
+        "load_share": f"""WITH {_E}, {_logit(1, EXPERTS)}
+SELECT vec_id, i, round(3 * g / (sum(3 * g) OVER (PARTITION BY vec_id) + 1e-8), 6) AS share FROM g""",
+        "shadow_merge": f"""WITH {_E}, s AS (SELECT label AS block, vec_id AS name, i, x FROM e WHERE vec_id % 7 <> 0 OR i <= {DIM // 2}),
+m AS (SELECT vec_id AS name, i, 2 * x AS y FROM e WHERE vec_id % 5 <> 0 AND vec_id % 7 NOT IN (0, 1))
+SELECT block, name, i, round(CASE WHEN y IS NULL THEN x ELSE 0.9::DOUBLE * x + 0.1::DOUBLE * y END, 6) + 0.0 AS value FROM s LEFT JOIN m USING (name, i)""",
+        "state_load": "SELECT vec_id AS name, round(embedding[1]::DOUBLE + (vec_id % 3 = 0)::INT, 6) + 0.0 AS value FROM embeddings",
         "window_mask": f"{_GRID}, i - j BETWEEN 0 AND {WINDOW - 1} AS keep FROM {_RANGE.format(n=SEQUENCE)}",
         "decay_bias": f"{_GRID}, CASE WHEN j <= i THEN round(-ln(1 + {ALPHA}::DOUBLE * abs(i - j)), 6) + 0.0 END AS bias FROM {_RANGE.format(n=SEQUENCE)}",
         "segment_bias": f"""{_GRID}, CASE WHEN j <= i // {STRIDE} THEN round(-ln(1 + {ALPHA}::DOUBLE * abs(i // {STRIDE} - j)), 6) + 0.0 END AS bias

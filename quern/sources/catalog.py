@@ -38,6 +38,8 @@ SOURCES = (
 GROUPS = {"code": 0.25, "math": 0.25, "reasoning": 0.30, "educational": 0.20}
 #: Trust of a group's first source.
 GROUP_TRUST = {"code": 95.0, "math": 96.0, "reasoning": 98.0, "educational": 88.0}
+#: The source of each group that the tokenizer is trained on.
+TOKENIZER_SOURCES = {"code": "magicoder", "math": "finemath", "reasoning": "openthoughts3", "educational": "fineweb_edu"}
 BASE = 10_000_000
 
 

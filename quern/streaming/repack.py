@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -54,32 +55,99 @@ def repack_stream(records: DataFrame, length: int) -> DataFrame:
     )
 
 
-def to_callback(stream: DataFrame, callback: Callable[[list], None], path: str):
-    """Start a query that hands each micro-batch's rows to ``callback`` (few metric rows, not data)."""
-    return (
-        stream.writeStream.foreachBatch(lambda df, _: callback(df.collect())).option("checkpointLocation", path).start()
-    )
+def to_callback(stream: DataFrame, callback: Callable[[list], None], path: str, most: int = 1_000):
+    """Start a query that hands each micro-batch's rows to ``callback`` (metric rows, not data), ``most`` at a time."""
+
+    def push(df: DataFrame, _: int) -> None:
+        rows = []
+        for row in df.toLocalIterator():  # a partition at a time
+            rows.append(row)
+            if len(rows) == most:
+                callback(rows)
+                rows = []
+        if rows:
+            callback(rows)
+
+    return stream.writeStream.foreachBatch(push).option("checkpointLocation", path).start()
 
 
 class Loader:
-    """Starts and stops a repacking query once, whatever the number of calls."""
+    """Feeds a consumer with windows of a repacked stream; starts and stops once, whatever the number of calls.
 
-    def __init__(self, records: DataFrame, length: int, name: str, checkpoint: str):
-        self.stream, self.name, self.checkpoint, self.query = repack_stream(records, length), name, checkpoint, None
+    Windows go to Parquet below ``folder``, in order of arrival, and are read from there,
+    so neither driver nor query holds what is not yet consumed. A query that was stopped
+    goes on from its checkpoint when it is started again. The source's own limit, such
+    as ``maxFilesPerTrigger``, bounds a micro-batch; with ``most`` the query also waits
+    while more windows than that are written but not read (back-pressure).
+    """
+
+    def __init__(self, records: DataFrame, length: int, folder: str, most: int | None = None):
+        self.stream, self.folder, self.most, self.query = repack_stream(records, length), folder.rstrip("/"), most, None
+        self.spark = records.sparkSession
+        self.written = self.read_ = 0
+        self.waiting: list = []
+        self.batches: list[int] = []
+
+    def _store(self, df: DataFrame, batch: int) -> None:
+        path = f"{self.folder}/windows/batch={batch}"
+        df.write.mode("overwrite").parquet(path)  # a repeated micro-batch replaces itself
+        n = self.spark.read.schema(df.schema).parquet(path).count()
+        if batch not in self.batches:
+            self.batches.append(batch)
+            self.written += n
+        while self.most is not None and self.query is not None and self.written - self.read_ >= self.most:
+            time.sleep(0.01)
 
     def start(self) -> Loader:
         if self.query is None:
-            writer = self.stream.writeStream.format("memory").queryName(self.name).outputMode("append")
-            self.query = writer.option("checkpointLocation", self.checkpoint).start()
+            writer = self.stream.writeStream.foreachBatch(self._store).outputMode("append")
+            self.query = writer.option("checkpointLocation", f"{self.folder}/checkpoint").start()
         return self
 
+    def fill(self) -> float:
+        """Windows that are written but not read, as a share of ``most`` (or of one)."""
+        return (self.written - self.read_) / (self.most or 1)
+
+    def wait_for_fill(self, share: float, seconds: float = 60.0) -> bool:
+        """Whether ``fill`` reaches ``share`` in time."""
+        end = time.monotonic() + seconds
+        while time.monotonic() < end:
+            if self.fill() >= share:
+                return True
+            time.sleep(0.05)
+        return False
+
+    def get(self, count: int) -> list | None:
+        """The next ``count`` windows, or None if there are fewer; none is lost then."""
+        while len(self.waiting) < count and self.batches:
+            path = f"{self.folder}/windows/batch={self.batches.pop(0)}"
+            self.waiting += self.spark.read.schema(OUTPUT).parquet(path).orderBy("shard", "window").collect()  # one micro-batch
+        if len(self.waiting) < count:
+            return None
+        found, self.waiting = self.waiting[:count], self.waiting[count:]
+        self.read_ += count
+        return found
+
+    def get_blocking(self, count: int, seconds: float = 60.0) -> list:
+        """``get``, waiting for windows; an error if they do not come in time, or if the query has failed."""
+        end = time.monotonic() + seconds
+        while True:
+            found = self.get(count)
+            if found is not None:
+                return found
+            if self.query is not None and self.query.exception() is not None:
+                raise RuntimeError(f"the stream has failed: {self.query.exception()}")
+            if time.monotonic() >= end:
+                raise TimeoutError(f"no {count} windows within {seconds} s: look at the source and the query")
+            time.sleep(0.05)
+
     def wait(self) -> None:
         self.query.processAllAvailable()
 
     def stop(self) -> None:
         if self.query is not None:
-            self.query.stop()
-            self.query = None
+            query, self.query = self.query, None
+            query.stop()
 
     def __enter__(self) -> Loader:
         return self.start()

@@ -116,10 +116,10 @@ def test_columns_encode_and_decode(spark):
     docs = spark.createDataFrame([(1, "ab 😀\n"), (2, ""), (3, None)], "doc_id int, text string")
     vocab = K.char_vocab(docs)
     names = [""] * 4 + [r["ch"] for r in vocab.orderBy("id").collect()]
-    ids = docs.select("doc_id", K.char_encoder(vocab)("text").alias("ids"))
+    ids = K.encode_texts(docs, vocab, "text")
     back = {r["doc_id"]: r["t"] for r in ids.select("doc_id", K.decode(F.col("ids"), F.array(*map(F.lit, names))).alias("t")).collect()}
     assert back == {1: "ab 😀\n", 2: "", 3: ""}
-    unknown = spark.createDataFrame([("aZ",)], "text string").select(K.char_encoder(vocab)("text").alias("i")).first()["i"]
+    unknown = K.encode_texts(spark.createDataFrame([("aZ",)], "text string"), vocab, "text").first()["ids"]
     assert unknown[1] == K.UNK and unknown[0] >= 4
 
 
@@ -153,4 +153,4 @@ def test_sinks_and_helpers(spark, tmp_path):
     assert row["labels"] == [*row["input_ids"][1:], -100] and all(10 <= x <= 32_000 for x in row["input_ids"])
     (tmp_path / "l.txt").write_text("a\n\n \nb c\x0bd\n")
     assert [r["text"] for r in jsonl.read_lines(spark, str(tmp_path / "l.txt")).collect()] == ["a", "b", "c", "d"]
-    assert jsonl.first_existing([str(tmp_path / "no"), str(tmp_path / "b")]) == str(tmp_path / "b")
+    assert jsonl.first_existing(spark, [str(tmp_path / "no"), str(tmp_path / "b")]) == str(tmp_path / "b")

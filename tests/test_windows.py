@@ -1,7 +1,11 @@
 """Windows, dedup, quotas, order, repacking: worked cases."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from quern.operators import series
 from quern.operators import windows as O
 from quern.sources import catalog
 from quern.storage import Scratch
@@ -43,7 +47,8 @@ def test_quotas():
 def test_catalogue_and_verification(spark):
     df = catalog.frame(spark)
     assert df.count() == 7 and df.dropDuplicates(["fmt"]).count() == 5
-    assert catalog.verify({"a": df, "b": df.limit(0)}) == {"a": True, "b": False}
+    assert catalog.verify({"openmath": df, "finemath": df.limit(0)}) == {s.name: s.stream == "openmath" for s in catalog.SOURCES}
+    assert catalog.streams(df).count() == 6 and {r["name"] for r in catalog.streams(df).collect()}.isdisjoint({"openmath_reason"})
 
 
 def test_interleave_keeps_order_in_a_source(spark):
@@ -98,10 +103,15 @@ def test_streaming_equals_batch(spark, tmp_path):
     for part in range(3):  # three micro-batches, in order
         df.where((F.col("ord") >= 20 * part) & (F.col("ord") < 20 * part + 20)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    with Loader(stream, 4, "repacked", str(tmp_path / "ck")) as loader:
+    with Loader(stream, 4, str(tmp_path / "loader")) as loader:
         assert loader.start() is loader
         loader.wait()
-        got = sorted((r["shard"], r["window"], r["tokens"], r["trust"]) for r in spark.table("repacked").collect())
+        assert loader.wait_for_fill(0.5, 5) and loader.get(1_000) is None
+        got = loader.get_blocking(5, 5)
+        got += loader.get(loader.written - 5)
+        with pytest.raises(TimeoutError):
+            loader.get_blocking(1, 0.2)
+    got = sorted((r["shard"], r["window"], r["tokens"], r["trust"]) for r in got)
     batch = O.repack(df, 4, key="shard").collect()
     assert got == sorted((r["shard"], r["window"], r["tokens"], r["trust"]) for r in batch) and len(got) > 20
 
@@ -114,3 +124,66 @@ def test_validation(spark):
     df = spark.createDataFrame(rows, "id int, input_ids array<int>, labels array<int>, trust_score double, source string")
     got = {r["id"]: r["problem"] for r in O.validate(df, 50).collect()}
     assert got == {1: None, 2: "lengths", 3: "empty", 4: "input id out of range", 5: "label out of range", 6: "missing", 7: "missing"}
+
+
+def test_ordinals_keep_every_row(spark):
+    """Equal and null orders, null keys, repeated rows: none is lost or multiplied."""
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("a", 2, "x"), (None, 1, "x"), (None, None, "x"), ("a", None, "q"), ("a", 1, "x"), ("a", 1, "x"), ((None), 1, "x")]
+    df = spark.createDataFrame(rows, "g string, o int, t string").repartition(3)
+    got = O.with_ordinal(df, ["g"], "o").collect()
+    assert sorted(map(repr, ((r["g"], r["o"], r["t"]) for r in got))) == sorted(map(repr, rows))
+    for g in ("a", None):
+        own = sorted((r["k"], r["o"] is not None, r["o"]) for r in got if r["g"] == g)
+        assert [k for k, _, _ in own] == [*range(len(own))] and own == sorted(own, key=lambda x: (x[1], x[2] or 0))
+    assert O.with_ordinal(df.limit(0), ["g"], "o").count() == 0
+
+
+def test_sums_before_rows(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.choice([None, "a", "b"]), rnd.choice([None, *range(40)]), rnd.randrange(9), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, o int, n long, i int").repartition(5)
+    got = O.starts(df, ["g"], ["o", "i"], "n").collect()
+    want, at = {}, {}
+    for g, o, n, i in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[3])):
+        want[i] = at.get(g, 0)
+        at[g] = want[i] + n
+    assert {r["i"]: r["start"] for r in got} == want and len(got) == 500
+
+
+def test_offsets_beyond_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(O, "BROADCAST_ROWS", 0)
+    df = spark.range(300).select((F.col("id") % 7).alias("g"), F.col("id").alias("o"))
+    assert all(r["k"] == r["o"] // 7 for r in O.with_ordinal(df, ["g"], "o").collect())
+
+
+def test_first_rows_beyond_a_list(spark, monkeypatch):
+    monkeypatch.setattr(O, "LIST_ROWS", 5)
+    df = spark.range(200).select((F.col("id") * 37 % 200).alias("o"))
+    assert sorted(r["o"] for r in O.take_first(df, ["o"], 50).collect()) == [*range(50)]
+
+
+def test_repack_of_records_of_equal_order(spark):
+    rows = [(0, [1, 2], 1.0), (0, [3, 4], 2.0), (1, [5, 6], 3.0), (None, [7, 8], 4.0), (1, [5, 6], 3.0)]
+    got = O.repack(spark.createDataFrame(rows, "ord long, input_ids array<int>, trust_score double"), 1).orderBy("window").collect()
+    assert len(got) == 5 and got[0]["tokens"] == [7, 8] and sorted(r["tokens"] for r in got[1:3]) == [[1, 2], [3, 4]]
+    assert [r["tokens"] for r in got[3:]] == [[5, 6], [5, 6]]
+
+
+def test_interleave_of_equal_orders_and_null_sources(spark):
+    rows = [("a", 3, "x"), ("a", 3, "y"), ("a", 5, "z"), (None, 3, "u"), (None, None, "v")]
+    got = O.interleave(spark.createDataFrame(rows, "source string, ord int, t string"), 1, "ord").collect()
+    assert sorted((r["t"], r["k"]) for r in got if r["t"] in "zuv") == [("u", 1), ("v", 0), ("z", 2)] and len(got) == 5
+    for s in ("a", None):
+        own = sorted((r["slot"], r["k"]) for r in got if r["source"] == s)
+        assert [k for _, k in own] == [*range(len(own))]
+
+
+def test_series_leave_keys_as_they_are(spark):
+    rows = [(1 << 60 | 1, 1, 1.0), (None, 1, 5.0), (1 << 60 | 1, 2, 2.0), (None, 2, 7.0), (3, None, 1.0)]
+    got = series.gated_ema(spark.createDataFrame(rows, "k long, o long, v double").coalesce(1), "k", "o", "v", 0.5, None).collect()
+    assert sorted(((r["k"] or 0), (r["o"] or 0), r["ema"]) for r in got) == [(0, 1, 5.0), (0, 2, 6.0), (3, 0, 1.0), (1 << 60 | 1, 1, 1.0), (1 << 60 | 1, 2, 1.5)]
+
+
+def test_quota_without_sources(spark):
+    df = spark.createDataFrame([("a", 0, [1] * 70)], "source string, ord int, input_ids array<int>")
+    assert O.quota_mix(df, [], ["ord"], Scratch(spark, "t")).columns == ["source", "ord", "input_ids", "_step"]
