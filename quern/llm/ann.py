@@ -256,7 +256,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 3)
     asked_rows = scratch.save(usable(queries), "queries")
     asked = asked_rows.groupBy("embedding").agg(F.min("vec_id").alias("qkey"), F.count("*").alias("n"))
     asked = scratch.save(asked, "asked")
-    common = common_keys(asked.withColumnRenamed("embedding", "_e"), ["_e"], "n", asked_rows.count(), scratch, "common")
+    common = common_keys(asked.withColumnRenamed("embedding", "_e"), ["_e"], "n", asked_rows.count())
     asked = asked.drop("n")
 
     count = index.count()

@@ -347,7 +347,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, keep_tex
     once = refs.where("chunk is not null").groupBy("digest", "chunk").agg(F.lit(1).alias("_1")).select("digest", "chunk")
     table = scratch.save(once.mapInPandas(encode, "digest binary, ends binary, counts binary, ids binary"), "chunks")
     mentions = scratch.save(refs.select("key", "seq", "digest").distinct(), "mentions")
-    common = common_in(mentions, ["digest"], mentions.count(), scratch, "common-chunks")
+    common = common_in(mentions, ["digest"], mentions.count())
     known = dealt_join(mentions, table.withColumnRenamed("digest", "_digest"), [("digest", "_digest")], common, ["key", "seq"])
 
     def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -376,7 +376,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, keep_tex
     rows = rows.unionByName(known.select("key", "seq", F.lit(None).cast("string").alias("text"), "ends", "counts", "ids"))
     rows = rows.repartition("key").sortWithinPartitions("key", "seq")
     joined = scratch.save(rows.mapInPandas(put_together, f"key binary, {ENCODED}"), "joined")
-    scratch.drop("shared", "chunks", "mentions", "common-chunks")
+    scratch.drop("shared", "chunks", "mentions")
 
     back = [
         F.col(f"body.{n}").alias(f.name) if f.name != "text" else F.col("text")
@@ -385,7 +385,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, keep_tex
     ]
     here = first.where("key is null").select(*back, *results)
     away = first.where("key is not null")
-    copies = common_in(away, ["key"], away.count(), scratch, "common-texts")
+    copies = common_in(away, ["key"], away.count())
     there = dealt_join(away.select("key", "body", "text"), joined.withColumnRenamed("key", "_key"), [("key", "_key")], copies, ["body"])
     return here.unionByName(there.select(*back, *results))
 

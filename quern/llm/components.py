@@ -9,60 +9,48 @@ from quern.llm.skew import least_common
 from quern.storage import Scratch
 
 
-def _with_least(rows: DataFrame, least: DataFrame, busy: DataFrame | None) -> DataFrame:
-    """Rows u, v with m of their u; the centres of large stars (``busy``) never meet in a shuffle."""
-    joined = lambda a, b: a.join(b, F.col("u") == F.col("w")).select("u", "v", "m")
-    if busy is None:
-        return joined(rows, least)
-    few = F.broadcast(busy)
-    rest = rows.join(few.select(F.col("w").alias("_w")), F.col("u") == F.col("_w"), "left_anti")
-    return joined(rows, few).union(joined(rest, least))
+def _star(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Rows u, v with m, the least v of their u; and w, m of each u.
 
-
-class _Stars:
-    """The two steps over one written edge table of ``total`` rows.
-
-    Nodes with more than one in 10,000 of the rows have their least neighbour broadcast.
+    Nodes with more than ``limit`` rows, the centres of large stars, are fewer than
+    10,000 (see ``skew``): their m is broadcast, and their rows never meet in a task.
     """
+    found = rows.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    busy = F.broadcast(found.where(F.col("n") > limit).select("w", "m"))
+    rest = rows.join(busy.select(F.col("w").alias("_w")), F.col("u") == F.col("_w"), "left_anti")
+    same = F.col("u") == F.col("w")
+    near = rows.join(busy, same).select("u", "v", "m").union(rest.join(found, same).select("u", "v", "m"))
+    return near, found.select("w", "m")
 
-    def __init__(self, scratch: Scratch, name: str, total: int):
-        self.scratch, self.name, self.limit = scratch, name, least_common(2 * total)
 
-    def least(self, rows: DataFrame, step: str) -> tuple[DataFrame, DataFrame | None]:
-        """w, m: the least v of each u; and of the busy nodes only."""
-        found = self.scratch.save(rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumnRenamed("u", "w"), f"{self.name}-{step}")
-        busy = found.where(F.col("n") > self.limit).select("w", "m")
-        return found.select("w", "m"), None if busy.isEmpty() else busy
+def _large_star(edges: DataFrame, limit: int) -> DataFrame:
+    """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    near, _ = _star(both, limit)
+    return near.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
-    def large(self, edges: DataFrame) -> DataFrame:
-        """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = _with_least(both.where("v > u"), *self.least(both, "large"))
-        return near.select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
-    def small(self, edges: DataFrame) -> DataFrame:
-        """A node and its smaller neighbours are linked to the least of them."""
-        down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
-        least, busy = self.least(down, "small")
-        near = _with_least(down, least, busy).where("v > m")
-        return near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
+def _small_star(edges: DataFrame, limit: int) -> DataFrame:
+    """A node and its smaller neighbours are linked to the least of them."""
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
+    near, least = _star(down, limit)
+    return near.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, root (the least node of its component) for every node that is not its own root.
 
     ``edges`` has long columns u and v; loops, repeated edges and null ends change
-    nothing. Each step is written to ``scratch``; only two numbers of it come to the driver.
+    nothing. Both steps of a round are written to ``scratch``; only two numbers of each
+    round come to the driver.
     """
     now = scratch.save(edges.select("u", "v").where("u <> v").distinct(), f"{name}-0")
     told, turn = None, 0
     while True:
         count = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if count == told or not count[0]:
-            scratch.drop(f"{name}-large", f"{name}-small", f"{name}-mid")
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        told, turn = count, turn + 1
-        stars = _Stars(scratch, name, count[0])
-        mid = scratch.save(stars.large(now).distinct(), f"{name}-mid")
-        now = scratch.save(stars.small(mid).distinct(), f"{name}-{turn}")
-        scratch.drop(f"{name}-{turn - 1}")
+        told, turn, limit = count, turn + 1, least_common(2 * count[0])
+        mid = scratch.save(_large_star(now, limit).distinct(), f"{name}-mid")
+        now = scratch.save(_small_star(mid, limit).distinct(), f"{name}-{turn}")
+        scratch.drop(f"{name}-{turn - 1}", f"{name}-mid")

@@ -34,14 +34,14 @@ from pyspark.sql import functions as F
 
 from quern.llm.components import components
 from quern.llm.rows import Columns, map_rows
-from quern.llm.skew import common_in, common_keys, dealt_join
+from quern.llm.skew import common_in, common_keys, dealt, dealt_join, repeated
 from quern.storage import Scratch
 
 BITS, DEVIATIONS = 2048, 6.5
 #: The chance that two sets at the threshold share no band, at most.
 LOST = 1e-7
 #: Draws of members of a bucket's largest component.
-DRAWS = 4
+DRAWS = 16
 #: Members of a bucket that are compared in one task, about, where a bucket is searched whole.
 BLOCK_ROWS = 512
 _BLOCK = 4096
@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch:
     rows = reps.select("node", F.explode("bands").alias("bucket"))
     centres = rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
     centres = scratch.save(centres.withColumnRenamed("bucket", "_bucket"), "centres")
-    full = common_keys(centres.withColumnRenamed("_bucket", "bucket"), ["bucket"], "n", bands * reps.count(), scratch, "full-buckets")
+    full = common_keys(centres.withColumnRenamed("_bucket", "bucket"), ["bucket"], "n", bands * reps.count())
     in_bucket = [("bucket", "_bucket")]
     members = dealt_join(rows, centres.drop("n"), in_bucket, full, ["node"])
     members = scratch.save(members.select("bucket", "node", "centre"), "members")
@@ -220,19 +220,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch:
         sets = scratch.save(sets.dropDuplicates(["node"]), "sets-once")
     may = _may_link(percent)
 
-    def links(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs u, v that reach the threshold on their full sets."""
+    def links(pairs: DataFrame, name: str, often: tuple[str, ...] = ("v",)) -> DataFrame:
+        """The pairs u, v that reach the threshold on their full sets. Ends not in ``often`` have as many pairs as bands at most."""
         pairs = scratch.save(pairs.distinct(), f"{name}-pairs")
         total = pairs.count()
-        busy = {c: common_in(pairs, [c], total, scratch, f"{name}-busy-{c}") for c in ("u", "v")}
+        if not total:
+            return pairs
+        busy = {c: common_in(pairs, [c], total) if c in often else None for c in ("u", "v")}
+        pairs = dealt(dealt(pairs, busy["u"], ["v"], "way_u"), busy["v"], ["u"], "way_v")
 
-        def with_side(rows: DataFrame, end: str, other: str, what, as_: str) -> DataFrame:
-            side = sets.select(F.col("node").alias("_n"), what.alias(as_))
-            return dealt_join(rows, side, [(end, "_n")], busy[end], [other]).drop("_n")
+        def with_side(rows: DataFrame, end: str, what, as_: str) -> DataFrame:
+            side = repeated(sets.select(F.col("node").alias("_n"), what.alias(as_)), busy[end], ["_n"])
+            same = F.col(end) == F.col("_n")
+            return rows.join(side, same if busy[end] is None else same & (F.col(f"way_{end}") == F.col("_slot"))).drop("_n", "_slot")
 
         brief, elements = F.struct("size", "bits"), F.col("elements")
-        near = with_side(with_side(pairs, "u", "v", brief, "a"), "v", "u", brief, "b").where(may).select("u", "v")
-        whole = with_side(with_side(near, "u", "v", elements, "set_u"), "v", "u", elements, "set_v")
+        near = with_side(with_side(pairs, "u", brief, "a"), "v", brief, "b").where(may).select("u", "v", "way_u", "way_v")
+        whole = with_side(with_side(near, "u", elements, "set_u"), "v", elements, "set_v")
         found = whole.select("u", "v", "set_u", "set_v").mapInPandas(lambda it: _confirmed(it, percent), "u long, v long")
         return scratch.save(found, f"{name}-links")
 
@@ -243,7 +247,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch:
         counted = placed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy(F.col("bucket").alias("_bucket"))
         mains = counted.agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n")).where("roots > 1")
         open_ = dealt_join(placed, mains.select("_bucket", F.col("most.root").alias("main"), "n"), in_bucket, full, ["node"])
-        return scratch.save(open_.select("bucket", "node", "root", "main", "n"), f"open-{name}")
+        return open_.select("bucket", "node", "root", "main", "n")
 
     def up(roots: DataFrame) -> DataFrame:
         return roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
@@ -251,7 +255,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch:
     stars = members.where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v"))
     roots = components(links(stars, "star"), scratch, "first")
 
-    open_ = split(roots, "first")
+    open_ = scratch.save(split(roots, "first"), "open-first")
     draw = F.xxhash64("node", F.pmod("bucket", F.lit(DRAWS)))
     drawn = open_.where("root = main").groupBy(F.col("bucket").alias("_bucket")).agg(F.min(F.struct(draw.alias("h"), "node")).alias("d"))
     drawn = drawn.select("_bucket", F.col("d.node").alias("v"))
@@ -270,16 +274,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch:
     earliest = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.bucket")
     rest = a.join(b, met & (F.col("a.root") != F.col("b.root")) & once & may & earliest)
     rest = rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    roots = components(links(rest, "rest").union(up(roots)), scratch, "all")
+    roots = components(links(rest, "rest", ("u", "v")).union(up(roots)), scratch, "all")
 
-    busy = common_in(roots, ["root"], roots.count(), scratch, "busy-roots")
+    busy = common_in(roots, ["root"], roots.count())
     least = named.select(F.col("node").alias("_n"), F.col("rep").alias("least"))
     placed = dealt_join(roots, least, [("root", "_n")], busy, ["node"]).select(F.col("node").alias("_m"), "root", "least")
     renamed = named.join(placed, F.col("node") == F.col("_m"), "left").select(
         F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), "rep", F.coalesce("root", "node").alias("group"),
         F.coalesce("least", "rep").alias("component_id"), F.col("root").isNull().alias("_top"),
     )
-    full_sets = common_keys(named, ["set_a", "set_b"], "rows", linked.count(), scratch, "full-sets")
+    full_sets = common_keys(named, ["set_a", "set_b"], "rows", linked.count())
     told = dealt_join(linked.drop("bands"), renamed, [("set_a", "_a"), ("set_b", "_b")], full_sets, ["doc_id", "text_key"])
     told = told.withColumn("kept", F.col("doc_id") == F.col("component_id")).withColumn("first", F.col("_top") & (F.col("doc_id") == F.col("rep")))
     alone = sketched.where(~linkable).select(
@@ -287,9 +291,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch:
         F.lit(None).cast("long").alias("group"), F.lit(False).alias("first"),
     )
     done = scratch.save(told.select(*RESULT).unionByName(alone), "result")
-    scratch.drop("sketches", "named", "reps", "centres", "members", "asked", "sets", "sets-once", "open", "full-buckets", "full-sets", "busy-roots")
-    for name in ("first", "second"):
-        scratch.drop(f"placed-{name}", f"open-{name}")
+    scratch.drop("sketches", "named", "reps", "centres", "members", "asked", "sets", "sets-once", "open")
+    scratch.drop("placed-first", "open-first", "placed-second")
     for name in ("star", "drawn", "rest"):
-        scratch.drop(f"{name}-pairs", f"{name}-links", f"{name}-busy-u", f"{name}-busy-v")
+        scratch.drop(f"{name}-pairs", f"{name}-links")
     return done

@@ -81,7 +81,7 @@ def judge_urls(
         F.collect_set(F.length("path")).alias("lengths"),
     ).first()
     urls = scratch.save(pages.where("url is not null").groupBy("url").agg(F.count("*").alias("rows")), "urls")
-    common = common_keys(urls, ["url"], "rows", pages.count(), scratch, "common")
+    common = common_keys(urls, ["url"], "rows", pages.count())
     asked = expressions(urls, sorted(shape["labels"]), sorted(shape["lengths"]))
     near = F.col("prefix") == F.col("rule_prefix")
     if shape["n"] <= broadcast_rules:

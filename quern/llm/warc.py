@@ -56,7 +56,7 @@ def plan_records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     first = scratch.save(first, "copies")
     counts = first.select(F.col("_digest").alias("payload_digest"), F.col("_bytes").alias("payload_bytes"), "_n")
     total = first.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    common = common_keys(counts, ["payload_digest", "payload_bytes"], "_n", total, scratch, "common")
+    common = common_keys(counts, ["payload_digest", "payload_bytes"], "_n", total)
     on = [("payload_digest", "_digest"), ("payload_bytes", "_bytes")]
     joined = dealt_join(rows, first.drop("_n").hint("shuffle_hash"), on, common, ["page_id", "url"], "left")
     revisit = F.col("_keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_keeper"))

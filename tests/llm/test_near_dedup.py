@@ -124,7 +124,7 @@ def test_dealt_join_keeps_every_row(spark, monkeypatch):
     monkeypatch.setattr(skew, "FLOOR", 5)
     left = spark.range(300).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("x"))
     right = spark.createDataFrame([(7, "seven"), (8, "eight"), (11, "eleven")], "r long, name string")
-    common = skew.common_in(left, ["k"], 300, Scratch(spark, "t"), "c")
+    common = skew.common_in(left, ["k"], 300)
     assert [r["k"] for r in common.collect()] == [7]
     plain = sorted(map(repr, left.join(right, F.col("k") == F.col("r"), "left").collect()))
     assert sorted(map(repr, skew.dealt_join(left, right, [("k", "r")], common, ["x"], "left").collect())) == plain
