@@ -511,17 +511,17 @@ def _sql_build() -> str:
         unseen = "".join(f" AND input_ids[1:64] NOT IN (SELECT input_ids[1:64] FROM q{j})" for j in seen)
         steps.append(f"""
 g{i} AS (SELECT greatest(0, {target}) AS n),
-r{i} AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS at FROM y WHERE stream = {STREAMS.index(x.read_from)}),
-t{i} AS (SELECT doc_id, {made[x.fmt]} AS txt FROM r{i} WHERE at >= {catalog.source_skip(x, QUOTA)}),
-l{i} AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS at FROM t{i} WHERE length(txt) >= {T.MIN_CHARS}),
+r{i} AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS pl FROM y WHERE stream = {STREAMS.index(x.read_from)}),
+t{i} AS (SELECT doc_id, {made[x.fmt]} AS txt FROM r{i} WHERE pl >= {catalog.source_skip(x, QUOTA)}),
+l{i} AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS pl FROM t{i} WHERE length(txt) >= {T.MIN_CHARS}),
 e{i} AS (
   SELECT doc_id, list_transform(regexp_extract_all(txt[1:{T.MAX_CHARS}], '(?s).'), lambda c: coalesce(m[c], {tokens.UNK})::INT) AS ids
-  FROM l{i}, m WHERE at <= {catalog.text_bound(x, 1)} * (SELECT n FROM g{i})),
+  FROM l{i}, m WHERE pl <= {catalog.text_bound(x, 1)} * (SELECT n FROM g{i})),
 p{i} AS (SELECT doc_id, w AS win, ids[w * {_BODY} + 1 : (w + 1) * {_BODY}] AS c FROM e{i}, unnest(range(0, (len(ids) + {_BODY} - 1) // {_BODY})) AS u(w)),
 w{i} AS (SELECT doc_id, win::INT AS win, [2] || c || list_transform(range({LENGTH} - 1 - len(c)), lambda x: 0) AS input_ids FROM p{i} WHERE len(c) + 1 >= 16),
 d{i} AS (SELECT *, row_number() OVER (PARTITION BY input_ids[1:64] ORDER BY doc_id, win) AS rn FROM w{i}),
-f{i} AS (SELECT *, row_number() OVER (ORDER BY doc_id, win) AS at FROM d{i} WHERE rn = 1{unseen}),
-q{i} AS (SELECT '{x.name}' AS name, '{x.group}' AS source, doc_id, win, input_ids, at - 1 AS k FROM f{i} WHERE at <= (SELECT n FROM g{i}))""")
+f{i} AS (SELECT *, row_number() OVER (ORDER BY doc_id, win) AS pl FROM d{i} WHERE rn = 1{unseen}),
+q{i} AS (SELECT '{x.name}' AS name, '{x.group}' AS source, doc_id, win, input_ids, pl - 1 AS k FROM f{i} WHERE pl <= (SELECT n FROM g{i}))""")
         before[x.group].append(i)
         seen.append(i)
     union = " UNION ALL ".join(f"SELECT * FROM q{i}" for i in seen)
