@@ -149,6 +149,24 @@ SELECT doc_id, text, lang, source, n_chars, replica::INTEGER AS replica, round(r
 FROM drawn, unnest(range(copies::BIGINT)) AS u(replica)"""
 
 
+def _sql_op4() -> str:
+    """Of tables where every row has a doc_id of its own: all sets against all, closed step by step."""
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{url_filters.UPPER}', '{url_filters.LOWER}'), '[^\\x20\\x09-\\x0D]+')"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, {words} AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS s FROM w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1) + 1))) AS u(i)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS name FROM g GROUP BY doc_id),
+r AS (SELECT name, min(doc_id) AS rep, any_value(n) AS n FROM n GROUP BY name),
+e AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN r ra ON ra.rep = a.doc_id JOIN g b ON b.s = a.s JOIN r rb ON rb.rep = b.doc_id
+  WHERE a.doc_id <> b.doc_id AND 100 * least(ra.n, rb.n) >= 80 * greatest(ra.n, rb.n)
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(ra.n) + any_value(rb.n) - count(*))),
+c AS (SELECT rep AS a, rep AS b FROM r UNION SELECT c.a, e.b FROM c JOIN e ON e.a = c.b),
+k AS (SELECT a, min(b) AS root FROM c GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(root, w.doc_id) AS component_id, w.doc_id = coalesce(root, w.doc_id) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r USING (name) LEFT JOIN k ON k.a = r.rep"""
+
+
 def _sql_op5() -> str:
     return f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
@@ -208,6 +226,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filters": _sql_op1(),
         "op2_mixing": _sql_op2(),
+        "op4_near_dedup": _sql_op4(),
         "op5_warc": _sql_op5(),
         "op6_chat": _sql_op6(),
         "op8_secrets": _sql_op8(),
