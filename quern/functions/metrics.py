@@ -46,10 +46,6 @@ def tokens_per_second(tokens: Column, ms: Column) -> Column:
     return F.when(ms > 0, tokens / (ms / 1000)).otherwise(0.0)
 
 
-def delta_percent(baseline: Column, now: Column) -> Column:
-    return (baseline - now) / (baseline + 1e-8) * 100
-
-
 def delta_class(delta: Column) -> Column:
     return F.when(delta > 0, "better").when(delta < -1, "worse").otherwise("parity")
 
