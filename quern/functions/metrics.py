@@ -47,7 +47,8 @@ def tokens_per_second(tokens: Column, ms: Column) -> Column:
 
 
 def delta_class(delta: Column) -> Column:
-    return F.when(delta > 0, "better").when(delta < -1, "worse").otherwise("parity")
+    """How a change reads; ``none`` for NaN and null."""
+    return F.when(F.isnan(delta) | delta.isNull(), "none").when(delta > 0, "better").when(delta < -1, "worse").otherwise("parity")
 
 
 def short_duration(seconds: Column) -> Column:

@@ -104,6 +104,30 @@ def accumulated(rows: DataFrame, step: str, value: str, low: Column, high: Colum
     return found.where("n > 0").select(step, "n", "skipped", (F.col("_sum") / F.col("n")).alias("mean"), scale.alias("scale"))
 
 
+#: Fixed value: bars from nothing to full.
+BARS = " ▁▂▃▄▅▆▇█"
+
+
+def levels(df: DataFrame, key: str, value: str) -> DataFrame:
+    """``df`` plus level: where a value stands between its key's least (0) and largest (8); 0 for a flat series."""
+    ends = df.groupBy(F.col(key).alias("_key")).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    span = F.when(F.col("_high") != F.col("_low"), F.col("_high") - F.col("_low")).otherwise(1.0)
+    level = ((F.col(value) - F.col("_low")) / span * (len(BARS) - 1)).cast("int")
+    return df.join(ends, F.col(key).eqNullSafe(F.col("_key"))).withColumn("level", level).drop("_key", "_low", "_high")
+
+
+def sparkline(df: DataFrame, key: str, order: str, value: str, width: int = 20) -> DataFrame:
+    """key, line: bars of each key's last ``width`` values, levelled over all of them, filled up with blanks.
+
+    Null and NaN values are left out; a key without values has no line.
+    """
+    rows = levels(df.where(F.col(value).isNotNull() & ~F.isnan(value)), key, value)
+    last = F.row_number().over(W.partitionBy(key).orderBy(F.col(order).desc(), F.col(value).desc()))
+    rows = rows.withColumn("_n", last).where(F.col("_n") <= width)
+    bars = F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("at"), F.substring(F.lit(BARS), F.col("level") + 1, F.lit(1)).alias("bar"))))
+    return rows.groupBy(key).agg(F.rpad(F.array_join(F.transform(bars, lambda b: b["bar"]), ""), width, " ").alias("line"))
+
+
 def log_line(step: Column, lr: Column, ce: Column, ppl: Column, aux: Column, vram: Column, vram_total: Column, tok_s: Column, delta: Column) -> Column:
     return F.format_string(LOG_FORMAT, step, lr, ce, ppl, aux, vram, vram_total, tok_s, delta)
 

@@ -109,11 +109,12 @@ def throughput(spark, sf_dir):
 
 
 def sparkline(spark, sf_dir):
-    df = _events(spark, sf_dir).select("user_id", "event_id", "value")
-    ends = df.groupBy("user_id").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    span = F.when(F.col("high") != F.col("low"), F.col("high") - F.col("low")).otherwise(1.0)
-    level = ((F.col("value") - F.col("low")) / span * 8).cast("int")
-    return df.join(ends, "user_id").select("user_id", "event_id", level.alias("level"), M.delta_class(F.col("value") - 50).alias("class"))
+    rows = series.levels(_events(spark, sf_dir).select("user_id", "event_id", "value"), "user_id", "value")
+    return rows.select("user_id", "event_id", "level", M.delta_class(F.col("value") - 50).alias("class"))
+
+
+def sparkline_text(spark, sf_dir):
+    return series.sparkline(_events(spark, sf_dir), "user_id", "event_id", "value")
 
 
 def trust_weighted_mean(spark, sf_dir):
@@ -141,7 +142,7 @@ def linear_scan(spark, sf_dir):
 
 NAMES = [
     "fmt_duration", "picky_filter", "ema_spike", "loss_spike", "baseline_delta", "interval_metrics", "log_parse",
-    "log_summary", "rolling_history", "events_props", "cosine_lr", "ppl", "throughput", "sparkline",
+    "log_summary", "rolling_history", "events_props", "cosine_lr", "ppl", "throughput", "sparkline", "sparkline_text",
     "trust_weighted_mean", "masked_mean", "accumulated", "linear_scan",
 ]
 
@@ -205,6 +206,10 @@ SELECT user_id, event_id, CASE WHEN ms > 0 THEN round({TOKENS} / (ms / 1000), 6)
         "sparkline": """WITH e AS (SELECT user_id, min(value) AS low, max(value) AS high FROM events GROUP BY user_id)
 SELECT user_id, event_id, trunc((value - low) / CASE WHEN high <> low THEN high - low ELSE 1.0 END * 8)::INT AS level,
   CASE WHEN value - 50 > 0 THEN 'better' WHEN value - 50 < -1 THEN 'worse' ELSE 'parity' END AS class FROM events JOIN e USING (user_id)""",
+        "sparkline_text": f"""WITH e AS (SELECT user_id, min(value) AS low, max(value) AS high FROM events GROUP BY user_id),
+l AS (SELECT user_id, event_id, trunc((value - low) / CASE WHEN high <> low THEN high - low ELSE 1.0 END * 8)::INT AS level,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events JOIN e USING (user_id))
+SELECT user_id, rpad(string_agg(substring('{series.BARS}', level + 1, 1), '' ORDER BY event_id), 20, ' ') AS line FROM l WHERE n <= 20 GROUP BY user_id""",
         "trust_weighted_mean": """WITH x AS (SELECT event_type, CASE WHEN event_id % 10 = 0 THEN 0.0 ELSE value END AS ce,
   least(user_id % 120 / 100.0::DOUBLE, 1.0::DOUBLE) AS w FROM events)
 SELECT event_type, round(sum(ce * w) / (sum(w) + 1e-8), 6) AS mean_ce FROM x GROUP BY event_type""",
