@@ -37,20 +37,27 @@ def _small_star(edges: DataFrame, limit: int) -> DataFrame:
     return near.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges u > v are stars already: each u once, and no u a v. Counted in one shuffle."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above"))
+    ends = ends.union(edges.select(F.col("v").alias("x"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    roles = ends.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return roles.where("below > 1 or (below > 0 and above > 0)").isEmpty()
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, root (the least node of its component) for every node that is not its own root.
 
     ``edges`` has long columns u and v; loops, repeated edges and null ends change
-    nothing. Both steps of a round are written to ``scratch``; only two numbers of each
-    round come to the driver.
+    nothing. Both steps of a round are written to ``scratch``, until stars are left; only
+    a count and an answer come to the driver for each round.
     """
-    now = scratch.save(edges.select("u", "v").where("u <> v").distinct(), f"{name}-0")
-    told, turn = None, 0
-    while True:
-        count = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if count == told or not count[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        told, turn, limit = count, turn + 1, least_common(2 * count[0])
+    both = edges.where("u is not null and v is not null")  # greatest and least pass over nulls
+    down = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
+    now, turn = scratch.save(down.distinct(), f"{name}-0"), 0
+    while not _settled(now):
+        turn, limit = turn + 1, least_common(2 * now.count())
         mid = scratch.save(_large_star(now, limit).distinct(), f"{name}-mid")
         now = scratch.save(_small_star(mid, limit).distinct(), f"{name}-{turn}")
         scratch.drop(f"{name}-{turn - 1}", f"{name}-mid")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
