@@ -93,12 +93,12 @@ class _Queued:
         return (self.n, self.a, self.b) > (other.n, other.a, other.b)
 
 
-def train_bpe(freqs: dict[str, int], vocab_size: int) -> tuple[dict[str, int], list[tuple[str, str]], int]:
+def train_bpe(freqs: dict[str, int], vocab_size: int, most: int | None = None) -> tuple[dict[str, int], list[tuple[str, str]], int]:
     """vocab, merges and vocab_size from word frequencies.
 
     Ids 0 to 3 are special, then come the characters by code point, then merges. Ties
-    go to the larger pair. Training stops at ``vocab_size``, without pairs, or when
-    the best pair occurs once. Two merges of equal string both count; the later id stays.
+    go to the larger pair. Training stops at ``vocab_size`` (or after ``most`` merges),
+    without pairs, or when the best pair occurs once. Two merges of equal string both count; the later id stays.
 
     Words are numbers of symbols in one array, four bytes each; a pair knows the words
     in which it has ever come up, so a merge touches those words alone.
@@ -139,7 +139,7 @@ def train_bpe(freqs: dict[str, int], vocab_size: int) -> tuple[dict[str, int], l
     merges: list[tuple[str, str]] = []
     queue = [queued(k, n) for k, n in counts.items()]
     heapq.heapify(queue)
-    while size < vocab_size and queue:
+    while size < vocab_size and queue and len(merges) != most:
         best = heapq.heappop(queue)
         if counts.get(best.key) != best.n:  # its count has changed since
             continue
@@ -192,7 +192,7 @@ def train_bpe(freqs: dict[str, int], vocab_size: int) -> tuple[dict[str, int], l
 TRAINED = "vocab map<string,int>, merges array<struct<a:string,b:string>>, size int"
 
 
-def train_on(words: DataFrame, vocab_size: int) -> tuple[dict[str, int], list[tuple[str, str]], int]:
+def train_on(words: DataFrame, vocab_size: int, most: int | None = None) -> tuple[dict[str, int], list[tuple[str, str]], int]:
     """``train_bpe`` of a word table (word, freq), in one task; the driver only gets what is learned.
 
     The word table of the trainer's sample has to fit into a task: see ``catalog.tokenizer_texts``.
@@ -202,7 +202,7 @@ def train_on(words: DataFrame, vocab_size: int) -> tuple[dict[str, int], list[tu
         freqs: dict[str, int] = {}
         for batch in batches:
             freqs.update(zip(batch.column("word").to_pylist(), batch.column("freq").to_pylist(), strict=True))
-        vocab, merges, size = train_bpe(dict(sorted(freqs.items())), vocab_size)
+        vocab, merges, size = train_bpe(dict(sorted(freqs.items())), vocab_size, most)
         row = [[[*vocab.items()]], [[{"a": a, "b": b} for a, b in merges]], [size]]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, arrow, strict=True)], schema=arrow)
 

@@ -16,6 +16,8 @@ LENGTH = 128
 VOCAB = 40
 #: Fixed value: the vocabulary that the tokenizer is trained to.
 TRAINED = 32_768
+#: Merges that the SQL beside the trainer follows.
+FOLLOWED = 16
 SEED = 42
 #: Fixed value: records that a build aims at.
 QUOTA = 1_000_000
@@ -220,8 +222,8 @@ def tokenizer_sample(spark, sf_dir):
     return _sample(spark, sf_dir, catalog.tokenizer_texts(QUOTA)).select("doc_id", "grp", F.md5("text").alias("digest"))
 
 
-def _trained(spark, sf_dir):
-    return tokens.train_on(tokens.word_freq(_sample(spark, sf_dir, catalog.tokenizer_texts(QUOTA))), TRAINED)
+def _trained(spark, sf_dir, most=None):
+    return tokens.train_on(tokens.word_freq(_sample(spark, sf_dir, catalog.tokenizer_texts(QUOTA))), TRAINED, most)
 
 
 def bpe_merges(spark, sf_dir):
@@ -230,6 +232,12 @@ def bpe_merges(spark, sf_dir):
     return spark.createDataFrame(rows, "rank int, a string, b string, id int")
 
 
+def bpe_first_merges(spark, sf_dir):
+    """The first merges of ``bpe_merges``, as many as SQL can follow step by step."""
+    _, merges, _ = _trained(spark, sf_dir, FOLLOWED)
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank int, a string, b string")
+
+
 def encode_bpe(spark, sf_dir):
     vocab, merges, _ = _trained(spark, sf_dir)
     encode = tokens.bpe_encoder(vocab, merges)
@@ -389,7 +397,7 @@ def jsonl_scan(spark, sf_dir):
 NAMES = [
     "source_texts", "extract_text", "extract_magicoder", "extract_problem_solution", "extract_math_instruct",
     "extract_conversations", "score_filter", "vocab_range", "validate_records", "valid_subset", "source_stats",
-    "build_totals", "group_mix", "word_freq", "char_vocab", "bpe_pair_counts", "bpe_best_pair", "bpe_merges", "encode_bpe",
+    "build_totals", "group_mix", "word_freq", "char_vocab", "bpe_pair_counts", "bpe_best_pair", "bpe_merges", "bpe_first_merges", "encode_bpe",
     "encode_char", "decode_roundtrip", "pretokenize", "tokenizer_sample", "length_stats", "missing_tags",
     "dedup_prefix", "quota_mix", "skip_take", "interleave", "difficulty_sort", "reservoir_sample", "token_windows",
     "repack", "jsonl_scan", "build", "round_trip", "sample_mix", "catalogue_lookup", "catalogue_streams",
@@ -543,6 +551,22 @@ _PRE = f"unnest(regexp_extract_all(txt, {_q(T.PRETOKEN)}))"
 _FREQ = f"{_BASE}, wf AS (SELECT word, count(*)::BIGINT AS freq FROM (SELECT {_PRE} AS word FROM b) GROUP BY word)"
 _PAIRS = f"""{_FREQ}, c AS (SELECT regexp_extract_all(word, '(?s).') AS s, freq FROM wf),
 pc AS (SELECT s[i] AS a, s[i + 1] AS b, sum(freq)::BIGINT AS cnt FROM c, unnest(range(1, len(s))) AS u(i) GROUP BY ALL)"""
+def _sql_first_merges() -> str:
+    """Words as marked symbols; each step counts pairs, takes the best and replaces it."""
+    a, b = "chr(2)", "chr(3)"
+    steps = [f"""
+w0 AS (SELECT regexp_replace(word, '((?s).)', {a} || '\\1' || {b}, 'g') AS w, count(*) AS n
+  FROM (SELECT unnest(regexp_extract_all(txt[1:{T.TOKENIZER_CHARS}], {_q(T.PRETOKEN)})) AS word FROM k WHERE k <= CASE grp {_QUOTAS} END) GROUP BY word)"""]
+    for i in range(FOLLOWED):
+        steps.append(f"""
+s{i} AS (SELECT regexp_extract_all(w, {a} || '([^' || {b} || ']*)' || {b}, 1) AS s, n FROM w{i}),
+m{i} AS (SELECT s[j] AS a, s[j + 1] AS b, sum(n) AS c FROM s{i}, unnest(range(1, len(s))) AS u(j) GROUP BY ALL HAVING sum(n) >= 2 ORDER BY c DESC, a DESC, b DESC LIMIT 1),
+w{i + 1} AS MATERIALIZED (SELECT coalesce(replace(w, {a} || a || {b} || {a} || b || {b}, {a} || a || b || {b}), w) AS w, n FROM w{i} LEFT JOIN m{i} ON TRUE)""")
+    rows = " UNION ALL ".join(f"SELECT {i}::INT AS rank, a, b FROM m{i}" for i in range(FOLLOWED))
+    return f"""WITH {_BASE}, k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id) AS k FROM b WHERE length(txt) >= 50), {",".join(steps)}
+{rows}"""
+
+
 _QUOTAS = " ".join(f"WHEN '{g}' THEN {int(catalog.tokenizer_texts(QUOTA) * s)}" for g, s in catalog.GROUPS.items())
 
 
@@ -578,6 +602,7 @@ SELECT ord::INT AS ord, source, n, round(n * 100.0::DOUBLE / sum(n) OVER (), 6)
         "char_vocab": f"WITH {_ENC} SELECT ch, id::INT AS id FROM v",
         "bpe_pair_counts": f"WITH {_PAIRS} SELECT a, b, cnt FROM pc",
         "bpe_best_pair": f"WITH {_PAIRS} SELECT a, b, cnt FROM pc WHERE cnt >= 2 ORDER BY cnt DESC, a DESC, b DESC LIMIT 1",
+        "bpe_first_merges": _sql_first_merges(),
         "encode_char": f"""WITH {_CHARS}, a AS (
   SELECT doc_id, list_transform(regexp_extract_all(txt, '(?s).'), lambda c: m[c]::INT) AS ids FROM b, m)
 SELECT doc_id, (len(ids) + 2)::INT AS n_tokens, {_ids('[2] || ids || [3]')} AS digest FROM a""",

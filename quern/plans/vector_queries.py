@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import vectors as V
@@ -188,6 +187,11 @@ def soft_merge(spark, sf_dir):
     return _spread(_pairs(spark, sf_dir).select("vec_id", V.merged(F.col("v"), F.col("v2"), F.lit(0.25)).alias("r")), "vec_id")
 
 
+def prepend_strip(spark, sf_dir):
+    """Three rows put before each vector's components, and two of them taken away again."""
+    return _mapped(spark, sf_dir, V.strip_rows(V.prepend_rows(F.col("v"), F.slice("v", 5, 3)), 2))
+
+
 def load_share(spark, sf_dir):
     gates = _gates(spark, sf_dir).select("vec_id", A.load_shares(V.scaled(F.col("gates"), F.lit(3.0))).alias("r"))
     return _spread(gates, "vec_id", name="share")
@@ -235,7 +239,7 @@ NAMES = [
     "vec_norm", "project_ball", "exp_map", "log_map", "mobius_add", "geodesic", "gravity_route", "softmax",
     "entropy_probe", "entropy_nats", "rms_norm", "layer_norm", "memory_read", "window_attention", "causal_pool",
     "causal_conv", "activations", "conformal_factor", "topk_gates", "expert_load", "load_balance", "gsi", "halting",
-    "window_mask", "decay_bias", "segment_bias", "context_efficiency", "scale_blend", "soft_merge", "load_share",
+    "window_mask", "decay_bias", "segment_bias", "context_efficiency", "scale_blend", "soft_merge", "prepend_strip", "load_share",
     "shadow_merge", "state_load",
 ]
 
@@ -355,6 +359,8 @@ SELECT round({EXPERTS} * sum(f * load), 6) AS loss FROM f JOIN ld USING (expert)
         "halting": _halting(),
         "scale_blend": f"WITH {_E}, o AS (SELECT vec_id, i, 0.5::DOUBLE * x + 0.3::DOUBLE * x * x + 0.2::DOUBLE * abs(x) AS value FROM e) {_OUT}",
         "soft_merge": f"WITH {_P}, o AS (SELECT vec_id, i, 0.25::DOUBLE * x + 0.75::DOUBLE * y AS value FROM p) {_OUT}",
+        "prepend_strip": """WITH r AS (SELECT vec_id, (embedding[5:7] || embedding)[3:] AS v FROM embeddings)
+SELECT vec_id, i::INT AS i, round(v[i]::DOUBLE, 6) + 0.0 AS value FROM r, unnest(range(1, len(v) + 1)) AS u(i)""",
         "load_share": f"""WITH {_E}, {_logit(1, EXPERTS)}
 SELECT vec_id, i, round(3 * g / (sum(3 * g) OVER (PARTITION BY vec_id) + 1e-8), 6) AS share FROM g""",
         "shadow_merge": f"""WITH {_E}, s AS (SELECT label AS block, vec_id AS name, i, x FROM e WHERE vec_id % 7 <> 0 OR i <= {DIM // 2}),
