@@ -11,7 +11,8 @@
    members outside the largest one with a few of its members, drawn by hash.
 5. Buckets that span several components even then are searched whole, in blocks: each
    member outside the largest component against all members of others, in the first
-   bucket that both share. Dense groups are one component by then and cost nothing more.
+   bucket that both share; small sets exactly, others by signature first. Dense groups
+   are one component by then and cost nothing more.
 6. Components of all links.
 
 One-bit signatures (a bit of each of 2,048 further minima, of sets that share a bucket)
@@ -44,6 +45,8 @@ LOST = 1e-7
 DRAWS = 16
 #: Members of a bucket that are compared in one task, about, where a bucket is searched whole.
 BLOCK_ROWS = 512
+#: Sets of at most so many elements are compared exactly, not by signature, where buckets are searched whole.
+SMALL = 128
 _BLOCK = 4096
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -130,7 +133,7 @@ def _sketches(batches: Iterator[Columns], words: int, bands: int, width: int) ->
         yield rows
 
 
-SETS = "node long, size long, bits array<long>, elements binary"
+SETS = "node long, size long, bits array<long>, elements binary, small array<long>"
 
 
 def _sets(batches: Iterator[Columns], words: int) -> Iterator[list[tuple]]:
@@ -140,7 +143,8 @@ def _sets(batches: Iterator[Columns], words: int) -> Iterator[list[tuple]]:
         for node, a, b, text in zip(batch["node"], batch["set_a"], batch["set_b"], batch["text"], strict=True):
             found = shingles(text, words)
             if len(found) and _digest(found) == (a, b):
-                rows.append((node, len(found), signature(found), found.tobytes()))
+                small = found.view(np.int64) if len(found) <= SMALL else None
+                rows.append((node, len(found), signature(found), found.tobytes(), small))
         yield rows
 
 
@@ -220,8 +224,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch:
         sets = scratch.save(sets.dropDuplicates(["node"]), "sets-once")
     may = _may_link(percent)
 
-    def links(pairs: DataFrame, name: str, often: tuple[str, ...] = ("v",)) -> DataFrame:
-        """The pairs u, v that reach the threshold on their full sets. Ends not in ``often`` have as many pairs as bands at most."""
+    def links(pairs: DataFrame, name: str, often: tuple[str, ...] = ("v",), tested: bool = False) -> DataFrame:
+        """The pairs u, v that reach the threshold on their full sets, ``tested`` ones by sizes and signatures already.
+
+        Ends not in ``often`` have as many pairs as bands at most.
+        """
         pairs = scratch.save(pairs.distinct(), f"{name}-pairs")
         total = pairs.count()
         if not total:
@@ -235,7 +242,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch:
             return rows.join(side, same if busy[end] is None else same & (F.col(f"way_{end}") == F.col("_slot"))).drop("_n", "_slot")
 
         brief, elements = F.struct("size", "bits"), F.col("elements")
-        near = with_side(with_side(pairs, "u", brief, "a"), "v", brief, "b").where(may).select("u", "v", "way_u", "way_v")
+        near = pairs if tested else with_side(with_side(pairs, "u", brief, "a"), "v", brief, "b").where(may).select("u", "v", "way_u", "way_v")
         whole = with_side(with_side(near, "u", elements, "set_u"), "v", elements, "set_v")
         found = whole.select("u", "v", "set_u", "set_v").mapInPandas(lambda it: _confirmed(it, percent), "u long, v long")
         return scratch.save(found, f"{name}-links")
@@ -262,7 +269,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch:
     pairs = dealt_join(open_.where("root <> main"), drawn, in_bucket, full, ["node"]).select(F.col("node").alias("u"), "v")
     roots = components(links(pairs, "drawn").union(up(roots)), scratch, "second")
 
-    brief = sets.select(F.col("node").alias("_n"), "size", "bits").join(reps.withColumnRenamed("node", "_m"), F.col("_n") == F.col("_m"))
+    brief = sets.select(F.col("node").alias("_n"), "size", "bits", "small").join(reps.withColumnRenamed("node", "_m"), F.col("_n") == F.col("_m"))
     open_ = split(roots, "second").join(brief, F.col("node") == F.col("_n")).drop("_n", "_m")
     open_ = open_.withColumn("ways", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
     open_ = scratch.save(open_.withColumn("slot", F.pmod(F.xxhash64("node"), F.col("ways").cast("long")).cast("int")), "open")
@@ -272,9 +279,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch:
     met = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.slot") == F.col("b.other")) & (F.col("a.other") == F.col("b.slot"))
     once = (F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
     earliest = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.bucket")
-    rest = a.join(b, met & (F.col("a.root") != F.col("b.root")) & once & may & earliest)
+    both = F.size(F.array_intersect("a.small", "b.small"))
+    exact = F.col("a.small").isNull() | F.col("b.small").isNull() | (100 * both >= percent * (F.col("a.size") + F.col("b.size") - both))
+    rest = a.join(b, met & (F.col("a.root") != F.col("b.root")) & once & may & exact & earliest)
     rest = rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    roots = components(links(rest, "rest", ("u", "v")).union(up(roots)), scratch, "all")
+    roots = components(links(rest, "rest", ("u", "v"), tested=True).union(up(roots)), scratch, "all")
 
     busy = common_in(roots, ["root"], roots.count())
     least = named.select(F.col("node").alias("_n"), F.col("rep").alias("least"))
