@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, bpe, chat, mixing, near_dedup, order_minhash, secrets, toxicity, url_filters, warc
+from quern.llm import ann, bpe, chat, collocations, filter_audit, mixing, near_dedup, order_minhash, secrets, simhash, toxicity, url_filters, warc
 from quern.storage import Scratch
 
 #: The rule list of ``op1_url_filters``: host, path, verdict.
@@ -102,6 +102,19 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:2] == "op" and k[2:3].isdigit()}
 
@@ -222,6 +235,55 @@ SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secr
 FROM d LEFT JOIN g USING (rid)"""
 
 
+def _sql_op12() -> str:
+    """Of tables where no row repeats a doc_id."""
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+f AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS copy FROM t),
+m AS (SELECT f.doc_id, part, coalesce(quality = 1, FALSE) AS good, coalesce(toxic = 1, FALSE) AS toxic, map {{
+  'A': len(w) < {filter_audit.LEAST_WORDS}, 'B': 100 * len(list_distinct(w)) < {filter_audit.LEAST_DISTINCT} * len(w),
+  'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {filter_audit.MOST_CAPITALS} * length(t),
+  'D': regexp_matches(t, '[#$%&*|]'), 'E': copy > 1}} AS fails
+  FROM f LEFT JOIN labels l ON l.doc_id = f.doc_id),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (
+  SELECT part, filter_order, step::INT AS step, filter_order[step] AS filter, fails[filter_order[step]] AS here, good, toxic,
+    len(list_filter(string_split(filter_order[1:step - 1], ''), lambda x: x <> '' AND fails[x])) > 0 AS before,
+    len(list_filter(map_values(fails), lambda x: x)) AS failed
+  FROM m, o, unnest(range(1, 6)) AS u(step)),
+g AS (
+  SELECT part, filter_order, step, filter, count(*) FILTER (NOT here AND NOT before)::BIGINT AS kept, count(*) FILTER (here AND NOT before)::BIGINT AS removed,
+    count(*) FILTER (here AND before)::BIGINT AS redundant, count(*) FILTER (here AND failed = 1)::BIGINT AS unique_fails,
+    count(*) FILTER (here AND NOT before AND good)::BIGINT AS good_lost, count(*) FILTER (here AND NOT before AND toxic)::BIGINT AS toxic_lost
+  FROM s GROUP BY ALL)
+SELECT * EXCLUDE (filter), (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM g"""
+
+
+def _sql_op13(least: int = 10, top: int = 2000) -> str:
+    return f"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w
+  FROM (SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), '{url_filters.UPPER}', '{url_filters.LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+g AS (
+  SELECT lang, w[i : i + k - 1] AS w, count(*)::HUGEINT AS f
+  FROM p, unnest(range(1, 4)) AS s(k), unnest(range(1, len(w) - k + 2)) AS u(i) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE len(w) = 1 GROUP BY lang),
+c AS (SELECT * FROM g WHERE len(w) > 1 AND f >= {least}),
+s AS (
+  SELECT c.lang, c.w, c.f AS a, a.f AS l, b.f AS r, 1000000 * c.f * c.f // (a.f * b.f) AS score,
+    row_number() OVER (PARTITION BY c.lang, c.w ORDER BY 1000000 * c.f * c.f // (a.f * b.f), k) AS cut
+  FROM c, unnest(range(1, len(c.w))) AS u(k)
+  JOIN g a ON a.lang = c.lang AND a.w = c.w[1 : k] JOIN g b ON b.lang = c.lang AND b.w = c.w[k + 1 :]),
+h AS (
+  SELECT lang, w, max(f) AS f FROM (
+    SELECT lang, w[1:2] AS w, f FROM c WHERE len(w) = 3 UNION ALL SELECT lang, w[2:3], f FROM c WHERE len(w) = 3) GROUP BY lang, w),
+k AS (SELECT s.* FROM s LEFT JOIN h ON h.lang = s.lang AND h.w = s.w WHERE cut = 1 AND (h.f IS NULL OR 100 * h.f < 50 * a)),
+z AS (SELECT *, array_to_string(w, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) AS rank FROM k)
+SELECT z.lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n.n, score::BIGINT AS score FROM z JOIN n USING (lang) WHERE rank <= {top}"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filters": _sql_op1(),
@@ -230,4 +292,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc": _sql_op5(),
         "op6_chat": _sql_op6(),
         "op8_secrets": _sql_op8(),
+        "op12_filter_audit": _sql_op12(),
+        "op13_collocations": _sql_op13(),
     }
