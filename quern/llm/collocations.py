@@ -175,14 +175,20 @@ def _counted(batches: Iterator[pa.RecordBatch], longest: int, least: int) -> Ite
         yield out(last, np.array([total]))
 
 
-def _with_numbers(batches: Iterator[Columns]) -> Iterator[list[tuple]]:
+def _with_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Codes of blocks as dictionary numbers, 0 for other words and breaks."""
     for batch in batches:
-        for lang, codes, told in zip(batch["lang"], batch["codes"], batch["told"], strict=True):
-            flat = np.frombuffer(codes, np.uint32)
-            table = np.zeros((int(flat[flat != BREAK].max()) if (flat != BREAK).any() else 0) + 2, np.uint32)
-            table[[t["at"] for t in told]] = [t["id"] for t in told]
-            yield [(lang, table[np.minimum(flat, len(table) - 1)].tobytes())]
+        told = batch.column("told")
+        ends, pairs = told.offsets.to_numpy() - told.offsets[0].as_py(), told.flatten()
+        at, ids = (pairs.field(i).to_numpy().astype(np.uint32) for i in (0, 1))
+        made = []
+        for i, codes in enumerate(batch.column("codes")):
+            flat = np.frombuffer(codes.as_py(), np.uint32)
+            own = slice(ends[i], ends[i + 1])
+            table = np.zeros(int(at[own].max()) + 2, np.uint32)
+            table[at[own]] = ids[own]
+            made.append(table[np.minimum(flat, len(table) - 1)].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["ids"])
 
 
 def _shifted(key: Column, words: int, width: int) -> Column:
@@ -267,11 +273,11 @@ def collocations(docs: DataFrame, least: int = 10, longest: int = 3, top: int =
     busy = common_keys(known, ["lang", "word"], "blocks", held)
     told = dealt_join(rows, told, [("lang", "_l"), ("word", "_w")], busy, ["block"]).select("block", "at", "id")
     told = told.groupBy(F.col("block").alias("_block")).agg(F.collect_list(F.struct("at", "id")).alias("told"))
-    coded = blocks.select("block", "lang", "codes").join(told, F.col("block") == F.col("_block")).select("lang", "codes", "told")
-    runs = scratch.save(map_rows(coded, _with_numbers, "lang string, ids binary"), "runs")
+    coded = blocks.select("block", "codes").join(told, F.col("block") == F.col("_block")).select("codes", "told")
+    runs = scratch.save(coded.mapInArrow(_with_numbers, "ids binary"), "runs")
     scratch.drop("blocks", "often")
 
-    grams = runs.select("ids").mapInArrow(lambda it: _grams(it, longest), "key binary, n long")
+    grams = runs.mapInArrow(lambda it: _grams(it, longest), "key binary, n long")
     dealt = grams.repartitionByRange("key").sortWithinPartitions("key")
     found = scratch.save(dealt.mapInArrow(lambda it: _counted(it, longest, least), "key binary, size int, n long"), "found")
     scratch.drop("runs")
