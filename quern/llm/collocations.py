@@ -6,10 +6,13 @@
 2. Words that occur often enough get numbers from 1 (the dictionary). They come back to
    the blocks by a join; all other words, and the ends of pieces, become 0. A phrase
    that holds a rarer word is rarer than asked for, so nothing is lost by breaking there.
-3. Each task packs its n-grams of numbers into keys of fixed width (big-endian, 4 bytes
-   a word, shorter ones filled up with zeros), sorts them by 16-bit digits and counts
-   runs. Keys then are range-partitioned, sorted and run-length counted as they stream
-   by; a phrase that very many rows hold is one row from each task.
+3. Each task packs its n-grams of numbers into keys of fixed width (4 bytes a word,
+   shorter ones filled up with zeros), sorts them by 16-bit digits and counts runs, so a
+   phrase that very many rows hold is one key from each task. Sorted keys are cut at the
+   borders of ranges of first words. The words' counts tell where these lie, so that no
+   range starts more than ``RANGE`` times; a word that alone starts more is dealt out by
+   a hash of the words after it. The pieces of a range meet in one place, are sorted by
+   digits again, and run lengths are the counts.
 4. Counts of the parts of each cut are joined to the candidates.
 """
 
@@ -25,21 +28,23 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.near_dedup import mixed
 from quern.llm.rows import Columns, map_rows
 from quern.llm.skew import common_in, common_keys, dealt_join
-from quern.operators.windows import with_ordinal
+from quern.operators.windows import starts, with_ordinal
 from quern.storage import Scratch
 
 #: A block ends after so many codes, at the end of a piece.
 BLOCK_CODES = 1 << 18
 #: Blocks that a task has open at a time, one for each language.
 OPEN_BLOCKS = 16
-#: N-grams that a task sorts together, about.
-SORTED_AT_ONCE = 1 << 21
+#: N-grams that a task sorts together, about, and occurrences of first words in a range.
+SORTED_AT_ONCE, RANGE = 1 << 21, 1 << 20
 BREAK = 0xFFFFFFFF
 #: Ends of pieces become line ends, A-Z small letters.
 _PLAIN = bytes.maketrans(b".,;:!?\x0b\x0c\r" + bytes(range(65, 91)), b"\n" * 9 + bytes(range(97, 123)))
 NO_LANG = "und"
+_P = np.uint64(0x9E3779B97F4A7C15)
 
 BLOCKS = "block long, lang string, codes binary, words array<string>, counts array<int>"
 
@@ -52,7 +57,8 @@ def pieces(text: str | None) -> Iterator[list[bytes]]:
             yield words
 
 
-def _blocks(batches: Iterator[Columns]) -> Iterator[list[tuple]]:
+def _blocks(batches: Iterator[Columns], most: int) -> Iterator[list[tuple]]:
+    """Blocks of ``most`` codes, up to the end of the piece."""
     base, made = TaskContext.get().partitionId() << 33, 0
     open_: dict[str, tuple[defaultdict, array]] = {}
 
@@ -77,7 +83,7 @@ def _blocks(batches: Iterator[Columns]) -> Iterator[list[tuple]]:
                 index, codes = open_[lang]
                 codes.extend([index[w] for w in words])
                 codes.append(BREAK)
-                if len(codes) >= BLOCK_CODES:
+                if len(codes) >= most:
                     yield [close(lang)]
     for lang in [*open_]:
         yield [close(lang)]
@@ -98,19 +104,15 @@ def packed(ids: np.ndarray, longest: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, longest), np.uint32)
 
 
-def counted_runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows in order, and how often each occurs: a radix sort by 16-bit digits, last first."""
+def counted_runs(rows: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows in order, and the sums of their counts (1 each without ``n``): a radix sort by 16-bit digits, last first."""
     order = np.arange(len(rows))
     for i in reversed(range(rows.shape[1])):
         for shift in (0, 16):
             digit = (rows[:, i] >> np.uint32(shift)).astype(np.uint16)
             if digit.any():
                 order = order[np.argsort(digit[order], kind="stable")]
-    return _runs(rows[order], np.ones(len(rows), np.int64))
-
-
-def _runs(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted rows without repeats, with the sums of their counts."""
+    rows, n = rows[order], np.ones(len(rows), np.int64) if n is None else n[order]
     if not len(rows):
         return rows, n
     begins = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
@@ -125,70 +127,80 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
-def _numbers(keys: pa.Array, longest: int) -> np.ndarray:
-    offsets = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1]
-    data = np.frombuffer(keys.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(keys) else np.zeros(0, np.uint8)
-    return data.view(">u4").astype(np.uint32).reshape(-1, longest)
+def _way(rows: np.ndarray, ways: np.ndarray) -> np.ndarray:
+    """Where the words after the first send a key of a word that is dealt over so many ways."""
+    h = np.zeros(len(rows), np.uint64)
+    for i in range(1, rows.shape[1]):
+        h = mixed(h * _P + rows[:, i])
+    return (h % ways.astype(np.uint64)).astype(np.int64)
+
+
+#: A sorted piece of a range: distinct keys and their counts.
+PIECES = "part long, way long, keys binary, counts binary"
 
 
-def _grams(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
-    """key, n of the n-grams of runs (``ids``), counted over ``SORTED_AT_ONCE`` of them."""
-    held, size = [], 0
+def _pieces(batches: Iterator[pa.RecordBatch], longest: int, at_once: int) -> Iterator[pa.RecordBatch]:
+    """``PIECES`` of the n-grams of blocks (codes, and ``told``: place in the block's list, number, range and ways)."""
+    held, size, places = [], 0, []
+    names = [f.split()[0] for f in PIECES.split(", ")]
 
-    def flush() -> Iterator[pa.RecordBatch]:
+    def flush() -> pa.RecordBatch:
         rows, n = counted_runs(np.concatenate(held))
-        for at in range(0, len(rows), 1 << 16):
-            part = slice(at, at + (1 << 16))
-            yield pa.RecordBatch.from_arrays([_binary(rows[part]), pa.array(n[part], pa.int64())], names=["key", "n"])
+        words = np.concatenate(places, axis=1)
+        _, first = np.unique(words[0], return_index=True)
+        words = words[:, first]
+        at = np.searchsorted(words[0], rows[:, 0])
+        part, ways = words[1][at], words[2][at]
+        way = np.zeros(len(rows), np.int64)
+        hot = ways > 1
+        way[hot] = _way(rows[hot], ways[hot])
+        order = np.lexsort((way, part))
+        rows, n, part, way = rows[order], n[order].astype(np.uint32), part[order], way[order]
+        begins = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (way[1:] != way[:-1])]))
+        cut = [*zip(begins.tolist(), [*begins[1:].tolist(), len(rows)], strict=True)]
+        columns = part[begins], way[begins], [rows[a:b].tobytes() for a, b in cut], [n[a:b].tobytes() for a, b in cut]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=names)
 
     for batch in batches:
-        for ids in batch.column("ids"):
-            own = packed(np.frombuffer(ids.as_py(), "<u4"), longest)
-            held.append(own)
-            size += len(own)
-            if size >= SORTED_AT_ONCE:
-                yield from flush()
-                held, size = [], 0
+        told = batch.column("told")
+        ends = told.offsets.to_numpy() - told.offsets[0].as_py()
+        at, number, part, ways = (told.flatten().field(i).to_numpy().astype(np.int64) for i in range(4))
+        for i, codes in enumerate(batch.column("codes")):
+            flat = np.frombuffer(codes.as_py(), np.uint32)
+            own = slice(ends[i], ends[i + 1])
+            table = np.zeros(int(at[own].max()) + 2, np.uint32)
+            table[at[own]] = number[own]
+            found = packed(table[np.minimum(flat, len(table) - 1)], longest)
+            held.append(found)
+            places.append(np.array([number[own], part[own], ways[own]]))
+            size += len(found)
+            if size >= at_once:
+                yield flush()
+                held, size, places = [], 0, []
     if size:
-        yield from flush()
+        yield flush()
 
 
 def _counted(batches: Iterator[pa.RecordBatch], longest: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Sums of sorted (key, n) that reach ``least``, with the number of words; holds one key between batches."""
-    last, total = None, 0
+    """key, size, n of keys that occur ``least`` times, from ``PIECES`` in order of range and way; holds one range at a time."""
+    now, held = None, []
 
-    def out(rows: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    def close() -> pa.RecordBatch:
+        rows = np.concatenate([np.frombuffer(k, np.uint32) for k, _ in held]).reshape(-1, longest)
+        rows, n = counted_runs(rows, np.concatenate([np.frombuffer(c, np.uint32) for _, c in held]).astype(np.int64))
         often = n >= least
         rows, n = rows[often], n[often]
         return pa.RecordBatch.from_arrays([_binary(rows), pa.array((rows > 0).sum(axis=1), pa.int32()), pa.array(n, pa.int64())], names=["key", "size", "n"])
 
     for batch in batches:
-        rows, n = _numbers(batch.column("key"), longest), batch.column("n").to_numpy()
-        if not len(rows):
-            continue
-        if last is not None:
-            rows, n = np.concatenate([last, rows]), np.concatenate([[total], n])
-        rows, n = _runs(rows, n)
-        last, total = rows[-1:], int(n[-1])
-        yield out(rows[:-1], n[:-1])
-    if last is not None:
-        yield out(last, np.array([total]))
-
-
-def _with_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Codes of blocks as dictionary numbers, 0 for other words and breaks."""
-    for batch in batches:
-        told = batch.column("told")
-        ends, pairs = told.offsets.to_numpy() - told.offsets[0].as_py(), told.flatten()
-        at, ids = (pairs.field(i).to_numpy().astype(np.uint32) for i in (0, 1))
-        made = []
-        for i, codes in enumerate(batch.column("codes")):
-            flat = np.frombuffer(codes.as_py(), np.uint32)
-            own = slice(ends[i], ends[i + 1])
-            table = np.zeros(int(at[own].max()) + 2, np.uint32)
-            table[at[own]] = ids[own]
-            made.append(table[np.minimum(flat, len(table) - 1)].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["ids"])
+        for part, way, keys, counts in zip(*batch.columns, strict=True):
+            if (part, way) != now:
+                if held:
+                    yield close()
+                now, held = (part, way), []
+            held.append((keys.as_py(), counts.as_py()))
+    if held:
+        yield close()
 
 
 def _shifted(key: Column, words: int, width: int) -> Column:
@@ -256,31 +268,30 @@ def collocations(docs: DataFrame, least: int = 10, longest: int = 3, top: int =
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "collocations")
-    blocks = scratch.save(map_rows(docs.select("text", "lang"), _blocks, BLOCKS), "blocks")
+    most, at_once = BLOCK_CODES, SORTED_AT_ONCE
+    blocks = scratch.save(map_rows(docs.select("text", "lang"), lambda it: _blocks(it, most), BLOCKS), "blocks")
     words = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
     words = words.select("block", "lang", "at", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     often = words.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.count("*").alias("blocks")).where(F.col("n") >= least)
     totals = scratch.save(words.groupBy(F.col("lang").alias("_lang")).agg(F.sum("n").alias("total")), "totals")
     often = scratch.save(often, "often")
     known = with_ordinal(often.select("lang", "word", "n", "blocks"), [], ["lang", "word"], "id").withColumn("id", F.col("id") + 1)
-    known = scratch.save(known, "known")
+    known = starts(known, [], "id", "n", "before")
+    place = (F.col("before") / RANGE).cast("long").alias("part"), F.ceil(F.col("n") / RANGE).alias("ways")
+    known = scratch.save(known.select("lang", "word", "n", "blocks", "id", *place), "known")
     if known.count() >= 1 << 32:
         raise ValueError("more than 2^32 words: ask for more occurrences")
 
     rows = words.select("block", "lang", "at", "word")
     held = known.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
-    told = known.select(F.col("lang").alias("_l"), F.col("word").alias("_w"), "id")
+    told = known.select(F.col("lang").alias("_l"), F.col("word").alias("_w"), "id", "part", "ways")
     busy = common_keys(known, ["lang", "word"], "blocks", held)
-    told = dealt_join(rows, told, [("lang", "_l"), ("word", "_w")], busy, ["block"]).select("block", "at", "id")
-    told = told.groupBy(F.col("block").alias("_block")).agg(F.collect_list(F.struct("at", "id")).alias("told"))
+    told = dealt_join(rows, told, [("lang", "_l"), ("word", "_w")], busy, ["block"]).select("block", "at", "id", "part", "ways")
+    told = told.groupBy(F.col("block").alias("_block")).agg(F.collect_list(F.struct("at", "id", "part", "ways")).alias("told"))
     coded = blocks.select("block", "codes").join(told, F.col("block") == F.col("_block")).select("codes", "told")
-    runs = scratch.save(coded.mapInArrow(_with_numbers, "ids binary"), "runs")
+    made = coded.mapInArrow(lambda it: _pieces(it, longest, at_once), PIECES).repartition("part", "way").sortWithinPartitions("part", "way")
+    found = scratch.save(made.mapInArrow(lambda it: _counted(it, longest, least), "key binary, size int, n long"), "found")
     scratch.drop("blocks", "often")
-
-    grams = runs.mapInArrow(lambda it: _grams(it, longest), "key binary, n long")
-    dealt = grams.repartitionByRange("key").sortWithinPartitions("key")
-    found = scratch.save(dealt.mapInArrow(lambda it: _counted(it, longest, least), "key binary, size int, n long"), "found")
-    scratch.drop("runs")
     number = F.unhex(F.lpad(F.hex("id"), 8, "0"))
     single = known.select(F.concat(number, F.lit(bytearray(4 * (longest - 1)))).alias("key"), "n")
     counts = found.select("key", "n").unionByName(single)

@@ -62,6 +62,7 @@ def test_small_blocks_and_sorts(spark, monkeypatch):
     monkeypatch.setattr(C, "BLOCK_CODES", 50)
     monkeypatch.setattr(C, "OPEN_BLOCKS", 1)
     monkeypatch.setattr(C, "SORTED_AT_ONCE", 40)
+    monkeypatch.setattr(C, "RANGE", 100)
     monkeypatch.setattr("quern.llm.skew.FLOOR", 5)
     monkeypatch.setattr("quern.llm.skew.KEYS", 10)
     assert found(spark.createDataFrame(rows, "text string, lang string"), top=15) == want
