@@ -39,6 +39,8 @@ WINDOW, CUT_BITS = 16, 9
 LEAST_CHUNK, MOST_CHUNK = 128, 8192
 #: A piece this near to the end of what was seen may still change with what follows.
 LOOKAHEAD = 4
+#: White space of so many code points is split off here: the rank encoder's own pattern runs out of stack on longer runs.
+LONG_SPACE = 50_000
 #: Marks the digest of a whole text among those of chunks.
 _COPY = "\x00whole\x00"
 _REMEMBERED = 100_000
@@ -49,6 +51,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The white space that the pattern means; other libraries add U+001C to U+001F.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECE = regex.compile(PATTERN.replace(r"[^\s", f"[^{_SPACE}").replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]"))
+_LONG = regex.compile(f"[{_SPACE}]{{{LONG_SPACE}}}")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,7 +94,13 @@ class Tokenizer:
         return [(x, self.special.get(x)) for x in self._split.split(text) if x]
 
     def encode_plain(self, text: str) -> list[int]:
-        return self._bpe.encode_ordinary(text)
+        if len(text) < LONG_SPACE or not _LONG.search(text):
+            return self._bpe.encode_ordinary(text)
+        return [i for m in _PIECE.finditer(text) for i in self.encode_piece(m[0])]
+
+    def encode_piece(self, piece: str) -> list[int]:
+        """Ids of what the pattern takes as one piece."""
+        return self._bpe._encode_single_piece(piece.encode()) if len(piece) >= LONG_SPACE else self._bpe.encode_ordinary(piece)
 
     def encode(self, text: str) -> np.ndarray:
         out: list[int] = []
@@ -106,7 +115,7 @@ class Tokenizer:
         """Piece ends in the text, their token counts, and all ids."""
         ends, counts, ids = [], [], []
         for m in _PIECE.finditer(text):
-            own = self.encode_plain(m[0])
+            own = self.encode_piece(m[0])
             ends.append(m.end())
             counts.append(len(own))
             ids += own
@@ -140,12 +149,25 @@ def chunks(text: str) -> list[str]:
     return [text[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
 
 
+def put_together(tok: Tokenizer, parts: list[tuple[str, tuple]]) -> list[tuple[str, tuple]]:
+    """``parts`` with those that follow each other and are one piece each as one text: the joints of a very long run would each encode all before."""
+    out, i = [], 0
+    while i < len(parts):
+        j = i + 1
+        while j < len(parts) and len(parts[j - 1][1][0]) == len(parts[j][1][0]) == 1:
+            j += 1
+        text = "".join(p[0] for p in parts[i:j])
+        out.append(parts[i] if j == i + 1 else (text, tok.pieces(text)))
+        i = j
+    return out
+
+
 def join_chunks(tok: Tokenizer, parts: list[tuple[str, tuple]]) -> np.ndarray:
     """Ids of the texts in a row, from each one's ``pieces``; exact at the joints."""
     done: list[np.ndarray] = []  # settled ids
     tail, tail_ids, tail_ends, tail_counts = "", np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
     # The tail is text that begins at a settled boundary, with its own pieces.
-    for text, (ends, counts, ids) in parts:
+    for text, (ends, counts, ids) in put_together(tok, parts):
         if not tail:
             tail, tail_ends, tail_counts, tail_ids = text, ends, counts, ids
             continue
@@ -246,7 +268,7 @@ def _row(tok: Tokenizer, ids: np.ndarray, keep_ids: bool) -> tuple:
 _AWAY = "key binary, fresh boolean, starts array<int>, digests array<binary>, chunks array<string>"
 
 
-def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, keep_text: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, keep_text: bool = True, in_order: bool = False) -> DataFrame:
     """All columns of ``docs`` plus n_tokens, ids_sha256, decoded_sha256 and ids (little-endian uint32).
 
     Equals the tokenizers library's ``encode(text, add_special_tokens=False)``:
@@ -254,7 +276,15 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, keep_tex
     tokens). Results depend on the text alone, so repeated rows repeat them. Columns
     already called like a result are replaced. Without ``keep_ids`` the ids are null;
     without ``keep_text`` the result has no text. An empty table gives an empty result.
+    Texts of any length and make-up are encoded, also very long runs of white space.
+
+    Copies of a text are encoded together, so the rows come in no order of ``docs``;
+    ``in_order`` brings them back into it: partitions in order, rows in each as read.
     """
+    if in_order:
+        place = next(f"_place{i}" for i in range(len(docs.columns) + 1) if f"_place{i}" not in docs.columns)
+        done = encode_documents(docs.withColumn(place, F.monotonically_increasing_id()), path, keep_ids, keep_text)
+        return done.repartitionByRange(place).sortWithinPartitions(place).drop(place)
     spark = docs.sparkSession
     scratch = Scratch(spark, "bpe")
     results = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"]
@@ -350,7 +380,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, keep_tex
     common = common_in(mentions, ["digest"], mentions.count())
     known = dealt_join(mentions, table.withColumnRenamed("digest", "_digest"), [("digest", "_digest")], common, ["key", "seq"])
 
-    def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def by_key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows of a key: its text (seq -1, once from each task that saw it), then its shared chunks by start."""
         tok, now, text, known = Tokenizer.of(path), None, "", {}
 
@@ -375,7 +405,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, keep_tex
     rows = fresh.select("key", F.lit(-1).alias("seq"), F.coalesce("text", F.lit("")).alias("text"), nothing.alias("ends"), nothing.alias("counts"), nothing.alias("ids"))
     rows = rows.unionByName(known.select("key", "seq", F.lit(None).cast("string").alias("text"), "ends", "counts", "ids"))
     rows = rows.repartition("key").sortWithinPartitions("key", "seq")
-    joined = scratch.save(rows.mapInPandas(put_together, f"key binary, {ENCODED}"), "joined")
+    joined = scratch.save(rows.mapInPandas(by_key, f"key binary, {ENCODED}"), "joined")
     scratch.drop("shared", "chunks", "mentions")
 
     back = [

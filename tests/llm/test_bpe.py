@@ -81,3 +81,35 @@ def test_common_passages_and_thousands_of_copies(spark, library, monkeypatch):
 def test_the_filter_grows_with_what_it_holds():
     assert bpe.filter_power(0) == bpe.FILTER_LEAST and bpe.filter_power(10**12) == bpe.FILTER_MOST
     assert 2 ** bpe.filter_power(100_000) >= bpe.FILTER_EACH * 100_000
+
+
+LONG = {
+    "spaces": " " * 2_000_000, "tabs": "\t" * 2_000_000, "lines": "\n" * 2_000_000, "wide": "\u2003" * 400_000,
+    "mixed": " \n\t" * 700_000, "letters": "a" * 300_000,
+}
+
+
+@pytest.mark.parametrize("kind", sorted(LONG))
+def test_long_runs_inside_and_at_both_ends(library, kind):
+    tok, run = bpe.Tokenizer.of(tokenizer_path()), LONG[kind]
+    for text in (run, run + "x", "x" + run, "some words" + run + "and 12 more <|endoftext|>" + run[:100_000] + "!"):
+        assert tok.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_long_runs_in_shared_chunks(spark, library):
+    texts = ["left " + LONG["spaces"] + "x", "other " * 30 + LONG["spaces"] + " y", "z" + LONG["lines"], "w" + LONG["lines"], LONG["mixed"] + "end", LONG["mixed"]]
+    rows = bpe.encode_documents(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), tokenizer_path(), keep_text=False).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == expected(library, texts[r["doc_id"]])
+
+
+def test_order_is_kept_on_request(spark, tmp_path):
+    rnd = random.Random(3)
+    texts = [f"text {i} " * 40 for i in range(20)]
+    rows = [(i, texts[rnd.randrange(20)], i) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, _place0 long").repartition(7).write.parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    before = [r["doc_id"] for r in docs.collect()]
+    done = bpe.encode_documents(docs, tokenizer_path(), in_order=True)
+    assert before != sorted(before) and [r["doc_id"] for r in done.collect()] == before and "_place0" in done.columns
