@@ -28,6 +28,8 @@ DATE = "2024-01-01T00:00:00Z"
 _CHUNKED = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "parts", "chunk", "part")
 #: Payloads of at least this many bytes are stored once.
 LEAST_BYTES = 1000
+#: Up to so many payloads that have copies, their digests are broadcast.
+BROADCAST_COPIES = 100_000
 END = "\r\n\r\n"
 
 
@@ -58,7 +60,10 @@ def plan_records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     total = first.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     common = common_keys(counts, ["payload_digest", "payload_bytes"], "_n", total)
     on = [("payload_digest", "_digest"), ("payload_bytes", "_bytes")]
-    joined = dealt_join(rows, first.drop("_n").hint("shuffle_hash"), on, common, ["page_id", "url"], "left")
+    if first.count() <= BROADCAST_COPIES:  # payloads stay where they are
+        joined = rows.join(F.broadcast(first.drop("_n")), (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes")), "left")
+    else:
+        joined = dealt_join(rows, first.drop("_n").hint("shuffle_hash"), on, common, ["page_id", "url"], "left")
     revisit = F.col("_keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_keeper"))
     return joined.select(
         "page_id",
@@ -84,13 +89,16 @@ def _record(kind: str, fields: list[tuple[str, object]], block: str) -> str:
 def chunked(records: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """``plan_records`` as rows (record, chunk from 0): ``part`` in place of ``payload``, and how many ``parts`` there are.
 
-    Chunks of a record follow each other within a partition. A revisit has one chunk, empty.
+    Chunks of a record follow each other within a partition. A revisit has one chunk,
+    empty. A long payload is cut in one pass from its start to its end.
     """
-    parts = F.greatest(F.ceil(F.length("payload") / chunk_chars), F.lit(1)).cast("int")
-    rows = records.withColumn("payload", F.when(F.col("record_type") == "response", F.col("payload")).otherwise("")).withColumn("parts", parts)
-    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    part = F.substring(F.col("payload"), F.col("chunk") * chunk_chars + 1, F.lit(chunk_chars))
-    return rows.select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "parts", "chunk", part.alias("part"))
+    payload = F.when(F.col("record_type") == "response", F.col("payload")).otherwise("")
+    # Bytes bound code points from above, so short payloads are not even counted.
+    short = (F.col("payload_bytes") <= chunk_chars) | (F.col("record_type") != "response")
+    cut = F.when(short, F.array(payload)).otherwise(F.regexp_extract_all(payload, F.lit(f"(?s).{{1,{chunk_chars}}}"), F.lit(0)))
+    rows = records.withColumn("_parts", cut).drop("payload")
+    rows = rows.select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", F.size("_parts").alias("parts"), F.posexplode("_parts").alias("chunk", "part"))
+    return rows.select(*_CHUNKED)
 
 
 _INFO = "software: chunked record tables\r\nformat: WARC File Format 1.1\r\n"
@@ -261,7 +269,11 @@ def read_chunks(spark: SparkSession, path: str, payloads: bool = True) -> DataFr
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives, of what its last chunk carries."""
+    """One row per record of the archives, of what its last chunk carries.
+
+    page_id and refers_to are null where the record names none; archives without
+    records give an empty result; repeated records are repeated.
+    """
     return read_chunks(spark, path, payloads=False).where("last").select(
         "page_id",
         F.col("running_bytes").alias("payload_bytes"),

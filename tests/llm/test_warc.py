@@ -63,3 +63,18 @@ def test_long_payloads_as_shipped(spark, tmp_path):
     first = sorted((r["chunk"], bytes(r["data"])) for r in rows if r["page_id"] == ids[0])
     assert b"".join(x for _, x in first).decode() == text
     assert "WARC-Type: warcinfo" in "\n".join(r["value"] for r in spark.read.text(path).collect())
+
+
+def test_copies_beyond_the_broadcast_bound(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    want = sorted(map(repr, warc.plan_records(pages).collect()))
+    monkeypatch.setattr(warc, "BROADCAST_COPIES", 0)
+    assert sorted(map(repr, warc.plan_records(pages).collect())) == want
+
+
+def test_chunks_are_cut_by_code_points(spark):
+    text = "é😀\u2028\x0b\x85\r\n" * 50
+    pages = spark.createDataFrame([(1, "u", text), (2, "u", "")], "page_id long, url string, html string")
+    rows = warc.chunked(warc.plan_records(pages), 13).orderBy("page_id", "chunk").collect()
+    assert [r["part"] for r in rows] == [text[i : i + 13] for i in range(0, len(text), 13)] + [""]
+    assert [r["parts"] for r in rows] == [-(-len(text) // 13)] * (len(rows) - 1) + [1]
