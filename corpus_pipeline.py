@@ -52,7 +52,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts become ``[SECRET:kind]``; n_chars follows where a text changes.
 
-    Null and empty texts, repeated rows and rows without an id stay as they are.
+    Null and empty texts, repeated rows and rows without an id stay as they are; very
+    long texts are searched whole. An empty table stays empty.
     """
     found = secrets.scan(docs.select(COLUMNS))
     done = found.withColumn("text", secrets.redact(F.col("text"), F.col("spans")))
@@ -63,14 +64,20 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every source weighs the same; documents repeat by their Poisson draw, in random order.
 
-    Null sources are a source; repeated rows and rows without an id draw one by one.
+    Null sources are a source; repeated rows and rows without an id draw one by one;
+    null, empty and very long texts count like others. An empty table stays empty.
     """
     return mixing.mix(docs.select(COLUMNS), seed=MIX_SEED).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every remaining row (little-endian uint32), with their digests; null texts have none."""
-    done = bpe.encode_documents(docs.select(COLUMNS), tokenizer_path(), keep_text=False)
+    """Token ids of every remaining row (little-endian uint32), with their digests, in the order of ``docs``.
+
+    Rows keep their places, so copies of a text stay apart as the mixture has dealt
+    them. Null texts have no tokens; repeated rows repeat their ids; an empty table
+    gives an empty result.
+    """
+    done = bpe.encode_documents(docs.select(COLUMNS), tokenizer_path(), keep_text=False, in_order=True)
     return done.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 
