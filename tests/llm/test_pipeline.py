@@ -66,3 +66,14 @@ def test_odd_rows_pass_through_every_stage(spark, odd, no_docs):
     once = corpus_pipeline.drop_near_duplicates(spark, odd, SF).collect()
     assert Counter(r["doc_id"] for r in once)[1] == 1 and 5 not in {r["doc_id"] for r in once} and None in {r["doc_id"] for r in once}
     assert secrets.RULES[0].kind in next(r["text"] for r in corpus_pipeline.redact_secrets(spark, odd, SF).collect() if r["doc_id"] == 7)
+
+
+def test_the_last_stage_keeps_the_mixed_order(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    corpus_pipeline.mix_sources(spark, docs, SF).write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    before = [r["doc_id"] for r in mixed.collect()]
+    after = [r["doc_id"] for r in corpus_pipeline.encode(spark, mixed, SF).collect()]
+    assert after == before and after != sorted(after)
+    together = sum(a == b for a, b in zip(after, after[1:]))  # noqa: B905
+    assert len(set(after)) < len(after) and together < 0.05 * len(after)
