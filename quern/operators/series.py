@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+
+from quern.operators import scans
 
 #: Fixed value: a metrics line of the training log.
 LOG_LINE = (
@@ -21,68 +19,25 @@ LOG_FORMAT = "Step %6d | LR=%.2e | CE=%.4f | PPL=%.2f | GGR-aux=%.4f | VRAM=%.2f
 LOG_FIELDS = ("step", "lr", "ce", "ppl", "aux", "vram", "vram_total", "tok_s", "delta")
 
 
-def folded(df: DataFrame, key: str, order: str, value: str, start: Callable, step: Callable, outputs: str) -> DataFrame:
-    """key, order, value, outputs: a recurrence ``step(state, value) -> (state, outputs)`` over each key's rows in order.
-
-    Rows are dealt by key, sorted (null orders first, equal ones by value), and streamed
-    with one state at a time, so a long series needs no more memory than a short one.
-    Keys and orders pass through as they are; null keys are a series. A key is one task,
-    because a step may depend on all steps before it.
-    """
-    rows = df.select(key, order, F.col(value).cast("double").alias(value))
-    made = StructType.fromDDL(outputs)
-    arrow = to_arrow_schema(made)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = object(), None
-        for batch in batches:
-            found = []
-            for k, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if k != now:
-                    now, state = k, start()
-                state, out = step(state, v)
-                found.append(out)
-            columns = zip(*found, strict=True) if found else [()] * len(arrow)
-            told = [pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *told], names=[key, order, value, *made.names])
-
-    dealt = rows.repartition(key).sortWithinPartitions(key, order, value)
-    return dealt.mapInArrow(run, StructType([*rows.schema, *made]))
-
-
-def gated_ema(df: DataFrame, key: str, order: str, value: str, alpha: float = 0.02, factor: float | None = 3.0) -> DataFrame:
+def gated_ema(df: DataFrame, key: str, order: str, value: str, alpha: float = 0.02, factor: float | None = 3.0, splits: int | None = None) -> DataFrame:
     """key, order, value, ema, rejected: the first value seeds; spikes over ``factor`` times the average leave it.
 
-    Null and NaN values are left out. Without ``factor`` nothing is rejected.
+    Null and NaN values are left out; null orders come first, equal ones go by value;
+    null keys are a series; repeated rows count again. Without ``factor`` nothing is
+    rejected. A key is cut over tasks and equals the step-by-step average to the last
+    bit: see ``scans.gated_states``.
     """
-    sound = df.where(F.col(value).isNotNull() & ~F.isnan(value))
-
-    def step(ema, v):
-        if ema == ():
-            return v, (v, 0)
-        if factor is not None and v > ema * factor:
-            return ema, (ema, 1)
-        ema = (1 - alpha) * ema + alpha * v
-        return ema, (ema, 0)
-
-    return folded(sound, key, order, value, tuple, step, "ema double, rejected int")
-
+    return scans.gated_ema(_sound(df, value), key, order, value, alpha, factor, splits)
 
-def linear_scan(df: DataFrame, key: str, order: str, value: str, decay: float) -> DataFrame:
-    """h = exp(decay) * h + value by key, from 0: the recurrence itself, without chunks.
 
-    A chunked evaluation with clamped logarithms would depend on the chunk size; this
-    one has no chunks, so it is the limit that small chunks approach.
-    """
-    import math
-
-    keep = math.exp(decay)
+def _sound(df: DataFrame, value: str) -> DataFrame:
+    return df.where(F.col(value).isNotNull() & ~F.isnan(value))
 
-    def step(h, v):
-        h = keep * h + v
-        return h, (h,)
 
-    return folded(df.where(F.col(value).isNotNull()), key, order, value, float, step, "h double")
+def linear_scan(df: DataFrame, key: str, order: str, value: str, decay: float, splits: int | None = None) -> DataFrame:
+    """key, order, value, h: h = exp(decay) * h + value by key, from 0. Null values are left out; see ``scans.affine_scan``."""
+    rows = df.where(F.col(value).isNotNull()).select(key, order, F.col(value).cast("double").alias(value))
+    return scans.affine_scan(rows, key, [order, value], F.lit(math.exp(decay)), F.col(value), splits=splits)
 
 
 def with_interval(df: DataFrame, step: str, every: int) -> DataFrame:
@@ -111,9 +66,12 @@ BARS = " ▁▂▃▄▅▆▇█"
 def levels(df: DataFrame, key: str, value: str) -> DataFrame:
     """``df`` plus level: where a value stands between its key's least (0) and largest (8); 0 for a flat series."""
     ends = df.groupBy(F.col(key).alias("_key")).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    return df.join(ends, F.col(key).eqNullSafe(F.col("_key"))).withColumn("level", _level(F.col(value))).drop("_key", "_low", "_high")
+
+
+def _level(value: Column) -> Column:
     span = F.when(F.col("_high") != F.col("_low"), F.col("_high") - F.col("_low")).otherwise(1.0)
-    level = ((F.col(value) - F.col("_low")) / span * (len(BARS) - 1)).cast("int")
-    return df.join(ends, F.col(key).eqNullSafe(F.col("_key"))).withColumn("level", level).drop("_key", "_low", "_high")
+    return ((value - F.col("_low")) / span * (len(BARS) - 1)).cast("int")
 
 
 def sparkline(df: DataFrame, key: str, order: str, value: str, width: int = 20) -> DataFrame:
@@ -121,10 +79,10 @@ def sparkline(df: DataFrame, key: str, order: str, value: str, width: int = 20)
 
     Null and NaN values are left out; a key without values has no line.
     """
-    rows = levels(df.where(F.col(value).isNotNull() & ~F.isnan(value)), key, value)
-    last = F.row_number().over(W.partitionBy(key).orderBy(F.col(order).desc(), F.col(value).desc()))
-    rows = rows.withColumn("_n", last).where(F.col("_n") <= width)
-    bars = F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("at"), F.substring(F.lit(BARS), F.col("level") + 1, F.lit(1)).alias("bar"))))
+    ends = _sound(df, value).groupBy(F.col(key).alias("_key")).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    last = scans.last_rows(_sound(df, value).select(key, order, value), key, [order, value], width)
+    rows = last.join(ends, F.col(key).eqNullSafe(F.col("_key"))).withColumn("level", _level(F.col(value)))
+    bars = F.array_sort(F.collect_list(F.struct((-F.col("_back")).alias("at"), F.substring(F.lit(BARS), F.col("level") + 1, F.lit(1)).alias("bar"))))
     return rows.groupBy(key).agg(F.rpad(F.array_join(F.transform(bars, lambda b: b["bar"]), ""), width, " ").alias("line"))
 
 
@@ -156,23 +114,26 @@ def log_summary(parsed: DataFrame) -> DataFrame:
     return row.select("*", change("ppl", -1), change("ce", -1), change("tok_s", 1), change("aux", -1))
 
 
-def rolling(df: DataFrame, key: str, order: str, value: str, n: int) -> DataFrame:
-    """Mean, least and largest of the last n rows of a key."""
-    frame = W.partitionBy(key).orderBy(order).rowsBetween(-(n - 1), 0)
-    return df.select(
-        key, order, F.avg(value).over(frame).alias("mean"), F.min(value).over(frame).alias("low"), F.max(value).over(frame).alias("high"), F.count(value).over(frame).alias("n")
+def rolling(df: DataFrame, key: str, order: str, value: str, n: int, block: int | None = None) -> DataFrame:
+    """Mean, least and largest of the last n rows of a key, which is cut into blocks (``scans.with_halo``)."""
+    rows, window = scans.with_halo(df.select(key, order, value), [key], order, n, block)
+    frame = window.rowsBetween(-(n - 1), 0)
+    told = rows.select(
+        key, order, F.avg(value).over(frame).alias("mean"), F.min(value).over(frame).alias("low"), F.max(value).over(frame).alias("high"), F.count(value).over(frame).alias("n"), "_halo"
     )
+    return told.where(~F.col("_halo")).drop("_halo")
 
 
-def baseline_delta(df: DataFrame, key: str, order: str, value: str, alpha: float = 0.02, factor: float = 3.0) -> DataFrame:
-    """key, order, value, ema (gated), baseline (ungated) and how far the first is below the second, in per cent."""
+def gaps(df: DataFrame, key: str, order: str, at: str, block: int | None = None) -> DataFrame:
+    """``df`` plus gap: how far ``at`` is beyond that of the key's row before; null for the first row."""
+    rows, window = scans.with_halo(df, [key], order, 2, block)
+    rows = rows.withColumn("gap", F.col(at) - F.lag(at).over(window))
+    return rows.where(~F.col("_halo")).select(*df.columns, "gap")
 
-    def step(state, v):
-        ema, base = state or (v, v)
-        if state:
-            ema = ema if v > ema * factor else (1 - alpha) * ema + alpha * v
-            base = (1 - alpha) * base + alpha * v
-        return (ema, base), (ema, base, (base - ema) / (base + 1e-8) * 100)
 
-    sound = df.where(F.col(value).isNotNull() & ~F.isnan(value))
-    return folded(sound, key, order, value, tuple, step, "ema double, baseline double, delta double")
+def baseline_delta(df: DataFrame, key: str, order: str, value: str, alpha: float = 0.02, factor: float = 3.0, splits: int | None = None) -> DataFrame:
+    """key, order, value, ema (gated), baseline (ungated) and how far the first is below the second, in per cent."""
+    rows = gated_ema(df, key, order, value, alpha, factor, splits).drop("rejected")
+    v = F.col(value)  # the first value as the state before it gives itself
+    rows = scans.affine_scan(rows, key, [order, value, "ema"], F.lit(1 - alpha), v * alpha, v, "baseline", splits)
+    return rows.withColumn("delta", (F.col("baseline") - F.col("ema")) / (F.col("baseline") + 1e-8) * 100)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from quern.functions import metrics as M
 from quern.operators import series
@@ -102,9 +101,8 @@ def ppl(spark, sf_dir):
 
 
 def throughput(spark, sf_dir):
-    at = F.unix_millis(F.col("ts").cast("timestamp"))
-    gap = at - F.lag(at).over(W.partitionBy("user_id").orderBy("event_id"))
-    rows = _events(spark, sf_dir).select("user_id", "event_id", F.coalesce(gap, F.lit(0)).cast("double").alias("ms"))
+    rows = _events(spark, sf_dir).select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    rows = series.gaps(rows, "user_id", "event_id", "at").select("user_id", "event_id", F.coalesce("gap", F.lit(0)).cast("double").alias("ms"))
     return rows.select("user_id", "event_id", r6(M.tokens_per_second(F.lit(float(TOKENS)), F.col("ms"))).alias("tok_s"))
 
 

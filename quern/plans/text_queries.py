@@ -341,15 +341,23 @@ def sample_mix(spark, sf_dir):
     return builder.source_mix(windows.reservoir_sample(base(spark, sf_dir).select("doc_id", F.col("grp").alias("source")), SAMPLE, SEED, "doc_id"))
 
 
+def _named(spark, sf_dir):
+    """Documents under names of catalogue sources, and one that is not in it."""
+    names = F.array(*(F.lit(x.name) for x in catalog.SOURCES), F.lit("elsewhere"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.element_at(names, (F.col("doc_id") % (len(catalog.SOURCES) + 1) + 1).cast("int")).alias("name"))
+
+
 def catalogue_lookup(spark, sf_dir):
     """Records by catalogue source, with its group and trust: names that are not in the catalogue have none."""
-    names = F.array(*(F.lit(x.name) for x in catalog.SOURCES), F.lit("elsewhere"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.element_at(names, (F.col("doc_id") % (len(catalog.SOURCES) + 1) + 1).cast("int")).alias("name"))
-    return catalog.with_catalogue(rows).groupBy("name", "group", "trust").agg(F.count("*").alias("n"))
+    return catalog.with_catalogue(_named(spark, sf_dir)).groupBy("name", "group", "trust").agg(F.count("*").alias("n"))
 
 
 def catalogue_streams(spark, sf_dir):
-    return catalog.streams(catalog.frame(spark))
+    """How many documents each stream feeds, through all sources that read it, and the first of these."""
+    listed = catalog.frame(spark)
+    own = F.broadcast(listed.select(F.col("name").alias("_name"), F.col("stream").alias("_stream")))
+    read = _named(spark, sf_dir).join(own, F.col("name") == F.col("_name")).groupBy("_stream").agg(F.count("*").alias("n"))
+    return catalog.streams(listed).join(read, F.col("stream") == F.col("_stream")).select("ord", "name", "stream", "n")
 
 
 def skip_take(spark, sf_dir):
@@ -636,8 +644,9 @@ SELECT source, count(*)::BIGINT AS n FROM s GROUP BY source""",
         "catalogue_lookup": f"""WITH c(i, name, "group", trust) AS (VALUES {listed}),
 d AS (SELECT doc_id % {len(catalog.SOURCES) + 1} AS i FROM documents)
 SELECT coalesce(name, 'elsewhere') AS name, "group", trust, count(*)::BIGINT AS n FROM d LEFT JOIN c USING (i) GROUP BY ALL""",
-        "catalogue_streams": f"""WITH c(ord, name, stream) AS (VALUES {sources})
-SELECT min(ord)::INT AS ord, arg_min(name, ord) AS name, stream FROM c GROUP BY stream""",
+        "catalogue_streams": f"""WITH c(ord, name, stream) AS (VALUES {sources}),
+d AS (SELECT doc_id % {len(catalog.SOURCES) + 1} AS ord, count(*) AS n FROM documents GROUP BY 1)
+SELECT min(ord)::INT AS ord, arg_min(name, ord) AS name, stream, sum(n)::BIGINT AS n FROM c JOIN d USING (ord) GROUP BY stream""",
         "reservoir_sample": f"""WITH {_BASE} SELECT doc_id, grp FROM b ORDER BY md5('{SEED}:' || doc_id), doc_id LIMIT {SAMPLE}""",
         "token_windows": f'WITH {_WIN} SELECT doc_id, win AS "window", {_ids("input_ids")} AS ids, {_ids("labels")} AS labels FROM w',
         "repack": f"""WITH {_WIN}, z AS (SELECT trust_score AS trust, input_ids AS c, (row_number() OVER (ORDER BY doc_id, win) - 1) * {LENGTH} AS s FROM w),

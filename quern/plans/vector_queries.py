@@ -1,4 +1,4 @@
-"""Registered queries over ``embeddings``, and over positions alone."""
+"""Registered queries over ``embeddings``."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import vectors as V
 from quern.operators import attention as A
+from quern.operators import scans
 from quern.plans.metric_queries import r6
 from quern.plans.text_queries import table
 from quern.sources import checkpoints
@@ -16,10 +17,9 @@ EXPERTS, TOP = 4, 2
 #: Fixed value: slots of the memory.
 SLOTS = 8_192
 GATE = 0.5
-SEQUENCE, WINDOW, STRIDE, ALPHA = 32, 8, 8, 0.5
+SEQUENCE, WINDOW, STRIDE, LONG_STRIDE, ALPHA = 32, 8, 8, 16, 0.5
 FILTER = (0.1, 0.2, 0.3, 0.4)
 THRESHOLDS = (-0.5, 0.5, 1.5)
-ONE = F.lit
 
 
 def _vectors(spark, sf_dir) -> DataFrame:
@@ -138,6 +138,20 @@ def causal_conv(spark, sf_dir):
     return _spread(A.causal_conv(_sequences(spark, sf_dir), FILTER), "seq", "t", column="v")
 
 
+def chunked_scan(spark, sf_dir):
+    """The recurrence over vectors in chunks, with decays by the vectors' own size."""
+    rows = _sequences(spark, sf_dir)
+    log_decay = F.transform("v", lambda x: -F.abs(x) * 3)
+    return _spread(scans.chunked_scan(rows, "seq", "t", log_decay, V.scaled(F.col("v"), F.lit(2.0)), STRIDE), "seq", "t", column="h")
+
+
+def vector_scan(spark, sf_dir):
+    """The recurrence over vectors itself, a decay for each component."""
+    rows = _sequences(spark, sf_dir)
+    decay = F.transform("v", lambda x: F.exp(-F.abs(x)))
+    return _spread(scans.affine_scan(rows, "seq", ["t"], decay, F.col("v")), "seq", "t", column="h")
+
+
 def activations(spark, sf_dir):
     rows = _vectors(spark, sf_dir).select("vec_id", F.posexplode("v").alias("pos", "x"))
     x = F.col("x") * 10
@@ -178,9 +192,8 @@ def halting(spark, sf_dir):
 
 
 def scale_blend(spark, sf_dir):
-    """Three scales of the same rows, blended by the softmax of their log weights."""
-    parts = [F.col("v"), F.transform("v", lambda x: x * x), F.transform("v", lambda x: F.abs(x))]
-    return _mapped(spark, sf_dir, A.blended(parts))
+    """Attention to rows, sentences and blocks of each sequence, blended by the softmax of their log weights."""
+    return _spread(A.scale_blend(_sequences(spark, sf_dir), WINDOW, (STRIDE, LONG_STRIDE), ALPHA, DIM), "seq", "t")
 
 
 def soft_merge(spark, sf_dir):
@@ -219,26 +232,27 @@ def state_load(spark, sf_dir):
 
 
 def window_mask(spark, sf_dir):
-    return A.window_mask(spark, SEQUENCE, WINDOW)
+    return A.window_mask(_sequences(spark, sf_dir), WINDOW)
 
 
 def decay_bias(spark, sf_dir):
-    return A.decay_bias(spark, SEQUENCE, ALPHA).select("i", "j", r6(F.col("bias")).alias("bias"))
+    return A.decay_bias(_sequences(spark, sf_dir), ALPHA).select("seq", "i", "j", r6(F.col("bias")).alias("bias"))
 
 
 def segment_bias(spark, sf_dir):
-    return A.segment_bias(spark, SEQUENCE, STRIDE, ALPHA).select("i", "j", r6(F.col("bias")).alias("bias"))
+    return A.segment_bias(_sequences(spark, sf_dir), STRIDE, ALPHA).select("seq", "i", "j", r6(F.col("bias")).alias("bias"))
 
 
 def context_efficiency(spark, sf_dir):
-    logs = F.array(*(F.log(F.lit(x)) for x in (0.5, 0.3, 0.2)))
-    return spark.range(1).select(r6(V.let(V.softmax(logs), lambda s: s[1] + s[2])).alias("share"))
+    """What the softmax of a row's three log weights (its first components) leaves to the scales beyond the first."""
+    weights = V.softmax(_logits(1, 3))
+    return _vectors(spark, sf_dir).select("vec_id", r6(V.let(weights, lambda s: s[1] + s[2])).alias("share"))
 
 
 NAMES = [
     "vec_norm", "project_ball", "exp_map", "log_map", "mobius_add", "geodesic", "gravity_route", "softmax",
     "entropy_probe", "entropy_nats", "rms_norm", "layer_norm", "memory_read", "window_attention", "causal_pool",
-    "causal_conv", "activations", "conformal_factor", "topk_gates", "expert_load", "load_balance", "gsi", "halting",
+    "causal_conv", "chunked_scan", "vector_scan", "activations", "conformal_factor", "topk_gates", "expert_load", "load_balance", "gsi", "halting",
     "window_mask", "decay_bias", "segment_bias", "context_efficiency", "scale_blend", "soft_merge", "prepend_strip", "load_share",
     "shadow_merge", "state_load",
 ]
@@ -275,8 +289,8 @@ g AS (SELECT vec_id, i, x / sum(x) OVER (PARTITION BY vec_id) AS g FROM l)"""
 
 _ATANH = "2 * atanh(least({n}, 1 - 1e-5::DOUBLE))"
 _SEQ = f"{_E}, s AS (SELECT vec_id // {SEQUENCE} AS seq, vec_id % {SEQUENCE} AS t, i, x FROM e)"
-_GRID = "SELECT a.i::BIGINT AS i, b.j::BIGINT AS j"
-_RANGE = f"(SELECT unnest(range({SEQUENCE})) AS i) a, (SELECT unnest(range({{n}})) AS j) b"
+_GRID = f"""q AS (SELECT DISTINCT vec_id // {SEQUENCE} AS seq, vec_id % {SEQUENCE} AS t FROM embeddings),
+g AS (SELECT a.seq, a.t AS i, b.t AS j FROM q a JOIN q b ON b.seq = a.seq)"""
 _TOP = f"""r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY g DESC, i) AS rn FROM g),
 k AS (SELECT vec_id, i, CASE WHEN rn <= {TOP} THEN g ELSE 0 END AS g, rn FROM r)"""
 
@@ -304,6 +318,27 @@ h{n} AS (SELECT vec_id, -sum(exp(x) / s * ln(exp(x) / s)) AS h FROM (SELECT vec_
 SELECT round(({fractions}) / {last}, 6) AS ponder, round((SELECT avg(halted::INT) FROM c{last}), 6) AS halted"""
 
 
+def _blend() -> str:
+    """Scores against rows in reach, and against the zero slot and the means of full segments before the own one."""
+    scales = [f"""k0 AS (SELECT q.seq, q.t, k.t AS j, k.i, k.x, 0.0::DOUBLE AS bias FROM (SELECT DISTINCT seq, t FROM s) q
+  JOIN s k ON k.seq = q.seq AND q.t - k.t BETWEEN 0 AND {WINDOW - 1})"""]
+    for n, stride in enumerate((STRIDE, LONG_STRIDE), 1):
+        scales.append(f"""p{n} AS (
+  SELECT s.seq, t // {stride} + 1 AS j, i, avg(x) AS x FROM s JOIN n USING (seq) WHERE n > {stride} AND t // {stride} < n // {stride} - 1 GROUP BY ALL
+  UNION ALL SELECT DISTINCT seq, 0, i, 0.0 FROM s),
+k{n} AS (SELECT q.seq, q.t, j, i, x, -ln(1 + {ALPHA}::DOUBLE * (q.t // {stride} - j)) AS bias FROM (SELECT DISTINCT seq, t FROM s) q
+  JOIN p{n} k ON k.seq = q.seq AND j <= q.t // {stride})""")
+    for n in range(3):
+        scales.append(f"""c{n} AS (SELECT k.seq, k.t, j, exp(sum(s.x * k.x) / sqrt({DIM}.0::DOUBLE) + any_value(bias)) AS c
+  FROM k{n} k JOIN s ON s.seq = k.seq AND s.t = k.t AND s.i = k.i GROUP BY ALL),
+o{n} AS (SELECT seq, t, i, sum(c * x) / sum(c) AS r FROM c{n} JOIN k{n} USING (seq, t, j) GROUP BY ALL)""")
+    return f"""WITH {_E}, r AS (SELECT vec_id, i, x / sqrt(avg(x * x) OVER (PARTITION BY vec_id) + 1e-6::DOUBLE) AS x FROM e),
+s AS (SELECT vec_id // {SEQUENCE} AS seq, vec_id % {SEQUENCE} AS t, i, x FROM r), n AS (SELECT seq, count(DISTINCT t) AS n FROM s GROUP BY seq),
+{", ".join(scales)}
+SELECT seq, t, i, round(0.5::DOUBLE * o0.r + 0.3::DOUBLE * o1.r + 0.2::DOUBLE * o2.r, 6) + 0.0 AS value
+FROM o0 JOIN o1 USING (seq, t, i) JOIN o2 USING (seq, t, i)"""
+
+
 def oracle_sql() -> dict[str, str]:
     norm = "sqrt(sum(x * x) OVER (PARTITION BY vec_id))"
     loads = f"WITH {_E}, {_logit(1, EXPERTS)}, ld AS (SELECT i - 1 AS expert, avg(g) AS load FROM g GROUP BY i)"
@@ -346,6 +381,22 @@ f AS (SELECT seq, unnest(range(1, {DIM + 1})) AS i FROM n)
 SELECT seq, slot + 1 AS slot, i, round(v, 6) + 0.0 AS value FROM m UNION ALL SELECT seq, 0, i::INT, 0.0 FROM f""",
         "causal_conv": f"""WITH {_SEQ}, w(lag, w) AS (VALUES {", ".join(f"({n}, {x}::DOUBLE)" for n, x in enumerate(reversed(FILTER)))})
 SELECT a.seq, a.t, a.i, round(sum(b.x * w), 6) + 0.0 AS value FROM s a JOIN w ON TRUE JOIN s b ON b.seq = a.seq AND b.i = a.i AND b.t = a.t - lag GROUP BY ALL""",
+        "chunked_scan": f"""WITH RECURSIVE {_SEQ},
+k AS (SELECT *, t // {STRIDE} AS c, sum(-abs(x) * 3) OVER (PARTITION BY seq, t // {STRIDE}, i ORDER BY t) AS l FROM s),
+f AS (SELECT *, exp(l) * sum(2 * x * exp(least(-l, 30.0::DOUBLE))) OVER (PARTITION BY seq, c, i ORDER BY t) AS f FROM k),
+m AS (SELECT seq, c, t, list(exp(l) ORDER BY i) AS p, list(f ORDER BY i) AS f FROM f GROUP BY ALL),
+z AS (SELECT seq, c, arg_max(p, t) AS p, arg_max(f, t) AS f FROM m GROUP BY seq, c),
+b AS (
+  SELECT DISTINCT seq, 0::BIGINT AS c, list_resize([0.0::DOUBLE], {DIM}, 0.0::DOUBLE) AS h FROM m
+  UNION ALL
+  SELECT seq, c, list_transform(h, lambda x: x / greatest(sqrt(list_sum(list_transform(h, lambda y: y * y))), 1.0)) FROM (
+    SELECT b.seq, b.c + 1 AS c, list_transform(range(1, {DIM + 1}), lambda i: z.p[i] * b.h[i] + z.f[i]) AS h FROM b JOIN z ON z.seq = b.seq AND z.c = b.c)),
+g AS (SELECT m.seq, m.t, list_transform(range(1, {DIM + 1}), lambda i: m.p[i] * b.h[i] + m.f[i]) AS h FROM m JOIN b ON b.seq = m.seq AND b.c = m.c)
+SELECT seq, t, i::INT AS i, round(h[i] / greatest(sqrt(list_sum(list_transform(h, lambda y: y * y))), 1.0), 6) + 0.0 AS value FROM g, unnest(range(1, {DIM + 1})) AS u(i)""",
+        "vector_scan": f"""WITH RECURSIVE {_SEQ}, r AS (
+  SELECT seq, t, i, x AS h FROM s WHERE t = 0
+  UNION ALL SELECT s.seq, s.t, s.i, exp(-abs(s.x)) * r.h + s.x FROM r JOIN s ON s.seq = r.seq AND s.i = r.i AND s.t = r.t + 1)
+SELECT seq, t, i, round(h, 6) + 0.0 AS value FROM r""",
         "activations": f"""WITH {_E}, t AS (SELECT vec_id, i, x * 10 AS x FROM e)
 SELECT vec_id, i, round(1 / (1 + exp(-x)), 6) AS sigmoid, round(x / (1 + exp(-x)), 6) + 0.0 AS silu,
   round(greatest(x, 0) + ln(1 + exp(-abs(x))), 6) AS softplus, round(least(greatest(x, -1.0), 1.0), 6) + 0.0 AS clamp FROM t""",
@@ -357,7 +408,7 @@ SELECT vec_id, i, round(g / (sum(g) OVER (PARTITION BY vec_id) + 1e-8), 6) AS ga
 SELECT round({EXPERTS} * sum(f * load), 6) AS loss FROM f JOIN ld USING (expert)""",
         "gsi": f"""{loads} SELECT round(CASE WHEN avg(load) < 1e-8 THEN 0 ELSE least(greatest(1 - coalesce(stddev_samp(load), 0) / (avg(load) + 1e-8), 0), 1) END, 6)::DOUBLE AS gsi FROM ld""",
         "halting": _halting(),
-        "scale_blend": f"WITH {_E}, o AS (SELECT vec_id, i, 0.5::DOUBLE * x + 0.3::DOUBLE * x * x + 0.2::DOUBLE * abs(x) AS value FROM e) {_OUT}",
+        "scale_blend": _blend(),
         "soft_merge": f"WITH {_P}, o AS (SELECT vec_id, i, 0.25::DOUBLE * x + 0.75::DOUBLE * y AS value FROM p) {_OUT}",
         "prepend_strip": """WITH r AS (SELECT vec_id, (embedding[5:7] || embedding)[3:] AS v FROM embeddings)
 SELECT vec_id, i::INT AS i, round(v[i]::DOUBLE, 6) + 0.0 AS value FROM r, unnest(range(1, len(v) + 1)) AS u(i)""",
@@ -367,9 +418,10 @@ SELECT vec_id, i, round(3 * g / (sum(3 * g) OVER (PARTITION BY vec_id) + 1e-8),
 m AS (SELECT vec_id AS name, i, 2 * x AS y FROM e WHERE vec_id % 5 <> 0 AND vec_id % 7 NOT IN (0, 1))
 SELECT block, name, i, round(CASE WHEN y IS NULL THEN x ELSE 0.9::DOUBLE * x + 0.1::DOUBLE * y END, 6) + 0.0 AS value FROM s LEFT JOIN m USING (name, i)""",
         "state_load": "SELECT vec_id AS name, round(embedding[1]::DOUBLE + (vec_id % 3 = 0)::INT, 6) + 0.0 AS value FROM embeddings",
-        "window_mask": f"{_GRID}, i - j BETWEEN 0 AND {WINDOW - 1} AS keep FROM {_RANGE.format(n=SEQUENCE)}",
-        "decay_bias": f"{_GRID}, CASE WHEN j <= i THEN round(-ln(1 + {ALPHA}::DOUBLE * abs(i - j)), 6) + 0.0 END AS bias FROM {_RANGE.format(n=SEQUENCE)}",
-        "segment_bias": f"""{_GRID}, CASE WHEN j <= i // {STRIDE} THEN round(-ln(1 + {ALPHA}::DOUBLE * abs(i // {STRIDE} - j)), 6) + 0.0 END AS bias
-FROM {_RANGE.format(n=SEQUENCE // STRIDE)}""",
-        "context_efficiency": "SELECT 0.5::DOUBLE AS share",
+        "window_mask": f"WITH {_GRID} SELECT seq, i, j, i - j BETWEEN 0 AND {WINDOW - 1} AS keep FROM g",
+        "decay_bias": f"WITH {_GRID} SELECT seq, i, j, CASE WHEN j <= i THEN round(-ln(1 + {ALPHA}::DOUBLE * (i - j)), 6) + 0.0 END AS bias FROM g",
+        "segment_bias": f"""WITH {_GRID}, n AS (SELECT seq, count(DISTINCT i) AS n FROM g GROUP BY seq)
+SELECT seq, i, j, CASE WHEN j <= i // {STRIDE} THEN round(-ln(1 + {ALPHA}::DOUBLE * (i // {STRIDE} - j)), 6) + 0.0 END AS bias
+FROM g JOIN n USING (seq) WHERE j < n // {STRIDE}""",
+        "context_efficiency": f"WITH {_E}, {_logit(1, 3)} SELECT vec_id, round(sum(g) FILTER (i > 1), 6) + 0.0 AS share FROM g GROUP BY vec_id",
     }
