@@ -52,3 +52,44 @@ class Scratch:
         for name in names:
             path = self._hadoop(self.path(name))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Files:
+    """Small files and folders below a path, on any file system that Spark knows."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def names(self, folder: str = "") -> list[str]:
+        """What is in a folder, in order; nothing if there is no such folder."""
+        at = self._path(folder)
+        return sorted(f.getPath().getName() for f in self.fs.listStatus(at)) if self.fs.exists(at) else []
+
+    def write(self, name: str, text: str) -> None:
+        """A file that is there whole or not at all: written aside, then renamed."""
+        aside, at = self._path(f"{name}.tmp"), self._path(name)
+        self.fs.mkdirs(at.getParent())
+        out = self.fs.create(aside, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        self.fs.delete(at, False)
+        if not self.fs.rename(aside, at):
+            raise OSError(f"cannot write {at}")
+
+    def read(self, name: str) -> str | None:
+        """The text of a file; None if there is none."""
+        at = self._path(name)
+        if not self.fs.exists(at):
+            return None
+        held = self.fs.open(at)
+        try:
+            return bytes(held.readAllBytes()).decode()
+        finally:
+            held.close()
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self._path(name), True)
