@@ -135,10 +135,6 @@ def layer_norm(v: Column, eps: float = 1e-5) -> Column:
     return let(total(v) / F.size(v), by)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.greatest(norm(a), F.lit(TINY)) * F.greatest(norm(b), F.lit(TINY)))
-
-
 def weighted_sum(weights: Column, vectors: Column, dim: int) -> Column:
     zero = F.array_repeat(F.lit(0.0), dim)
     return F.aggregate(
@@ -148,12 +144,6 @@ def weighted_sum(weights: Column, vectors: Column, dim: int) -> Column:
     )
 
 
-def memory_read(query: Column, slots: Column, gate: float, dim: int) -> Column:
-    """Softmax of cosines over all slots, their weighted sum times tanh(gate)."""
-    weights = softmax(F.transform(slots, lambda s: cosine(query, s)))
-    return let(weights, lambda w: scaled(weighted_sum(w, slots, dim), F.tanh(F.lit(gate))))
-
-
 def top_gates(gates: Column, k: int) -> Column:
     """The k largest gates (ties: lower index) renormalised, others 0; all of them if k is out of range."""
     ranked = F.transform(gates, lambda g, i: F.struct((-g).alias("neg"), i.alias("i")))

@@ -91,8 +91,8 @@ def build(
     if missing:
         raise ValueError(f"sources without records: {', '.join(missing)}")
     spark = next(iter(readers.values())).sparkSession
-    scratch, order = Scratch(spark, "build"), ["ord", "window"]
-    targets, done = catalog.group_targets(n_samples), None
+    scratch, order = Scratch(spark, "build"), ["ord", "window", "_t"]
+    targets, done, whole = catalog.group_targets(n_samples), None, None
     written = dict.fromkeys(targets, 0)
     for source in sources:
         left = targets[source.group] - written[source.group]
@@ -103,18 +103,23 @@ def build(
         rows = W.token_windows(encode(texts.withColumn("txt", F.substring("txt", 1, T.MAX_CHARS))), length)
         rows = rows.withColumn("trust_score", F.lit(float(source.trust))).withColumn("source", F.lit(source.group))
         rows = W.validate(rows, vocab, length).where("problem is null").drop("problem")
-        fresh = W.dedup_prefix(rows, order).withColumn("_p", W.prefix(F.col("input_ids")))
+        # Steps carry a row's number, order and digest; whole rows are fetched at the end.
+        rows = rows.select("*", W.difficulty(F.col("input_ids")).alias("difficulty"), W.prefix_digest(F.col("input_ids")).alias("_p"), F.xxhash64(*rows.columns).alias("_t"))
+        rows = scratch.save(rows.withColumn("name", F.lit(source.name)).withColumn("_row", F.monotonically_increasing_id()), f"windows-{source.name}")
+        whole = rows if whole is None else whole.unionByName(rows, allowMissingColumns=True)
+        fresh = W.first_by(rows.select("name", *order, "_row", "_p"), "_p", order)
         if done is not None:
             fresh = fresh.join(done.select(F.col("_p").alias("_seen")), F.col("_p") == F.col("_seen"), "left_anti")
-        step = scratch.save(fresh.withColumn("name", F.lit(source.name)), f"fresh-{source.name}")
+        step = scratch.save(fresh, f"fresh-{source.name}")
         n = step.count()
         if n > target:
             step, n = scratch.save(W.take_first(step, order, target), f"step-{source.name}"), target
         written[source.group] += n
         done = step if done is None else done.unionByName(step)
-    rows = done.drop("_p").withColumnRenamed("source", "_group").withColumnRenamed("name", "source")
-    mixed = W.interleave(rows, seed, order).withColumnRenamed("source", "name").withColumnRenamed("_group", "source")
-    records = scratch.save(mixed.withColumn("difficulty", W.difficulty(F.col("input_ids"))), "records")
+    mixed = W.interleave(done.select(F.col("name").alias("source"), *order, "_row"), seed, order)
+    chosen = mixed.select(F.col("source").alias("_name"), F.col("_row").alias("_chosen"), "k", "slot")
+    records = whole.join(chosen, (F.col("name") == F.col("_name")) & (F.col("_row") == F.col("_chosen"))).drop("_name", "_chosen", "_row", "_p", "_t")
+    records = scratch.save(records, "records")
     bad = flaws(records, vocab, length).groupBy("problem").agg(F.count("*").alias("n")).collect()  # a row for each kind
     if bad:
         raise ValueError(f"flawed records: {dict(map(tuple, bad))}")

@@ -44,12 +44,17 @@ def prefix(ids: Column) -> Column:
     return F.slice(ids, 1, PREFIX)
 
 
+def prefix_digest(ids: Column) -> Column:
+    """The prefix in 128 bits, by which windows are compared and dealt."""
+    return F.struct(F.xxhash64(prefix(ids)).alias("a"), F.xxhash64(F.lit(1), prefix(ids)).alias("b"))
+
+
 def dedup_prefix(windows: DataFrame, order: list[str]) -> DataFrame:
     """The first window, by ``order``, of each 64-id prefix."""
-    return _first_by(windows, prefix(F.col("input_ids")), order)
+    return first_by(windows, prefix_digest(F.col("input_ids")), order)
 
 
-def _first_by(rows: DataFrame, key: Column | str, order: list[str]) -> DataFrame:
+def first_by(rows: DataFrame, key: Column | str, order: list[str]) -> DataFrame:
     """The first row, by ``order``, of each key; each task sends one row of a key at most."""
     first = F.row_number().over(W.partitionBy(key).orderBy(*order))
     return rows.withColumn("_n", first).where("_n = 1").drop("_n")
@@ -79,12 +84,12 @@ def quota_mix(windows: DataFrame, targets: list[tuple[str, int]], order: list[st
     seen: a later source may still emit it. Emitted prefixes grow by source, so each
     step reads the steps before it, as written tables. ``windows`` is computed once.
     """
-    # Steps carry a row's number, order and prefix; whole rows are fetched at the end.
-    rows = scratch.save(windows.select("*", prefix(F.col("input_ids")).alias("_p"), F.monotonically_increasing_id().alias("_row")), "windows")
+    # Steps carry a row's number, order and digest; whole rows are fetched at the end.
+    rows = scratch.save(windows.select("*", prefix_digest(F.col("input_ids")).alias("_p"), F.monotonically_increasing_id().alias("_row")), "windows")
     done = None
     for i, (source, target) in enumerate(targets):
         fresh = rows.where(F.col("source") == source).select("_row", *(c for c in order if c != "_row"), "_p")
-        fresh = _first_by(fresh, "_p", order)
+        fresh = first_by(fresh, "_p", order)
         if done is not None:
             fresh = fresh.join(done.select(F.col("_p").alias("_seen")), F.col("_p") == F.col("_seen"), "left_anti")
         fresh = scratch.save(fresh.withColumn("_step", F.lit(i)), f"fresh-{i}")
