@@ -11,6 +11,7 @@ from quern.functions import text as T
 from quern.operators import builder, tokens, windows
 from quern.sources import catalog, jsonl
 from quern.storage import Scratch
+from quern.streaming import endless
 
 LENGTH = 128
 VOCAB = 40
@@ -24,6 +25,7 @@ QUOTA = 1_000_000
 SUBSET = 200
 SAMPLE = 256
 BATCH = 4
+EPOCHS = 3
 GROUPS = list(catalog.GROUPS)
 
 
@@ -387,19 +389,33 @@ def repack(spark, sf_dir):
     return packed.select("batch_id", "slot", joined_ids(F.col("input_ids")).alias("ids"), joined_ids(F.col("labels")).alias("labels"), "trust")
 
 
+def endless_batches(spark, sf_dir):
+    """Three epochs of the endless stream over the rows of windowed(), whole batches."""
+    records = windowed(spark, sf_dir).select("doc_id", "window", "input_ids", "trust_score")
+    folder = Scratch(spark, "endless").path("corpus")
+    endless.lay(records, ["doc_id", "window"], LENGTH, folder)
+    stream = endless.Endless(spark, folder, BATCH)
+    found = stream.batches(0, EPOCHS * stream.tokens // (BATCH * stream.width))
+    return found.select("batch_id", "slot", joined_ids(F.col("input_ids")).alias("ids"), joined_ids(F.col("labels")).alias("labels"), "trust")
+
+
 def jsonl_scan(spark, sf_dir):
-    d = F.col("doc_id").cast("string")
-    ids = F.concat(F.lit('{"input_ids": ['), d, F.lit(", 7, 8], "))
+    """Lines that carry the texts and the lengths of their words, sound and unsound, read as records."""
+    ids = F.transform(F.split(F.coalesce("text", F.lit("")), " "), lambda w: F.length(w))
+    sound = F.to_json(F.struct(ids.alias("input_ids"), "text"))
+    begun = F.expr("substring(line, 1, length(line) - 1)")
+    kind = F.col("doc_id") % 6
     line = (
-        F.when(F.col("doc_id") % 6 == 0, F.concat(ids, F.lit('"source": "code"}')))
-        .when(F.col("doc_id") % 6 == 1, F.concat(ids, F.lit('"trust_score": null, "source": "code"}')))
-        .when(F.col("doc_id") % 6 == 2, F.lit('{"input_ids": [1, 2'))
-        .when(F.col("doc_id") % 6 == 3, F.lit('{"input_ids": [], "trust_score": 5.0, "source": "math"}'))
-        .otherwise(F.concat(ids, F.lit('"trust_score": 95.5, "source": "math"}')))
+        F.when(kind == 0, F.concat(begun, F.lit(', "source": "code"}')))
+        .when(kind == 1, F.concat(begun, F.lit(', "trust_score": null, "source": "code"}')))
+        .when(kind == 2, begun)
+        .when(kind == 3, F.concat(F.lit('{"input_ids": [], "trust_score": 5.0, '), F.expr("substring(line, 2)")))
+        .otherwise(F.concat(begun, F.lit(', "trust_score": 95.5, "source": "math"}')))
     )
-    lines = table(spark, sf_dir, "documents").select("doc_id", line.alias("value"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", sound.alias("line")).select("doc_id", line.alias("value"))
     found = jsonl.parse_records(lines).where("problem is null")
-    return found.select("doc_id", F.size("input_ids").alias("n"), "trust_score", "source")
+    total = F.aggregate("input_ids", F.lit(0).cast("long"), lambda s, x: s + x)
+    return found.select("doc_id", F.size("input_ids").alias("n"), total.alias("total"), "trust_score", "source")
 
 
 NAMES = [
@@ -408,7 +424,7 @@ NAMES = [
     "build_totals", "group_mix", "word_freq", "char_vocab", "bpe_pair_counts", "bpe_best_pair", "bpe_merges", "bpe_first_merges", "encode_bpe",
     "encode_char", "decode_roundtrip", "pretokenize", "tokenizer_sample", "length_stats", "missing_tags",
     "dedup_prefix", "quota_mix", "skip_take", "interleave", "difficulty_sort", "reservoir_sample", "token_windows",
-    "repack", "jsonl_scan", "build", "round_trip", "sample_mix", "catalogue_lookup", "catalogue_streams",
+    "repack", "endless_batches", "jsonl_scan", "build", "round_trip", "sample_mix", "catalogue_lookup", "catalogue_streams",
 ]
 
 
@@ -654,6 +670,13 @@ tk AS (SELECT trust, c[j] AS t, (s + j - 1)::BIGINT AS pos FROM z, unnest(range(
 l AS (SELECT pos // {LENGTH + 1} AS win, list(t ORDER BY pos) AS t, arg_min(trust, pos) AS trust FROM tk GROUP BY 1 HAVING count(*) = {LENGTH + 1})
 SELECT (win // {BATCH})::BIGINT AS batch_id, (win % {BATCH})::BIGINT AS slot, {_ids(f"t[1:{LENGTH}]")} AS ids,
   {_ids(f"list_transform(t[2:{LENGTH + 1}], lambda x: CASE WHEN x = 0 THEN -100 ELSE x END)")} AS labels, trust FROM l""",
-        "jsonl_scan": """SELECT doc_id, 3 AS n, CASE WHEN doc_id % 6 = 0 THEN 1.0 ELSE 95.5 END::DOUBLE AS trust_score,
-  CASE WHEN doc_id % 6 = 0 THEN 'code' ELSE 'math' END AS source FROM documents WHERE doc_id % 6 IN (0, 4, 5)""",
+        "endless_batches": f"""WITH {_WIN}, z AS (SELECT trust_score AS trust, input_ids AS c, row_number() OVER (ORDER BY doc_id, win) - 1 AS k, count(*) OVER () AS n FROM w),
+tk AS (SELECT n, trust, c[j] AS t, ((ep * n + k) * {LENGTH} + j - 1)::BIGINT AS pos FROM z, unnest(range(0, {EPOCHS})) AS v(ep), unnest(range(1, {LENGTH + 1})) AS u(j)),
+l AS (SELECT pos // {LENGTH + 1} AS win, max(n) AS n, list(t ORDER BY pos) AS t, arg_min(trust, pos) AS trust FROM tk GROUP BY 1)
+SELECT (win // {BATCH})::BIGINT AS batch_id, (win % {BATCH})::BIGINT AS slot, {_ids(f"t[1:{LENGTH}]")} AS ids,
+  {_ids(f"list_transform(t[2:{LENGTH + 1}], lambda x: CASE WHEN x = 0 THEN -100 ELSE x END)")} AS labels, trust
+FROM l WHERE win < {EPOCHS} * n * {LENGTH} // {BATCH * (LENGTH + 1)} * {BATCH}""",
+        "jsonl_scan": """SELECT doc_id, len(w)::INT AS n, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS total,
+  CASE WHEN doc_id % 6 = 0 THEN 1.0 ELSE 95.5 END::DOUBLE AS trust_score, CASE WHEN doc_id % 6 = 0 THEN 'code' ELSE 'math' END AS source
+FROM (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS w FROM documents) WHERE doc_id % 6 IN (0, 4, 5)""",
     }

@@ -20,6 +20,7 @@ GATE = 0.5
 SEQUENCE, WINDOW, STRIDE, LONG_STRIDE, ALPHA = 32, 8, 8, 16, 0.5
 FILTER = (0.1, 0.2, 0.3, 0.4)
 THRESHOLDS = (-0.5, 0.5, 1.5)
+QUARTER = DIM // (len(THRESHOLDS) + 1)
 
 
 def _vectors(spark, sf_dir) -> DataFrame:
@@ -186,9 +187,10 @@ def gsi(spark, sf_dir):
 
 
 def halting(spark, sf_dir):
-    passes = F.array(*(V.entropy_nats(_logits(1 + 8 * i)) for i in range(len(THRESHOLDS) + 1)))
+    """A pass for each quarter of a vector."""
+    passes = F.array(*(V.entropy_nats(_logits(1 + QUARTER * i, QUARTER)) for i in range(len(THRESHOLDS) + 1)))
     df = _vectors(spark, sf_dir).select("vec_id", passes.alias("entropies"))
-    return A.halting(df, THRESHOLDS, 8).select(r6(F.col("ponder")).alias("ponder"), r6(F.col("halted")).alias("halted"))
+    return A.halting(df, THRESHOLDS, QUARTER).select(r6(F.col("ponder")).alias("ponder"), r6(F.col("halted")).alias("halted"))
 
 
 def scale_blend(spark, sf_dir):
@@ -224,11 +226,11 @@ def shadow_merge(spark, sf_dir):
 
 
 def state_load(spark, sf_dir):
-    """Current values, replaced where the stored state has one."""
-    current = _vectors(spark, sf_dir).select(F.col("vec_id").alias("name"), F.col("v")[0].alias("value"))
-    stored = current.where(F.col("name") % 3 == 0).select("name", (F.col("value") + 1).alias("value"))
+    """Current vectors, replaced where the stored state has one."""
+    current = _vectors(spark, sf_dir).select(F.col("vec_id").alias("name"), F.col("v").alias("value"))
+    stored = current.where(F.col("name") % 3 == 0).select("name", F.transform("value", lambda x: x + 1).alias("value"))
     unknown = stored.select((-F.col("name") - 1).alias("name"), "value")
-    return checkpoints.loaded(current, stored.unionByName(unknown)).select("name", r6(F.col("value")).alias("value"))
+    return _spread(checkpoints.loaded(current, stored.unionByName(unknown)), "name", column="value")
 
 
 def window_mask(spark, sf_dir):
@@ -298,15 +300,15 @@ k AS (SELECT vec_id, i, CASE WHEN rn <= {TOP} THEN g ELSE 0 END AS g, rn FROM r)
 def _halting() -> str:
     parts = []
     for n in range(len(THRESHOLDS) + 1):
-        first = 8 * n + 1
+        first = QUARTER * n + 1
         parts.append(
-            f"""x{n} AS (SELECT vec_id, 5 * x AS x FROM e WHERE i BETWEEN {first} AND {first + 7}),
+            f"""x{n} AS (SELECT vec_id, 5 * x AS x FROM e WHERE i BETWEEN {first} AND {first + QUARTER - 1}),
 h{n} AS (SELECT vec_id, -sum(exp(x) / s * ln(exp(x) / s)) AS h FROM (SELECT vec_id, x, sum(exp(x)) OVER (PARTITION BY vec_id) AS s FROM x{n}) GROUP BY vec_id)"""
         )
     prev = "h0"
     parts.append("c0 AS (SELECT vec_id, h, FALSE AS halted FROM h0)")
     for n, raw in enumerate(THRESHOLDS):
-        t = f"(1 / (1 + exp(-({raw}::DOUBLE))) * ln(8.0::DOUBLE))"
+        t = f"(1 / (1 + exp(-({raw}::DOUBLE))) * ln({QUARTER}.0::DOUBLE))"
         parts.append(
             f"""c{n + 1} AS (SELECT c.vec_id, c.halted OR c.h < {t} AS halted, CASE WHEN c.halted OR c.h < {t} THEN c.h ELSE n.h END AS h,
   CASE WHEN c.halted OR c.h < {t} THEN 0 ELSE 1 - 1 / (1 + exp(-({t} - c.h) * 5)) END AS f FROM c{n} c JOIN h{n + 1} n USING (vec_id))"""
@@ -417,7 +419,7 @@ SELECT vec_id, i, round(3 * g / (sum(3 * g) OVER (PARTITION BY vec_id) + 1e-8),
         "shadow_merge": f"""WITH {_E}, s AS (SELECT label AS block, vec_id AS name, i, x FROM e WHERE vec_id % 7 <> 0 OR i <= {DIM // 2}),
 m AS (SELECT vec_id AS name, i, 2 * x AS y FROM e WHERE vec_id % 5 <> 0 AND vec_id % 7 NOT IN (0, 1))
 SELECT block, name, i, round(CASE WHEN y IS NULL THEN x ELSE 0.9::DOUBLE * x + 0.1::DOUBLE * y END, 6) + 0.0 AS value FROM s LEFT JOIN m USING (name, i)""",
-        "state_load": "SELECT vec_id AS name, round(embedding[1]::DOUBLE + (vec_id % 3 = 0)::INT, 6) + 0.0 AS value FROM embeddings",
+        "state_load": f"WITH {_E} SELECT vec_id AS name, i, round(x + (vec_id % 3 = 0)::INT, 6) + 0.0 AS value FROM e",
         "window_mask": f"WITH {_GRID} SELECT seq, i, j, i - j BETWEEN 0 AND {WINDOW - 1} AS keep FROM g",
         "decay_bias": f"WITH {_GRID} SELECT seq, i, j, CASE WHEN j <= i THEN round(-ln(1 + {ALPHA}::DOUBLE * (i - j)), 6) + 0.0 END AS bias FROM g",
         "segment_bias": f"""WITH {_GRID}, n AS (SELECT seq, count(DISTINCT i) AS n FROM g GROUP BY seq)

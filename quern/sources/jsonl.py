@@ -45,7 +45,7 @@ def parse_records(lines: DataFrame, line: str = "value") -> DataFrame:
     score = F.when(~has_trust, F.lit(DEFAULT_TRUST)).otherwise(F.col("_r.trust_score"))
     problem = (
         F.when(F.trim(text) == "", "blank")
-        .when(~text.rlike(r"^\s*\{.*\}\s*$") | F.try_parse_json(text).isNull(), "broken")
+        .when(~text.rlike(r"(?s)^\s*\{.*\}\s*$") | F.try_parse_json(text).isNull(), "broken")
         .when(F.col("_r.input_ids").isNull() | (F.size("_r.input_ids") == 0), "no ids")
         .when(F.exists("_r.input_ids", lambda x: x.isNull()), "ids")
         .when(has_trust & (trust.isNull() | quoted | F.col("_r.trust_score").isNull()), "trust")

@@ -173,3 +173,9 @@ def test_checkpoints(spark, tmp_path):
     assert back["shadow"] is now
     with pytest.raises(FileNotFoundError):
         checkpoints.load(spark, str(tmp_path / "step_00000001"), {"model": now})
+
+
+def test_lines_with_other_line_ends_are_sound(spark):
+    line = '{"input_ids": [1, 2], "text": "a b\u0085c"}'
+    row = jsonl.parse_records(spark.createDataFrame([(line,)], "value string")).first()
+    assert row["problem"] is None and row["input_ids"] == [1, 2] and row["trust_score"] == 1.0
