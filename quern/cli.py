@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import argparse
 import sys
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,7 +66,7 @@ def train_tokenizer(sources: dict[str, DataFrame], path: str, vocab: int, n_text
         source = next(s for s in catalog.SOURCES if s.name == catalog.TOKENIZER_SOURCES[group])
         own = builder.source_texts(sources[source.read_from], source, int(n_texts * share)).select(F.substring("txt", 1, 4_096).alias("text"))
         texts = own if texts is None else texts.unionByName(own)
-    jsonl.save_tokenizer(path, *tokens.train_on(tokens.word_freq(texts), vocab))
+    jsonl.save_tokenizer(texts.sparkSession, path, *tokens.train_on(tokens.word_freq(texts), vocab))
 
 
 def round_trip(text: str, vocab: dict[str, int], merges: list[tuple[str, str]]) -> tuple[list[int], str, int | None]:
@@ -88,20 +87,19 @@ def _build(spark: SparkSession, a: argparse.Namespace) -> int:
             print(f"{name:<20} {'ok' if ok else 'no records'}")
         return 0 if all(told.values()) else 1
     if a.train_tokenizer:
-        if Path(a.tokenizer).exists():
+        if jsonl.exists(spark, a.tokenizer):
             print(f"{a.tokenizer} exists already: not trained again")
         else:
             train_tokenizer(sources, a.tokenizer, a.vocab_size, catalog.tokenizer_texts(a.n_samples, a.n_tokenizer_texts))
     if a.n_samples <= 0:
         print("no samples wanted: nothing built")
         return 0
-    vocab, merges, size = jsonl.load_tokenizer(a.tokenizer)
+    vocab, merges, size = jsonl.load_tokenizer(spark, a.tokenizer)
     if size != a.vocab_size:
         raise ValueError(f"the tokenizer has {size} ids, not {a.vocab_size}")
-    encode = tokens.bpe_encoder(vocab, merges)
 
     def encoded(texts: DataFrame) -> DataFrame:
-        return texts.withColumn("ids", encode("txt")).drop("txt")
+        return tokens.encode_words(texts, vocab, merges)
 
     built = builder.build_to(a.output, sources, encoded, a.n_samples, size, a.max_seq_len, a.seed, a.sort_by_difficulty)
     if built is None:
@@ -122,9 +120,9 @@ def _tokenizer(spark: SparkSession, a: argparse.Namespace) -> int:
             print(f"no such file: {a.train}", file=sys.stderr)
             return 1
         told = tokens.train_on(tokens.word_freq(jsonl.read_lines(spark, a.train)), a.vocab_size)
-        jsonl.save_tokenizer(a.output, *told)
+        jsonl.save_tokenizer(spark, a.output, *told)
     elif a.load:
-        told = jsonl.load_tokenizer(a.load)
+        told = jsonl.load_tokenizer(spark, a.load)
     else:
         parser().print_help()
         return 0

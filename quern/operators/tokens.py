@@ -8,11 +8,11 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
@@ -237,42 +237,114 @@ def encode_word(word: str, merges: list[tuple[str, str]], ranks: dict[tuple[str,
     return symbols
 
 
-class _Words:
-    """Encodes texts by words; a distinct word is encoded once, of the last half a million."""
+def _ranks(merges: list[tuple[str, str]]) -> dict[tuple[str, str], list[int]]:
+    ranks: dict[tuple[str, str], list[int]] = defaultdict(list)
+    for i, m in enumerate(merges):
+        ranks[tuple(m)].append(i)
+    return ranks
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
-        import regex
 
-        self.vocab, self.merges, self.pattern, self.known = vocab, merges, regex.compile(PRETOKEN), {}
-        self.ranks: dict[tuple[str, str], list[int]] = defaultdict(list)
-        for i, m in enumerate(merges):
-            self.ranks[tuple(m)].append(i)
+def encode_text(text: str, vocab: dict[str, int], merges: list[tuple[str, str]]) -> list[int]:
+    """The ids of one text, on the driver."""
+    import regex
 
-    def encode(self, text: str | None) -> list[int]:
-        ids: list[int] = []
-        for w in self.pattern.findall(text or ""):
-            found = self.known.get(w)
-            if found is None:
-                if len(self.known) > 500_000:
-                    self.known.clear()
-                found = self.known[w] = [self.vocab.get(s, UNK) for s in encode_word(w, self.merges, self.ranks)]
-            ids += found
-        return ids
+    ranks = _ranks(merges)
+    return [vocab.get(s, UNK) for w in regex.findall(PRETOKEN, text) for s in encode_word(w, merges, ranks)]
 
 
-def encode_text(text: str, vocab: dict[str, int], merges: list[tuple[str, str]]) -> list[int]:
-    return _Words(vocab, merges).encode(text)
+#: A block of texts shares one list of words; it has so many characters at most, or one longer text.
+BLOCK_CHARS = 4_000_000
+#: A word is common if more than one in so many (block, word) pairs is its own: fewer words than this are.
+COMMON = 10_000
+#: Longer words are never broadcast, so the common ones have a bounded size.
+COMMON_CHARS = 256
 
 
-def bpe_encoder(vocab: dict[str, int], merges: list[tuple[str, str]]):
-    """A column function text -> array<int>."""
+def _blocked(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with _block, _refs (places in the block's list of words) and _words (that list, in its first row) for ``text``."""
+    kept = [c for c in docs.columns if c != text]
 
-    def encode(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = _Words(vocab, merges)
-        for batch in series:
-            yield pd.Series([words.encode(text) for text in batch])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
 
-    return F.pandas_udf(encode, "array<int>", PandasUDFType.SCALAR_ITER)
+        pattern, block = regex.compile(PRETOKEN), TaskContext.get().partitionId() << 33
+        for batch in batches:
+            column, at = batch.column(text), 0
+            while at < batch.num_rows:
+                known: dict[str, int] = {}
+                refs, chars, end = [], 0, at
+                while end < batch.num_rows:
+                    t = column[end].as_py() or ""
+                    if end > at and chars + len(t) > BLOCK_CHARS:
+                        break
+                    words = pattern.findall(t)
+                    refs.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
+                    chars, end = chars + len(t), end + 1
+                ends = np.cumsum([0, *map(len, refs)]).astype(np.int32)
+                few = batch.slice(at, end - at)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(few.column(c) for c in kept),
+                        pa.array(np.full(end - at, block)),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(refs))),
+                        pa.array([[*known]] + [None] * (end - at - 1), pa.list_(pa.string())),
+                    ],
+                    names=[*kept, "_block", "_refs", "_words"],
+                )
+                at, block = end, block + 1
+
+    own = "_block long, _refs array<int>, _words array<string>"
+    return docs.mapInArrow(run, StructType([*(docs.schema[c] for c in kept), *StructType.fromDDL(own)]))
+
+
+def _put_together(rows: pa.Table, words: pa.Table, kept: list[str]) -> pa.Table:
+    """Texts of a block from their references and the ids of the block's words."""
+    lists = words.column("ids").combine_chunks().take(pa.array(np.argsort(words.column("_at").to_numpy())))
+    refs = rows.column("_refs").combine_chunks()
+    found = lists.take(refs.flatten())
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False))])
+    ends = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(refs).to_numpy(zero_copy_only=False))]).astype(np.int64)]
+    ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), found.flatten())
+    return pa.table([*(rows.column(c) for c in kept), ids], names=[*kept, "ids"])
+
+
+def encode_words(docs: DataFrame, vocab: dict[str, int], merges: list[tuple[str, str]], text: str = "txt") -> DataFrame:
+    """``docs`` with ids, an array<int>, in place of ``text``: every distinct word of all texts is encoded once.
+
+    Texts become references to the words of their block, and are written. The distinct words of all
+    blocks make the dictionary, which is encoded over the cluster and written too. A block gets its
+    words' ids by a join on (block, word) pairs, so neither an occurrence of a word nor the dictionary
+    as a whole travels; common words are broadcast, fewer than ``COMMON`` of ``COMMON_CHARS``
+    characters at most. Then each block, of a bounded size, is put together by itself.
+
+    Null and empty texts have no ids. Repeated rows stay, other columns are passed through (not named
+    ids, _block, _refs or _words); order is not kept. An empty table gives an empty one.
+    """
+    scratch = Scratch(docs.sparkSession, "bpe-words")
+    kept = [c for c in docs.columns if c != text]
+    texts = scratch.save(_blocked(docs, text), "texts")
+    uses = texts.where(F.col("_words").isNotNull()).select(F.col("_block").alias("_of"), F.posexplode("_words").alias("_at", "word"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = _ranks(merges)
+        for batch in batches:
+            ids = [[vocab.get(s, UNK) for s in encode_word(w, merges, ranks)] for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("blocks"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "blocks", "ids"])
+
+    counted = uses.groupBy("word").agg(F.count("*").alias("blocks"))
+    known = scratch.save(counted.mapInArrow(encode, "word string, blocks long, ids array<int>"), "dictionary")
+    pairs = known.agg(F.sum("blocks")).first()[0] or 0
+    common = (F.col("blocks") * COMMON > pairs) & (F.length("word") <= COMMON_CHARS)
+    often = known.where(common).select("word", "ids")
+    marked = uses.join(F.broadcast(often), "word", "left")
+    rest = marked.where("ids IS NULL").drop("ids").join(known.where(~common).select("word", "ids"), "word")
+    told = marked.where("ids IS NOT NULL").unionByName(rest).select("_of", "_at", "ids")
+
+    def put(rows: pa.Table, words: pa.Table) -> pa.Table:
+        return _put_together(rows, words, kept)
+
+    schema = StructType([*(texts.schema[c] for c in kept), StructField("ids", ArrayType(IntegerType()))])
+    return texts.drop("_words").groupBy("_block").cogroup(told.groupBy("_of")).applyInArrow(put, schema)
 
 
 def first_difference(a: Column, b: Column) -> Column:

@@ -240,13 +240,21 @@ def bpe_first_merges(spark, sf_dir):
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank int, a string, b string")
 
 
-def encode_bpe(spark, sf_dir):
-    vocab, merges, _ = _trained(spark, sf_dir)
-    encode = tokens.bpe_encoder(vocab, merges)
-    ids = base(spark, sf_dir).select("doc_id", encode("txt").alias("ids"))
+def _encoded(spark, sf_dir, most=None):
+    vocab, merges, _ = _trained(spark, sf_dir, most)
+    ids = tokens.encode_words(base(spark, sf_dir).select("doc_id", "txt"), vocab, merges)
     return ids.select("doc_id", F.size("ids").alias("n_tokens"), joined_ids(F.col("ids")).alias("digest"))
 
 
+def encode_bpe(spark, sf_dir):
+    return _encoded(spark, sf_dir)
+
+
+def encode_bpe_first(spark, sf_dir):
+    """``encode_bpe`` with the tokenizer of ``bpe_first_merges``."""
+    return _encoded(spark, sf_dir, FOLLOWED)
+
+
 def encode_char(spark, sf_dir):
     rows, _ = whole_texts(spark, sf_dir, "encode")
     ids = rows.select("doc_id", tokens.with_marks(F.col("ids"), True, True).alias("ids"))
@@ -421,7 +429,7 @@ def jsonl_scan(spark, sf_dir):
 NAMES = [
     "source_texts", "extract_text", "extract_magicoder", "extract_problem_solution", "extract_math_instruct",
     "extract_conversations", "score_filter", "vocab_range", "validate_records", "valid_subset", "source_stats",
-    "build_totals", "group_mix", "word_freq", "char_vocab", "bpe_pair_counts", "bpe_best_pair", "bpe_merges", "bpe_first_merges", "encode_bpe",
+    "build_totals", "group_mix", "word_freq", "char_vocab", "bpe_pair_counts", "bpe_best_pair", "bpe_merges", "bpe_first_merges", "encode_bpe", "encode_bpe_first",
     "encode_char", "decode_roundtrip", "pretokenize", "tokenizer_sample", "length_stats", "missing_tags",
     "dedup_prefix", "quota_mix", "skip_take", "interleave", "difficulty_sort", "reservoir_sample", "token_windows",
     "repack", "endless_batches", "jsonl_scan", "build", "round_trip", "sample_mix", "catalogue_lookup", "catalogue_streams",
@@ -575,20 +583,54 @@ _PRE = f"unnest(regexp_extract_all(txt, {_q(T.PRETOKEN)}))"
 _FREQ = f"{_BASE}, wf AS (SELECT word, count(*)::BIGINT AS freq FROM (SELECT {_PRE} AS word FROM b) GROUP BY word)"
 _PAIRS = f"""{_FREQ}, c AS (SELECT regexp_extract_all(word, '(?s).') AS s, freq FROM wf),
 pc AS (SELECT s[i] AS a, s[i + 1] AS b, sum(freq)::BIGINT AS cnt FROM c, unnest(range(1, len(s))) AS u(i) GROUP BY ALL)"""
-def _sql_first_merges() -> str:
+_OPEN, _CLOSE = "chr(2)", "chr(3)"
+
+
+def _marked(word: str) -> str:
+    """SQL of a word with each character between marks."""
+    return f"regexp_replace({word}, '((?s).)', {_OPEN} || '\\1' || {_CLOSE}, 'g')"
+
+
+def _merged(i: int) -> str:
+    """SQL of marked symbols w after merge i, left to right."""
+    return f"coalesce(replace(w, {_OPEN} || a || {_CLOSE} || {_OPEN} || b || {_CLOSE}, {_OPEN} || a || b || {_CLOSE}), w)"
+
+
+def _sql_merge_steps() -> str:
     """Words as marked symbols; each step counts pairs, takes the best and replaces it."""
-    a, b = "chr(2)", "chr(3)"
+    a, b = _OPEN, _CLOSE
     steps = [f"""
-w0 AS (SELECT regexp_replace(word, '((?s).)', {a} || '\\1' || {b}, 'g') AS w, count(*) AS n
+w0 AS MATERIALIZED (SELECT {_marked("word")} AS w, count(*) AS n
   FROM (SELECT unnest(regexp_extract_all(txt[1:{T.TOKENIZER_CHARS}], {_q(T.PRETOKEN)})) AS word FROM k WHERE k <= CASE grp {_QUOTAS} END) GROUP BY word)"""]
     for i in range(FOLLOWED):
         steps.append(f"""
 s{i} AS (SELECT regexp_extract_all(w, {a} || '([^' || {b} || ']*)' || {b}, 1) AS s, n FROM w{i}),
-m{i} AS (SELECT s[j] AS a, s[j + 1] AS b, sum(n) AS c FROM s{i}, unnest(range(1, len(s))) AS u(j) GROUP BY ALL HAVING sum(n) >= 2 ORDER BY c DESC, a DESC, b DESC LIMIT 1),
-w{i + 1} AS MATERIALIZED (SELECT coalesce(replace(w, {a} || a || {b} || {a} || b || {b}, {a} || a || b || {b}), w) AS w, n FROM w{i} LEFT JOIN m{i} ON TRUE)""")
-    rows = " UNION ALL ".join(f"SELECT {i}::INT AS rank, a, b FROM m{i}" for i in range(FOLLOWED))
-    return f"""WITH {_BASE}, k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id) AS k FROM b WHERE length(txt) >= 50), {",".join(steps)}
-{rows}"""
+m{i} AS MATERIALIZED (SELECT s[j] AS a, s[j + 1] AS b, sum(n) AS c FROM s{i}, unnest(range(1, len(s))) AS u(j) GROUP BY ALL HAVING sum(n) >= 2 ORDER BY c DESC, a DESC, b DESC LIMIT 1),
+w{i + 1} AS MATERIALIZED (SELECT {_merged(i)} AS w, n FROM w{i} LEFT JOIN m{i} ON TRUE)""")
+    return f"""{_BASE}, k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id) AS k FROM b WHERE length(txt) >= 50), {",".join(steps)}"""
+
+
+def _sql_merges() -> str:
+    return " UNION ALL ".join(f"SELECT {i}::INT AS rank, a, b FROM m{i}" for i in range(FOLLOWED))
+
+
+def _sql_first_merges() -> str:
+    return f"WITH {_sql_merge_steps()}\n{_sql_merges()}"
+
+
+def _sql_encode_first() -> str:
+    """Ids by alphabet and merges of the sample; every word of every text goes through the same steps."""
+    steps = [f"e0 AS MATERIALIZED (SELECT word, {_marked('word')} AS w FROM (SELECT DISTINCT unnest(regexp_extract_all(txt, {_q(T.PRETOKEN)})) AS word FROM b))"]
+    steps += [f"e{i + 1} AS MATERIALIZED (SELECT word, {_merged(i)} AS w FROM e{i} LEFT JOIN m{i} ON TRUE)" for i in range(FOLLOWED)]
+    return f"""WITH {_sql_merge_steps()}, {", ".join(steps)},
+al AS (SELECT ch, row_number() OVER (ORDER BY unicode(ch)) + 3 AS id FROM (SELECT DISTINCT unnest(regexp_extract_all(w, {_OPEN} || '((?s).)' || {_CLOSE}, 1)) AS ch FROM w0)),
+vc AS (SELECT name, max(id) AS id FROM (SELECT ch AS name, id FROM al UNION ALL
+  SELECT a || b, 4 + (SELECT count(*) FROM al) + rank FROM ({_sql_merges()})) GROUP BY name),
+sy AS (SELECT word, unnest(s) AS name, unnest(range(len(s))) AS j FROM (SELECT word, regexp_extract_all(w, {_OPEN} || '([^' || {_CLOSE} || ']*)' || {_CLOSE}, 1) AS s FROM e{FOLLOWED})),
+wi AS (SELECT word, list(coalesce(id, 1)::INT ORDER BY j) AS ids FROM sy LEFT JOIN vc USING (name) GROUP BY word),
+oc AS (SELECT doc_id, unnest(p) AS word, unnest(range(len(p))) AS pos FROM (SELECT doc_id, regexp_extract_all(txt, {_q(T.PRETOKEN)}) AS p FROM b)),
+tx AS (SELECT doc_id, flatten(list(ids ORDER BY pos)) AS ids FROM oc JOIN wi USING (word) GROUP BY doc_id)
+SELECT doc_id, coalesce(len(ids), 0)::INT AS n_tokens, {_ids('coalesce(ids, [])')} AS digest FROM b LEFT JOIN tx USING (doc_id)"""
 
 
 _QUOTAS = " ".join(f"WHEN '{g}' THEN {int(catalog.tokenizer_texts(QUOTA) * s)}" for g, s in catalog.GROUPS.items())
@@ -627,6 +669,7 @@ SELECT ord::INT AS ord, source, n, round(n * 100.0::DOUBLE / sum(n) OVER (), 6)
         "bpe_pair_counts": f"WITH {_PAIRS} SELECT a, b, cnt FROM pc",
         "bpe_best_pair": f"WITH {_PAIRS} SELECT a, b, cnt FROM pc WHERE cnt >= 2 ORDER BY cnt DESC, a DESC, b DESC LIMIT 1",
         "bpe_first_merges": _sql_first_merges(),
+        "encode_bpe_first": _sql_encode_first(),
         "encode_char": f"""WITH {_CHARS}, a AS (
   SELECT doc_id, list_transform(regexp_extract_all(txt, '(?s).'), lambda c: m[c]::INT) AS ids FROM b, m)
 SELECT doc_id, (len(ids) + 2)::INT AS n_tokens, {_ids('[2] || ids || [3]')} AS digest FROM a""",

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.operators.windows import with_ordinal
+from quern.storage import Files
 
 RECORD = T.StructType(
     [
@@ -150,10 +150,17 @@ def bootstrap(spark: SparkSession, rows: int, length: int = 512, seed: int = 0)
     return df.select("input_ids", labels.alias("labels"), F.lit(90.0).alias("trust_score"), F.lit("bootstrap").alias("source"))
 
 
-def save_tokenizer(path: str, vocab: dict[str, int], merges: list[tuple[str, str]], vocab_size: int) -> None:
-    Path(path).write_text(json.dumps({"vocab": vocab, "merges": [list(m) for m in merges], "vocab_size": vocab_size}), encoding="utf-8")
+def save_tokenizer(spark: SparkSession, path: str, vocab: dict[str, int], merges: list[tuple[str, str]], vocab_size: int) -> None:
+    """On any file system that Spark knows; the file is there whole or not at all."""
+    folder, _, name = path.rpartition("/")
+    told = {"vocab": vocab, "merges": [list(m) for m in merges], "vocab_size": vocab_size}
+    Files(spark, folder or ".").write(name, json.dumps(told))
 
 
-def load_tokenizer(path: str) -> tuple[dict[str, int], list[tuple[str, str]], int]:
-    told = json.loads(Path(path).read_text(encoding="utf-8"))
+def load_tokenizer(spark: SparkSession, path: str) -> tuple[dict[str, int], list[tuple[str, str]], int]:
+    folder, _, name = path.rpartition("/")
+    text = Files(spark, folder or ".").read(name)
+    if text is None:
+        raise FileNotFoundError(path)
+    told = json.loads(text)
     return told["vocab"], [tuple(m) for m in told["merges"]], told["vocab_size"]

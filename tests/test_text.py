@@ -123,10 +123,37 @@ def test_columns_encode_and_decode(spark):
     assert unknown[1] == K.UNK and unknown[0] >= 4
 
 
-def test_tokenizer_file(tmp_path):
+def test_tokenizer_file(spark, tmp_path):
     vocab, merges, size = K.train_bpe({"abab": 3}, 9)
-    jsonl.save_tokenizer(str(tmp_path / "t.json"), vocab, merges, size)
-    assert jsonl.load_tokenizer(str(tmp_path / "t.json")) == (vocab, merges, size)
+    jsonl.save_tokenizer(spark, str(tmp_path / "t.json"), vocab, merges, size)
+    assert jsonl.load_tokenizer(spark, str(tmp_path / "t.json")) == (vocab, merges, size)
+    assert jsonl.load_tokenizer(spark, f"file://{tmp_path}/t.json") == (vocab, merges, size)
+    with pytest.raises(FileNotFoundError):
+        jsonl.load_tokenizer(spark, str(tmp_path / "none.json"))
+
+
+@pytest.mark.parametrize("chars", [4_000_000, 40, 1])
+def test_words_encoded_once_give_what_texts_encoded_alone_do(spark, monkeypatch, chars):
+    monkeypatch.setattr(K, "BLOCK_CHARS", chars)
+    texts = ["the cat the", "", None, " \n", "the cat the", "catcat 0x1F -> the\r\n", "the " * 30_000, "w" * 5_000 + " end", "é😀 cat\u2028", "Z"]
+    rows = [(i % 9, t, "x" if i % 2 else None) for i, t in enumerate(texts)]  # an id twice
+    vocab, merges, _ = K.train_bpe({"the": 9, "cat": 5, "catcat": 2, "ww": 3, " ": 20}, 30)
+    docs = spark.createDataFrame(rows, "doc_id int, txt string, word string").repartition(3)
+    made = K.encode_words(docs, vocab, merges)
+    assert made.columns == ["doc_id", "word", "ids"]
+    want = sorted(((d, w or "", K.encode_text(t or "", vocab, merges)) for d, t, w in rows), key=repr)
+    assert sorted(((r["doc_id"], r["word"] or "", r["ids"]) for r in made.collect()), key=repr) == want
+
+
+def test_rare_and_common_words_and_no_words(spark, monkeypatch):
+    vocab, merges, _ = K.train_bpe({"the": 9, "cat": 5}, 30)
+    docs = spark.createDataFrame([(i, f"the cat{i} the") for i in range(300)], "doc_id int, txt string").repartition(8)
+    for common in (2, 10_000):  # nearly all words by the shuffle; all of them broadcast
+        monkeypatch.setattr(K, "COMMON", common)
+        got = {r["doc_id"]: r["ids"] for r in K.encode_words(docs, vocab, merges).collect()}
+        assert got == {i: K.encode_text(f"the cat{i} the", vocab, merges) for i in range(300)}
+    assert K.encode_words(docs.limit(0), vocab, merges).collect() == []
+    assert [r["ids"] for r in K.encode_words(docs.select("doc_id", F.lit("").alias("txt")).limit(2), vocab, merges).collect()] == [[], []]
 
 
 LINES = [

@@ -70,3 +70,11 @@ def test_bpe_is_trained_as_far_as_the_word_table_allows(spark):
             for pair in zip(symbols, symbols[1:]):  # noqa: B905
                 left[pair] = left.get(pair, 0) + n
         assert max(left.values(), default=0) < 2
+
+
+def test_encode_bpe_takes_every_text_whole(spark, short_and_long):
+    path, texts = short_and_long
+    vocab, merges, _ = Q._trained(spark, path)
+    ids = {d: K.encode_text(t, vocab, merges) for d, t in texts.items()}
+    want = {d: (len(x), hashlib.md5(" ".join(map(str, x)).encode()).hexdigest()) for d, x in ids.items()}
+    assert {r["doc_id"]: (r["n_tokens"], r["digest"]) for r in Q.encode_bpe(spark, path).collect()} == want
