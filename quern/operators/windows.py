@@ -232,10 +232,11 @@ def sizes(n: Column, length: int) -> Column:
     return F.filter(F.transform(starts_, lambda s: F.least(n - s, F.lit(body)) + 1), lambda m: m >= MIN_TOKENS)
 
 
-def batches(windows: DataFrame, batch: int, length: int) -> DataFrame:
-    """batch_id, slot, input_ids, labels (PAD ignored), trust of repacked windows."""
+def batches(windows: DataFrame, batch: int, length: int, *keys: str) -> DataFrame:
+    """batch_id, slot, input_ids, labels (PAD ignored), trust of repacked windows, after ``keys``."""
     labels = F.transform(F.slice("tokens", 2, length), lambda t: F.when(t == PAD, IGNORE).otherwise(t))
     return windows.select(
+        *keys,
         F.floor(F.col("window") / batch).alias("batch_id"),
         (F.col("window") % batch).alias("slot"),
         F.slice("tokens", 1, length).alias("input_ids"),
