@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quern.operators.windows import batches, starts, with_ordinal
+from quern.operators.windows import batches, starts
 from quern.storage import Files
 
 ABOUT = "about.json"
@@ -29,21 +29,27 @@ def lay(records: DataFrame, order: str | list[str], length: int, folder: str, pa
 
     As in ``windows.repack`` each gives its first ``length`` + 1 ids if there are at
     least two; null ids give nothing, a null trust stays null, rows of equal or null
-    order all stay. Files are sorted by start and lie in folders of ``part_tokens``
-    tokens, so a batch reads a few row groups. The folder counts once its description
-    is there, which is written last.
+    order all stay. Records with txt and n in place of input_ids are texts that n ids
+    will be made of, none of which is cut, when batches are read: a character travels
+    in one byte, an id in four. All records go through one range shuffle. Files are
+    sorted by start and lie in folders of ``part_tokens`` tokens, so a batch reads a few
+    row groups. The folder counts once its description is there, which is written last.
     """
     spark, order = records.sparkSession, [order] if isinstance(order, str) else [*order]
     files = Files(spark, folder)
     files.delete(ABOUT)
-    ids = F.slice("input_ids", 1, length + 1)
+    encoded = "input_ids" in records.columns
+    held = F.slice("input_ids", 1, length + 1).alias("ids") if encoded else F.col("txt")
     named = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
-    rows = records.where(F.size("input_ids") >= 2).select(*named, ids.alias("ids"), F.col("trust_score").alias("trust"))
-    numbered = with_ordinal(rows, [], [f"_o{i}" for i in range(len(order))], "k").select("k", "ids", "trust", F.size("ids").cast("long").alias("n"))
-    placed = starts(numbered, [], "k", "n").withColumn("part", F.expr(f"start div {part_tokens}"))
-    placed.repartitionByRange("start").sortWithinPartitions("part", "start").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/records")
-    told = spark.read.schema("n long").parquet(f"{folder}/records").agg(F.count("*").alias("records"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
-    files.write(ABOUT, json.dumps({**told.asDict(), "length": length, "part_tokens": part_tokens}))
+    rows = records.where(F.size("input_ids") >= 2 if encoded else F.col("n") >= 2)
+    rows = rows.select(*named, held, F.col("trust_score").alias("trust"), *([] if encoded else [F.col("n").cast("long").alias("n")]))
+    rows = rows.withColumn("n", F.size("ids").cast("long")) if encoded else rows
+    placed = starts(rows, [], [f"_o{i}" for i in range(len(order))], "n", place="k").drop(*(f"_o{i}" for i in range(len(order))))
+    placed = placed.withColumn("part", F.expr(f"start div {part_tokens}"))
+    placed.sortWithinPartitions("part", "start").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/records")
+    total = [F.count("*").alias("records"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.coalesce(F.max("n"), F.lit(0)).alias("most")]
+    told = spark.read.schema("n long").parquet(f"{folder}/records").agg(*total).first()
+    files.write(ABOUT, json.dumps({**told.asDict(), "length": length, "part_tokens": part_tokens, "encoded": encoded}))
 
 
 class Endless:
@@ -51,19 +57,24 @@ class Endless:
 
     Without ``seed`` an epoch begins at the first record; with it, at a record that seed
     and epoch draw, and goes on at the first after the last, as in ``jsonl.replay``.
+    Of a corpus of texts ``encode`` puts ids in place of txt, as many as was said.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, batch: int, seed: int | None = None):
+    def __init__(self, spark: SparkSession, folder: str, batch: int, seed: int | None = None, encode: Callable[[DataFrame], DataFrame] | None = None):
         told = Files(spark, folder).read(ABOUT)
         if told is None:
             raise FileNotFoundError(f"no complete corpus at {folder}")
         about = json.loads(told)
         self.spark, self.batch, self.seed = spark, batch, seed
         self.records, self.tokens, self.length, self.part_tokens = about["records"], about["tokens"], about["length"], about["part_tokens"]
+        self.most, self.encode = about["most"], None if about["encoded"] else encode
+        if self.encode is None and not about["encoded"]:
+            raise ValueError(f"{folder} has texts: encode is missing")
         if not self.tokens:
             raise ValueError(f"{folder} has no record of two ids or more")
         self.width = self.length + 1
-        self.rows = spark.read.schema("k long, ids array<int>, trust double, n long, start long, part long").parquet(f"{folder}/records")
+        held = "ids array<int>" if about["encoded"] else "txt string"
+        self.rows = spark.read.schema(f"k long, {held}, trust double, n long, start long, part long").parquet(f"{folder}/records")
         self._begins: dict[int, int] = {}
 
     def begin(self, epoch: int) -> int:
@@ -92,31 +103,38 @@ class Endless:
         each = self.batch * self.width
         ranges = self.ranges(first * each, end * each)
         rows = self.rows
-        if len(ranges) <= RANGES:  # read what they touch: a record has ``width`` tokens at most
-            parts = sorted({p for a, b, _ in ranges for p in range(max(a - self.width, 0) // self.part_tokens, (b - 1) // self.part_tokens + 1)})
+        if len(ranges) <= RANGES:  # read what they touch: a record has ``most`` tokens at most
+            parts = sorted({p for a, b, _ in ranges for p in range(max(a - self.most, 0) // self.part_tokens, (b - 1) // self.part_tokens + 1)})
             touched = F.lit(False)
             for a, b, _ in ranges:
-                touched = touched | ((F.col("start") > a - self.width) & (F.col("start") < b))
+                touched = touched | ((F.col("start") > a - self.most) & (F.col("start") < b))
             rows = rows.where(F.col("part").isin(parts)).where(touched)
         told = F.from_json(F.lit(json.dumps([{"a": a, "b": b, "shift": s} for a, b, s in ranges])), "array<struct<a: long, b: long, shift: long>>")
         meets = F.filter(told, lambda r: (F.col("start") < r["b"]) & (F.col("start") + F.col("n") > r["a"]))
+        rows = self.encode(rows.drop("k", "part")) if self.encode else rows
         rows = rows.select("ids", "trust", "n", "start", F.explode(meets).alias("r"))
         begin, stop = F.greatest("start", "r.a"), F.least(F.col("start") + F.col("n"), F.col("r.b"))
         rows = rows.select("trust", (begin + F.col("r.shift")).alias("at"), F.slice("ids", (begin - F.col("start")).cast("int") + 1, (stop - begin).cast("int")).alias("ids"))
         return batches(self._windows(rows), self.batch, self.length)
 
     def _windows(self, rows: DataFrame) -> DataFrame:
-        width, size = self.width, F.size("ids").cast("long")
-
-        def piece(w: Column) -> Column:
-            begin = F.greatest(w * width, F.col("at"))
-            stop = F.least((w + 1) * width, F.col("at") + size)
-            return F.struct(w.alias("window"), begin.alias("at"), F.slice("ids", (begin - F.col("at")).cast("int") + 1, (stop - begin).cast("int")).alias("ids"))
-
-        touched = F.sequence(F.expr(f"at div {width}"), F.expr(f"(at + size(ids) - 1) div {width}"))
-        pieces = rows.select("trust", F.explode(F.transform(touched, piece)).alias("p")).select("p.*", "trust")
-        whole = pieces.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("at", "ids", "trust"))).alias("p"))  # ``width`` tokens each
-        return whole.select("window", F.flatten(F.transform("p", lambda x: x["ids"])).alias("tokens"), F.col("p")[0]["trust"].alias("trust"))
+        """window, tokens, trust. A window within one record is complete at once; only the pieces at the ends of records are grouped."""
+        width, end = self.width, F.col("at") + F.size("ids")
+
+        def pieces(windows: Column) -> DataFrame:
+            def piece(w: Column) -> Column:
+                begin = F.greatest(w * width, F.col("at"))
+                stop = F.least((w + 1) * width, end)
+                return F.struct(w.alias("window"), begin.alias("at"), F.slice("ids", (begin - F.col("at")).cast("int") + 1, (stop - begin).cast("int")).alias("ids"))
+
+            return rows.select("trust", F.explode(F.transform(windows, piece)).alias("p")).select("p.*", "trust")
+
+        first, last = F.expr(f"(at + {width - 1}) div {width}"), F.expr(f"(at + size(ids)) div {width} - 1")  # whole ones
+        inner = F.when(first <= last, F.sequence(first, last))
+        ends = F.filter(F.array_distinct(F.array(F.expr(f"at div {width}"), F.expr(f"(at + size(ids) - 1) div {width}"))), lambda w: (w < first) | (w > last))
+        grouped = pieces(ends).groupBy("window").agg(F.array_sort(F.collect_list(F.struct("at", "ids", "trust"))).alias("p"))  # ``width`` tokens each
+        joined = grouped.select("window", F.flatten(F.transform("p", lambda x: x["ids"])).alias("tokens"), F.col("p")[0]["trust"].alias("trust"))
+        return pieces(inner).select("window", F.col("ids").alias("tokens"), "trust").unionByName(joined)
 
     def start(self, consume: Callable[[DataFrame, int], None], checkpoint: str, per_trigger: int = 64, once: bool = False) -> StreamingQuery:
         """Hand batches to ``consume(batches, micro_batch)``, at most ``per_trigger`` at a time and at most an epoch.

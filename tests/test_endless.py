@@ -88,3 +88,29 @@ def test_without_records_or_description(spark, tmp_path):
     lay(spark.createDataFrame([(1, [1], 1.0, "s")], RECORDS), "ord", LENGTH, str(tmp_path / "corpus"))
     with pytest.raises(ValueError, match="no record"):
         Endless(spark, str(tmp_path / "corpus"), BATCH)
+
+
+def test_texts_are_laid_as_they_are_and_encoded_when_read(spark, tmp_path):
+    texts = ["", "a", "ab", "abcdefghij" * 3, "xyz", None, "k" * 57, "no"]
+    df = spark.createDataFrame([*enumerate(texts)], "ord long, txt string").withColumn("trust_score", F.col("ord").cast("double")).withColumn("n", F.length("txt"))
+    ids = F.transform(F.split("txt", ""), lambda c: F.ascii(c)).alias("ids")
+    lay(df, "ord", LENGTH, str(tmp_path / "corpus"), part_tokens=32)
+    assert "ids" not in spark.read.parquet(str(tmp_path / "corpus" / "records")).columns
+    endless = Endless(spark, str(tmp_path / "corpus"), BATCH, encode=lambda rows: rows.select("trust", "n", "start", ids))
+    flat = [(ord(c), float(i)) for i, t in enumerate(texts) if t and len(t) >= 2 for c in t] * 3
+    width, full = LENGTH + 1, len(flat) // ((LENGTH + 1) * BATCH)
+    want = []
+    for w in range(full * BATCH):
+        t = [x for x, _ in flat[w * width : (w + 1) * width]]
+        want.append((w // BATCH, w % BATCH, tuple(t[:-1]), tuple(t[1:]), flat[w * width][1]))
+    assert rows(endless.batches(0, full)) == want and full > 10
+    assert [r for at in range(full) for r in rows(endless.batches(at, at + 1))] == want
+    with pytest.raises(ValueError, match="encode"):
+        Endless(spark, str(tmp_path / "corpus"), BATCH)
+
+
+def test_laying_shuffles_records_once(spark, tmp_path, monkeypatch):
+    seen, repartition = [], type(spark.range(1)).repartitionByRange
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", lambda self, *a: seen.append(a) or repartition(self, *a))
+    lay(spark.createDataFrame(records(), RECORDS), "ord", LENGTH, str(tmp_path / "corpus"))
+    assert len(seen) == 1
