@@ -1,5 +1,8 @@
 """Extraction, pre-tokens and byte-pair encoding: worked cases."""
 
+import random
+import tracemalloc
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +184,21 @@ def test_sinks_and_helpers(spark, tmp_path):
     (tmp_path / "l.txt").write_text("a\n\n \nb c\x0bd\n")
     assert [r["text"] for r in jsonl.read_lines(spark, str(tmp_path / "l.txt")).collect()] == ["a", "b", "c", "d"]
     assert jsonl.first_existing(spark, [str(tmp_path / "no"), str(tmp_path / "b")]) == str(tmp_path / "b")
+
+
+def test_training_with_few_pairs_in_order_equals_recounting(monkeypatch):
+    monkeypatch.setattr(K, "FRONT", 3)
+    for seed in range(150):
+        rnd = random.Random(seed)
+        freqs = {"".join(rnd.choice("abc"[: 2 + seed % 2]) for _ in range(rnd.randrange(1, 14))): rnd.choice([1, 1, 2, 5]) for _ in range(30)}
+        assert K.train_bpe(freqs, 200)[1] == slow_train(freqs, 200)
+
+
+def test_training_does_not_keep_pairs_that_occur_once():
+    rnd = random.Random(1)
+    freqs = {"".join(rnd.choice("0123456789abcdef") for _ in range(32)): 1 for _ in range(1_000)}
+    tracemalloc.start()
+    K.train_bpe(freqs, 600)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6e6
