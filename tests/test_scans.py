@@ -201,3 +201,30 @@ def test_segments_in_small_blocks(spark, stride, length):
         near = [(j, k) for j, k in enumerate(slots) if j <= t // stride]
         w = np.array([math.exp(x[t] @ k / 2 - math.log1p(0.5 * (t // stride - j))) for j, k in near])
         assert got[t] == pytest.approx((w / w.sum() @ np.array([k for _, k in near])).tolist(), abs=1e-12)
+
+
+@pytest.mark.parametrize("alpha", [None, 0.1])
+def test_a_block_of_scores_is_never_held_whole(alpha):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(1)
+    q, k = rnd.normal(size=(1_500, 8)), rnd.normal(size=(2_000, 8))
+    queries = pa.table({"_row": np.arange(1_500), "q": pa.array([*q]), "at": np.arange(1_500) - 2})
+    slots = pa.table({"k": pa.array([*k]), "value": pa.array([*k]), "at": np.arange(2_000)})
+    tracemalloc.start()
+    got = A._partial(queries, slots, ["_row"], 0.5, alpha)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_500 * 2_000 * 8, peak
+    scores = q @ k.T * 0.5
+    if alpha is not None:
+        apart = queries["at"].to_numpy()[:, None] - slots["at"].to_numpy()[None, :]
+        scores = np.where(apart >= 0, scores - np.log1p(alpha * np.maximum(apart, 0)), -np.inf)[2:]
+    m = scores.max(axis=1)
+    weights = np.exp(scores - m[:, None])
+    assert got["_row"].to_pylist() == [*range(0 if alpha is None else 2, 1_500)]
+    np.testing.assert_allclose(got["m"].to_numpy(), m)
+    np.testing.assert_allclose(got["s"].to_numpy(), weights.sum(axis=1))
+    np.testing.assert_allclose(np.array(got["acc"].to_pylist()), weights @ k, atol=1e-9)
