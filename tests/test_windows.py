@@ -187,3 +187,39 @@ def test_series_leave_keys_as_they_are(spark):
 def test_quota_without_sources(spark):
     df = spark.createDataFrame([("a", 0, [1] * 70)], "source string, ord int, input_ids array<int>")
     assert O.quota_mix(df, [], ["ord"], Scratch(spark, "t")).columns == ["source", "ord", "input_ids", "_step"]
+
+
+def test_first_rows_and_the_rest_with_equal_and_null_orders(spark, monkeypatch):
+    monkeypatch.setattr(O, "LIST_ROWS", 2)
+    data = [(i // 3 if i % 5 else None, f"t{i % 7}") for i in range(60)] + [(4, "same")] * 6 + [(None, None)] * 4
+    df = spark.createDataFrame(data, "ord int, txt string").repartition(5)
+    ordered = [tuple(r) for r in df.orderBy("ord", F.xxhash64("ord", "txt")).collect()]
+    key = repr
+    for n in (3, 5, 17, 31, 33, 69, 70, 90):
+        assert sorted(map(tuple, O.take_first(df, ["ord"], n).collect()), key=key) == sorted(ordered[:n], key=key)
+        assert sorted(map(tuple, O.skip_first(df, ["ord"], n).collect()), key=key) == sorted(ordered[n:], key=key)
+
+
+def test_whole_rows_are_not_numbered(spark, monkeypatch):
+    seen, ordinal = [], O.with_ordinal
+    monkeypatch.setattr(O, "LIST_ROWS", 2)
+    monkeypatch.setattr(O, "with_ordinal", lambda df, *a: seen.append(df.columns) or ordinal(df, *a))
+    df = spark.range(20).selectExpr("id", "repeat('x', 100) AS txt")
+    assert O.take_first(df, ["id"], 7).count() == 7 and O.skip_first(df, ["id"], 7).count() == 13
+    assert len(seen) == 2 and not any("txt" in c for c in seen)
+
+
+def test_dedup_sends_only_what_is_kept(spark, monkeypatch):
+    seen, first = [], O.first_by
+    df = spark.createDataFrame([(i, [i % 3] * 70, "wide") for i in range(9)], "k int, input_ids array<int>, more string")
+    whole = [r["k"] for r in O.dedup_prefix(df, ["k"]).collect()]
+    monkeypatch.setattr(O, "first_by", lambda rows, *a: seen.append(rows.columns) or first(rows, *a))
+    got = O.dedup_prefix(df, ["k"], F.size("input_ids").alias("n")).collect()
+    assert sorted(map(tuple, got)) == [(k, 70) for k in sorted(whole)] and seen == [["k", "n", "_p"]]
+
+
+def test_rows_beyond_a_full_quota_do_not_travel(spark):
+    rows = spark.createDataFrame([(i if i else None, "s") for i in range(10)], "k int, source string")
+    chosen = O.take_first(rows, ["k"], 4)
+    assert sorted(r["k"] or 0 for r in rows.where(O.reaches(chosen, "k")).collect()) == [0, 1, 2, 3]
+    assert rows.where(O.reaches(O.take_first(rows, ["k"], 1), "k")).count() == 1
