@@ -27,7 +27,7 @@ def source_texts(records: DataFrame, source: Source, most: int | None = None, sk
     length, and the first ``most`` texts that are left.
     """
     if skip > 0:
-        records = W.with_ordinal(records, [], "ord", "_k").where(F.col("_k") >= skip).drop("_k")
+        records = W.skip_first(records, ["ord"], skip)
     if source.min_score > 0:
         score = F.coalesce("score", F.lit(0.0)) if "score" in records.columns else F.lit(0.0)
         records = records.where(score >= source.min_score)
@@ -103,10 +103,11 @@ def build(
         rows = W.token_windows(encode(texts.withColumn("txt", F.substring("txt", 1, T.MAX_CHARS))), length)
         rows = rows.withColumn("trust_score", F.lit(float(source.trust))).withColumn("source", F.lit(source.group))
         rows = W.validate(rows, vocab, length).where("problem is null").drop("problem")
+        reach = F.lit(True)
         # Steps carry a row's number, order and digest; whole rows are fetched at the end.
         rows = rows.select("*", W.difficulty(F.col("input_ids")).alias("difficulty"), W.prefix_digest(F.col("input_ids")).alias("_p"), F.xxhash64(*rows.columns).alias("_t"))
+        rows = rows.withColumn("_m", F.array_position("labels", W.IGNORE) - 2).drop("labels")  # ids of the piece: labels are made of these again
         rows = scratch.save(rows.withColumn("name", F.lit(source.name)).withColumn("_row", F.monotonically_increasing_id()), f"windows-{source.name}")
-        whole = rows if whole is None else whole.unionByName(rows, allowMissingColumns=True)
         fresh = W.first_by(rows.select("name", *order, "_row", "_p"), "_p", order)
         if done is not None:
             fresh = fresh.join(done.select(F.col("_p").alias("_seen")), F.col("_p") == F.col("_seen"), "left_anti")
@@ -114,12 +115,16 @@ def build(
         n = step.count()
         if n > target:
             step, n = scratch.save(W.take_first(step, order, target), f"step-{source.name}"), target
+            reach = W.reaches(step, "ord")
+        rows = rows.where(reach)
+        whole = rows if whole is None else whole.unionByName(rows, allowMissingColumns=True)
         written[source.group] += n
         done = step if done is None else done.unionByName(step)
     mixed = W.interleave(done.select(F.col("name").alias("source"), *order, "_row"), seed, order)
     chosen = mixed.select(F.col("source").alias("_name"), F.col("_row").alias("_chosen"), "k", "slot")
     records = whole.join(chosen, (F.col("name") == F.col("_name")) & (F.col("_row") == F.col("_chosen"))).drop("_name", "_chosen", "_row", "_p", "_t")
-    records = scratch.save(records, "records")
+    labels = F.concat(F.slice("input_ids", F.lit(2), F.col("_m").cast("int")), F.array(F.lit(W.EOS)), F.array_repeat(F.lit(W.IGNORE), (length - 1 - F.col("_m")).cast("int")))
+    records = scratch.save(records.withColumn("labels", labels).drop("_m"), "records")
     bad = flaws(records, vocab, length).groupBy("problem").agg(F.count("*").alias("n")).collect()  # a row for each kind
     if bad:
         raise ValueError(f"flawed records: {dict(map(tuple, bad))}")

@@ -96,6 +96,20 @@ def test_sorted_by_difficulty_and_checked(spark):
     assert builder.missing_tags(bad.withColumn("o", F.lit(1)), ["o"]).first()["missing"] == "educational,math,reasoning"
 
 
+def test_windows_are_written_without_labels_and_get_them_back(spark, monkeypatch):
+    seen, save = {}, builder.Scratch.save
+    monkeypatch.setattr(builder.Scratch, "save", lambda self, df, name: seen.update({name: df.columns}) or save(self, df, name))
+    streams = {s.read_from for s in catalog.SOURCES}
+    sources = tuple(s for s in catalog.SOURCES if s.fmt == "text")
+    made = frames(spark, {k: v[:8] for k, v in raw().items() if k in streams})
+    built = builder.build(made, lambda d: d.withColumn("ids", F.transform(F.split("txt", ""), lambda c: F.ascii(c))).drop("txt"), 60, VOCAB, LENGTH, 42, sources=sources)
+    got = built.records.select("input_ids", "labels").collect()
+    assert got and all("labels" not in c for n, c in seen.items() if n.startswith("windows-")) and "windows-finemath" in seen
+    for r in got:
+        real = [x for x in r["input_ids"][1:] if x]
+        assert r["labels"] == [*real, 3] + [-100] * (LENGTH - 1 - len(real))
+
+
 def test_source_texts_in_order(spark):
     source = catalog.Source("x", "math", 1, "text", 0, 0, min_score=2.0)
     rows = [(i, "t" * (49 + i % 3), None if i == 7 else float(i % 5)) for i in range(30)]
