@@ -223,3 +223,12 @@ def test_rows_beyond_a_full_quota_do_not_travel(spark):
     chosen = O.take_first(rows, ["k"], 4)
     assert sorted(r["k"] or 0 for r in rows.where(O.reaches(chosen, "k")).collect()) == [0, 1, 2, 3]
     assert rows.where(O.reaches(O.take_first(rows, ["k"], 1), "k")).count() == 1
+
+
+def test_orders_may_be_structs(spark, monkeypatch):
+    monkeypatch.setattr(O, "LIST_ROWS", 2)
+    df = spark.range(20).selectExpr("id", "struct(concat('f', id div 8) AS file, id div 4 AS block, cast(id AS int) AS line) AS ord")
+    first = O.take_first(df, ["ord"], 9)
+    assert sorted(r["id"] for r in first.collect()) == [*range(9)]
+    assert sorted(r["id"] for r in O.skip_first(df, ["ord"], 9).collect()) == [*range(9, 20)]
+    assert df.where(O.reaches(first, "ord")).count() == 9
