@@ -3,7 +3,9 @@
 import random
 import tracemalloc
 
+import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
@@ -202,3 +204,43 @@ def test_training_does_not_keep_pairs_that_occur_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 6e6
+
+
+@pytest.mark.parametrize(("once", "strip"), [(0, 7), (3, 1 << 18)])
+def test_training_by_arrays_equals_recounting(monkeypatch, once, strip):
+    monkeypatch.setattr(K, "AT_ONCE", once)
+    monkeypatch.setattr(K, "STRIP", strip)
+    for seed in range(100):
+        rnd = random.Random(seed)
+        freqs = {"".join(rnd.choice("abc"[: 2 + seed % 2]) for _ in range(rnd.randrange(1, 14))): rnd.choice([1, 1, 2, 5]) for _ in range(30)}
+        assert K.train_bpe(freqs, 200)[1] == slow_train(freqs, 200)
+
+
+def test_pieces_have_the_pretokens_of_their_texts():
+    rnd = random.Random(5)
+    parts = [*"abcXe_019. \t\r\n->:*/<=+%!\"#é٠日😀\x00\x1f'(),", "...", "<<=", "0x1F", "1e+5", "1.5e-3", "\r\n", "  \t", "\u2028"]
+    for _ in range(500):
+        texts = [None, "", *("".join(rnd.choice(parts) for _ in range(rnd.randrange(40))) for _ in range(5))]
+        rnd.shuffle(texts)
+        pieces, ends = K._pieces(pa.array(texts).slice(1))
+        pieces = pieces.to_pylist()
+        for i, text in enumerate(texts[1:]):
+            found = [w for p in pieces[ends[i] : ends[i + 1]] for w in regex.findall(T.PRETOKEN, p)]
+            assert found == regex.findall(T.PRETOKEN, text or "")
+
+
+def test_words_of_a_block_are_encoded_as_each_alone():
+    for seed in range(100):
+        rnd = random.Random(seed)
+        freqs = {"".join(rnd.choice("abc"[: 2 + seed % 2]) for _ in range(rnd.randrange(1, 14))): rnd.choice([1, 2, 5]) for _ in range(30)}
+        vocab, merges, _ = K.train_bpe(freqs, 200)
+        words = ["", *("".join(rnd.choice("abcz") for _ in range(rnd.randrange(1, 30))) for _ in range(40))]
+        assert K._Encoder(vocab, merges).words(words).to_pylist() == [K.encode_text(w, vocab, merges) for w in words]
+
+
+def test_encoding_words_shuffles_nothing(spark):
+    vocab, merges, _ = K.train_bpe({"the": 9, "cat": 5}, 30)
+    docs = spark.range(5).select("id", F.lit("the cat").alias("txt"))
+    made = K.encode_words(docs, vocab, merges)
+    assert "Exchange" not in made._jdf.queryExecution().toString()
+    assert [r["id"] for r in made.collect()] == [*range(5)]

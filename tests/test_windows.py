@@ -232,3 +232,15 @@ def test_orders_may_be_structs(spark, monkeypatch):
     assert sorted(r["id"] for r in first.collect()) == [*range(9)]
     assert sorted(r["id"] for r in O.skip_first(df, ["ord"], 9).collect()) == [*range(9, 20)]
     assert df.where(O.reaches(first, "ord")).count() == 9
+
+
+def test_first_of_each_key_numbers_orders_only(spark, monkeypatch):
+    rows = [("a", i // 2 if i else None, f"t{i % 3}") for i in range(12)] + [("b", 1, "same")] * 5 + [("c", 1, "x"), (None, 1, "y"), ("d", 1, "z")]
+    df = spark.createDataFrame(rows, "grp string, ord long, text string").repartition(4)
+    seen, starts = [], O.starts
+    monkeypatch.setattr(O, "starts", lambda d, *args: seen.append(d.columns) or starts(d, *args))
+    got = sorted(map(tuple, O.first_of_each(df, "grp", ["ord"], {"a": 6, "b": 3, "c": 9, "d": 0}).collect()), key=repr)
+    assert seen == [["_key", "_o0", "_h"]]  # no text travels
+    want = O.with_ordinal(df, ["grp"], "ord").where("grp = 'a' and k < 6 or grp = 'b' and k < 3 or grp = 'c'").drop("k").collect()
+    assert len(got) == 10 and got == sorted(map(tuple, want), key=repr)
+    assert O.first_of_each(df.limit(0), "grp", ["ord"], {"a": 1}).collect() == []
