@@ -1,12 +1,17 @@
 """Windows, dedup, quotas, order, repacking: worked cases."""
 
+import itertools
 import random
+from functools import partial
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import series
+from quern.operators import tokens as K
 from quern.operators import windows as O
+from quern.plans import text_queries as Q
 from quern.sources import catalog
 from quern.storage import Scratch
 from quern.streaming.repack import Loader
@@ -244,3 +249,30 @@ def test_first_of_each_key_numbers_orders_only(spark, monkeypatch):
     want = O.with_ordinal(df, ["grp"], "ord").where("grp = 'a' and k < 6 or grp = 'b' and k < 3 or grp = 'c'").drop("k").collect()
     assert len(got) == 10 and got == sorted(map(tuple, want), key=repr)
     assert O.first_of_each(df.limit(0), "grp", ["ord"], {"a": 1}).collect() == []
+
+
+def test_texts_are_encoded_and_cut_in_one_pass(spark):
+    texts = ["", "abc", "defgh" * 9, "i", "", "jk" * 3, "lmnopqrst", "u"]
+    starts = [0, *itertools.accumulate(map(len, texts))]
+    rows = [("x" if i % 2 else None, t, float(i), starts[i]) for i, t in enumerate(texts)]
+    placed = spark.createDataFrame(rows, "key string, txt string, trust_score double, start long").repartition(3)
+    vocab = K.char_vocab(placed.select(F.col("txt").alias("text")))
+    number = {r["ch"]: r["id"] for r in vocab.collect()}
+    whole = "".join(texts)
+    owner = [i for i, t in enumerate(texts) for _ in t]
+    assert number == {c: 4 + i for i, c in enumerate(sorted(set(whole)))}
+    encode = partial(K.encode_texts, vocab=vocab)
+    want = [(w, [number[c] for c in whole[5 * w : 5 * w + 5]], float(owner[5 * w])) for w in range(len(whole) // 5)]
+    for made in (O.cut_stream(placed, 4, [], encode), O.cut_stream(encode(placed), 4, [])):
+        assert sorted((r["window"], r["tokens"], r["trust"]) for r in made.collect()) == want
+    keyed = [sorted(map(tuple, x.collect()), key=repr) for x in (O.cut_stream(placed, 4, ["key"], encode), O.cut_stream(encode(placed), 4, ["key"]))]
+    assert keyed[0] == keyed[1] and {r[0] for r in keyed[0]} == {None, "x"}
+
+
+def test_window_digest_is_that_of_joined_ids(spark, monkeypatch):
+    ids = [[1, -100, 7], [0], [], [2_000_000_000, 1, 1], []]
+    df = spark.createDataFrame([(x,) for x in ids], "ids array<int>").coalesce(1)
+    want = [r[0] for r in df.select(Q.joined_ids(F.col("ids"))).collect()]
+    assert [r[0] for r in df.select(Q.window_digest("ids")).collect()] == want
+    monkeypatch.setattr(Q, "WINDOWS", 2)
+    assert Q.window_digest.func(pa.array(ids, pa.list_(pa.int32()))).to_pylist() == want
